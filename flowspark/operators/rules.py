@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.functions.exprs import clean_float, col, float_lit
+from flowspark.functions.exprs import col, float_lit, number
 from flowspark.operators.ordered import (
     _attach_totals, exact_quantiles, hot_keys, keyed_join, previous_value)
 
@@ -258,52 +258,66 @@ P = "__rule_"
 
 
 def _total(df: DataFrame, names: list[str]) -> Column:
-    terms = [clean_float(col(n)) for n in names if n in df.columns]
+    terms = [number(df, n, "float") for n in names if n in df.columns]
     return reduce(lambda a, b: a + b, terms) if terms else float_lit(0.0)
 
 
+def identity_columns(df: DataFrame) -> dict[str, str | None]:
+    """The caller's column for protocol, port and addresses."""
+    return {k: next((n for n in names if n in df.columns), None) for k, names in IDENTITY.items()}
+
+
+def _rate(df: DataFrame) -> Column:
+    return number(df, "flow_byts_per_s", "float") if "flow_byts_per_s" in df.columns else _total(df, INPUTS["bps"])
+
+
 def canonical_inputs(df: DataFrame, normalize_protocol: bool = False, integral_ports: bool = False) -> DataFrame:
     """Add the rule inputs (prefix `__rule_`) in one projection; columns not at hand read as 0."""
-    found = {k: next((n for n in names if n in df.columns), None) for k, names in IDENTITY.items()}
+    found = identity_columns(df)
     new = {P + k: _total(df, names) for k, names in INPUTS.items()}
-    new[P + "rate"] = clean_float(col("flow_byts_per_s")) if "flow_byts_per_s" in df.columns else new[P + "bps"]
-    new[P + "fpps"] = clean_float(col("flow_pkts_per_s")) if "flow_pkts_per_s" in df.columns else new[P + "pps"]
+    new[P + "rate"] = _rate(df)
+    new[P + "fpps"] = number(df, "flow_pkts_per_s", "float") if "flow_pkts_per_s" in df.columns else new[P + "pps"]
 
     proto = F.lit("")
     if found["protocol"]:
         proto = F.coalesce(col(found["protocol"]).cast("string"), F.lit("nan"))
         if normalize_protocol:
-            number = proto.try_cast("double").try_cast("int")
-            proto = (F.when(number == 6, "TCP").when(number == 17, "UDP")
-                     .when(number.isin(1, 58), "ICMP").otherwise(proto))
-    port = F.lit(None).cast("string")
-    if found["dst_port"]:
-        port = col(found["dst_port"]).cast("string")
-        if integral_ports:
-            port = F.coalesce(port.try_cast("double").try_cast("long").cast("string"), port)
+            code = proto.try_cast("double").try_cast("int")
+            proto = (F.when(code == 6, "TCP").when(code == 17, "UDP")
+                     .when(code.isin(1, 58), "ICMP").otherwise(proto))
     new[P + "proto"] = proto
-    new[P + "port"] = port
-    for k in ("src_ip", "dst_ip"):
-        new[P + k] = col(found[k]).cast("string") if found[k] else F.lit(None).cast("string")
+    new[P + "port"] = _port_text(found["dst_port"], integral_ports)
     return df.withColumns(new)
 
 
-def _dataset_thresholds(rows: DataFrame, params: dict, scope: list[str]) -> DataFrame:
+def _port_text(name: str | None, integral: bool) -> Column:
+    if not name:
+        return F.lit(None).cast("string")
+    port = col(name).cast("string")
+    return F.coalesce(port.try_cast("double").try_cast("long").cast("string"), port) if integral else port
+
+
+def _dataset_thresholds(rows: DataFrame, params: dict, scope: list[str], one_rate: bool) -> DataFrame:
     """One row (per scope): duration unit switch, exfiltration and bandwidth thresholds."""
     rate = F.when(F.col(P + "rate") > 0, F.col(P + "rate").cast("double"))
     base = rows.groupBy(*scope).agg(
         F.max(F.abs(F.col(P + "duration"))).alias("__max_duration"),
         F.count(rate).alias("__n"), F.avg(rate).alias("__mean"), F.stddev_pop(rate).alias("__std"))
 
-    def cut(column, prob, name):
+    def cut(column, wanted):
+        """Exact quantiles of the positive values, one column per name."""
         positive = rows.select(*scope, P + column).where(F.col(P + column) > 0)
-        return exact_quantiles(positive, P + column, [prob], by=scope).select(
-            *scope, F.col("quantile").alias(name))
+        found = exact_quantiles(positive, P + column, sorted(set(wanted.values())), by=scope)
+        return found.groupBy(*scope).agg(*[
+            F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for n, p in wanted.items()])
 
     exfil = params["EXFIL_BPS_RATIO"]
     exfil = exfil if exfil <= 1 else exfil / 100.0
+    wide = params["HIGH_BANDWIDTH_PERCENTILE"] / 100.0
+    parts = ([cut("rate", {"__exfil": exfil, "__pct": wide})] if one_rate
+             else [cut("bps", {"__exfil": exfil}), cut("rate", {"__pct": wide})])
     joined = base
-    for part in (cut("bps", exfil, "__exfil"), cut("rate", params["HIGH_BANDWIDTH_PERCENTILE"] / 100.0, "__pct")):
+    for part in parts:
         joined = joined.join(part, scope, "left") if scope else joined.join(F.broadcast(part), how="left")
     dynamic = F.when(F.col("__n") > 1, F.col("__mean") + params["BPS_SIGMA_MULT"] * F.col("__std")).otherwise(0.0)
     return joined.select(
@@ -315,49 +329,59 @@ def _dataset_thresholds(rows: DataFrame, params: dict, scope: list[str]) -> Data
     )
 
 
-def source_fanout(rows: DataFrame, keys: list[str], port: str, ip: str) -> DataFrame:
-    """Distinct targets per source; nulls do not count as targets."""
-    return rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(
-        F.countDistinct(port).alias(P + "n_ports"), F.countDistinct(ip).alias(P + "n_ips"))
+def source_fanout(rows: DataFrame, keys: list[str], port: str | None, ip: str | None) -> DataFrame:
+    """Distinct targets per source (the last key); nulls do not count as targets."""
+    count = lambda name: F.countDistinct(col(name)) if name else F.lit(None).cast("long")
+    out = rows.where(col(keys[-1]).isNotNull()).groupBy(*[col(k) for k in keys]).agg(
+        count(port).alias(P + "n_ports"), count(ip).alias(P + "n_ips"))
+    return out
 
 
-def _source_context(rows: DataFrame, scope: list[str], order: list[Column], slice_on: Column) -> DataFrame:
+def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[Column], slice_on: Column,
+                    http: Column) -> DataFrame:
     """Distinct targets, previous rate and HTTP group size of every row's source.
 
     Sources of ordinary size share one shuffle on (scope, source): the window,
     the join with the per-source counts and the HTTP group count all use it.
     Rows of a hot source go through slices and broadcast joins instead.
     """
-    keys = scope + [P + "src_ip"]
-    http = F.col(P + "port").isin(HTTP_PORTS)
-    group = [*keys, P + "dst_ip", P + "port"]
+    source = found["src_ip"]
+    keys = scope + [source]
+    rate = _rate(rows)
+    fanout = source_fanout(rows, keys, found["dst_port"], found["dst_ip"])
+    group = keys + [found["dst_ip"], found["dst_port"]] if found["dst_ip"] and found["dst_port"] else None
     hot = hot_keys(rows, keys, slice_on)
-    fanout = source_fanout(rows, keys, P + "port", P + "dst_ip")
 
     def ordinary(part):
-        part = previous_value(part, keys, order, slice_on, F.col(P + "rate"), P + "prev_rate", hot=None)
+        part = previous_value(part, keys, order, slice_on, rate, P + "prev_rate", hot=None)
         part = part.join(fanout, keys, "left")
-        size = F.sum(F.when(http, 1).otherwise(0)).over(Window.partitionBy(*group))
+        if not group:
+            return part.withColumn(P + "http_group", F.lit(None).cast("long"))
+        size = F.sum(F.when(http, 1).otherwise(0)).over(Window.partitionBy(*[col(k) for k in group]))
         return part.withColumn(P + "http_group", size)
 
-    if hot is None:
-        return ordinary(rows)
-
-    large = hot.rows(rows)
-    large = previous_value(large, keys, order, slice_on, F.col(P + "rate"), P + "prev_rate", hot=hot)
-    large = large.join(F.broadcast(hot.rows(fanout)), keys, "left")
-    text = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in group])
-    large = large.withColumn("__group", F.when(http, text))
-    sizes = (hot.rows(rows).where(http).withColumn("__group", text)
-             .groupBy("__group").agg(F.count(F.lit(1)).alias(P + "http_group")))
-    large = keyed_join(large, sizes, ["__group"], hot_keys(large.select("__group"), ["__group"])).drop("__group")
-    return ordinary(hot.others(rows)).unionByName(large)
+    out = ordinary(rows if hot is None else hot.others(rows))
+    if hot is not None:
+        large = hot.rows(rows)
+        large = previous_value(large, keys, order, slice_on, rate, P + "prev_rate", hot=hot)
+        large = large.join(F.broadcast(hot.rows(fanout)), keys, "left")
+        if group:
+            text = F.concat_ws("\u0001", *[F.coalesce(col(k).cast("string"), F.lit("\u0002")) for k in group])
+            large = large.withColumn("__group", F.when(http, text))
+            sizes = (hot.rows(rows).where(http).withColumn("__group", text)
+                     .groupBy("__group").agg(F.count(F.lit(1)).alias(P + "http_group")))
+            large = keyed_join(large, sizes, ["__group"], hot_keys(large.select("__group"), ["__group"])).drop("__group")
+        else:
+            large = large.withColumn(P + "http_group", F.lit(None).cast("long"))
+        out = out.unionByName(large)
+    # A row without a source has no previous row.
+    return out.withColumn(P + "prev_rate", F.when(col(source).isNotNull(), F.col(P + "prev_rate")))
 
 
 def rule_masks(cols: set[str], settings: RuleSettings) -> dict[str, Column]:
     """Predicate of every rule over the canonical inputs; `cols` are the caller's columns."""
     t = {k: float_lit(v) for k, v in settings.params.items()}
-    c = {k: F.col(P + k) for k in [*INPUTS, "rate", "fpps", "proto", "port", "src_ip", "dst_ip"]}
+    c = {k: F.col(P + k) for k in [*INPUTS, "rate", "fpps", "proto", "port"]}
     has = lambda *names: all(n in cols for n in names)
     never = F.lit(False)
 
@@ -439,45 +463,35 @@ def score_rules(df: DataFrame, settings: RuleSettings | None = None, *, order: l
     settings = settings or rule_settings()
     scope = list(scope or [])
     caller = list(df.columns)
-    rows = canonical_inputs(df, normalize_protocol, integral_ports)
-    slim = rows.select(*scope, *[P + k for k in ("duration", "bps", "rate")])
-    limits = _dataset_thresholds(slim, settings.params, scope)
+    found = identity_columns(df)
+    slim = df.select(*scope, _total(df, INPUTS["duration"]).alias(P + "duration"),
+                     _total(df, INPUTS["bps"]).alias(P + "bps"), _rate(df).alias(P + "rate"))
+    one_rate = [n for n in INPUTS["bps"] if n in caller] == ["flow_byts_per_s"]
+    limits = _dataset_thresholds(slim, settings.params, scope, one_rate)
 
-    has_source = any(n in caller for n in IDENTITY["src_ip"])
     order_cols = [col(n) for n in order]
     slicing = col(slice_on or order[0]).cast("double")
-    if has_source:
-        rows = _source_context(rows, scope, order_cols, slicing)
-        # A row without a source has no previous row.
-        rows = rows.withColumn(P + "prev_rate", F.when(F.col(P + "src_ip").isNotNull(), F.col(P + "prev_rate")))
+    if found["src_ip"]:
+        http = _port_text(found["dst_port"], integral_ports).isin(HTTP_PORTS)
+        rows = _source_context(df, scope, found, order_cols, slicing, http)
     else:
-        rows = previous_value(rows, scope, order_cols, slicing, F.col(P + "rate"), P + "prev_rate")
+        rows = previous_value(df, scope, order_cols, slicing, _rate(df), P + "prev_rate")
         rows = rows.withColumns({P + k: F.lit(None).cast("long") for k in ("n_ports", "n_ips", "http_group")})
-    if not any(n in caller for n in IDENTITY["dst_port"]):
-        rows = rows.withColumn(P + "n_ports", F.lit(None).cast("long"))
-    if not any(n in caller for n in IDENTITY["dst_ip"]):
-        rows = rows.withColumns({P + k: F.lit(None).cast("long") for k in ("n_ips", "http_group")})
     rows = _attach_totals(rows, limits, scope)
+    # Added after the shuffle, which so carries the caller's columns only.
+    rows = canonical_inputs(rows, normalize_protocol, integral_ports)
 
     masks = rule_masks(set(caller), settings)
-    flagged = rows.select(
-        *[col(n) for n in caller],
-        F.col(P + "pps"),
-        *[F.coalesce(m, F.lit(False)).alias(P + rule) for rule, m in masks.items()],
-    )
+    marked = rows.select(*[col(n) for n in caller], F.col(P + "pps"),
+                         *[F.coalesce(m, F.lit(False)).alias(P + r) for r, m in masks.items()])
     side = 1 if settings.aggressive else 0
     points = reduce(lambda a, b: a + b, (
-        F.when(F.col(P + rule), F.lit(RULES[rule][side])).otherwise(F.lit(0)) for rule in masks))
+        F.when(F.col(P + r), F.lit(RULES[r][side])).otherwise(F.lit(0)) for r in masks))
     slow = (F.col(P + "pps") > 0) & (F.col(P + "pps") <= float_lit(settings.params["SLOWLORIS_MAX_PPS"]))
-    texts = []
-    for rule in masks:
-        text = F.lit(RULES[rule][2 + side])
-        if rule == "R39":
-            text = F.when(slow, F.lit(R39_LOW_RATE_REASON)).otherwise(text)
-        texts.append(F.when(F.col(P + rule), text))
-    extra = [F.col(P + rule).alias(rule) for rule in masks] if keep_masks else []
-    return flagged.select(
-        *[col(n) for n in caller], *extra,
+    texts = {r: F.lit(RULES[r][2 + side]) for r in masks}
+    texts["R39"] = F.when(slow, F.lit(R39_LOW_RATE_REASON)).otherwise(texts["R39"])
+    return marked.select(
+        *[col(n) for n in caller], *([F.col(P + r).alias(r) for r in masks] if keep_masks else []),
         F.least(F.lit(100), F.greatest(F.lit(0), points)).cast("float").alias("rules_score"),
-        F.concat_ws("; ", *texts).alias("rules_reasons"),
+        F.concat_ws("; ", *[F.when(F.col(P + r), texts[r]) for r in masks]).alias("rules_reasons"),
     )

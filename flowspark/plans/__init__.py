@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rule_queries"]
+MODULES = ["rule_queries", "flow_queries", "metric_queries"]
 
 
 def load_queries():

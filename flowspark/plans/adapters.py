@@ -16,8 +16,10 @@ ACTIVITY_TIMEOUT_SEC = 86_400.0     # the events are minutes apart, so a day sta
 
 def epoch_us(ntz: Column) -> Column:
     """Epoch microseconds of a zone-less timestamp read as UTC."""
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ntz)
-    return F.unix_micros(local.cast("timestamp"))
+    zone = SparkSession.getActiveSession().conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT"):
+        ntz = F.convert_timezone(F.lit("UTC"), F.lit(zone), ntz)
+    return F.unix_micros(ntz.cast("timestamp"))
 
 
 def _li(spark: SparkSession, sf_dir: str) -> DataFrame:

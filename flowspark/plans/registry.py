@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowspark.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +16,12 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        def tuned(spark, sf_dir):
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = tuned
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -8,6 +8,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def tune(spark: SparkSession) -> None:
+    """Settings the wide projections here want; a value set by the user is left alone.
+
+    The JVM does not compile methods over 8000 bytes.  Whole-stage code for 40
+    rules or 80 features exceeds that and then runs interpreted, ten times
+    slower; with this limit Spark generates such a projection in small methods.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, "8000")
+
+
 def local_session(app: str = "flowspark", cpus: str = "*", **conf: str) -> SparkSession:
     defaults = {
         "spark.sql.shuffle.partitions": "8",
