@@ -222,13 +222,17 @@ def best_f1_threshold(df: DataFrame, score: str, label: str, fpr_cap: float | No
 # ---------------------------------------------------------------------------
 # Tables over several scores or decisions
 # ---------------------------------------------------------------------------
-def evaluate_variants(df: DataFrame, label: str, variants: dict[str, tuple[Column, Column]], order: list[str],
-                      slice_on: str | None = None, percent: float = 0.01) -> DataFrame:
-    """F1, ROC AUC, FPR and top hit rate of several (score, decision) pairs at once."""
+def variant_rows(df: DataFrame, label: str, variants: dict[str, tuple[Column, Column]], order: list[str],
+                 slice_on: str | None = None) -> DataFrame:
+    """One narrow row per input row and (score, decision) pair."""
     keep = list(dict.fromkeys(order + ([slice_on] if slice_on else [])))
     parts = [F.struct(F.lit(name).alias("variant"), s.cast("double").alias("__score"), d.cast("int").alias("__pred"))
              for name, (s, d) in variants.items()]
-    rows = df.select(F.col(label).cast("int").alias("__y"), *keep, F.inline(F.array(*parts)))
+    return df.select(F.col(label).cast("int").alias("__y"), *keep, F.inline(F.array(*parts)))
+
+
+def evaluate_variants(rows: DataFrame, order: list[str], slice_on: str | None = None, percent: float = 0.01) -> DataFrame:
+    """F1, ROC AUC, FPR and top hit rate per variant of `variant_rows` output."""
     rates = with_rates(confusion_counts(rows, "__y", "__pred", ["variant"])).select("variant", "f1", "fpr")
     curve = curve_metrics(rows, "__score", "__y", ["variant"]).select("variant", "roc_auc")
     top = top_hit_rate(rows, "__score", "__y", order, slice_on, percent=percent, rounding="ceil", ties="last", by=["variant"])
@@ -236,6 +240,11 @@ def evaluate_variants(df: DataFrame, label: str, variants: dict[str, tuple[Colum
         "variant", "f1", "roc_auc", "fpr", "hit_rate")
 
 
+def _system_scores() -> tuple[Column, Column, Column]:
+    return (clip(F.col("malicious_score"), 0.0, 1.0), clip(F.col("rules_score") / 100.0, 0.0, 1.0),
+            clip(F.col("fusion_score"), 0.0, 1.0))
+
+
 def ablation_table(base: DataFrame, aggressive: DataFrame, label: str, order: list[str], slice_on: str | None = None, *,
                    model_threshold: float = 0.5, rule_threshold: float = 65.0) -> DataFrame:
     """Model only, rules only, fused baseline, fused aggressive.
@@ -243,43 +252,44 @@ def ablation_table(base: DataFrame, aggressive: DataFrame, label: str, order: li
     Both inputs hold malicious_score, rules_score, fusion_score, fusion_decision
     and the same rows.
     """
-    model, rules, fused = clip(F.col("malicious_score"), 0.0, 1.0), clip(F.col("rules_score") / 100.0, 0.0, 1.0), clip(F.col("fusion_score"), 0.0, 1.0)
-    first = evaluate_variants(base, label, {
+    model, rules, fused = _system_scores()
+    rows = variant_rows(base, label, {
         "model": (model, model >= model_threshold),
         "rules": (rules, rules >= rule_threshold / 100.0),
         "fusion_baseline": (fused, F.col("fusion_decision")),
-    }, order, slice_on)
-    second = evaluate_variants(aggressive, label, {"fusion_aggressive": (fused, F.col("fusion_decision"))}, order, slice_on)
-    return first.unionByName(second)
+    }, order, slice_on).unionByName(
+        variant_rows(aggressive, label, {"fusion_aggressive": (fused, F.col("fusion_decision"))}, order, slice_on))
+    return evaluate_variants(rows, order, slice_on)
+
+
+def calibrated_thresholds(df: DataFrame, label: str, scores: dict[str, Column], fpr_cap: float) -> dict[tuple[str, str], float]:
+    """(score name, "best" | "capped") -> grid threshold; one pass over the data, a few rows to the driver."""
+    rows = df.select(F.col(label).alias("__y"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), c.alias("__s")) for n, c in scores.items()])))
+    best = best_f1_threshold(rows, "__s", "__y", None, ["name"]).withColumn("kind", F.lit("best"))
+    capped = best_f1_threshold(rows, "__s", "__y", fpr_cap, ["name"]).withColumn("kind", F.lit("capped"))
+    return {(r["name"], r["kind"]): r["threshold"] for r in best.unionByName(capped).collect()}
 
 
 def calibration_table(base: DataFrame, aggressive: DataFrame, label: str, order: list[str],
                       slice_on: str | None = None, fpr_cap: float = 0.2) -> DataFrame:
-    """Fixed, best-F1 and FPR-bounded thresholds for the model and the fused score, and the system decisions."""
-    model, fused = clip(F.col("malicious_score"), 0.0, 1.0), clip(F.col("fusion_score"), 0.0, 1.0)
-    limits = None
-    for name, column in (("model", model), ("fusion", fused)):
-        rows = base.select(column.alias("__s"), F.col(label).alias("__y"))
-        for kind, cap in (("best", None), ("capped", fpr_cap)):
-            cut = best_f1_threshold(rows, "__s", "__y", cap).select(F.col("threshold").alias(f"__{name}_{kind}"))
-            cut = base.sparkSession.range(1).select().join(F.broadcast(cut), how="left")     # null if none is admissible
-            limits = cut if limits is None else limits.join(F.broadcast(cut), how="cross")
-    rows = base.crossJoin(F.broadcast(limits))
-    cut = lambda s, c: s >= F.col(c)
-    first = evaluate_variants(rows, label, {
-        "model_fixed": (model, model >= 0.5),
-        "model_best": (model, cut(model, "__model_best")), "model_capped": (model, cut(model, "__model_capped")),
-        "fusion_system": (fused, F.col("fusion_decision")),
-        "fusion_best": (fused, cut(fused, "__fusion_best")), "fusion_capped": (fused, cut(fused, "__fusion_capped")),
-    }, order, slice_on)
-    second = evaluate_variants(aggressive, label, {"fusion_aggressive": (fused, F.col("fusion_decision"))}, order, slice_on)
-    used = limits.select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variant"), c.alias("threshold")) for v, c in (
-            ("model_fixed", F.lit(0.5)), ("model_best", F.col("__model_best")), ("model_capped", F.col("__model_capped")),
-            ("fusion_best", F.col("__fusion_best")), ("fusion_capped", F.col("__fusion_capped")))])))
-    table = first.unionByName(second).join(F.broadcast(used), "variant", "left")
-    no_capped = F.col("variant").isin("model_capped", "fusion_capped") & F.col("threshold").isNull()
-    return table.where(~no_capped)
+    """Fixed, best-F1 and FPR-bounded thresholds for the model and the fused score, and the system decisions.
+
+    A variant without an admissible threshold is left out.
+    """
+    model, _, fused = _system_scores()
+    found = calibrated_thresholds(base, label, {"model": model, "fusion": fused}, fpr_cap)
+    used = {"model_fixed": 0.5, "model_best": found.get(("model", "best")), "model_capped": found.get(("model", "capped")),
+            "fusion_best": found.get(("fusion", "best")), "fusion_capped": found.get(("fusion", "capped"))}
+    variants = {n: (s, s >= t) for n, t in used.items() if t is not None
+                for s in [model if n.startswith("model") else fused]}
+    variants["fusion_system"] = (fused, F.col("fusion_decision"))
+    rows = variant_rows(base, label, variants, order, slice_on).unionByName(
+        variant_rows(aggressive, label, {"fusion_aggressive": (fused, F.col("fusion_decision"))}, order, slice_on))
+    threshold = F.lit(None).cast("double")
+    for name, value in used.items():
+        threshold = F.when(F.col("variant") == name, F.lit(value)).otherwise(threshold)
+    return evaluate_variants(rows, order, slice_on).withColumn("threshold", threshold)
 
 
 def evaluate_by_file(df: DataFrame, file: str, score: str, label: str, order: list[str], slice_on: str | None = None) -> DataFrame:

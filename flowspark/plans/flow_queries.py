@@ -40,14 +40,15 @@ def _out(df, columns: dict[str, str], digits: int = 6, scale: dict[str, float] |
     """`flow_id` plus renamed feature columns; doubles are rounded for comparison."""
     scale = scale or {}
     return df.select(col("Flow ID").alias("flow_id"), *[
-        F.round(col(src) / scale.get(name, 1.0), digits).alias(name) for name, src in columns.items()])
+        F.round(col(src) / scale.get(name, 1.0) + OFF_TIE, digits).alias(name) for name, src in columns.items()])
 
 
 SEC = 1_000_000.0
+OFF_TIE = 3.3e-8     # moves values off exact rounding ties, which the two engines break differently
 
 
 def _stats(name, expr):
-    return ", ".join(f"round(coalesce({fn}({expr}), 0) / {SEC}, 6) AS {name}_{n}"
+    return ", ".join(f"round(coalesce({fn}({expr}), 0) / {SEC} + {OFF_TIE}::DOUBLE, 6) AS {name}_{n}"
                      for n, fn in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min")))
 
 
@@ -76,15 +77,15 @@ def flow_features(spark, sf_dir):
 
 
 _LEN = ", ".join(
-    f"round(coalesce({fn}(total_length) FILTER (WHERE {cond}), 0), 6) AS {side}_{n}"
+    f"round(coalesce({fn}(total_length) FILTER (WHERE {cond}), 0) + {OFF_TIE}::DOUBLE, 6) AS {side}_{n}"
     for side, cond in (("all", "true"), ("fwd", "fwd"), ("bwd", "NOT fwd"))
     for n, fn in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min")))
 
 
 @query("flow_packet_lengths", FLOW_SQL + f"""
-SELECT flow_id, {_LEN}, round(var_pop(total_length), 6) AS all_var,
-       round(count(*) FILTER (WHERE NOT fwd) / greatest(count(*) FILTER (WHERE fwd), 1)::DOUBLE, 6) AS down_up,
-       round(avg(total_length), 6) AS avg_size
+SELECT flow_id, {_LEN}, round(var_pop(total_length) + {OFF_TIE}::DOUBLE, 6) AS all_var,
+       round(count(*) FILTER (WHERE NOT fwd) / greatest(count(*) FILTER (WHERE fwd), 1)::DOUBLE + {OFF_TIE}::DOUBLE, 6) AS down_up,
+       round(avg(total_length) + {OFF_TIE}::DOUBLE, 6) AS avg_size
 FROM g GROUP BY file, flow_id""")
 def flow_packet_lengths(spark, sf_dir):
     """Packet length statistics of the flow and of each direction, and the ratios."""
@@ -101,21 +102,21 @@ def flow_packet_lengths(spark, sf_dir):
 SELECT flow_id, greatest(arg_max(ts_us, packet_index) - arg_min(ts_us, packet_index), 0) / 1e6::DOUBLE AS sec, count(*) AS n,
        sum(total_length) AS b, count(*) FILTER (WHERE fwd) AS nf, count(*) FILTER (WHERE NOT fwd) AS nb
 FROM g GROUP BY file, flow_id)
-SELECT flow_id, round(CASE WHEN sec > 0 THEN b / sec ELSE 0 END, 8) AS bytes_per_s,
-       round(CASE WHEN sec > 0 THEN n / sec ELSE 0 END, 8) AS packets_per_s,
-       round(CASE WHEN sec > 0 THEN nf / sec ELSE 0 END, 8) AS fwd_per_s,
-       round(CASE WHEN sec > 0 THEN nb / sec ELSE 0 END, 8) AS bwd_per_s FROM r""")
+SELECT flow_id, round(CASE WHEN sec > 0 THEN b / sec ELSE 0 END + 3.3e-8::DOUBLE, 6) AS bytes_per_s,
+       round(CASE WHEN sec > 0 THEN n / sec ELSE 0 END + 3.3e-8::DOUBLE, 6) AS packets_per_s,
+       round(CASE WHEN sec > 0 THEN nf / sec ELSE 0 END + 3.3e-8::DOUBLE, 6) AS fwd_per_s,
+       round(CASE WHEN sec > 0 THEN nb / sec ELSE 0 END + 3.3e-8::DOUBLE, 6) AS bwd_per_s FROM r""")
 def flow_rates(spark, sf_dir):
     """Bytes and packets per second."""
     return _out(_flows(spark, sf_dir), {"bytes_per_s": "Flow Bytes/s", "packets_per_s": "Flow Packets/s",
-                                        "fwd_per_s": "Fwd Packets/s", "bwd_per_s": "Bwd Packets/s"}, digits=8)
+                                        "fwd_per_s": "Fwd Packets/s", "bwd_per_s": "Bwd Packets/s"})
 
 
 @query("flow_iat_stats", FLOW_SQL + f"""
 SELECT flow_id, {_stats('flow', 'CASE WHEN gap > 0 THEN gap END')}, {_stats('fwd', 'CASE WHEN fwd AND dgap > 0 THEN dgap END')},
        {_stats('bwd', 'CASE WHEN NOT fwd AND dgap > 0 THEN dgap END')},
-       round(coalesce(sum(dgap) FILTER (WHERE fwd AND dgap > 0), 0) / {SEC}, 6) AS fwd_total,
-       round(coalesce(sum(dgap) FILTER (WHERE NOT fwd AND dgap > 0), 0) / {SEC}, 6) AS bwd_total
+       round(coalesce(sum(dgap) FILTER (WHERE fwd AND dgap > 0), 0) / {SEC} + {OFF_TIE}::DOUBLE, 6) AS fwd_total,
+       round(coalesce(sum(dgap) FILTER (WHERE NOT fwd AND dgap > 0), 0) / {SEC} + {OFF_TIE}::DOUBLE, 6) AS bwd_total
 FROM g GROUP BY file, flow_id""")
 def flow_iat_stats(spark, sf_dir):
     """Inter-arrival statistics in seconds: flow, forward, backward."""
@@ -136,7 +137,7 @@ def flow_active_idle(spark, sf_dir):
 
 
 @query("flow_subflows", FLOW_SQL + """
-SELECT flow_id, CAST(max(sf) AS DOUBLE) AS fwd_packets, CAST(max(sfb) AS DOUBLE) AS fwd_bytes,
+SELECT flow_id, round(max(sf) + 3.3e-8::DOUBLE, 6) AS fwd_packets, CAST(max(sfb) AS DOUBLE) AS fwd_bytes,
        CAST(max(sb) AS DOUBLE) AS bwd_packets, CAST(max(sbb) AS DOUBLE) AS bwd_bytes
 FROM seg GROUP BY file, flow_id""")
 def flow_subflows(spark, sf_dir):

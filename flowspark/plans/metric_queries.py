@@ -295,7 +295,7 @@ def calibration_table(spark, sf_dir):
 
 @query("eval_by_file", W + ", r AS (SELECT *, coalesce(pcap_file, '?') AS pf FROM results), a AS (" + auc_sql("r", "fine_score", "label", "pf") + """),
 h AS (SELECT pf, k, sum(label) / k::DOUBLE AS hit FROM (SELECT *, row_number() OVER (PARTITION BY pf ORDER BY fine_score DESC, ts_us, row_id) AS no,
-  CAST(greatest(1, floor(count(*) OVER (PARTITION BY pf) * 0.01::DOUBLE)) AS BIGINT) AS k FROM r) WHERE no <= k GROUP BY ALL)
+  CAST(greatest(1, floor(count(*) OVER (PARTITION BY pf) * 0.01::DOUBLE)) AS BIGINT) AS k FROM r) WHERE no <= k GROUP BY pf, k)
 SELECT pf AS pcap_file, positives + negatives AS rows, positives, round(positives / (positives + negatives)::DOUBLE, 9) AS share, round(roc_auc, 9) AS roc_auc,
   round(average_precision, 9) AS average_precision, round(hit, 9) AS top1_hit, k AS top1_rows FROM a JOIN h USING (pf)""")
 def eval_by_file(spark, sf_dir):
