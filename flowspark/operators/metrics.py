@@ -130,7 +130,7 @@ def roc_points(df: DataFrame, score: str, label: str, simplify: bool = True) ->
                        F.max("score").alias("__top"), F.min("score").alias("__low"))
     start = totals.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     if simplify:
-        steps = previous_value(steps, [], [F.col("score").asc()], F.col("score"), F.struct("pos", "neg"), "__next")
+        steps = previous_value(steps, [], [F.col("score")], F.col("score"), F.struct("pos", "neg"), "__next")
     steps = steps.crossJoin(F.broadcast(totals))
     if simplify:
         bend = (F.col("__next.pos") != F.col("pos")) | (F.col("__next.neg") != F.col("neg"))

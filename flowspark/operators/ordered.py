@@ -164,7 +164,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], slice_on: C
 
 def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on: Column,
                    value: Column, name: str, hot: HotKeys | None | str = "find") -> DataFrame:
-    """lag(value) per key."""
+    """lag(value) per key; `order` is a list of plain columns, ascending."""
     if hot == "find":
         hot = hot_keys(df, keys, slice_on)
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -184,7 +184,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on
         .withColumn(name, F.coalesce(F.lag(F.struct(value.alias("v"))).over(within), F.col("__carry"))["v"])
         .drop("__slice", "__carry")
     )
-    return plain(hot.others(df)).unionByName(rows)
+    return plain(hot.others(df)).unionByName(rows) if keys else rows
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], slice_on: Column,

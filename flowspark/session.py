@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,16 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, "8000")
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="flowspark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def local_session(app: str = "flowspark", cpus: str = "*", **conf: str) -> SparkSession:
     defaults = {
         "spark.sql.shuffle.partitions": "8",

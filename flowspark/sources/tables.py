@@ -128,23 +128,29 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _fields(value: Column) -> Column:
-    plain = F.transform(F.split(value, FIELD, -1), lambda f: F.when(
-        f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    return plain
+    """Fields of a CSV line; the quote-aware split is only paid for by lines with quotes."""
+    unquoted = F.transform(F.split(value, FIELD, -1), lambda f: F.when(
+        f.startswith('"') & f.endswith('"') & (F.length(f) > 1),
+        F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(value.contains('"'), unquoted).otherwise(F.split(value, ",", -1))
 
 
-def repair_misaligned(spark: SparkSession, path: str) -> DataFrame:
+def repair_misaligned(spark: SparkSession, source: str | list[str]) -> DataFrame:
     """Rows of 88 values under 86 headers, with the two surplus values (77th and 78th) removed.
 
-    A row of any other width, or a header of other than 86 columns, is an error.
+    Takes one file or a list of files.  A row of any other width, or a header of
+    other than 86 columns, is an error.
     """
-    probe = probe_csv(spark.createDataFrame([(path, 0, 0)], "path string, length long, modified_ms long"), ["utf-8", "utf-8-sig"]).first()
-    if probe["error"]:
-        raise ValueError(probe["error"])
-    header = probe["header"]
-    if len(header) != 86:
-        raise ValueError(f"expected 86 header columns, found {len(header)}")
-    rows = spark.read.text(path).where((F.trim("value") != ""))
+    paths = [source] if isinstance(source, str) else list(source)
+    listing = spark.createDataFrame([(p, 0, 0) for p in paths], "path string, length long, modified_ms long")
+    probes = probe_csv(listing, ["utf-8", "utf-8-sig"]).select("header", "error").distinct().collect()
+    for probe in probes:
+        if probe["error"]:
+            raise ValueError(probe["error"])
+        if len(probe["header"]) != 86:
+            raise ValueError(f"expected 86 header columns, found {len(probe['header'])}")
+    header = probes[0]["header"]
+    rows = spark.read.text(paths).where((F.trim("value") != ""))
     values = rows.select(_fields(F.regexp_replace("value", "^\ufeff", "")).alias("f")).where(
         F.col("f") != F.array(*[F.lit(h) for h in header]))
     checked = F.when(F.size("f") == 88, F.concat(F.slice("f", 1, 76), F.slice("f", 79, 10))).otherwise(

@@ -19,6 +19,7 @@ from flowspark.operators.rules import CAPTURE_TRIGGER_CAP, rule_settings, score_
 from flowspark.sources.captures import decode_captures, packets_of
 
 POLL_SECONDS = 5          # fixed value
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 CAPTURE_GLOB = "*.{[pP][cC][aA][pP],[pP][cC][aA][pP][nN][gG]}"
 
 
@@ -55,7 +56,7 @@ def process_batch(listing: DataFrame, out: str, batch_id: int, ensemble=None, pr
 def watch_captures(spark: SparkSession, watch_dir: str, out: str, checkpoint: str, *, ensemble=None, profile: str = "baseline",
                    max_files: int = 1, poll_seconds: int = POLL_SECONDS, once: bool = False) -> StreamingQuery:
     """Start the watch; with `once`, treat what is there and stop."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", CAPTURE_GLOB)
+    files = (spark.readStream.schema(BINARY_FILE).format("binaryFile").option("pathGlobFilter", CAPTURE_GLOB)
              .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(watch_dir)
              .select("path", "length"))
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
