@@ -106,21 +106,18 @@ def first_rows_by_id(df: DataFrame, ids: DataFrame, key: str, columns: list[str]
 def top_reasons(top: DataFrame, features: list[str], k: int = TOP_REASONS, out: str = "top_reasons") -> DataFrame:
     """The k features that stand out most in each top row, by z-score over the top rows, as "name:0.00, ..."."""
     value = lambda c: F.coalesce(col(c).cast("float"), F.lit(0.0).cast("float"))
-    aggs = []
+    everyone = Window.partitionBy()                # at most MAX_TOP_ROWS rows
+    stats, parts = {}, []
     for i, c in enumerate(features):
         v = value(c).cast("double")
-        aggs += [F.avg(v).alias(f"__m{i}"), F.stddev_pop(v).alias(f"__s{i}")]
-    stats = top.agg(*aggs)
-    parts = []
-    for i, c in enumerate(features):
+        stats[f"__m{i}"], stats[f"__s{i}"] = F.avg(v).over(everyone), F.stddev_pop(v).over(everyone)
         std = F.greatest(F.col(f"__s{i}"), F.lit(1e-6)).cast("float")
         z = F.abs(((value(c) - F.col(f"__m{i}").cast("float")) / std).cast("float"))
         parts.append(F.struct((-z).alias("z"), F.lit(i).alias("i"), F.lit(c).alias("name")))
     ranked = F.slice(F.array_sort(F.array(*parts)), 1, k)
     shown = F.transform(F.filter(ranked, lambda p: p["z"] < 0),
                         lambda p: F.format_string("%s:%.2f", p["name"], (-p["z"]).cast("double")))
-    names = [x for i in range(len(features)) for x in (f"__m{i}", f"__s{i}")]
-    return top.crossJoin(F.broadcast(stats)).withColumn(out, F.array_join(shown, ", ")).drop(*names)
+    return top.withColumns(stats).withColumn(out, F.array_join(shown, ", ")).drop(*stats)
 
 
 def anomaly_files(top: DataFrame, file: str, limit: int = 10) -> DataFrame:

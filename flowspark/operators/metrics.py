@@ -153,11 +153,12 @@ def pr_points(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def top_hit_rate(df: DataFrame, score: str, label: str, order: list[str], slice_on: str | None = None, *,
                  percent: float = 0.01, rounding: str = "floor", ties: str = "first",
-                 by: list[str] | None = None) -> DataFrame:
+                 by: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """Share of positives among the top `percent` of rows by score: columns k, hits, hit_rate.
 
     `ties` says which rows of the score at the cut are taken: "first" or "last"
     in row order.  Only that one score's rows are ever put in order.
+    `few_groups` says that the groups are a fixed handful, so nothing needs counting.
     """
     by = list(by or [])
     size = F.ceil if rounding == "ceil" else F.floor
@@ -171,7 +172,13 @@ def top_hit_rate(df: DataFrame, score: str, label: str, order: list[str], slice_
         *by, F.col("score").alias("__cut"), (F.col("k") - at).alias("__take"))
     rows = df.select(*by, F.col(score).cast("double").alias("__s"), F.col(label).alias("__y"),
                      *[F.col(c) for c in dict.fromkeys(order + ([slice_on] if slice_on else [])) if c not in by])
-    rows = (lookup_join(rows, cut, by) if by else rows.crossJoin(F.broadcast(cut))).where(F.col("__s") == F.col("__cut"))
+    if not by:
+        rows = rows.crossJoin(F.broadcast(cut))
+    elif few_groups:
+        rows = rows.join(F.broadcast(cut), by, "left")
+    else:
+        rows = lookup_join(rows, cut, by, table_keys=df.select(*by).distinct())
+    rows = rows.where(F.col("__s") == F.col("__cut"))
     direction = (lambda c: F.col(c).asc()) if ties == "first" else (lambda c: F.col(c).desc())
     slicing = F.col(slice_on or order[0]).cast("double")
     numbered = number_rows(rows, by, [direction(c) for c in order], slicing if ties == "first" else -slicing, "__no")
@@ -235,7 +242,8 @@ def evaluate_variants(rows: DataFrame, order: list[str], slice_on: str | None =
     """F1, ROC AUC, FPR and top hit rate per variant of `variant_rows` output."""
     rates = with_rates(confusion_counts(rows, "__y", "__pred", ["variant"])).select("variant", "f1", "fpr")
     curve = curve_metrics(rows, "__score", "__y", ["variant"]).select("variant", "roc_auc")
-    top = top_hit_rate(rows, "__score", "__y", order, slice_on, percent=percent, rounding="ceil", ties="last", by=["variant"])
+    top = top_hit_rate(rows, "__score", "__y", order, slice_on, percent=percent, rounding="ceil", ties="last",
+                       by=["variant"], few_groups=True)
     return rates.join(curve, "variant").join(top.select("variant", "hit_rate"), "variant").select(
         "variant", "f1", "roc_auc", "fpr", "hit_rate")
 

@@ -26,6 +26,7 @@ MAX_HOT_KEYS = 256        # a key outside the 256 largest holds under 1/256 of t
 DEFAULT_MIN_ROWS = 1_000_000
 MAX_SLICES = 1024
 SMALL_TABLE_ROWS = 100_000
+MIN_ROW_BYTES = 16        # stored size of a row, at the least
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -90,13 +91,26 @@ def _slice_number(value: Column, bounds: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the files and relations a plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = {}
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        size = int(leaf.stats().sizeInBytes())
+        sizes[leaf.nodeName(), size] = size      # the same files read twice count once
+    return sum(sizes.values())
+
+
 def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> HotKeys | None:
     """The largest keys of `df` with at least hotMinRows rows, or None.
 
     Runs one aggregation (partial sums before the shuffle) and returns at most
     256 rows to the driver.  With `order`, also the slice bounds of each key.
+    An input whose files are too small to hold hotMinRows rows is not counted.
     """
     floor = min_hot_rows(df)
+    if _input_bytes(df) < floor * MIN_ROW_BYTES:
+        return None
     cols = [F.col(f"`{k}`") for k in keys]
     sizes = (
         df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
@@ -210,14 +224,17 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], slice_on:
     return plain(hot.others(df)).unionByName(rows) if keys else rows
 
 
-def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], small_rows: int = SMALL_TABLE_ROWS,
+                table_keys: DataFrame | None = None) -> DataFrame:
     """Left join to a table with one row per key.
 
-    The table is broadcast only after its size was checked.  A larger table is
-    joined by a shuffle; rows of hot keys then stay out of the shuffle and meet
-    their (at most 256) table rows by broadcast.
+    The table is broadcast only after its size was checked; where `table` is
+    costly, `table_keys` is a cheaper frame with at least as many rows to count.
+    A larger table is joined by a shuffle; rows of hot keys then stay out of the
+    shuffle and meet their (at most 256) table rows by broadcast.
     """
-    if table.limit(small_rows + 1).count() <= small_rows:
+    counted = table if table_keys is None else table_keys
+    if counted.limit(small_rows + 1).count() <= small_rows:
         return df.join(F.broadcast(table), keys, "left")
     return keyed_join(df, table, keys, hot_keys(df, keys))
 

@@ -19,6 +19,10 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.codegen.hugeMethodLimit"
     if spark.conf.get(key, "65535") == "65535":
         spark.conf.set(key, "8000")
+    # Recording the Python call site of every column makes wide plans slow to build.
+    key = "spark.python.sql.dataFrameDebugging.enabled"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "false")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -41,6 +45,7 @@ def local_session(app: str = "flowspark", cpus: str = "*", **conf: str) -> Spark
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.caseSensitive": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     defaults.update(conf)
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)

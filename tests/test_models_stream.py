@@ -17,7 +17,7 @@ def rows(spark):
     x = rnd.normal(size=(300, 3))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)
     pdf = [(i, float(a), float(b), float(c), int(t)) for i, ((a, b, c), t) in enumerate(zip(x, y))]
-    return spark.createDataFrame(pdf, "id long, a double, b double, c double, `﻿ labelbinary ` int").cache()
+    return spark.createDataFrame(pdf, "id long, a double, b double, c double, `﻿labelbinary ` int").cache()
 
 
 def test_train_registry_ensemble_predict(spark, rows, tmp_path):
