@@ -97,10 +97,10 @@ def top_rows(df: DataFrame, score: str, order: list[str], descending: bool = Tru
 
 def first_rows_by_id(df: DataFrame, ids: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
     """`columns` of the first row (in `order`) of every wanted id; `ids` is a small report."""
-    wanted = df.select(key, *columns, *[c for c in order if c not in (key, *columns)]).join(
-        F.broadcast(ids.select(key).distinct()), key, "left_semi")
-    picked = wanted.groupBy(key).agg(F.min_by(F.struct(*[col(c) for c in columns]), F.struct(*[col(c) for c in order])).alias("__r"))
-    return picked.select(key, "__r.*")
+    wanted = df.select(*[col(c) for c in dict.fromkeys([key, *columns, *order])]).join(
+        F.broadcast(ids.select(col(key)).distinct()), key, "left_semi")
+    picked = wanted.groupBy(col(key)).agg(F.min_by(F.struct(*[col(c) for c in columns]), F.struct(*[col(c) for c in order])).alias("__r"))
+    return picked.select(col(key), "__r.*")
 
 
 def top_reasons(top: DataFrame, features: list[str], k: int = TOP_REASONS, out: str = "top_reasons") -> DataFrame:

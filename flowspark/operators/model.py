@@ -146,6 +146,12 @@ def latest_model(registry: DataFrame) -> DataFrame:
     return registry.agg(F.max_by(F.struct(*[col(c) for c in registry.columns]), F.struct("trained_at", "model_id")).alias("m")).select("m.*")
 
 
+def metrics_table(registry: DataFrame) -> DataFrame:
+    """One row per training run and metric."""
+    return registry.select("model_id", "trained_at", "samples", F.size("features").alias("n_features"),
+                           F.explode("metrics").alias("metric", "value"))
+
+
 def vote(members: list[tuple[Column, float | None]]) -> Column:
     """Weighted mean of the members' positive scores, each paired with 1 - score.
 

@@ -10,7 +10,7 @@ Slices only decide where rows are processed; any cut gives the same result.
 Two session settings steer them:
 
     spark.flowspark.hotMinRows   rows from which a key counts as hot (1,000,000)
-    spark.flowspark.hotSlices    slices per hot key (the shuffle partitions)
+    spark.flowspark.hotSlices    most slices per hot key (1024)
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HOT_KEYS = 256        # a key outside the 256 largest holds under 1/256 of the rows
+MAX_HOT_KEYS = 2048       # a key outside the 2048 largest holds under 1/2048 of the rows
 DEFAULT_MIN_ROWS = 1_000_000
-MAX_SLICES = 1024
+MAX_SLICES = 1024         # per key
+SLICE_BUDGET = 200_000    # over all hot keys, shared out by their size
 SMALL_TABLE_ROWS = 100_000
 MIN_ROW_BYTES = 16        # stored size of a row, at the least
 
@@ -38,8 +39,7 @@ def min_hot_rows(df: DataFrame) -> int:
 
 
 def slice_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_SLICES, _setting(df, "spark.flowspark.hotSlices", partitions)))
+    return max(2, min(MAX_SLICES, _setting(df, "spark.flowspark.hotSlices", MAX_SLICES)))
 
 
 def _same_keys(left: DataFrame, keys: list[str], prefix: str) -> Column:
@@ -75,9 +75,13 @@ class HotKeys:
         """Rows of every other key (none when the whole input is one key)."""
         return self._join(df, "left_anti", []) if self.keys else df.limit(0)
 
+    def with_columns(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows of hot keys with columns of the key table."""
+        return self._join(df, "inner", columns)
+
     def sliced(self, df: DataFrame, order: Column) -> DataFrame:
         """Rows of hot keys with the number of their slice in `__slice`."""
-        joined = self._join(df, "inner", ["__bounds"])
+        joined = self.with_columns(df, ["__bounds"])
         return joined.withColumn("__slice", _slice_number(order.cast("double"), F.col("__bounds"))).drop("__bounds")
 
 
@@ -105,7 +109,8 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
     """The largest keys of `df` with at least hotMinRows rows, or None.
 
     Runs one aggregation (partial sums before the shuffle) and returns at most
-    256 rows to the driver.  With `order`, also the slice bounds of each key.
+    MAX_HOT_KEYS rows to the driver.  With `order`, also the slice bounds of each
+    key, at most SLICE_BUDGET numbers and a few per key.
     An input whose files are too small to hold hotMinRows rows is not counted.
     """
     floor = min_hot_rows(df)
@@ -117,31 +122,28 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
         .where(F.col("__n") >= floor)
         .orderBy(F.col("__n").desc(), *cols).limit(MAX_HOT_KEYS)
     )
-    found = sizes.drop("__n").collect()
+    found = sizes.collect()
     if not found:
         return None
     spark = df.sparkSession
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    if not keys:
-        table = spark.range(1).select()
-    else:
-        table = spark.createDataFrame([tuple(r) for r in found], key_schema)
     if order is None:
-        return HotKeys(keys, table)
-    n = slice_count(df)
-    probs = [i / n for i in range(1, n)]
-    bounds = (
-        HotKeys(keys, table).rows(df.select(*cols, order.cast("double").alias("__order")))
-        .groupBy(*cols)
-        .agg(F.percentile_approx("__order", probs, 10 * n).alias("__bounds"))
-        .collect()
-    )
+        return HotKeys(keys, spark.createDataFrame([tuple(r)[:-1] for r in found], key_schema))
+    # Bounds are quantiles of the ordering column; a small hot key takes every step-th of them.
+    n, total = slice_count(df), sum(r["__n"] for r in found)
+    step = lambda size: max(1, n // max(2, min(n, -(-SLICE_BUDGET * size // total))))
+    stepped = T.StructType(list(key_schema) + [T.StructField("__step", T.IntegerType())])
+    steps = spark.createDataFrame([(*tuple(r)[:-1], step(r["__n"])) for r in found], stepped)
+    rows = HotKeys(keys, steps).with_columns(df.select(*cols, order.cast("double").alias("__order")), ["__step"])
+    cuts = F.percentile_approx("__order", [i / n for i in range(1, n)], 10 * n)
+    bounds = rows.groupBy(*cols, "__step").agg(cuts.alias("__all")).select(
+        *cols, F.filter("__all", lambda x, i: i % F.col("__step") == F.col("__step") - 1).alias("__bounds")).collect()
     schema = T.StructType(list(key_schema) + [T.StructField("__bounds", T.ArrayType(T.DoubleType()))])
     return HotKeys(keys, spark.createDataFrame([tuple(r) for r in bounds], schema))
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach one row per (hot key, slice): at most 256 x MAX_SLICES rows."""
+    """Attach one row per (hot key, slice): about SLICE_BUDGET rows at most."""
     on = keys + ["__slice"]
     side = F.broadcast(_renamed(carry, on, "__c_"))
     return rows.join(side, _same_keys(rows, on, "__c_"), "left").drop(*["__c_" + k for k in on])
@@ -231,7 +233,7 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], small_rows: in
     The table is broadcast only after its size was checked; where `table` is
     costly, `table_keys` is a cheaper frame with at least as many rows to count.
     A larger table is joined by a shuffle; rows of hot keys then stay out of the
-    shuffle and meet their (at most 256) table rows by broadcast.
+    shuffle and meet their (at most MAX_HOT_KEYS) table rows by broadcast.
     """
     counted = table if table_keys is None else table_keys
     if counted.limit(small_rows + 1).count() <= small_rows:

@@ -48,7 +48,8 @@ def extraction_records(decoded: DataFrame, flows: DataFrame, flows_per_record: i
     `flows_per_record` flows each, so no record grows with the capture.
     """
     stats = packet_statistics(decoded)
-    numbered = number_rows(flows, ["file"], [col("Flow ID"), col("Timestamp")], F.xxhash64(col("Flow ID")) * 0.0, "__no")
+    place = F.xxhash64(col("Flow ID"))
+    numbered = number_rows(flows, ["file"], [place, col("Flow ID"), col("Timestamp")], place.cast("double"), "__no")
     parts = numbered.withColumn("part", F.floor((F.col("__no") - 1) / flows_per_record)).groupBy("file", "part").agg(
         F.collect_list(F.struct(*[col(c) for c in FLOW_COLUMNS])).alias("flows"))
     rows = stats.join(parts, "file", "left")
