@@ -1,10 +1,11 @@
 """Capture files to a packet table.
 
-Large captures are cut into byte ranges first, so that one big file becomes
-many tasks: a light pass walks the record headers of such a file and notes
-where every range starts and what a reader must know there.  A range is decoded
-with array operations over its bytes; only the walk from record to record is a
-loop.
+Large captures are cut into byte ranges, so that one big file becomes many
+tasks.  Each range looks for its first record by plausibility and hops from
+there to the record that crosses its end; the guesses of a file hold if every
+range starts exactly where the one before it arrived.  Where they do not, the
+file is walked from its start instead.  A range is decoded with array
+operations over its bytes; only the hop from record to record is a loop.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,7 @@ LISTING_SCHEMA = T.StructType([
     T.StructField("modified_ms", T.LongType())])
 DECODED_SCHEMA = T.StructType(list(PACKET_SCHEMA) + [
     T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
+RANGE_SCHEMA = "path string, length long, k long, end long, first long, reach long, count long, state string, changed boolean, error string"
 CHUNK_SCHEMA = "file string, start long, stop long, first_index long, state string, error string"
 
 
@@ -169,39 +171,169 @@ def _walk(buf: bytes, at: int, stop: int, state: dict, rows: list) -> int:
     return at
 
 
-def _plan_chunks(batches: Iterator[pd.DataFrame], split_bytes: int) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+def _hop(buf: bytes, at: int, stop: int, state: dict) -> tuple[int, int, bool]:
+    """Where the first record at or after `stop` begins, packets passed, and whether the reader state changed.
+
+    Reads headers only, so the last record may reach beyond `buf`.
+    """
+    count, changed = 0, False
+    if state["kind"] == "pcap":
+        length = struct.Struct(state["order"] + "I")
+        while at < stop and at + 16 <= len(buf):
+            at += 16 + length.unpack_from(buf, at + 8)[0]
+            count += 1
+        return at, count, changed
+    head = struct.Struct(state["order"] + "II")
+    while at < stop and at + 8 <= len(buf):
+        kind, size = head.unpack_from(buf, at)
+        if size < 12:
+            break
+        changed = changed or kind in (1, 0x0A0D0D0A)
+        count += kind in (3, 6)
+        at += size
+    return at, count, changed
+
+
+def _plausible(data: np.ndarray, at: np.ndarray, state: dict) -> np.ndarray:
+    """Which offsets may be the start of a record."""
+    order = state["order"]
+    weights = np.array([1, 1 << 8, 1 << 16, 1 << 24] if order == "<" else [1 << 24, 1 << 16, 1 << 8, 1], dtype=np.int64)
+    u32 = lambda o: (data[np.minimum(o, len(data) - 4)[:, None] + np.arange(4)].astype(np.int64) * weights).sum(1)
+    if state["kind"] == "pcap":
+        captured, original = u32(at + 8), u32(at + 12)
+        return (captured > 0) & (captured <= 1 << 18) & (captured <= original) & (original <= 1 << 20) & (u32(at + 4) < state["ticks"])
+    kind, size = u32(at), u32(at + 4)
+    inside = at + size <= len(data)
+    closed = ~inside | (u32(at + np.minimum(size, len(data)) - 4) == size)
+    return np.isin(kind, (2, 3, 4, 5, 6)) & (size >= 12) & (size % 4 == 0) & (size <= 1 << 20) & closed
+
+
+def _first_record(buf: bytes, stop: int, state: dict, chain: int = 12) -> int | None:
+    """The first offset below `stop` from which a chain of plausible records leads on."""
+    data = np.frombuffer(buf + bytes(64), dtype=np.uint8)
+    grain = 1 if state["kind"] == "pcap" else 4
+    for low in range(0, stop, 1 << 16):
+        offsets = np.arange(low, min(low + (1 << 16), stop), grain, dtype=np.int64)
+        for start in offsets[_plausible(data, offsets, state)]:
+            at = int(start)
+            for _ in range(chain):
+                if at + 16 > len(buf):
+                    return int(start)
+                if not _plausible(data, np.array([at]), state)[0]:
+                    break
+                at = _hop(buf, at, at + 1, state)[0]
+            else:
+                return int(start)
+    return None
+
+
+def _reader_state(f: _File) -> dict:
+    """State after the leading section and interface blocks."""
+    head = f.read(0, 1 << 16)
+    state = _open_state(head)
+    at = state["at"]
+    while state["kind"] == "pcapng" and at + 12 <= len(head):
+        order = "<" if at == 0 and head[8:12] == b"\x4d\x3c\x2b\x1a" else ">" if at == 0 else state["order"]
+        kind, size = struct.unpack_from(order + "II", head, at)
+        if kind not in (1, 0x0A0D0D0A) or size < 12:
+            break
+        _walk(head, at, at + size, state, [])
+        at += size
+    return {**state, "at": at}
+
+
+def _probe_ranges(batches: Iterator[pd.DataFrame], split_bytes: int) -> Iterator[pd.DataFrame]:
+    """Per range of a large file: where its records begin, where they lead to, and how many there are."""
     for batch in batches:
         out = []
-        for path, length in zip(batch["path"], batch["length"]):
+        for path, length, k in zip(batch["path"], batch["length"], batch["k"]):
+            begin, end = k * split_bytes, min((k + 1) * split_bytes, length)
             try:
                 f = _File(path)
                 try:
-                    state = _open_state(f.read(0, 24))
-                    if length <= split_bytes:
-                        out.append((path, state["at"], length, 0, json.dumps(state), None))
-                        continue
-                    at, index = state["at"], 0
-                    while at < length:
-                        begin, first, before = at, index, json.dumps(state)
-                        window = split_bytes
-                        while True:
-                            rows: list = []
-                            buf = f.read(at, window)
-                            moved = _walk(buf, 0, len(buf), state, rows)
-                            if moved or at + window >= length:
-                                break
-                            window *= 2         # one record larger than the range
-                        if not moved:
-                            break               # cut-off tail
-                        at += moved
-                        index += len(rows)
-                        out.append((path, begin, at, first, before, None))
+                    state = _reader_state(f)
+                    base = state["at"] if k == 0 else begin
+                    buf = f.read(base, end - base + 16) if end > base else b""
                 finally:
                     f.close()
+                first = 0 if k == 0 else _first_record(buf, end - base, state)
+                if first is None:
+                    out.append((path, length, k, end, None, None, 0, json.dumps(state), False, None))
+                    continue
+                reach, count, changed = _hop(buf, first, end - base, state)
+                out.append((path, length, k, end, base + first, base + reach, count, json.dumps(state), changed, None))
             except Exception as e:  # a bad file becomes a row, not a failed task
-                out.append((path, 0, 0, 0, "", f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=columns)
+                out.append((path, length, k, end, None, None, 0, "", False, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in RANGE_SCHEMA.split(", ")])
+
+
+def _plan_file(path: str, length: int, split_bytes: int) -> list[tuple]:
+    """Ranges of one file by walking it from its start; a small file is one range."""
+    f = _File(path)
+    try:
+        state = _open_state(f.read(0, 24))
+        if length <= split_bytes:
+            return [(path, state["at"], length, 0, json.dumps(state), None)]
+        out, at, index = [], state["at"], 0
+        while at < length:
+            begin, first, before, window = at, index, json.dumps(state), split_bytes
+            while True:
+                rows: list = []
+                buf = f.read(at, window)
+                moved = _walk(buf, 0, len(buf), state, rows)
+                if moved or at + window >= length:
+                    break
+                window *= 2         # one record larger than the range
+            if not moved:
+                break               # cut-off tail
+            at += moved
+            index += len(rows)
+            out.append((path, begin, at, first, before, None))
+        return out
+    finally:
+        f.close()
+
+
+def _chunks(batches: Iterator[pd.DataFrame], split_bytes: int) -> Iterator[pd.DataFrame]:
+    """Chunks of small files, of verified ranges, and of files whose ranges do not fit together."""
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if r.error:
+                if r.k == 0:
+                    out.append((r.path, 0, 0, 0, "", r.error))
+            elif r.fits:
+                if not pd.isna(r.first):
+                    out.append((r.path, int(r.first), int(min(r.reach, r.length)), int(r.before), r.state, None))
+            elif r.k == 0:
+                try:
+                    out += _plan_file(r.path, int(r.length), split_bytes)
+                except Exception as e:
+                    out.append((r.path, 0, 0, 0, "", f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+
+
+def plan_chunks(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Byte ranges to decode: file, start, stop, index of the first frame, reader state."""
+    tasks = max(int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    files = listing.select("path", "length")
+    large = files.where(F.col("length") > split_bytes).withColumn(
+        "k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / split_bytes))))
+    probed = large.repartition(tasks, "path", "k").mapInPandas(lambda it: _probe_ranges(it, split_bytes), RANGE_SCHEMA)
+    # One row per range of a file; a file of many terabytes has some 100,000 of them.
+    along = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    probed = probed.withColumns({"arrived": F.max("reach").over(along), "before": F.coalesce(F.sum("count").over(along), F.lit(0))})
+    fits = (F.when(F.col("k") == 0, F.col("first").isNotNull())
+            .when(F.col("first").isNull(), F.col("arrived") >= F.col("end")).otherwise(F.col("first") == F.col("arrived")))
+    steady = fits & ~F.col("changed")
+    whole = Window.partitionBy("path")
+    checked = probed.withColumns({"fits": F.bool_and(F.coalesce(steady, F.lit(False))).over(whole), "error": F.max("error").over(whole)})
+    small = files.where(F.col("length") <= split_bytes).select(
+        "path", "length", F.lit(0).cast("long").alias("k"), *[F.lit(None).cast(t).alias(n) for n, t in (
+            ("first", "long"), ("reach", "long"), ("before", "long"), ("state", "string"))],
+        F.lit(False).alias("fits"), F.lit(None).cast("string").alias("error"))
+    rows = small.repartition(tasks, "path").unionByName(checked.select(*small.columns))
+    return rows.mapInPandas(lambda it: _chunks(it, split_bytes), CHUNK_SCHEMA)
 
 
 # ---------------------------------------------------------------------------
@@ -316,10 +448,8 @@ def decode_captures(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataF
 
     Indexes count frames in file order.  A cut-off last record is ignored.
     """
-    spark = listing.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    files = listing.select("path", "length").repartition(tasks, "path")
-    chunks = files.mapInPandas(lambda it: _plan_chunks(it, split_bytes), CHUNK_SCHEMA)
+    tasks = max(int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    chunks = plan_chunks(listing, split_bytes)
     return chunks.repartition(tasks, "file", "start").mapInPandas(_decode_chunks, DECODED_SCHEMA)
 
 
