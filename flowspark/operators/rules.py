@@ -366,11 +366,10 @@ def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[
         large = previous_value(large, keys, order, slice_on, rate, P + "prev_rate", hot=hot)
         large = large.join(F.broadcast(hot.rows(fanout)), keys, "left")
         if group:
-            text = F.concat_ws("\u0001", *[F.coalesce(col(k).cast("string"), F.lit("\u0002")) for k in group])
-            large = large.withColumn("__group", F.when(http, text))
-            sizes = (hot.rows(rows).where(http).withColumn("__group", text)
-                     .groupBy("__group").agg(F.count(F.lit(1)).alias(P + "http_group")))
-            large = keyed_join(large, sizes, ["__group"], hot_keys(large.select("__group"), ["__group"])).drop("__group")
+            text = F.when(http, F.concat_ws("\u0001", *[F.coalesce(col(k).cast("string"), F.lit("\u0002")) for k in group]))
+            base = hot.rows(rows).select(text.alias("__group"))
+            sizes = base.where(F.col("__group").isNotNull()).groupBy("__group").agg(F.count(F.lit(1)).alias(P + "http_group"))
+            large = keyed_join(large.withColumn("__group", text), sizes, ["__group"], hot_keys(base, ["__group"])).drop("__group")
         else:
             large = large.withColumn(P + "http_group", F.lit(None).cast("long"))
         out = out.unionByName(large)

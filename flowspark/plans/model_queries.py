@@ -62,6 +62,16 @@ def model_match(spark, sf_dir):
     return mo.match_model(registry, columns).select("model_id", "extra_columns", "n_features")
 
 
+@query("training_run_metrics", """SELECT s_suppkey AS model_id, CAST(2 AS INTEGER) AS n_features, metric, CASE metric WHEN 'f1' THEN s_acctbal ELSE s_acctbal / 2 END AS value
+FROM supplier, (VALUES ('f1'), ('roc_auc')) m(metric)""")
+def training_run_metrics(spark, sf_dir):
+    """Metrics of every training run as rows."""
+    registry = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("model_id"), F.col("s_name").alias("trained_at"), F.col("s_suppkey").alias("samples"), F.array(F.lit("a"), F.lit("b")).alias("features"),
+        F.create_map(F.lit("f1"), F.col("s_acctbal"), F.lit("roc_auc"), F.col("s_acctbal") / 2).alias("metrics"))
+    return mo.metrics_table(registry).select("model_id", "n_features", "metric", "value")
+
+
 @query("shared_features", """SELECT s_suppkey AS model_id, CASE WHEN s_nationkey % 2 = 0 THEN 'label' ELSE 'label,fine_score' END AS shared, CASE WHEN s_nationkey % 2 = 0 THEN 'x1,x2' ELSE 'x1' END AS missing FROM supplier""")
 def shared_features(spark, sf_dir):
     """Features of every model that the data has and lacks."""

@@ -177,6 +177,17 @@ def rules_top20(spark, sf_dir):
     return run(spark, sf_dir).orderBy(F.col("rules_score").desc(), "row_id").limit(20)
 
 
+_FIRST = [f"R0{i}" for i in range(1, 10)]
+
+
+@query("rules_basic", "WITH " + scored_sql(_BASE, _FIRST) + " SELECT row_id, rules_score FROM scored")
+def rules_basic(spark, sf_dir):
+    """Points of the threshold rules R01 to R09 alone."""
+    scored = score_rules(flows_from_lineitem(spark, sf_dir), _BASE, order=ORDER, keep_masks=True)
+    points = sum((F.when(F.col(r), RULES[r][0]).otherwise(0) for r in _FIRST), F.lit(0))
+    return scored.select("row_id", F.least(F.lit(100), points).cast("double").alias("rules_score"))
+
+
 def _one(name, rule, columns):
     """A query per data-dependent rule: the rows it marks."""
     sql = "WITH " + _inputs_sql(_BASE.params) + f" SELECT {', '.join(columns)} FROM x WHERE {_masks_sql(_BASE.params)[rule]}"

@@ -50,6 +50,13 @@ def test_train_registry_ensemble_predict(spark, rows, tmp_path):
     assert again["metrics"] == fits[0]["metrics"]
 
 
+def test_fit_on_training_rows_and_other_estimators(spark, rows):
+    from pyspark.ml.classification import RandomForestClassifier
+    fit = mo.train_classifier(rows, "LabelBinary", ["id"], estimator=RandomForestClassifier(labelCol="y", numTrees=10, seed=3))
+    r = mo.training_fit_metrics(rows, rows.columns[-1], fit["model"], fit["features"]).first()
+    assert r.f1 > 0.9 and r.auc > 0.95
+
+
 def test_members_reset_and_weights(spark):
     reg = spark.createDataFrame([(str(i), i, i == 3, {"train_f1": v}) for i, v in enumerate([0.1, 0.2, 0.0, 0.4, 0.5])],
                                 "model_id string, trained_at int, reset boolean, metrics map<string,double>")
