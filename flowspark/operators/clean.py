@@ -110,7 +110,7 @@ def align_schema(df: DataFrame) -> DataFrame:
     return df.select(*[value(c).alias(c) for c in FLOW_COLUMNS])
 
 
-def label_binary(label: Column, mode: str = "reference") -> Column:
+def label_binary(label: Column, mode: str = "lenient") -> Column:
     """0 where the label names BENIGN, else 1; in "strict" mode a blank label is null."""
     text = F.upper(F.coalesce(label.cast("string"), F.lit("")))
     flag = (~text.contains("BENIGN")).cast("int")
@@ -118,7 +118,7 @@ def label_binary(label: Column, mode: str = "reference") -> Column:
 
 
 def clean_training(df: DataFrame, features: list[str] | None = None, include_binary: bool = True,
-                   mode: str = "reference") -> DataFrame:
+                   mode: str = "lenient") -> DataFrame:
     """Numeric features (coerced, missing ones 0), `Label` and `LabelBinary`."""
     features = features or NUMERIC_FEATURES
     df = df.toDF(*[c.strip() for c in df.columns])

@@ -95,14 +95,21 @@ def _slice_number(value: Column, bounds: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def _input_bytes(df: DataFrame) -> int:
-    """Size of the files and relations a plan reads."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+def _surely_small(df: DataFrame, floor: int) -> bool:
+    """Whether the files and relations a plan reads are too small for `floor` rows.
+
+    A plan with a Python map or grouped map may make any number of rows of a
+    short list (of capture files, say), so it is never taken for small.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if any(node in plan.toString() for node in ("MapInPandas", "MapInArrow", "FlatMap", "LogicalRDD")):
+        return False
+    leaves = plan.collectLeaves()
     sizes = {}
     for leaf in (leaves.apply(i) for i in range(leaves.size())):
         size = int(leaf.stats().sizeInBytes())
         sizes[leaf.nodeName(), size] = size      # the same files read twice count once
-    return sum(sizes.values())
+    return sum(sizes.values()) < floor * MIN_ROW_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> HotKeys | None:
@@ -114,7 +121,7 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
     An input whose files are too small to hold hotMinRows rows is not counted.
     """
     floor = min_hot_rows(df)
-    if _input_bytes(df) < floor * MIN_ROW_BYTES:
+    if _surely_small(df, floor):
         return None
     cols = [F.col(f"`{k}`") for k in keys]
     sizes = (

@@ -83,3 +83,13 @@ def test_lookup_join_paths(spark, force_hot, small):
     got = {r.i: r.w for r in lookup_join(frame(spark), table, ["k"], small_rows=small).collect()}
     want = {"a": 1, "b": 2, "k3": 3}
     assert got == {i: want.get(k) for k, i, _ in rows()}
+
+
+def test_small_files_are_told_from_generated_rows(spark):
+    from flowspark.operators.ordered import _surely_small
+    small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey")
+    assert _surely_small(small, 1_000_000) and not _surely_small(small, 3)
+    made = small.mapInPandas(lambda it: it, small.schema)
+    assert not _surely_small(made, 1_000_000)
+    assert not _surely_small(made.groupBy("o_custkey").count(), 1_000_000)
+    assert not _surely_small(frame(spark), 1_000_000)      # rows of unknown number
