@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import read_table
+from flowspark.llm.chunk_dedup import repeated_passages
+from flowspark.llm.common import read_table, text_key
+from flowspark.llm.decontaminate import contamination
+from flowspark.llm.host_reputation import judge
+from flowspark.llm.line_dedup import drop_repeated_lines
+from flowspark.llm.mixing import copies
 from flowspark.llm.quality_rules import STOP_WORDS, quality_rules
 from flowspark.llm.registry import query
+from flowspark.llm.simhash import near_duplicates
 
 _STOP_LIST = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
 
@@ -38,3 +44,163 @@ FROM stats
 def op6_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_decontamination", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, w[i:i + least(10, len(w)) - 1] AS g
+  FROM items, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s(i) WHERE len(w) > 0),
+spans AS (
+  SELECT rid, i, n, w[i:i + n - 1] AS g
+  FROM docs, (SELECT DISTINCT n FROM windows) AS lengths, unnest(generate_series(1, len(w) - n + 1)) AS s(i)),
+hits AS (SELECT rid, i, spans.n, item_id FROM spans JOIN windows ON spans.n = windows.n AND spans.g = windows.g),
+words AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS pos FROM hits) GROUP BY rid),
+found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+""")
+def op1_decontamination(spark, sf_dir):
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op2_line_dedup", r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT rid, doc_id, i, ls[i] AS line,
+    translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM docs, unnest(generate_series(1, len(ls))) AS s(i)),
+keys AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE len(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) + (count(*) > count(doc_id))::INT > 1),
+marked AS (
+  SELECT rid, doc_id, i, line, keys.key IS NOT NULL AND first IS DISTINCT FROM doc_id AS gone
+  FROM lines LEFT JOIN keys ON lines.key = keys.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rid, doc_id
+""")
+def op2_line_dedup(spark, sf_dir):
+    kept = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
+                       F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_source_mix", r"""
+WITH docs AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+    ('0x' || substr(md5('mix-1' || chr(31) || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS spot,
+    text FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
+    2.0::DOUBLE * source_size AS cap FROM totals),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+plan AS (
+  SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE weight *
+    (SELECT arg_min(level, cap / weight) FROM levels WHERE level * weight < cap) END AS target,
+    ('0x' || substr(md5('mix-1' || chr(31) || coalesce(source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+  FROM levels),
+cells AS (SELECT ceil(count(*) / greatest(256, sqrt(count(*)))) AS n FROM docs),
+placed AS (
+  SELECT docs.*, row_number() OVER (PARTITION BY source ORDER BY size, floor(spot * n), spot, doc_id)::DOUBLE AS place
+  FROM docs, cells)
+SELECT doc_id, size, source_size, target, size * least(2, CASE WHEN source_size = 0 THEN 0 ELSE
+    floor(start + place * (target / source_size)) - floor(start + (place - 1) * (target / source_size)) END)::BIGINT AS taken
+FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
+""")
+def op3_source_mix(spark, sf_dir):
+    return copies(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    """Per document the words and characters of its passages that others have too, and of those that an earlier one has."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = repeated_passages(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key")
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["text_key"] == found["key"]), "left")
+    spans = F.coalesce(F.col("spans"), F.array())
+    later = F.filter(spans, lambda s: s["later"])
+
+    def total(items, size):
+        return F.aggregate(items, F.lit(0).cast("long"), lambda a, s: a + size(s))
+
+    return rows.select(
+        "doc_id", "n_chars", F.size(spans).cast("long").alias("n_spans"),
+        total(spans, lambda s: s["words"]).alias("n_shared_words"), total(spans, lambda s: s["end"] - s["start"]).alias("n_shared_chars"),
+        total(later, lambda s: s["words"]).alias("n_dropped_words"), total(later, lambda s: s["end"] - s["start"]).alias("n_dropped_chars"),
+        (F.size(spans) > 0).alias("has_repeat"), spans.alias("spans"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_HOST_SQL = r"""
+WITH urls AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT host, path, max_by(h || p, len(h || p)) AS rule, max_by(v, len(h || p)) AS by_rule
+  FROM (SELECT DISTINCT host, path FROM parts) d, rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+judged AS (SELECT parts.*, rule, by_rule, (by_rule = 'block')::INT AS bad FROM parts LEFT JOIN fits USING (host, path)),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM judged),
+leveled AS (
+  SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') AS address FROM named),
+tails AS (
+  SELECT *, CASE WHEN len(l) >= 3 AND len(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k
+  FROM leveled),
+hosts AS (
+  SELECT host, any_value(CASE WHEN address THEN name ELSE array_to_string(l[greatest(len(l) - k, 1):], '.') END) AS domain,
+    any_value(CASE WHEN address THEN name ELSE array_to_string(l[greatest(len(l) - k + 1, 1):], '.') END) AS suffix,
+    count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM tails GROUP BY host),
+base AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS up FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(up) AS up FROM hosts, base GROUP BY suffix),
+sk AS (SELECT 1 / greatest(0.01, least(0.99, CASE WHEN sum((n - 1) * n * up * (1 - up)) > 0
+  THEN sum((bad - n * up) ** 2 - n * up * (1 - up)) / sum((n - 1) * n * up * (1 - up)) ELSE 0.5 END)) - 1 AS m FROM s0),
+s1 AS (SELECT suffix, (bad + m * up) / (n + m) AS rate FROM s0, sk),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS up FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix),
+dk AS (SELECT 1 / greatest(0.01, least(0.99, CASE WHEN sum((n - 1) * n * up * (1 - up)) > 0
+  THEN sum((bad - n * up) ** 2 - n * up * (1 - up)) / sum((n - 1) * n * up * (1 - up)) ELSE 0.5 END)) - 1 AS m FROM d0),
+d1 AS (SELECT domain, (bad + m * up) / (n + m) AS rate FROM d0, dk),
+h0 AS (SELECT host, n, bad, rate AS up FROM hosts JOIN d1 USING (domain)),
+hk AS (SELECT 1 / greatest(0.01, least(0.99, CASE WHEN sum((n - 1) * n * up * (1 - up)) > 0
+  THEN sum((bad - n * up) ** 2 - n * up * (1 - up)) / sum((n - 1) * n * up * (1 - up)) ELSE 0.5 END)) - 1 AS m FROM h0),
+h1 AS (SELECT host, m * up + bad AS a, m * (1 - up) + n - bad AS b FROM h0, hk),
+h2 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM h1)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged JOIN h2 USING (host)
+"""
+
+
+@query("op10_host_reputation", _HOST_SQL)
+def op10_host_reputation(spark, sf_dir):
+    return judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
