@@ -74,7 +74,7 @@ def _spot(column: str, seed: int) -> Column:
 
 
 def _fit(rows: DataFrame, features: str):
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=25, regParam=1e-3,
+    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=15, regParam=1e-3,
                               rawPredictionCol="raw", probabilityCol="p", predictionCol="guess").fit(rows)
 
 
@@ -86,7 +86,7 @@ def _log_odds(rows: DataFrame, model, view: str) -> DataFrame:
 def _calibration(rows: DataFrame, view: str) -> tuple[float, float]:
     """(slope, intercept) that turn a margin into log-odds."""
     one = VectorAssembler(inputCols=[f"{view}_margin"], outputCol="margin").transform(rows)
-    model = LogisticRegression(featuresCol="margin", labelCol="label", maxIter=50, regParam=1e-4).fit(one)
+    model = LogisticRegression(featuresCol="margin", labelCol="label", maxIter=10, regParam=1e-4).fit(one)
     return float(model.coefficients[0]), float(model.intercept)
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowspark.llm.chunk_dedup import repeated_passages
 from flowspark.llm.common import read_table, text_key
+from flowspark.llm.cotraining import quality_scores
 from flowspark.llm.decontaminate import contamination
 from flowspark.llm.host_reputation import judge
 from flowspark.llm.line_dedup import drop_repeated_lines
 from flowspark.llm.mixing import copies
+from flowspark.llm.page_diff import main_text
 from flowspark.llm.quality_rules import STOP_WORDS, quality_rules
-from flowspark.llm.registry import query
+from flowspark.llm.recurrent_lm import score
+from flowspark.llm.registry import ORACLES, query
 from flowspark.llm.simhash import near_duplicates
 
 _STOP_LIST = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
@@ -204,3 +208,28 @@ FROM judged JOIN h2 USING (host)
 @query("op10_host_reputation", _HOST_SQL)
 def op10_host_reputation(spark, sf_dir):
     return judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    found = main_text(read_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, sf_dir):
+    return score(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
