@@ -117,4 +117,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     """The rows that pass, with their own columns only."""
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     judged = quality_rules(docs.select(whole_row, F.col(text).alias("__body")), rules, keep=("__row",), text="__body")
-    return judged.where("kept").select("__row.*")
+    # A filter on the verdict would be pushed below the statistics and repeat them nested; one on unrolled rows stays.
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    return passed.where(F.col("__row").isNotNull()).select("__row.*")
