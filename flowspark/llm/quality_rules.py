@@ -48,7 +48,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 1.5, 25.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.3),
     Rule("bangs_per_word", "n_bangs", "n_words", None, 0.3),
-    Rule("stop_words_per_text", "n_stop_words", "one", 1.0, None),
+    Rule("words_without_stop_word", "n_plain_words", "one", None, 40.0),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 
@@ -94,8 +94,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[
     again = F.col("__again")
     covered = F.aggregate(F.transform(again, lambda p, j: F.coalesce(F.least(F.get(again, j + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))),
                           F.lit(0), lambda a, x: a + x)
-    rows = rows.select(
-        *keep,
+    stats = F.struct(
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         _count_of(body, r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -105,7 +104,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[
         _count_of(body, r"[^!]+").alias("n_bangs"),
         F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]))).cast("long").alias("n_stop_words"),
     )
-    stats = {c: F.col(c) for c in rows.columns} | {"one": F.lit(1)}
+    # Unrolling one row changes nothing but that a filter on a statistic or the verdict stays above: pushed
+    # below, it would nest the steps into each other and compute each of them anew for every word.
+    rows = rows.select(*keep, F.explode_outer(F.array(stats)).alias("__stats")).select(*keep, "__stats.*")
+    stats = {c: F.col(c) for c in rows.columns} | {
+        "one": F.lit(1), "n_plain_words": F.when(F.col("n_stop_words") == 0, F.col("n_words")).otherwise(F.lit(0))}
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "broken_rules": compile_rules(rules, stats),
@@ -117,6 +120,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     """The rows that pass, with their own columns only."""
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     judged = quality_rules(docs.select(whole_row, F.col(text).alias("__body")), rules, keep=("__row",), text="__body")
-    # A filter on the verdict would be pushed below the statistics and repeat them nested; one on unrolled rows stays.
-    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
-    return passed.where(F.col("__row").isNotNull()).select("__row.*")
+    return judged.where("kept").select("__row.*")

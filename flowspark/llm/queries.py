@@ -42,7 +42,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
     AND word_chars / greatest(n_words, 1) BETWEEN 1.5 AND 25 AND n_symbols / greatest(n_words, 1) <= 0.3
-    AND n_bangs / greatest(n_words, 1) <= 0.3 AND n_stop_words >= 1 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+    AND n_bangs / greatest(n_words, 1) <= 0.3 AND NOT (n_stop_words = 0 AND n_words > 40) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM stats
 """)
 def op6_quality_rules(spark, sf_dir):
