@@ -43,7 +43,8 @@ KNOWN = 50_000            # words whose counts every task holds
 EMBED = 16
 HIDDEN = 16
 SPAN = 24                 # steps of truncated backpropagation
-LANES = 128               # texts side by side in training
+LANES = 128               # texts side by side in training, fewer where a task has little
+LEAST_STEPS = 16          # updates of a task with little text
 SCORE_LANES = 512
 SCORE_SPAN = 32
 SAMPLE = 30               # one in so many training documents per round
@@ -245,7 +246,7 @@ def train(shape: Shape, vector: np.ndarray, texts: list[np.ndarray], rate: float
     fresh = np.zeros(len(y), bool)
     fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
     x = np.concatenate([[shape.n - 1], y[:-1]])          # a text begins after an end
-    lanes = max(1, min(LANES, len(y) // SPAN))
+    lanes = max(1, min(LANES, len(y) // (SPAN * LEAST_STEPS)))
     steps = len(y) // lanes
     x, y, fresh = (a[:lanes * steps].reshape(lanes, steps).T for a in (x, y, fresh))
     mean, square = np.zeros_like(vector), np.zeros_like(vector)
