@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.exprs import col, finite_or_null
 from flowspark.operators.clean import ANOMALOUS, NORMAL, binarize_truth, pick_column
 from flowspark.operators.metrics import confusion_counts, curve_metrics, pr_points, roc_points, with_rates
-from flowspark.operators.ordered import exact_quantiles, lookup_join, number_rows
+from flowspark.operators.ordered import exact_quantiles, lookup_join, number_rows, slice_number
 
 # Column candidates, best first.
 SCORE_CANDIDATES = ["fusion_score", "malicious_score", "anomaly_score", "score", "iforest_score"]
@@ -82,17 +82,18 @@ def histogram(df: DataFrame, score: str, bins: int = 50) -> DataFrame:
         F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def top_rows(df: DataFrame, score: str, order: list[str], descending: bool = True, percent: float = 1.0) -> DataFrame:
-    """The most suspicious rows with their `rank`: percent of all rows, 20 to 2000 of them.  Ties keep row order."""
+def top_rows(df: DataFrame, score: str, order: list[str], descending: bool = True, percent: float = 1.0,
+             most: int = MAX_TOP_ROWS) -> DataFrame:
+    """The most suspicious rows with their `rank`: percent of all rows, 20 to `most` of them.  Ties keep row order."""
     by_score = F.col(score).desc() if descending else F.col(score).asc()
     ranking = [by_score, *[F.col(c).asc() for c in order]]
     size = df.agg(F.count(F.lit(1)).alias("__n"))
     share = max(percent / 100.0, MIN_TOP_FRACTION)
     n = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(share)))
     n = F.when(F.col("__n") >= MIN_TOP_ROWS, F.greatest(F.lit(MIN_TOP_ROWS), n)).otherwise(n)
-    first = df.orderBy(*ranking).limit(MAX_TOP_ROWS)       # a top-k report: at most 2000 rows from here on
+    first = df.orderBy(*ranking).limit(most)       # a top-k report: at most `most` rows from here on
     ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*ranking)))
-    return ranked.crossJoin(F.broadcast(size)).where(F.col("rank") <= F.least(n, F.lit(MAX_TOP_ROWS))).drop("__n")
+    return ranked.crossJoin(F.broadcast(size)).where(F.col("rank") <= F.least(n, F.lit(most))).drop("__n")
 
 
 def first_rows_by_id(df: DataFrame, ids: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
@@ -128,7 +129,7 @@ def anomaly_files(top: DataFrame, file: str, limit: int = 10) -> DataFrame:
 def anomaly_samples(df: DataFrame, source: str, flag: Column, order: list[str], slice_on: str | None = None,
                     limit: int = 3) -> DataFrame:
     """The first `limit` flagged rows of every source."""
-    slicing = F.col(slice_on or order[0]).cast("double")
+    slicing = slice_number(df, slice_on or order[0])
     return number_rows(df.where(flag), [source], [F.col(c) for c in order], slicing, "sample", limit=limit)
 
 
@@ -201,7 +202,7 @@ def analyze_results(df: DataFrame, order: list[str], metadata: dict | None = Non
     if names["file"]:
         out["by_file"] = file_summary(rows, names["file"], "__score", label)
     top = top_rows(rows, "__score", order, names["descending"], float(metadata.get("refine_top_percent") or 1.0))
-    features = [c for c in metadata.get("feature_columns") or [] if c in df.columns][:256]
+    features = [c for c in metadata.get("feature_columns") or [] if c in df.columns]
     if names["id"] and features:
         side = first_rows_by_id(df, top, names["id"], features, order)
         top = top.drop(*features).join(F.broadcast(side), names["id"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.exprs import col, flow_key
-from flowspark.operators.ordered import lookup_join, number_rows
+from flowspark.operators.ordered import lookup_join, number_rows, slice_number
 from flowspark.schema import ANNOTATION_SCHEMA
 
 
@@ -58,7 +58,6 @@ def match_rows(selected: DataFrame, reference: DataFrame, selected_id: str, refe
 
     Key sets are tried in turn on the rows still open; within a key, the n-th
     selected row takes the n-th reference row, so no reference row is used twice.
-    Both ids should be numbers, or a hot key cannot be cut into slices.
     """
     usable = [k for k in key_sets or MATCH_KEYS if all(c in selected.columns and c in reference.columns for c in k)]
     if not usable:
@@ -73,8 +72,8 @@ def match_rows(selected: DataFrame, reference: DataFrame, selected_id: str, refe
         if done is not None:
             left = left.join(done.select(selected_id), selected_id, "left_anti")
             right = right.join(done.select(reference_id), reference_id, "left_anti")
-        left = number_rows(left, keys, [F.col(selected_id)], F.col(selected_id).try_cast("double"), "__no")
-        right = number_rows(right, keys, [F.col(reference_id)], F.col(reference_id).try_cast("double"), "__no")
+        left = number_rows(left, keys, [F.col(selected_id)], slice_number(left, selected_id), "__no")
+        right = number_rows(right, keys, [F.col(reference_id)], slice_number(right, reference_id), "__no")
         found = left.join(right, keys + ["__no"]).select(selected_id, reference_id, F.lit("+".join(keys)).alias("matched_by"))
         done = found if done is None else done.unionByName(found)
     return done

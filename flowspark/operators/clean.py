@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.exprs import col, finite_or_null, lower_text, number
-from flowspark.operators.ordered import lookup_join, number_rows
+from flowspark.operators.ordered import lookup_join, number_rows, slice_number
 from flowspark.schema import FLOW_COLUMNS, HEADER_ALIASES, LABEL, LABEL_BINARY, NUMERIC_FEATURES, STRING_COLUMNS
 
 ANOMALOUS, NORMAL = "异常", "正常"     # fixed values
@@ -233,7 +233,9 @@ def unsw_rule_inputs(df: DataFrame) -> DataFrame:
 # Labels
 # ---------------------------------------------------------------------------
 def _any_numeric(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.coalesce(F.max(col(name).try_cast("double").isNotNull()), F.lit(False)).alias("__numeric"))
+    """Whether any value is a number; the text nan is none."""
+    value = col(name).try_cast("double")
+    return df.agg(F.coalesce(F.max(value.isNotNull() & ~F.isnan(value)), F.lit(False)).alias("__numeric"))
 
 
 def binarize_truth(df: DataFrame, name: str, out: str = "truth", benign: list[str] | None = None,
@@ -280,7 +282,8 @@ def label_index(df: DataFrame, label: str, order: list[str], out: str = "label_i
     rows = df.where(F.trim(F.coalesce(col(label).cast("string"), F.lit(""))) != "")
     firsts = rows.groupBy(F.trim(col(label).cast("string")).alias("__label")).agg(
         F.min(F.struct(*[col(c) for c in order])).alias("__first"))
-    numbered = number_rows(firsts, [], [F.col("__first")], F.col(f"__first.{order[0]}").cast("double"), "__no")
+    firsts = firsts.withColumn("__lead", F.col(f"__first.`{order[0]}`"))
+    numbered = number_rows(firsts, [], [F.col("__first")], slice_number(firsts, "__lead"), "__no")
     all_int = firsts.agg(F.min(F.col("__label").rlike(r"^[+-]?\d+$")).alias("__ints"))
     mapping = numbered.crossJoin(F.broadcast(all_int)).select(
         "__label", F.when(F.col("__ints"), F.col("__label").try_cast("long")).otherwise(F.col("__no") - 1).alias(out))

@@ -180,10 +180,12 @@ def assemble_flows(packets: DataFrame, activity_timeout: float = ACTIVITY_TIMEOU
     s = s.withColumns({"f_all": F.coalesce("f_bytes", F.lit(0)), "b_all": F.coalesce("b_bytes", F.lit(0))})
     z = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
 
+    whole = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("int")
+
     values = {
         "Flow ID": F.concat_ws("-", "f_ip", "f_port", "b_ip", "b_port", "protocol"),
-        "Source IP": F.col("f_ip"), "Source Port": z("f_port"), "Destination IP": F.col("b_ip"),
-        "Destination Port": z("b_port"), "Protocol": z("protocol"), "Timestamp": iso_utc(F.col("start_us")),
+        "Source IP": F.col("f_ip"), "Source Port": whole("f_port"), "Destination IP": F.col("b_ip"),
+        "Destination Port": whole("b_port"), "Protocol": whole("protocol"), "Timestamp": iso_utc(F.col("start_us")),
         "Flow Duration": F.col("dur"), "Total Fwd Packets": z("f_pkts"), "Total Backward Packets": z("b_pkts"),
         "Total Length of Fwd Packets": z("f_all"), "Total Length of Bwd Packets": z("b_all"),
         "Flow Bytes/s": ratio(b, sec), "Flow Packets/s": ratio(n, sec),

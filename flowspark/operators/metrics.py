@@ -13,7 +13,8 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from flowspark.functions.exprs import clip
-from flowspark.operators.ordered import _attach_totals, lookup_join, number_rows, previous_value, running_sums
+from flowspark.operators.ordered import (
+    _attach_totals, descending, lookup_join, number_rows, previous_value, running_sums, slice_number)
 
 GRID_STEPS = 1000     # fixed value: thresholds 0, 0.001, ..., 1
 
@@ -100,14 +101,23 @@ def first_usable_truth(df: DataFrame, pred: str = "prediction_status", candidate
 # Curves
 # ---------------------------------------------------------------------------
 def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Per distinct score: pos, neg, and tp/fp when everything at or above it is called positive."""
+    """Per distinct score: pos, neg, and tp/fp when everything at or above it is called positive.
+
+    Rows without a score (null or NaN) are left out; `scored` gives them one.
+    """
     by = list(by or [])
-    counted = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    value = F.col(score).cast("double")
+    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     return running_sums(counted, by, [F.col("score").desc()], -F.col("score"),
                         {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
+def scored(score: Column) -> Column:
+    """The score with 0 where there is none (null or NaN)."""
+    return F.coalesce(F.nanvl(score.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def curve_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """positives, negatives, roc_auc (ties count half) and average_precision; null if a class is missing."""
     by = list(by or [])
@@ -180,8 +190,8 @@ def top_hit_rate(df: DataFrame, score: str, label: str, order: list[str], slice_
         rows = lookup_join(rows, cut, by, table_keys=df.select(*by).distinct())
     rows = rows.where(F.col("__s") == F.col("__cut"))
     direction = (lambda c: F.col(c).asc()) if ties == "first" else (lambda c: F.col(c).desc())
-    slicing = F.col(slice_on or order[0]).cast("double")
-    numbered = number_rows(rows, by, [direction(c) for c in order], slicing if ties == "first" else -slicing, "__no")
+    slicing = slice_number(rows, slice_on or order[0])
+    numbered = number_rows(rows, by, [direction(c) for c in order], slicing if ties == "first" else descending(slicing), "__no")
     partly = numbered.where(F.col("__no") <= F.col("__take")).groupBy(*by).agg(F.sum("__y").alias("__partly"))
     out = totals
     for part in (above, partly):
@@ -233,7 +243,7 @@ def variant_rows(df: DataFrame, label: str, variants: dict[str, tuple[Column, Co
                  slice_on: str | None = None) -> DataFrame:
     """One narrow row per input row and (score, decision) pair."""
     keep = list(dict.fromkeys(order + ([slice_on] if slice_on else [])))
-    parts = [F.struct(F.lit(name).alias("variant"), s.cast("double").alias("__score"), d.cast("int").alias("__pred"))
+    parts = [F.struct(F.lit(name).alias("variant"), scored(s).alias("__score"), d.cast("int").alias("__pred"))
              for name, (s, d) in variants.items()]
     return df.select(F.col(label).cast("int").alias("__y"), *keep, F.inline(F.array(*parts)))
 
@@ -301,7 +311,8 @@ def calibration_table(base: DataFrame, aggressive: DataFrame, label: str, order:
 
 
 def evaluate_by_file(df: DataFrame, file: str, score: str, label: str, order: list[str], slice_on: str | None = None) -> DataFrame:
-    """Rows, positives, share, ROC AUC, average precision and top-1 % hit rate of every file."""
+    """Rows, positives, share, ROC AUC, average precision and top-1 % hit rate of every file; no score counts as 0."""
+    df = df.withColumn(score, scored(F.col(score)))
     base = df.groupBy(file).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"),
                                 F.avg(label).alias("share"))
     curve = curve_metrics(df, score, label, [file]).select(file, "roc_auc", "average_precision")

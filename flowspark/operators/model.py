@@ -214,7 +214,7 @@ def predict_flows(df: DataFrame, ensemble: Ensemble, order: list[str], *, metada
     scored = interpret_prediction(scored, "prediction", LABEL_MAP).withColumnRenamed("normalized_label", "prediction_label")
     flag = F.coalesce(F.col("status") == ANOMALOUS, F.col("malicious_score") >= 0.5)
     scored = scored.withColumns({"model_flag": flag.cast("int"), "model_status": F.when(flag, ANOMALOUS).otherwise(NORMAL)}).drop("status")
-    ruled = score_rules(scored, settings, order=order, slice_on=slice_on)
+    ruled = score_rules(scored, settings, order=order, slice_on=slice_on, normalize_protocol=True, integral_ports=True)
     return final_decision(fuse_votes(ruled, settings), settings)
 
 

@@ -9,8 +9,13 @@ it needs from earlier slices arrives as one small row per (key, slice).
 Slices only decide where rows are processed; any cut gives the same result.
 Two session settings steer them:
 
-    spark.flowspark.hotMinRows   rows from which a key counts as hot (1,000,000)
-    spark.flowspark.hotSlices    most slices per hot key (1024)
+    spark.flowspark.hotMinRows   rows from which a key counts as hot, and about the rows of a slice (1,000,000)
+    spark.flowspark.hotSlices    most slices per hot key (16384)
+
+Null and NaN of an ordering column have the place that the sort gives them: null
+before and NaN behind all numbers when ascending, the reverse when descending
+(`descending`). Text and time columns are turned into numbers that ascend with
+them by `slice_number`.
 """
 
 from __future__ import annotations
@@ -22,12 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HOT_KEYS = 2048       # a key outside the 2048 largest holds under 1/2048 of the rows
 DEFAULT_MIN_ROWS = 1_000_000
-MAX_SLICES = 1024         # per key
-SLICE_BUDGET = 200_000    # over all hot keys, shared out by their size
+MAX_SLICES = 1 << 14      # per key; beyond 1.6e10 rows of one key slices grow, and spill
 SMALL_TABLE_ROWS = 100_000
-MIN_ROW_BYTES = 16        # stored size of a row, at the least
+SMALL_TABLE_BYTES = 32 << 20
+INFINITY = float("inf")
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -53,9 +57,43 @@ def _renamed(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return table
 
 
+def ascending(value: Column) -> Column:
+    """`value` as a number whose order is that of an ascending sort, null and NaN included."""
+    number = value.cast("double")
+    return F.when(number.isNull(), F.lit(-INFINITY)).when(F.isnan(number), F.lit(INFINITY)).otherwise(number)
+
+
+def descending(value: Column) -> Column:
+    """A number that ascends as a descending sort by `value` goes on, null and NaN included."""
+    return -ascending(value)
+
+
+def slice_number(df: DataFrame, name: str) -> Column:
+    """A number that ascends with the column `name` of any sortable type; ties are allowed.
+
+    Text is ranked by the six bytes behind the start that all values share, which
+    one aggregation finds.
+    """
+    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if not isinstance(kind, T.StringType):
+        return value.cast("double")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    shared = 0
+    for a, b in zip((low or "").encode(), (high or "").encode(), strict=False):
+        if a != b:
+            break
+        shared += 1
+    six = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, 6)), 12, "0")
+    return F.conv(six, 16, 10).cast("double")
+
+
 @dataclass
 class HotKeys:
-    """At most MAX_HOT_KEYS keys, each with the slice bounds of its ordering column."""
+    """Keys with at least hotMinRows rows (so no more than rows / hotMinRows), with the slice bounds of the ordering column."""
 
     keys: list[str]
     table: DataFrame
@@ -82,7 +120,7 @@ class HotKeys:
     def sliced(self, df: DataFrame, order: Column) -> DataFrame:
         """Rows of hot keys with the number of their slice in `__slice`."""
         joined = self.with_columns(df, ["__bounds"])
-        return joined.withColumn("__slice", _slice_number(order.cast("double"), F.col("__bounds"))).drop("__bounds")
+        return joined.withColumn("__slice", _slice_number(ascending(order), F.col("__bounds"))).drop("__bounds")
 
 
 def _slice_number(value: Column, bounds: Column) -> Column:
@@ -95,39 +133,18 @@ def _slice_number(value: Column, bounds: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def _surely_small(df: DataFrame, floor: int) -> bool:
-    """Whether the files and relations a plan reads are too small for `floor` rows.
-
-    A plan with a Python map or grouped map may make any number of rows of a
-    short list (of capture files, say), so it is never taken for small.
-    """
-    plan = df._jdf.queryExecution().analyzed()
-    if any(node in plan.toString() for node in ("MapInPandas", "MapInArrow", "FlatMap", "LogicalRDD")):
-        return False
-    leaves = plan.collectLeaves()
-    sizes = {}
-    for leaf in (leaves.apply(i) for i in range(leaves.size())):
-        size = int(leaf.stats().sizeInBytes())
-        sizes[leaf.nodeName(), size] = size      # the same files read twice count once
-    return sum(sizes.values()) < floor * MIN_ROW_BYTES
-
-
 def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> HotKeys | None:
-    """The largest keys of `df` with at least hotMinRows rows, or None.
+    """The keys of `df` with at least hotMinRows rows, or None.
 
-    Runs one aggregation (partial sums before the shuffle) and returns at most
-    MAX_HOT_KEYS rows to the driver.  With `order`, also the slice bounds of each
-    key, at most SLICE_BUDGET numbers and a few per key.
-    An input whose files are too small to hold hotMinRows rows is not counted.
+    Runs one aggregation (partial sums before the shuffle); a row per hot key comes
+    to the driver, with `order` also the slice bounds, about one per
+    hotMinRows / 2 rows of the key.
     """
     floor = min_hot_rows(df)
-    if _surely_small(df, floor):
-        return None
     cols = [F.col(f"`{k}`") for k in keys]
     sizes = (
         df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") >= floor)
-        .orderBy(F.col("__n").desc(), *cols).limit(MAX_HOT_KEYS)
     )
     found = sizes.collect()
     if not found:
@@ -136,12 +153,13 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     if order is None:
         return HotKeys(keys, spark.createDataFrame([tuple(r)[:-1] for r in found], key_schema))
-    # Bounds are quantiles of the ordering column; a small hot key takes every step-th of them.
-    n, total = slice_count(df), sum(r["__n"] for r in found)
-    step = lambda size: max(1, n // max(2, min(n, -(-SLICE_BUDGET * size // total))))
+    # Bounds are quantiles of the ordering column; a smaller hot key takes every step-th of them.
+    wanted = lambda size: max(2, -(-2 * size // floor))
+    n = min(slice_count(df), wanted(max(r["__n"] for r in found)))
+    step = lambda size: max(1, n // min(n, wanted(size)))
     stepped = T.StructType(list(key_schema) + [T.StructField("__step", T.IntegerType())])
     steps = spark.createDataFrame([(*tuple(r)[:-1], step(r["__n"])) for r in found], stepped)
-    rows = HotKeys(keys, steps).with_columns(df.select(*cols, order.cast("double").alias("__order")), ["__step"])
+    rows = HotKeys(keys, steps).with_columns(df.select(*cols, ascending(order).alias("__order")), ["__step"])
     cuts = F.percentile_approx("__order", [i / n for i in range(1, n)], 10 * n)
     bounds = rows.groupBy(*cols, "__step").agg(cuts.alias("__all")).select(
         *cols, F.filter("__all", lambda x, i: i % F.col("__step") == F.col("__step") - 1).alias("__bounds")).collect()
@@ -150,7 +168,7 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach one row per (hot key, slice): about SLICE_BUDGET rows at most."""
+    """Attach one row per (hot key, slice): about two per hotMinRows rows of the input."""
     on = keys + ["__slice"]
     side = F.broadcast(_renamed(carry, on, "__c_"))
     return rows.join(side, _same_keys(rows, on, "__c_"), "left").drop(*["__c_" + k for k in on])
@@ -240,14 +258,20 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], small_rows: in
     The table is broadcast only after its size was checked; where `table` is
     costly, `table_keys` is a cheaper frame with at least as many rows to count.
     A larger table is joined by a shuffle; rows of hot keys then stay out of the
-    shuffle and meet their (at most MAX_HOT_KEYS) table rows by broadcast.
+    shuffle and meet their table rows by broadcast (a row per hot key).
     """
-    counted = table if table_keys is None else table_keys
-    if counted.limit(small_rows + 1).count() <= small_rows:
+    if _is_small(table if table_keys is None else table_keys, small_rows):
         return df.join(F.broadcast(table), keys, "left")
     return keyed_join(df, table, keys, hot_keys(df, keys))
 
 
+def _is_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS, size: int = SMALL_TABLE_BYTES) -> bool:
+    """Whether a table is below both limits, in rows and in bytes as text."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))
+    n, stored = table.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return n <= rows and stored <= size
+
+
 def keyed_join(df: DataFrame, table: DataFrame, keys: list[str], hot: HotKeys | None) -> DataFrame:
     """Left shuffle join on `keys`; rows of the given hot keys join by broadcast."""
     if hot is None:
@@ -291,8 +315,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
 
 def _attach_totals(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Totals per group onto rows; a single 1-row total is broadcast."""
+    """Totals per group (one row each) onto rows: by broadcast if there are few groups, else by shuffle with hot groups apart."""
     if not by:
         return df.crossJoin(F.broadcast(totals))
     side = _renamed(totals, by, "__g_")
-    return df.join(side, _same_keys(df, by, "__g_"), "inner").drop(*["__g_" + k for k in by])
+
+    def joined(rows, table):
+        return rows.join(table, _same_keys(rows, by, "__g_"), "inner").drop(*["__g_" + k for k in by])
+    if _is_small(df.select(*by).distinct()):
+        return joined(df, F.broadcast(side))
+    hot = hot_keys(df, by)
+    if hot is None:
+        return joined(df, side)
+    return joined(hot.others(df), side).unionByName(joined(hot.rows(df), F.broadcast(_renamed(hot.rows(totals), by, "__g_"))))

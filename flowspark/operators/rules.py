@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.exprs import col, float_lit, number
 from flowspark.operators.ordered import (
-    _attach_totals, exact_quantiles, hot_keys, keyed_join, previous_value)
+    _attach_totals, exact_quantiles, hot_keys, keyed_join, previous_value, slice_number)
 
 # ---------------------------------------------------------------------------
 # Thresholds.
@@ -469,7 +469,7 @@ def score_rules(df: DataFrame, settings: RuleSettings | None = None, *, order: l
     limits = _dataset_thresholds(slim, settings.params, scope, one_rate)
 
     order_cols = [col(n) for n in order]
-    slicing = col(slice_on or order[0]).cast("double")
+    slicing = slice_number(df, slice_on or order[0])
     if found["src_ip"]:
         http = _port_text(found["dst_port"], integral_ports).isin(HTTP_PORTS)
         rows = _source_context(df, scope, found, order_cols, slicing, http)

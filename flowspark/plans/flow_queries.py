@@ -53,8 +53,8 @@ def _stats(name, expr):
 
 
 @query("flow_features", FLOW_SQL + """
-SELECT flow_id, arg_min(f_ip, packet_index) AS src_ip, CAST(arg_min(f_port, packet_index) AS DOUBLE) AS src_port,
-       arg_min(b_ip, packet_index) AS dst_ip, CAST(arg_min(b_port, packet_index) AS DOUBLE) AS dst_port,
+SELECT flow_id, arg_min(f_ip, packet_index) AS src_ip, CAST(arg_min(f_port, packet_index) AS INTEGER) AS src_port,
+       arg_min(b_ip, packet_index) AS dst_ip, CAST(arg_min(b_port, packet_index) AS INTEGER) AS dst_port,
        strftime(make_timestamp(arg_min(ts_us, packet_index)), '%Y-%m-%dT%H:%M:%S')
          || CASE WHEN arg_min(ts_us, packet_index) % 1000000 = 0 THEN ''
                  ELSE '.' || lpad(CAST(arg_min(ts_us, packet_index) % 1000000 AS VARCHAR), 6, '0') END || 'Z' AS started,

@@ -354,8 +354,7 @@ def _parse_frames(data: np.ndarray, off: np.ndarray, cap: np.ndarray) -> dict[st
     u16 = lambda at: (u8(at) << 8) | u8(at + 1)
 
     l3, kind = off + 14, u16(off + 12)
-    for _ in range(3):
-        tagged = np.isin(kind, VLAN_TYPES)
+    while (tagged := np.isin(kind, VLAN_TYPES) & (l3 + 4 <= end)).any():
         kind = np.where(tagged, u16(l3 + 2), kind)
         l3 = np.where(tagged, l3 + 4, l3)
 
@@ -367,7 +366,7 @@ def _parse_frames(data: np.ndarray, off: np.ndarray, cap: np.ndarray) -> dict[st
     proto, l4 = first_proto.copy(), l3 + ihl
     limit = np.where(v4 & (stated == 0), end, np.minimum(end, l3 + stated))
     fragment = v4 & ((u16(l3 + 6) & 0x1FFF) != 0)
-    for _ in range(8):
+    while True:
         more = v6 & np.isin(proto, IPV6_EXTENSIONS) & (l4 + 8 <= limit) & ~fragment
         if not more.any():
             break

@@ -33,25 +33,39 @@ def list_csv(spark: SparkSession, source: str | list[str], recursive: bool = Fal
     return reduce(DataFrame.unionByName, [list_files(spark, s, ("",), False) for s in source])
 
 
+def _fitting(f: _File, encodings: list[str]) -> tuple[str, str]:
+    """The first encoding that decodes all of the file, and the text of its first block."""
+    decoders = {name: codecs.getincrementaldecoder(name)() for name in encodings}
+    heads: dict[str, str] = {}
+    at = 0
+    while decoders:
+        block = f.read(at, PROBE_BYTES)
+        for name, decoder in list(decoders.items()):
+            try:
+                text = decoder.decode(block, len(block) < PROBE_BYTES)
+                heads.setdefault(name, text)
+            except UnicodeDecodeError:
+                del decoders[name]
+        at += len(block)
+        if len(block) < PROBE_BYTES:
+            break
+    if not decoders:
+        raise ValueError("no encoding fits")
+    name = next(iter(decoders))
+    return name, heads[name]
+
+
 def _probe(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Iterator[pd.DataFrame]:
-    """Encoding and header of every file from its first megabyte."""
+    """Encoding and header of every file; an encoding fits if it decodes the whole file, read block by block."""
     for batch in batches:
         out = []
         for path in batch["path"]:
             try:
                 f = _File(path)
                 try:
-                    head = f.read(0, PROBE_BYTES)
+                    name, text = _fitting(f, encodings)
                 finally:
                     f.close()
-                for name in encodings:
-                    try:
-                        text = codecs.getincrementaldecoder(name)().decode(head, len(head) < PROBE_BYTES)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    raise ValueError("no encoding fits")
                 line = text.lstrip("\ufeff").splitlines()[0] if text.strip() else ""
                 out.append((path, name, next(csv.reader([line]), []) if line else [], None))
             except Exception as e:

@@ -31,7 +31,8 @@ def detect_flows(flows: DataFrame, ensemble=None, profile: str = "baseline") ->
     settings = rule_settings(profile, trigger_cap=CAPTURE_TRIGGER_CAP)
     scored = ensemble.score(flows) if ensemble is not None else flows.withColumn("malicious_score", F.lit(0.0))
     scored = scored.withColumn("__at", F.unix_micros(F.to_timestamp("Timestamp")))
-    ruled = score_rules(scored, settings, order=["__at", "Flow ID"], scope=["file"])
+    ruled = score_rules(scored, settings, order=["__at", "Flow ID"], scope=["file"],
+                        normalize_protocol=True, integral_ports=True)
     out = final_decision(fuse_votes(ruled, settings), settings)
     if ensemble is None:
         out = out.withColumn("prediction_status", F.col("rules_flag")).withColumn(

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.operators.metrics import curve_metrics
 from flowspark.operators.ordered import (
-    exact_quantiles, hot_keys, lookup_join, number_rows, previous_value, running_sums)
+    descending, exact_quantiles, hot_keys, lookup_join, number_rows, previous_value, running_sums, slice_number)
 
 
 def rows(seed=7, n=400):
@@ -85,11 +86,40 @@ def test_lookup_join_paths(spark, force_hot, small):
     assert got == {i: want.get(k) for k, i, _ in rows()}
 
 
-def test_small_files_are_told_from_generated_rows(spark):
-    from flowspark.operators.ordered import _surely_small
-    small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey")
-    assert _surely_small(small, 1_000_000) and not _surely_small(small, 3)
-    made = small.mapInPandas(lambda it: it, small.schema)
-    assert not _surely_small(made, 1_000_000)
-    assert not _surely_small(made.groupBy("o_custkey").count(), 1_000_000)
-    assert not _surely_small(frame(spark), 1_000_000)      # rows of unknown number
+def _gaps(spark):
+    data = [(f"2020-01-{1 + i // 30:02d}T{i % 24:02d}:00:00Z", i, None if i % 10 == 0 else float("nan") if i % 17 == 0 else float(i * 37 % 101),
+             int(i * 7 % 3 == 0)) for i in range(300)]
+    return spark.createDataFrame(data, "at string, i long, score double, label int").repartition(4)
+
+
+def _by_text(df):
+    order = [F.col("at"), F.col("i")]
+    return {r.i: (r.p, r.n) for r in number_rows(
+        previous_value(df, [], order, slice_number(df, "at"), F.col("i"), "p"), [], order, slice_number(df, "at"), "n").collect()}
+
+
+def _by_score(df):
+    up = {r.i: r.n for r in number_rows(df, [], [F.col("score").asc(), F.col("i")], F.col("score"), "n").collect()}
+    down = {r.i: r.n for r in number_rows(df, [], [F.col("score").desc(), F.col("i")], descending(F.col("score")), "n").collect()}
+    return up, down
+
+
+def test_text_order_and_gaps_plain_and_sliced(spark):
+    df = _gaps(spark)
+    plain = _by_text(df), _by_score(df), curve_metrics(df, "score", "label").collect()
+    spark.conf.set("spark.flowspark.hotMinRows", "3")
+    spark.conf.set("spark.flowspark.hotSlices", "16")
+    try:
+        assert (_by_text(df), _by_score(df), curve_metrics(df, "score", "label").collect()) == plain
+    finally:
+        spark.conf.unset("spark.flowspark.hotMinRows")
+        spark.conf.unset("spark.flowspark.hotSlices")
+    # rows without a score take no part in a curve
+    known = df.where("score is not null and not isnan(score)")
+    assert curve_metrics(known, "score", "label").collect() == plain[2]
+
+
+def test_wide_lookup_is_not_broadcast(spark):
+    table = spark.range(50).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1_000_000).alias("wide"))
+    joined = lookup_join(spark.range(100).select((F.col("id") % 50).alias("k")), table, ["k"])
+    assert joined.count() == 100
