@@ -179,28 +179,39 @@ def vote_classes(members: list[tuple[Column, list, float | None]], classes: list
 
 
 class Ensemble:
-    """Members of a registry applied together; scoring is a chain of column transformations."""
+    """Members of a registry applied together; scoring is a chain of column transformations.
 
-    def __init__(self, members: list[tuple[PipelineModel, float | None]], features: list[str]):
-        self.members, self.features = members, features
+    A member is (model, weight) or (model, weight, its own features); `features`
+    stands for members without their own.  `label_map` names the classes and so
+    tells which one is positive.
+    """
+
+    def __init__(self, members: list[tuple], features: list[str], label_map: dict[int, str] | None = None):
+        self.members = [(m[0], m[1], list(m[2]) if len(m) > 2 else list(features)) for m in members]
+        self.features = list(dict.fromkeys(c for _, _, own in self.members for c in own)) or list(features)
+        self.label_map = label_map or LABEL_MAP
 
     @classmethod
     def load(cls, registry: DataFrame, max_members: int = MAX_MEMBERS) -> "Ensemble":
         rows = ensemble_members(registry, max_members).orderBy("age").collect()       # at most max_members rows
-        return cls([(PipelineModel.load(r["model_path"]), r["weight"]) for r in rows], list(rows[0]["features"]))
+        return cls([(PipelineModel.load(r["model_path"]), r["weight"], r["features"]) for r in rows], list(rows[0]["features"]))
 
     def score(self, df: DataFrame, out: str = "malicious_score") -> DataFrame:
         """Add the positive score; every input column is kept."""
-        data = df.select("*", F.struct(*[number(df, c).alias(f"f{i}") for i, c in enumerate(self.features)]).alias("__f"))
+        # The caller's columns travel as one struct, so that their names cannot meet the models' own.
+        data = df.select(F.struct(*[col(c) for c in df.columns]).alias("__row"), F.struct(
+            *[number(df, c).alias(f"v{i}") for i, c in enumerate(self.features)]).alias("__v"))
         names = []
-        data = data.select(*[col(c) for c in df.columns], *[F.col(f"__f.f{i}").alias(f"f{i}") for i in range(len(self.features))])
-        for i, (model, _) in enumerate(self.members):
+        for i, (model, _, own) in enumerate(self.members):
             name = f"__m{i}"
-            data = model.transform(data).withColumn(name, positive_score(F.col("probability"), 1)).drop(
-                "features", "rawPrediction", "probability", "prediction")
+            inputs = {f"f{j}": F.col(f"__v.v{self.features.index(c)}") for j, c in enumerate(own)}
+            classes = list(range(getattr(model.stages[-1], "numClasses", 2)))
+            data = model.transform(data.withColumns(inputs)).withColumn(
+                name, positive_score(F.col("probability"), positive_index(classes, self.label_map))).drop(
+                *inputs, "features", "rawPrediction", "probability", "prediction")
             names.append(name)
-        score = vote([(F.col(n), w) for n, (_, w) in zip(names, self.members)])
-        return data.select(*[col(c) for c in df.columns], score.alias(out))
+        score = vote([(F.col(n), w) for n, (_, w, _) in zip(names, self.members)])
+        return data.select("__row.*", score.alias(out))
 
 
 def predict_flows(df: DataFrame, ensemble: Ensemble, order: list[str], *, metadata: dict | None = None,
@@ -263,7 +274,7 @@ def baseline_models(train: DataFrame, test: DataFrame, features: list[str], labe
     stages = {
         "random_forest": [assembler, RandomForestClassifier(labelCol="y", numTrees=trees, weightCol="weight", seed=seed)],
         "logistic_regression": [assembler, StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                                LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=200, weightCol="weight")],
+                                LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=2000, weightCol="weight")],
     }
     rows = None
     for name, steps in stages.items():

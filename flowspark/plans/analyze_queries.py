@@ -227,12 +227,12 @@ def seeded_split_counts(spark, sf_dir):
 
 
 @query("union_of_files", W + """ SELECT src, count(*) AS rows, count(extra) AS with_extra FROM (SELECT 'a' AS src, row_id, NULL AS extra FROM results
-UNION ALL SELECT 'b', row_id, l_quantity FROM results WHERE label = 1) GROUP BY src""")
+UNION ALL SELECT 'b', row_id, CASE WHEN label = 1 THEN l_quantity END FROM results) GROUP BY src""")
 def union_of_files(spark, sf_dir):
     """Tables with different columns under one schema."""
     rows = results_from_lineitem(spark, sf_dir)
     both = sa.union_files([rows.select(F.lit("a").alias("src"), "row_id"),
-                           rows.where("label = 1").select(F.lit("b").alias("src"), "row_id", F.col("l_quantity").alias("extra"))])
+                           rows.select(F.lit("b").alias("src"), "row_id", F.when(F.col("label") == 1, F.col("l_quantity")).alias("extra"))])
     return both.groupBy("src").agg(F.count(F.lit(1)).alias("rows"), F.count("extra").alias("with_extra"))
 
 
@@ -288,12 +288,12 @@ def flow_keys(spark, sf_dir):
     return flows.select("row_id", ann.flow_key(["src_ip", "dst_ip", "dst_port", "protocol"]).alias("flow_key"))
 
 
-@query("label_override_by_file", W + """, o(pcap_file, override) AS (SELECT DISTINCT concat('capture_', CAST(s_suppkey % 40 AS VARCHAR), '.pcap'), s_suppkey % 40 % 2 FROM supplier WHERE s_suppkey % 40 < 10)
+@query("label_override_by_file", W + """, o(pcap_file, override) AS (SELECT DISTINCT concat('capture_', CAST(s_suppkey % 40 AS VARCHAR), '.pcap'), CASE WHEN s_suppkey % 40 < 10 THEN s_suppkey % 40 % 2 END FROM supplier)
 SELECT row_id, CASE WHEN override IS NOT NULL THEN CAST(override AS VARCHAR) ELSE label_text END AS label FROM results LEFT JOIN o USING (pcap_file)""")
 def label_override_by_file(spark, sf_dir):
     """A label given for a whole file wins over the row's own label."""
-    given = table(spark, sf_dir, "supplier").where("s_suppkey % 40 < 10").selectExpr(
-        "concat('capture_', CAST(s_suppkey % 40 AS STRING), '.pcap') AS pcap_file", "CAST(s_suppkey % 40 % 2 AS STRING) AS override").distinct()
+    given = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('capture_', CAST(s_suppkey % 40 AS STRING), '.pcap') AS pcap_file", "CASE WHEN s_suppkey % 40 < 10 THEN CAST(s_suppkey % 40 % 2 AS STRING) END AS override").distinct()
     rows = an.attach_by_file(results_from_lineitem(spark, sf_dir), given, "pcap_file")
     return rows.select("row_id", F.coalesce("override", "label_text").alias("label"))
 

@@ -73,14 +73,16 @@ def clean_training(spark, sf_dir):
     return out.select(ex.col("Flow Duration").alias("duration"), ex.col("Idle Min").alias("missing"), F.col("Label").alias("label"), F.col("LabelBinary").alias("label_binary"))
 
 
-@query("binarize_truth", W + f""", w AS (SELECT row_id, CASE WHEN label_text = 'BENIGN' THEN '  Normal ' WHEN l_quantity > 48 THEN NULL ELSE label_text END AS words, CAST(label * 3 AS VARCHAR) AS num FROM results)
-SELECT row_id, CAST(coalesce(trim(words), '') <> '' AND lower(trim(coalesce(words, ''))) NOT IN {_words(cl.TRUTH_BENIGN)} AS INTEGER) AS by_words, CAST(TRY_CAST(num AS DOUBLE) > 0 AS INTEGER) AS by_number FROM w""")
+@query("binarize_truth", W + f""", w AS (SELECT row_id, CASE WHEN label_text = 'BENIGN' THEN '  Normal ' WHEN l_quantity > 48 THEN NULL ELSE label_text END AS words, CASE WHEN CAST(l_quantity AS INTEGER) % 5 = 0 THEN 'nan' ELSE label_text END AS odd, CAST(label * 3 AS VARCHAR) AS num FROM results)
+SELECT row_id, CAST(coalesce(trim(words), '') <> '' AND lower(trim(coalesce(words, ''))) NOT IN {_words(cl.TRUTH_BENIGN)} AS INTEGER) AS by_words, CAST(TRY_CAST(num AS DOUBLE) > 0 AS INTEGER) AS by_number,
+  CAST(trim(odd) <> '' AND lower(trim(odd)) NOT IN {_words(cl.TRUTH_BENIGN)} AS INTEGER) AS with_nan FROM w""")
 def binarize_truth(spark, sf_dir):
     """Truth from words, or from numbers if the column holds any."""
     rows = results_from_lineitem(spark, sf_dir).select(
         "row_id", F.when(F.col("label_text") == "BENIGN", "  Normal ").when(F.col("l_quantity") > 48, F.lit(None)).otherwise(F.col("label_text")).alias("words"),
-        (F.col("label") * 3).cast("string").alias("num"))
-    return cl.binarize_truth(cl.binarize_truth(rows, "words", "by_words"), "num", "by_number").select("row_id", "by_words", "by_number")
+        F.when(F.col("l_quantity").cast("int") % 5 == 0, "nan").otherwise(F.col("label_text")).alias("odd"), (F.col("label") * 3).cast("string").alias("num"))
+    rows = cl.binarize_truth(cl.binarize_truth(rows, "words", "by_words"), "num", "by_number")
+    return cl.binarize_truth(rows, "odd", "with_nan").select("row_id", "by_words", "by_number", "with_nan")
 
 
 @query("binarize_pred", W + f""", w AS (SELECT row_id, CASE WHEN label_text = 'DDoS' THEN 'ddos-attack' WHEN label_text = 'BENIGN' THEN 'Benign flow' WHEN l_quantity > 40 THEN '' ELSE 'maybe' END AS t FROM results)

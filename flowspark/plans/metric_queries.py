@@ -179,6 +179,22 @@ def average_precision(spark, sf_dir):
     return a.crossJoin(me.curve_metrics(rows, "malicious_score", "label").select(F.round("average_precision", 9).alias("tied_ap")))
 
 
+_GAPPED = """, gapped AS (SELECT label, CASE WHEN CAST(l_quantity AS INTEGER) % 10 = 0 THEN NULL WHEN CAST(l_quantity AS INTEGER) % 7 = 0 THEN 'nan'::DOUBLE ELSE fine_score END AS score FROM results),
+known AS (SELECT * FROM gapped WHERE score IS NOT NULL AND NOT isnan(score)), zeroed AS (SELECT label, CASE WHEN score IS NULL OR isnan(score) THEN 0 ELSE score END AS score FROM gapped)"""
+
+
+@query("roc_auc_with_gaps", W + _GAPPED + ", a AS (" + auc_sql("known", "score", "label") + "), b AS (" + auc_sql("zeroed", "score", "label") + """)
+SELECT a.positives, a.negatives, round(a.roc_auc, 9) AS known_auc, round(a.average_precision, 9) AS known_ap, round(b.roc_auc, 9) AS zeroed_auc FROM a, b""")
+def roc_auc_with_gaps(spark, sf_dir):
+    """Scores that are missing or NaN: left out of the curves, or counted as 0."""
+    rows = results_from_lineitem(spark, sf_dir).withColumn("score", F.when(F.col("l_quantity").cast("int") % 10 == 0, F.lit(None)).when(
+        F.col("l_quantity").cast("int") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("fine_score")))
+    a = me.curve_metrics(rows, "score", "label").select(
+        "positives", "negatives", F.round("roc_auc", 9).alias("known_auc"), F.round("average_precision", 9).alias("known_ap"))
+    zeroed = rows.withColumn("score", me.scored(F.col("score")))
+    return a.crossJoin(me.curve_metrics(zeroed, "score", "label").select(F.round("roc_auc", 9).alias("zeroed_auc")))
+
+
 _STEPS = """, s AS (SELECT rules_score AS score, sum(label) AS pos, sum(1 - label) AS neg FROM results GROUP BY rules_score),
 t AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n,
   lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn, row_number() OVER (ORDER BY score DESC) AS i, count(*) OVER () AS k FROM s)"""
@@ -322,13 +338,14 @@ def column_minmax(spark, sf_dir):
     return me.minmax_scaled(results_from_lineitem(spark, sf_dir), "l_extendedprice").select("row_id", F.round("scaled", 9).alias("scaled"))
 
 
-@query("label_mismatch", W + """, b AS (SELECT row_id, label FROM results), c AS (SELECT row_id, CASE WHEN l_quantity > 45 THEN 1 - label ELSE label END AS label FROM results WHERE l_quantity > 2)
+@query("label_mismatch", W + """, b AS (SELECT row_id, label FROM results), c AS (SELECT CASE WHEN l_quantity > 2 THEN row_id ELSE 'new ' || row_id END AS row_id, CASE WHEN l_quantity > 45 THEN 1 - label ELSE label END AS label FROM results)
 SELECT count(*) FILTER (WHERE c.row_id IS NULL) AS left_only, count(*) FILTER (WHERE b.row_id IS NULL) AS right_only,
   count(*) FILTER (WHERE b.label <> c.label) AS label_differs FROM b FULL JOIN c ON b.row_id = c.row_id""")
 def label_mismatch(spark, sf_dir):
     """Labels of two runs compared row by row."""
     b = results_from_lineitem(spark, sf_dir).select("row_id", "label", "l_quantity")
-    other = b.where(F.col("l_quantity") > 2).withColumn("label", F.when(F.col("l_quantity") > 45, 1 - F.col("label")).otherwise(F.col("label")))
+    other = b.withColumn("label", F.when(F.col("l_quantity") > 45, 1 - F.col("label")).otherwise(F.col("label"))).withColumn(
+        "row_id", F.when(F.col("l_quantity") > 2, F.col("row_id")).otherwise(F.concat(F.lit("new "), "row_id")))
     return me.label_mismatches(b, other, "row_id", "label")
 
 

@@ -50,13 +50,13 @@ _ALL = ["flow_id", "malicious_score", "fine_score", "rules_score", "label", "l_q
 
 
 @query("model_match", """WITH f(i, name) AS (VALUES (0, 'flow_id'), (1, 'malicious_score'), (2, 'fine_score'), (3, 'rules_score'), (4, 'label'), (5, 'l_quantity'), (6, 'missing_one')),
-r AS (SELECT p_partkey, p_size, count(*) AS n_features, bool_or(name = 'missing_one') AS absent FROM part JOIN f ON (p_partkey // (2 ** i)::BIGINT) % 2 = 1 WHERE p_partkey % 128 > 0 GROUP BY ALL)
+r AS (SELECT p_partkey, p_size, count(*) AS n_features, bool_or(name = 'missing_one') AS absent FROM part JOIN f ON (p_partkey // (2 ** i)::BIGINT) % 2 = 1 GROUP BY ALL)
 SELECT p_partkey AS model_id, CAST(14 - n_features AS INTEGER) AS extra_columns, CAST(n_features AS INTEGER) AS n_features FROM r WHERE NOT absent ORDER BY 14 - n_features, p_size, n_features DESC, p_partkey LIMIT 1""")
 def model_match(spark, sf_dir):
     """Best model for the columns at hand."""
     bits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(_ALL)]),
                     lambda f: F.pmod(F.floor(F.col("p_partkey") / F.pow(F.lit(2), f["i"])), F.lit(2)) == 1)
-    registry = table(spark, sf_dir, "part").where(F.col("p_partkey") % 128 > 0).select(
+    registry = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("model_id"), F.col("p_size").alias("priority"), F.transform(bits, lambda f: f["n"]).alias("features"))
     columns = results_from_lineitem(spark, sf_dir).columns
     return mo.match_model(registry, columns).select("model_id", "extra_columns", "n_features")
