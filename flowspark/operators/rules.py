@@ -271,7 +271,7 @@ def _rate(df: DataFrame) -> Column:
     return number(df, "flow_byts_per_s", "float") if "flow_byts_per_s" in df.columns else _total(df, INPUTS["bps"])
 
 
-def canonical_inputs(df: DataFrame, normalize_protocol: bool = False, integral_ports: bool = False) -> DataFrame:
+def canonical_inputs(df: DataFrame, normalize_protocol: bool = False, integral_ports: bool = True) -> DataFrame:
     """Add the rule inputs (prefix `__rule_`) in one projection; columns not at hand read as 0."""
     found = identity_columns(df)
     new = {P + k: _total(df, names) for k, names in INPUTS.items()}
@@ -450,7 +450,7 @@ def rule_masks(cols: set[str], settings: RuleSettings) -> dict[str, Column]:
 
 def score_rules(df: DataFrame, settings: RuleSettings | None = None, *, order: list[str], slice_on: str | None = None,
                 scope: list[str] | None = None, keep_masks: bool = False, normalize_protocol: bool = False,
-                integral_ports: bool = False) -> DataFrame:
+                integral_ports: bool = True) -> DataFrame:
     """Add `rules_score` (0-100) and `rules_reasons`.
 
     `order` gives the row order within a source (rule R22); `slice_on` is its
