@@ -357,6 +357,26 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"n": pa.array([total], pa.int64()), "p": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
+def _most_frequent(counts: DataFrame, known: int) -> list[tuple[str, int]]:
+    """The most frequent words, `known` at most, down to a bound on the count that keeps all equal counts together.
+
+    The bound comes from a histogram of logarithms (about a thousand rows); a sort
+    with a limit would send `known` rows of every task to the driver.
+    """
+    bucket = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["bucket"], r["count"]) for r in counts.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
+    total, bound = 0, None
+    for at, n in sizes:
+        total += n
+        if total > known:
+            break
+        bound = at
+    if bound is None:
+        return []
+    found = counts.where(bucket >= bound).select("word", "n").collect()
+    return sorted(((r["word"], r["n"]) for r in found), key=lambda x: (-x[1], x[0].encode()))
+
+
 def fit(training: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, sample: int = SAMPLE) -> np.ndarray:
     """Parameters after `rounds` of training on the tasks' own documents and averaging."""
     vector = lexicon.shape.start()
@@ -416,8 +436,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: in
     counts = save(training.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
                         F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("ends")).first()
-    top = counts.where("word != ''").orderBy(F.col("n").desc(), "word").limit(known).collect()   # `known` rows at most
-    lexicon = Lexicon([r["word"].encode() for r in top], [r["n"] for r in top], totals["ends"], totals["n"], totals["v"])
+    top = _most_frequent(counts.where("word != ''"), known)
+    lexicon = Lexicon([w.encode() for w, _ in top], [n for _, n in top], totals["ends"], totals["n"], totals["v"])
     vector = fit(training, lexicon, rounds, sample)
 
     schema = rows.drop("text").schema
