@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +32,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> str | None:
+    """Send this package to the executors of a cluster that does not have it installed; the archive's path, or None in local mode."""
+    if spark.sparkContext.master.startswith("local["):
+        return None
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="flowspark-package-"), "flowspark"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def local_session(app: str = "flowspark", cpus: str = "*", **conf: str) -> SparkSession:
     defaults = {
         "spark.sql.shuffle.partitions": "8",

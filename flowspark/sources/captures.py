@@ -228,18 +228,28 @@ def _first_record(buf: bytes, stop: int, state: dict, chain: int = 12) -> int |
 
 
 def _reader_state(f: _File) -> dict:
-    """State after the leading section and interface blocks."""
-    head = f.read(0, 1 << 16)
-    state = _open_state(head)
-    at = state["at"]
-    while state["kind"] == "pcapng" and at + 12 <= len(head):
-        order = "<" if at == 0 and head[8:12] == b"\x4d\x3c\x2b\x1a" else ">" if at == 0 else state["order"]
-        kind, size = struct.unpack_from(order + "II", head, at)
-        if kind not in (1, 0x0A0D0D0A) or size < 12:
-            break
-        _walk(head, at, at + size, state, [])
-        at += size
-    return {**state, "at": at}
+    """State after the leading section and interface blocks, however long they are."""
+    wanted = 1 << 16
+    while True:
+        head = f.read(0, wanted)
+        state = _open_state(head)
+        at, cut = state["at"], False
+        while state["kind"] == "pcapng":
+            cut = at + 12 > len(head)
+            if cut:
+                break
+            order = "<" if at == 0 and head[8:12] == b"\x4d\x3c\x2b\x1a" else ">" if at == 0 else state["order"]
+            kind, size = struct.unpack_from(order + "II", head, at)
+            if kind not in (1, 0x0A0D0D0A) or size < 12:
+                break
+            cut = at + size > len(head)
+            if cut:
+                break
+            _walk(head, at, at + size, state, [])
+            at += size
+        if not cut or len(head) < wanted:
+            return {**state, "at": at}
+        wanted *= 4
 
 
 def _probe_ranges(batches: Iterator[pd.DataFrame], split_bytes: int) -> Iterator[pd.DataFrame]:

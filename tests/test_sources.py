@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from flowspark.schema import FLOW_COLUMNS, FLOW_FILE_HEADER, NUMERIC_FEATURES
 from flowspark.sources import captures as cap
 from flowspark.sources import sinks, tables
 
+import helpers
 from helpers import eth, ip4, ip6, pcap, pcapng, tcp, udp
 
 T0 = 1_700_000_000_000_000
@@ -208,3 +210,27 @@ def test_dataset_manifest_events_and_chunks(spark, tmp_path):
     packets = cap.read_packets(spark, str(tmp_path / "a.pcap")).withColumn("file", F.lit("a"))
     sinks.write_packet_chunks(packet_chunks(packets, 3), str(tmp_path / "parts"))
     assert {r.part for r in spark.read.parquet(str(tmp_path / "parts")).select("part").collect()} == {1, 2, 3}
+
+
+def test_reader_state_beyond_the_first_block(tmp_path):
+    """Interface blocks of more than 64 KiB: every interface's clock is known before the first packet."""
+    from flowspark.sources.captures import _File, _reader_state
+    body = b"".join(helpers._block("<", 1, struct.pack("<HHI", 1, 0, 65535) + struct.pack("<HHBBBB", 9, 1, 9, 0, 0, 0) + struct.pack("<HH", 1, 200) + b"x" * 200
+                                   + struct.pack("<HH", 0, 0)) for _ in range(700))
+    head = helpers._block("<", 0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    tail = helpers._block("<", 6, struct.pack("<IIIII", 699, 0, 5, 0, 0))
+    path = tmp_path / "long.pcapng"
+    path.write_bytes(head + body + tail)
+    f = _File(str(path))
+    state = _reader_state(f)
+    f.close()
+    assert len(state["ticks"]) == 700 and state["at"] == len(head + body)
+
+
+def test_encoding_is_tested_over_the_whole_file(spark, tmp_path):
+    rows = [f"{i},plain text {i}" for i in range(120_000)] + ["9,\u6076\u610f"]
+    path = tmp_path / "late.csv"
+    path.write_bytes(("id,label\n" + "\n".join(rows) + "\n").encode("gb18030"))
+    assert path.stat().st_size > 1 << 20
+    found = tables.probe_csv(tables.list_csv(spark, str(path))).collect()
+    assert [r.encoding for r in found] == ["gb18030"]
