@@ -6,9 +6,10 @@ bytes before it only. Insertions move boundaries nearby and nothing else. Chunks
 are whole words (about one boundary in `ONE_IN` word ends), with a forced cut where
 `MAX_CHUNK` bytes have none, so texts without white space have chunks too.
 
-Chunks meet by a 128-bit digest. The documents of a digest are reduced to the smallest
-id and a flag for "several" before the shuffle ends; chunks with a shared digest go
-back to their document, where neighbours form runs. A run of at least `MIN_WORDS`
+Chunks meet by a 64-bit digest (at 1e12 chunks one in 2e7 meets a stranger; a run needs
+several neighbours). The documents of a digest are reduced to the smallest and the
+largest id before the shuffle; chunks with a shared digest go back to their document,
+where neighbours form runs. A run of at least `MIN_WORDS`
 words is a repeated passage: the document with a run's smallest id keeps it, later
 ones can drop it. Digests that many documents share are a skewed join side, which
 Spark cuts (it needs no rows of a digest together).
@@ -40,6 +41,7 @@ MAX_CHUNK = 512           # bytes
 MIN_WORDS = 12            # of a run
 REACH = 32                # bytes the gear hash sees
 GEAR_SEED = 20
+CHARS_BITS = 10           # of a chunk's size: enough for MAX_CHUNK code points
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -86,7 +88,7 @@ def boundaries(data: np.ndarray, table: np.ndarray, one_in: int = ONE_IN, max_ch
 def _chunks(one_in: int, max_chunk: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table()
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             rows, parts = [], []
             for row, text in enumerate(batch.column("text")):
@@ -96,30 +98,28 @@ def _chunks(one_in: int, max_chunk: int):
                 data = np.frombuffer(body, np.uint8)
                 ends = boundaries(data, table, one_in, max_chunk)
                 at = [0, *ends.tolist()]
-                digests = b"".join([digest(body[a:b]) for a, b in pairwise(at)])
+                digests = np.fromiter((digest(body[a:b]) for a, b in pairwise(at)), np.uint64, len(ends))
                 begins = ~_SPACE[data]
                 begins[1:] &= _SPACE[data[:-1]]
                 # Ends in code points: the bytes that continue a character do not count.
                 points = np.cumsum((data & 0xC0) != 0x80)[ends - 1]
                 words = np.cumsum(begins)[ends - 1]
                 rows.append(np.full(len(ends), row))
-                parts.append((np.frombuffer(digests, ">i8").reshape(-1, 2), np.arange(len(ends)),
-                              np.diff(words, prepend=0), points, np.diff(points, prepend=0)))
+                parts.append((digests, points, (np.diff(words, prepend=0) << CHARS_BITS) | np.diff(points, prepend=0)))
             if not rows:
                 continue
-            hashes, no, words, points, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
+            digests, points, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
             out = batch.drop_columns(["text"]).take(pa.array(np.concatenate(rows)))
-            columns = {"h1": hashes[:, 0].astype(np.int64), "h2": hashes[:, 1].astype(np.int64), "no": no.astype(np.int32),
-                       "words": words.astype(np.int32), "end": points.astype(np.int32), "chars": chars.astype(np.int32)}
+            columns = {"digest": digests.view(np.int64), "end": points.astype(np.int32), "size": sizes.astype(np.int32)}
             yield pa.RecordBatch.from_arrays([*out.columns, *map(pa.array, columns.values())], names=[*out.schema.names, *columns])
     return cut
 
 
 def chunks(docs: DataFrame, one_in: int = ONE_IN, max_chunk: int = MAX_CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, h1, h2, no, words, end, chars): every chunk; `end` and `chars` in code points."""
+    """(doc_id, text_key, digest, end, size): every chunk; `end` in code points, `size` holds words and code points."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
     schema = rows.drop("text").schema
-    for name, kind in (("h1", "long"), ("h2", "long"), ("no", "integer"), ("words", "integer"), ("end", "integer"), ("chars", "integer")):
+    for name, kind in (("digest", "long"), ("end", "integer"), ("size", "integer")):
         schema = schema.add(name, kind)
     return rows.mapInArrow(_chunks(one_in, max_chunk), schema)
 
@@ -131,13 +131,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int =
     spans: array of (start, end, words, later) in code points; `later` if a document with a smaller id has every chunk of it.
     """
     every = save(chunks(docs, one_in, max_chunk, doc_id, text), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
-    shared = every.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(
-        ~F.col("low").eqNullSafe(F.col("high"))).select("h1", "h2", F.col("low.d").alias("first"))
-    met = every.join(shared, ["h1", "h2"]).select(
-        "doc_id", "text_key", "no", "words", "end", "chars", (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("later"))
+    shared = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("open"))
+    shared = shared.where((F.col("first") != F.col("last")) | (F.col("open") & F.col("first").isNotNull())).select("digest", "first")
+    met = every.join(shared, "digest").select(
+        "doc_id", "text_key", "end", (F.col("size").bitwiseAND(F.lit((1 << CHARS_BITS) - 1))).alias("chars"),
+        F.shiftright("size", CHARS_BITS).alias("words"), (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("later"))
     # Repeated rows of a document bring the same chunk again: one of them counts.
-    of_doc = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("no", "words", "end", "chars", "later"))).alias("found"))
+    of_doc = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("end", "chars", "words", "later"))).alias("found"))
     return of_doc.select("doc_id", "text_key", F.pandas_udf(_runs, _SPANS)(F.lit(min_words), "found").alias("spans")).where(F.size("spans") > 0)
 
 
@@ -150,12 +150,12 @@ def _runs(least: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for item in items:
             last = out[-1] if out else None
-            if last and last["no"] + 1 == item["no"]:
-                last["no"] = item["no"]
+            if last and last["end"] == item["end"] - item["chars"]:
+                last["end"] = item["end"]
                 last["words"] += item["words"]
                 last["parts"].append(item)
             else:
-                out.append({"no": item["no"], "words": item["words"], "parts": [item]})
+                out.append({"end": item["end"], "words": item["words"], "parts": [item]})
         result = []
         for run in out:
             if run["words"] < min_words:
