@@ -1,8 +1,8 @@
 """Substring dedup: content-defined chunks from a gear rolling hash, deduplicated by digest.
 
-A gear hash shifts left by one and adds a table value per byte, so 32 bytes back
-everything has left it: whether a chunk ends at a white space depends on the 32
-bytes before it only. Insertions move boundaries nearby and nothing else. Chunks
+A gear hash shifts left by one and adds a table value per byte; of 16 bits, so that
+16 bytes back everything has left it: whether a chunk ends at a white space depends
+on the 16 bytes before it only. Insertions move boundaries nearby and nothing else. Chunks
 are whole words (about one boundary in `ONE_IN` word ends), with a forced cut where
 `MAX_CHUNK` bytes have none, so texts without white space have chunks too.
 
@@ -10,8 +10,8 @@ Chunks meet by a 64-bit digest (at 1e12 chunks one in 2e7 meets a stranger; a ru
 several neighbours). The documents of a digest are reduced to the smallest and the
 largest id before the shuffle; chunks with a shared digest go back to their document,
 where neighbours form runs. A run of at least `MIN_WORDS`
-words is a repeated passage: the document with a run's smallest id keeps it, later
-ones can drop it. Digests that many documents share are a skewed join side, which
+words is a repeated passage: the first document of its chunks keeps it, later ones
+can drop as much of it as is a passage in itself. Digests that many documents share are a skewed join side, which
 Spark cuts (it needs no rows of a digest together).
 
 A passage of over 50 words that several documents share holds, but for its ends, the
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.common import save, text_key
 
-ONE_IN = 6                # word ends per boundary, on average
+ONE_IN = 5                # word ends per boundary, on average
 MAX_CHUNK = 512           # bytes
-MIN_WORDS = 12            # of a run
-REACH = 32                # bytes the gear hash sees
+MIN_WORDS = 10            # of a run
+LONG_CHUNK = 4            # words of the longest chunk of a run: shorter ones are shared by chance
+REACH = 16                # bytes the gear hash sees
 GEAR_SEED = 20
 CHARS_BITS = 10           # of a chunk's size: enough for MAX_CHUNK code points
 
@@ -48,19 +49,19 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def gear_table(seed: int = GEAR_SEED) -> np.ndarray:
-    """256 random 32-bit values."""
-    return np.random.default_rng(seed).integers(0, 1 << 32, 256, dtype=np.uint32)
+    """256 random 16-bit values."""
+    return np.random.default_rng(seed).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
 def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The rolling hash after every byte: h = (h << 1) + table[byte], modulo 2**32.
+    """The rolling hash after every byte: h = (h << 1) + table[byte], modulo 2**16.
 
     Summed by doubling: the hash over 2w bytes is that over w plus the one w bytes before, shifted by w.
     """
     h = table[data]
     width = 1
     while width < REACH:
-        h[width:] += h[:-width] << np.uint32(width)      # numpy buffers overlapping operands
+        h[width:] += h[:-width] << np.uint16(width)      # numpy buffers overlapping operands
         width *= 2
     return h
 
@@ -74,7 +75,7 @@ def boundaries(data: np.ndarray, table: np.ndarray, one_in: int = ONE_IN, max_ch
     word_end = np.zeros(n, bool)
     word_end[:-1] = space[:-1] & ~space[1:]              # the last white space before a word
     ends = np.flatnonzero(word_end)
-    ends = ends[gear_hashes(data, table)[ends] < np.uint32((1 << 32) // one_in)] + 1
+    ends = ends[gear_hashes(data, table)[ends] < np.uint16((1 << 16) // one_in)] + 1
     ends = np.concatenate([ends, [n]])
     starts = np.concatenate([[0], ends[:-1]])
     pieces = -(-(ends - starts) // max_chunk)
@@ -145,28 +146,33 @@ _SPANS = "array<struct<start:int,end:int,words:int,later:boolean>>"
 
 
 def _runs(least: pd.Series, found: pd.Series) -> pd.Series:
-    """Neighbouring shared chunks, with one answer to `later`, as spans of at least so many words."""
-    def spans(items):
+    """Runs of neighbouring shared chunks, long enough to be no chance, cut where `later` changes for long enough."""
+    def enough(parts):
+        return sum(p["words"] for p in parts) >= min_words and max(p["words"] for p in parts) >= LONG_CHUNK
+
+    def grouped(items, same):
         out = []
         for item in items:
-            last = out[-1] if out else None
-            if last and last["end"] == item["end"] - item["chars"]:
-                last["end"] = item["end"]
-                last["words"] += item["words"]
-                last["parts"].append(item)
+            if out and same(out[-1][-1], item):
+                out[-1].append(item)
             else:
-                out.append({"end": item["end"], "words": item["words"], "parts": [item]})
+                out.append([item])
+        return out
+
+    def spans(items):
         result = []
-        for run in out:
-            if run["words"] < min_words:
+        for run in grouped(items, lambda a, b: a["end"] == b["end"] - b["chars"]):
+            if not enough(run):
                 continue
-            for part in run["parts"]:
+            for piece in grouped(run, lambda a, b: a["later"] == b["later"]):
+                later = bool(piece[0]["later"]) and enough(piece)
+                start, words = piece[0]["end"] - piece[0]["chars"], sum(p["words"] for p in piece)
                 here = result[-1] if result else None
-                if here and here["end"] == part["end"] - part["chars"] and here["later"] == part["later"]:
-                    here["end"] = part["end"]
-                    here["words"] += part["words"]
+                if here and here["end"] == start and here["later"] == later:
+                    here["end"] = piece[-1]["end"]
+                    here["words"] += words
                 else:
-                    result.append({"start": part["end"] - part["chars"], "end": part["end"], "words": part["words"], "later": part["later"]})
+                    result.append({"start": start, "end": piece[-1]["end"], "words": words, "later": later})
         return result
     min_words = int(least.iloc[0]) if len(least) else 0
     return found.map(spans)

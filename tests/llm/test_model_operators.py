@@ -81,10 +81,10 @@ def test_simhash_links(spark, small):
 def test_gear_hash_and_chunks():
     gear = chunk_dedup.gear_table()
     data = np.frombuffer((prose(400, 9) + "z" * 3000).encode(), np.uint8)
-    h, slow = np.uint32(0), []
+    h, slow = np.uint16(0), []
     with np.errstate(over="ignore"):
         for byte in data:
-            h = (h << np.uint32(1)) + gear[byte]
+            h = (h << np.uint16(1)) + gear[byte]
             slow.append(h)
     assert (chunk_dedup.gear_hashes(data, gear) == np.array(slow)).all()
     ends = chunk_dedup.boundaries(data, gear)
