@@ -49,9 +49,9 @@ def test_http_reasons(spark):
     assert r.rules_reasons.split("; ") == ["大带宽传输(疑似外泄)", "长时间低包速连接(疑似Slowloris/慢速DoS)", "疑似Slowloris攻击", "HTTP会话持续时间较长(低包速)"]
     fast = one(spark, {**base, "pps": 50.0}, settings=rule_settings(EXFIL_BPS_RATIO=1.0))
     assert fast.rules_reasons.endswith("HTTP会话持续时间过长")
-    text_port = one(spark, {**base, "dst_port": 443.0}, settings=rule_settings(EXFIL_BPS_RATIO=1.0))
+    text_port = one(spark, {**base, "dst_port": 443.0}, settings=rule_settings(EXFIL_BPS_RATIO=1.0), integral_ports=False)
     assert "HTTP" not in text_port.rules_reasons
-    assert "HTTP" in one(spark, {**base, "dst_port": 443.0}, settings=rule_settings(EXFIL_BPS_RATIO=1.0), integral_ports=True).rules_reasons
+    assert "HTTP" in one(spark, {**base, "dst_port": 443.0}, settings=rule_settings(EXFIL_BPS_RATIO=1.0)).rules_reasons
 
 
 def test_settings():
