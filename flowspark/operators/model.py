@@ -187,8 +187,9 @@ class Ensemble:
     """
 
     def __init__(self, members: list[tuple], features: list[str], label_map: dict[int, str] | None = None):
-        self.members = [(m[0], m[1], list(m[2]) if len(m) > 2 else list(features)) for m in members]
-        self.features = list(dict.fromkeys(c for _, _, own in self.members for c in own)) or list(features)
+        self.members = [(m[0], m[1]) for m in members]
+        self.member_features = [list(m[2]) if len(m) > 2 else list(features) for m in members]
+        self.features = list(dict.fromkeys(c for own in self.member_features for c in own)) or list(features)
         self.label_map = label_map or LABEL_MAP
 
     @classmethod
@@ -202,7 +203,7 @@ class Ensemble:
         data = df.select(F.struct(*[col(c) for c in df.columns]).alias("__row"), F.struct(
             *[number(df, c).alias(f"v{i}") for i, c in enumerate(self.features)]).alias("__v"))
         names = []
-        for i, (model, _, own) in enumerate(self.members):
+        for i, ((model, _), own) in enumerate(zip(self.members, self.member_features, strict=True)):
             name = f"__m{i}"
             inputs = {f"f{j}": F.col(f"__v.v{self.features.index(c)}") for j, c in enumerate(own)}
             classes = list(range(getattr(model.stages[-1], "numClasses", 2)))
@@ -210,7 +211,7 @@ class Ensemble:
                 name, positive_score(F.col("probability"), positive_index(classes, self.label_map))).drop(
                 *inputs, "features", "rawPrediction", "probability", "prediction")
             names.append(name)
-        score = vote([(F.col(n), w) for n, (_, w, _) in zip(names, self.members)])
+        score = vote([(F.col(n), w) for n, (_, w) in zip(names, self.members)])
         return data.select("__row.*", score.alias(out))
 
 
