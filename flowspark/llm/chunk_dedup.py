@@ -134,7 +134,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int =
     every = save(chunks(docs, one_in, max_chunk, doc_id, text), "chunks")
     shared = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("open"))
     shared = shared.where((F.col("first") != F.col("last")) | (F.col("open") & F.col("first").isNotNull())).select("digest", "first")
-    met = every.join(shared, "digest").select(
+    # As a table of its own the small side is shuffled for the join alone, and Spark can cut a hot digest on the large side.
+    met = every.join(save(shared, "shared-chunks"), "digest").select(
         "doc_id", "text_key", "end", (F.col("size").bitwiseAND(F.lit((1 << CHARS_BITS) - 1))).alias("chars"),
         F.shiftright("size", CHARS_BITS).alias("words"), (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("later"))
     # Repeated rows of a document bring the same chunk again: one of them counts.
