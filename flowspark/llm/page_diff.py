@@ -8,8 +8,8 @@ its host: lines are aligned by longest common subsequence, shared lines are the
 site's template and go. (Lines of a marked article stay even if the neighbour has
 them, so copies of an article are not emptied.)
 
-Pages are range-partitioned and sorted by (host, path, id), so a page's
-neighbours are the rows beside it and a host of any size is spread over tasks. Only
+A marked article is cut out where its page is read. The other lines of all pages are
+range-partitioned and sorted by (host, path, id), so a page's neighbours are the rows beside it and a host of any size is spread over tasks. Only
 the first and last row of a partition miss a neighbour; these rows are finished in
 a second small step, where partitions meet the edge of the next.
 
@@ -182,8 +182,21 @@ _DRAFT = "page_id {id}, url string, text string, host string, path string, loose
          "near_path string, near array<string>"
 
 
+_LINES = "page_id {id}, url string, host string, path string, text string, loose array<string>, marked boolean"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to the text of the marked article and the other lines."""
+    for batch in batches:
+        found = [lines_of(page.as_py()) for page in batch.column("html")]
+        columns = batch.drop_columns(["html"])
+        new = {"text": pa.array([" ".join(a) for a, _, _ in found], pa.string()),
+               "loose": pa.array([x for _, x, _ in found], pa.list_(pa.string())), "marked": pa.array([m for _, _, m in found], pa.bool_())}
+        yield pa.RecordBatch.from_arrays([*columns.columns, *new.values()], names=[*columns.schema.names, *new])
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host, path and id: texts, and what the partition's edges need."""
+    """Rows sorted by host, path and id: texts of unmarked pages, and what the partition's edges need."""
     part = TaskContext.get().partitionId()
     before, now = None, None          # (batch row as dict, loose lines)
 
@@ -193,7 +206,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def draft(row, previous, following, edge):
         near_p, near_f = beside(row, previous), beside(row, following)
         out = {k: row[k] for k in ("page_id", "url", "host", "path", "marked")}
-        text = " ".join(row["article"]) if row["marked"] else own_text(row["loose"], _nearest(row["path"], near_p, near_f))
+        text = None if row["marked"] else own_text(row["loose"], _nearest(row["path"], near_p, near_f))
         near = near_p or near_f
         out |= {"text": text, "part": part, "edge": edge, "loose": row["loose"] if edge else None,
                 "near_path": near[0] if edge and near else None, "near": near[1] if edge and near else None}
@@ -202,11 +215,10 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
         for i in range(batch.num_rows):
-            article, loose, marked = lines_of(batch.column("html")[i].as_py())
             row = {"page_id": batch.column("page_id").slice(i, 1), "url": batch.column("url")[i].as_py(),
                    "host": batch.column("host")[i].as_py(), "path": batch.column("path")[i].as_py(),
-                   "article": article, "loose": loose, "marked": marked}
-            if now is not None:
+                   "loose": batch.column("loose")[i].as_py(), "marked": batch.column("marked")[i].as_py()}
+            if now is not None and (before is None or not now["marked"]):
                 done.append(draft(now, before, row, "first" if before is None else None))
             before, now = now, row
         if done:
@@ -235,11 +247,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"),
                         F.col(html).alias("html"))
     order = ["host", "path", "page_id"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "url")
     kind = rows.schema["page_id"].dataType.simpleString()
+    lines = rows.mapInArrow(_cut, _LINES.format(id=kind))
+    # A marked article is done; only the other lines of a page are shuffled, for its own text or its neighbours'.
+    marked = lines.where("marked").select("page_id", "url", "text")
+    ordered = lines.drop("text").repartitionByRange(*order).sortWithinPartitions(*order, "url")
     drafts = save(ordered.mapInArrow(_stream, _DRAFT.format(id=kind)), "page-drafts")
     result = ["page_id", "url", "text"]
-    inner = drafts.where(F.col("edge").isNull() | F.col("marked")).select(*result)
+    inner = marked.unionByName(drafts.where(F.col("edge").isNull()).select(*result))
     # Unmarked pages at the edge of a partition: the page on the other side of the edge joins the choice.
     edges = drafts.where(F.col("edge").isNotNull())
     parts = edges.select("part").distinct()
