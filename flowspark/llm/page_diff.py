@@ -1,7 +1,9 @@
 """HTML extraction by differencing pages with their nearest URL on the same host.
 
 A page is cut into lines (the texts of its blocks). Lines in scripts, styles, menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments never count.
+headers, footers, sidebars, notices, adverts, forms and reader comments never count; a class
+name says so as a whole (`ad-box`, not `ad-free`) and never of html, body, main or article.
+Elements end as in a browser: with implied end tags and with their parent.
 If the page marks its article (`article`, `main`), the lines in it are the text, all of
 them. Otherwise the page is compared with the page whose URL path is nearest on
 its host: lines are aligned by longest common subsequence, shared lines are the
@@ -57,66 +59,143 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>?", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+")
+#: Parts of a class name that say where or how, not what: `ad-box` is an advert, `ad-free` and `no-sidebar` are none.
+PLACES = frozenset(
+    "box bar block container wrapper wrap inner outer area section list item items link links widget panel slot unit row col column "
+    "top bottom left right main site page global primary secondary header head form message button buttons text".split())
+#: Parts that say whose comments or links an element holds.
+OWNERS = frozenset("post entry article blog user reader".split())
+#: Elements that hold the page, and are never chrome by name.
+FRAME = frozenset("html body main article".split())
+HEAD_PARTS = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Start tags that end an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+#: Start tags that end an open element of the same family, unless one of the others lies between.
+_SIBLINGS = {
+    **dict.fromkeys(["li"], (frozenset(["li"]), frozenset("ul ol menu dir table".split()))),
+    **dict.fromkeys(["dt", "dd"], (frozenset(["dt", "dd"]), frozenset("dl table".split()))),
+    **dict.fromkeys(["td", "th"], (frozenset(["td", "th"]), frozenset(["table"]))),
+    **dict.fromkeys(["tr"], (frozenset(["tr", "td", "th"]), frozenset(["table"]))),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"]))),
+    **dict.fromkeys(["option"], (frozenset(["option"]), frozenset("select optgroup datalist".split()))),
+    **dict.fromkeys(["optgroup"], (frozenset(["option", "optgroup"]), frozenset(["select"]))),
+}
+_CELLS = frozenset("td th caption table html".split())
+_TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption colgroup".split())
 
 
 def _is_chrome(tag: str, rest: str, in_article: bool) -> bool:
+    if tag in FRAME:
+        return False
     if tag in SILENT or tag in CHROME or (tag == "header" and not in_article):
         return True
     if "=" not in rest:
         return False
     for found in _NAMES.finditer(rest):
-        names = _PARTS.split((found[1] or found[2] or found[3] or "").lower())
-        if not CHROME_NAMES.isdisjoint(names) or ("header" in names and not in_article):
-            return True
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            parts = [x for x in _PARTS.split(name) if x and not x.isdigit()]
+            if "header" in parts and not in_article and all(x in PLACES or x in CHROME_NAMES for x in parts):
+                return True
+            if not CHROME_NAMES.isdisjoint(parts) and all(x in PLACES or x in CHROME_NAMES or x in OWNERS for x in parts):
+                return True
     return False
 
 
-def lines_of(page: str | None) -> tuple[list[str], list[str], bool]:
-    """(lines of the marked article, all other lines that count, whether an article is marked)"""
-    article, loose = [], []
+def _implied_end(open_tags: list[str], tag: str) -> int:
+    """How many of the open elements stay open when an element `tag` starts."""
+    keep = len(open_tags)
+    if keep and tag not in HEAD_PARTS and "head" in open_tags:
+        keep = open_tags.index("head")
+    if tag in ENDS_P:
+        for at in range(keep - 1, -1, -1):
+            if open_tags[at] == "p":
+                keep = at
+                break
+            if open_tags[at] in _CELLS or open_tags[at] == "button":
+                break
+    if tag in _SIBLINGS:
+        family, fence = _SIBLINGS[tag]
+        for at in range(keep - 1, -1, -1):
+            if open_tags[at] in fence:
+                break
+            if open_tags[at] in family:
+                keep = at
+    return keep
+
+
+def _end(open_tags: list[str], tag: str) -> int:
+    """How many of the open elements stay open after the end tag `tag`."""
+    if tag in ("body", "html"):
+        return 0
+    for at in range(len(open_tags) - 1, -1, -1):
+        here = open_tags[at]
+        if here == tag:
+            return at
+        if (here == "table" if tag in _TABLE_PARTS else here in _CELLS) or (tag == "li" and here in ("ul", "ol")) or (
+                tag in INLINE and here not in INLINE):
+            break
+    return len(open_tags)
+
+
+def lines_of(page: str | None) -> tuple[list[str], list[bool], bool]:
+    """(all lines that count, which of them lie in a marked article, whether an article is marked)"""
+    lines, inside = [], []
     buffer: list[str] = []
-    skip_tag, skip_depth = "", 0
-    stack: list[str] = []          # open article and main elements
+    open_tags: list[str] = []
+    skip = -1                      # place of the element that is skipped
+    articles = 0                   # open article and main elements
     marked = False
 
     def flush():
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                (article if stack else loose).append(text)
+                lines.append(text)
+                inside.append(articles > 0)
             buffer.clear()
 
+    def close(keep):
+        nonlocal skip, articles
+        if skip >= keep:
+            skip = -1
+        if articles:
+            articles -= sum(x in ("article", "main") for x in open_tags[keep:])
+        del open_tags[keep:]
+
     page = page or ""
     at = 0
     for token in _TOKEN.finditer(page):
-        if not skip_depth and token.start() > at:
+        if skip < 0 and token.start() > at:
             buffer.append(page[at:token.start()])
         at = token.end()
         if token["tag"] is None:
             continue
-        tag, closing = token["tag"].lower(), bool(token["end"])
-        if skip_depth:
-            if tag == skip_tag and not token["rest"].endswith("/"):
-                skip_depth += -1 if closing else 1
-            continue
-        if tag not in INLINE:
+        tag = token["tag"].lower()
+        if tag not in INLINE and skip < 0:
             flush()
-        if closing:
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
+        if token["end"]:
+            keep = _end(open_tags, tag)
+            if keep < len(open_tags):
+                close(keep)
+            continue
+        keep = _implied_end(open_tags, tag)
+        if keep < len(open_tags):
+            close(keep)
+        if tag in VOID or token["rest"].endswith("/"):
             continue
-        if tag not in VOID and _is_chrome(tag, token["rest"], bool(stack)):
+        if skip < 0 and _is_chrome(tag, token["rest"], articles > 0):
             flush()
-            if not token["rest"].endswith("/"):
-                skip_tag, skip_depth = tag, 1
-        elif tag in ("article", "main"):
-            stack.append(tag)
-            marked = True
-    if not skip_depth:
+            skip = len(open_tags)
+        open_tags.append(tag)
+        if tag in ("article", "main"):
+            articles += 1
+            marked = marked or skip < 0
+    if skip < 0:
         buffer.append(page[at:])
     flush()
-    return article, loose, marked
+    return lines, inside, marked
 
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
@@ -188,7 +267,8 @@ _LINES = "page_id {id}, url string, host string, path string, text string, loose
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages to the text of the marked article and the other lines."""
     for batch in batches:
-        found = [lines_of(page.as_py()) for page in batch.column("html")]
+        cut = [lines_of(page.as_py()) for page in batch.column("html")]
+        found = [([x for x, i in zip(a, b, strict=True) if i], [x for x, i in zip(a, b, strict=True) if not i], m) for a, b, m in cut]
         columns = batch.drop_columns(["html"])
         new = {"text": pa.array([" ".join(a) for a, _, _ in found], pa.string()),
                "loose": pa.array([x for _, x, _ in found], pa.list_(pa.string())), "marked": pa.array([m for _, _, m in found], pa.bool_())}

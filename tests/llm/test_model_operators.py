@@ -133,6 +133,21 @@ def test_pages_with_marked_article(spark):
     assert page_diff.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body class='no-sidebar'><p>All</p></body>", "All"),
+    ("<html class=has-menu><body class='comments-open menu'><article class='post has-comments comments'><p>Kept</p></article>", "Kept"),
+    ("<div class='content ad-free'><p>One</p></div><div class='sidebar-widget'>no</div><p>Two", "One Two"),
+    ("<article><p class=notice>gone<p>Stays<ul><li class=menu-item>gone<li>Item</ul><p>End</article>", "Stays Item End"),
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>Headless end</p>", "Headless end"),
+    ("<main><section><div class=ad>gone<span class=share>gone</section><p>After</p></main>", "After"),
+    ("<table><tr><td class=ad>gone<td>Cell<tr><td>Row</table><dl><dt class=promo>gone<dd>Term</dl>", "Cell Row Term"),
+    ("<div class=nav><div>gone</div>gone</p></div><p>Rest</p>", "Rest"),
+])
+def test_pages_lose_chrome_only(page, want):
+    lines, inside, marked = page_diff.lines_of(page)
+    assert " ".join(x for x, i in zip(lines, inside, strict=True) if i or not marked) == want
+
+
 @pytest.mark.parametrize("partitions", ["1", "6"])
 def test_pages_without_marked_article(spark, partitions):
     """Template lines go, whether the neighbour is in the same partition or not."""
