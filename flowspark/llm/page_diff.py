@@ -4,21 +4,21 @@ A page is cut into lines (the texts of its blocks). Lines in scripts, styles, me
 headers, footers, sidebars, notices, adverts, forms and reader comments never count; a class
 name says so as a whole (`ad-box`, not `ad-free`) and never of html, body, main or article.
 Elements end as in a browser: with implied end tags and with their parent.
-If the page marks its article (`article`, `main`), the lines in it are the text, all of
-them. Otherwise the page is compared with the page whose URL path is nearest on
-its host: lines are aligned by longest common subsequence, shared lines are the
-site's template and go. (Lines of a marked article stay even if the neighbour has
-them, so copies of an article are not emptied.)
-
-A marked article is cut out where its page is read. The other lines of all pages are
-range-partitioned and sorted by (host, path, id), so a page's neighbours are the rows beside it and a host of any size is spread over tasks. Only
-the first and last row of a partition miss a neighbour; these rows are finished in
-a second small step, where partitions meet the edge of the next.
+If the page marks its article (`article`, `main`), the lines in it are the text,
+otherwise all lines. Every page is compared with the page whose URL path is nearest on
+its host among those with another line-up: lines are aligned by longest common
+subsequence, shared lines are the site's template and go. A neighbour that shares
+more than half of a marked article's characters (four fifths of an unmarked page's) is a copy, and
+the neighbour on the other side is asked; if both are copies, all lines stay.
+
+Hashes of the lines are range-partitioned and sorted by (host, path, id), so a page's neighbours are the rows
+beside it and a host of any size is spread over tasks. Neighbouring pages of one line-up form
+a run; runs at the ends of a partition are settled in a second small step, which looks
+through any number of partitions. Only numbers of lines to drop come back to the pages.
 
 Defined cases: a null or empty html has the empty text; a null url is of the empty host;
-a page alone on its host loses nothing to differencing; equal pages without a marked article
-keep their lines (an equal line-up of the whole page is a copy, not a template);
-repeated rows are pages of their own; an empty table stays empty; other columns are not read.
+a page alone on its host, or among copies only, loses nothing to differencing; repeated rows are pages of their own;
+an empty table stays empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import save
@@ -52,6 +53,9 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: A neighbour that shares more than this part of the text's characters is a copy, not a template.
+COPY_ARTICLE, COPY_PAGE = 0.5, 0.8
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -243,114 +247,197 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return align(left, right, 0)
 
 
-def own_text(lines: list[str], other: list[str] | None) -> str:
-    """The lines that the other page does not share, joined."""
-    if other and lines != other:
-        shared = set(common_lines(lines, other))
-        lines = [x for i, x in enumerate(lines) if i not in shared]
-    return " ".join(lines)
-
-
-def _nearest(path: str, *others):
-    """The lines of the other page with the longest common start of the path."""
-    found = [x for x in others if x is not None]
-    return max(found, key=lambda x: len(os.path.commonprefix([path, x[0]])))[1] if found else None
+def template_lines(path: str, hashes: list[int], sizes: list[int], marked: bool, others: list[tuple[str, list[int]]]) -> list[int]:
+    """Which lines of a page's text its nearest page shares, as numbers among the lines of the text.
 
+    `sizes` are the lines' lengths, negative for a line that is not part of the text. A page that shares so
+    much of the text that it is a copy says nothing of the template; the other neighbour is asked then.
+    """
+    total = sum(x for x in sizes if x > 0)
+    number = np.cumsum(np.array(sizes, np.int64) > 0) - 1
+    # The longest common start of the path first.
+    for _, other in sorted(others, key=lambda x: -len(os.path.commonprefix([path, x[0]]))):
+        shared = [i for i in common_lines(hashes, other) if sizes[i] > 0]
+        if sum(sizes[i] for i in shared) <= (COPY_ARTICLE if marked else COPY_PAGE) * total:
+            return [int(number[i]) for i in shared]
+    return []
 
-_DRAFT = "page_id {id}, url string, text string, host string, path string, loose array<string>, marked boolean, part int, edge string, " \
-         "near_path string, near array<string>"
 
-
-_LINES = "page_id {id}, url string, host string, path string, text string, loose array<string>, marked boolean"
+def _text_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to the lines of their text, before differencing."""
+    for batch in batches:
+        found = []
+        for page in batch.column("html"):
+            lines, inside, marked = lines_of(page.as_py())
+            found.append([x for x, i in zip(lines, inside, strict=True) if i or not marked])
+        yield batch.drop_columns(["html"]).append_column("lines", pa.array(found, pa.list_(pa.string())))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages to the text of the marked article and the other lines."""
+def _line_ups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to the hashes and lengths of all their lines."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        cut = [lines_of(page.as_py()) for page in batch.column("html")]
-        found = [([x for x, i in zip(a, b, strict=True) if i], [x for x, i in zip(a, b, strict=True) if not i], m) for a, b, m in cut]
+        hashes, sizes, marks = [], [], []
+        for page in batch.column("html"):
+            lines, inside, marked = lines_of(page.as_py())
+            hashes.append(np.fromiter((digest(x) for x in lines), np.uint64, len(lines)).view(np.int64))
+            sizes.append([len(x) if i or not marked else -len(x) for x, i in zip(lines, inside, strict=True)])
+            marks.append(marked)
         columns = batch.drop_columns(["html"])
-        new = {"text": pa.array([" ".join(a) for a, _, _ in found], pa.string()),
-               "loose": pa.array([x for _, x, _ in found], pa.list_(pa.string())), "marked": pa.array([m for _, _, m in found], pa.bool_())}
+        new = {"hashes": pa.array(hashes, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "marked": pa.array(marks, pa.bool_())}
         yield pa.RecordBatch.from_arrays([*columns.columns, *new.values()], names=[*columns.schema.names, *new])
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host, path and id: texts of unmarked pages, and what the partition's edges need."""
-    part = TaskContext.get().partitionId()
-    before, now = None, None          # (batch row as dict, loose lines)
+#: kind is `drop` (a page and its template lines), `open` (a page whose run meets an end of the partition) or `run`.
+_DRAFT = "page_id {id}, key long, kind string, path string, sizes array<int>, marked boolean, dropped array<int>, " \
+         "part int, run int, last boolean, host string, first_path string, last_path string, hashes array<long>"
+_KINDS = {"key": pa.int64(), "kind": pa.string(), "path": pa.string(), "sizes": pa.list_(pa.int32()), "marked": pa.bool_(),
+          "dropped": pa.list_(pa.int32()), "part": pa.int32(), "run": pa.int32(), "last": pa.bool_(), "host": pa.string(),
+          "first_path": pa.string(), "last_path": pa.string(), "hashes": pa.list_(pa.int64())}
 
-    def beside(row, other):
-        return (other["path"], other["loose"]) if other is not None and other["host"] == row["host"] else None
 
-    def draft(row, previous, following, edge):
-        near_p, near_f = beside(row, previous), beside(row, following)
-        out = {k: row[k] for k in ("page_id", "url", "host", "path", "marked")}
-        text = None if row["marked"] else own_text(row["loose"], _nearest(row["path"], near_p, near_f))
-        near = near_p or near_f
-        out |= {"text": text, "part": part, "edge": edge, "loose": row["loose"] if edge else None,
-                "near_path": near[0] if edge and near else None, "near": near[1] if edge and near else None}
-        return out
+class _Run:
+    """Neighbouring pages of a host with the same line-up."""
 
+    def __init__(self, number: int, row: dict):
+        self.number, self.host, self.hashes = number, row["host"], row["hashes"]
+        self.first_path = self.last_path = row["path"]
+        self.members: list[dict] = []
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host and path: template lines where both neighbours are known, and what the partition's ends need."""
+    part = TaskContext.get().partitionId()
+    done: list[dict] = []
+    kind = None
+
+    def batch_of(rows):
+        columns = {"page_id": pa.concat_arrays([r["page_id"] if "page_id" in r else pa.nulls(1, kind) for r in rows])}
+        return pa.record_batch(columns | {name: pa.array([r.get(name) for r in rows], t) for name, t in _KINDS.items()})
+
+    def describe(run, last):
+        done.append({"kind": "run", "part": part, "run": run.number, "last": last, "host": run.host, "first_path": run.first_path,
+                     "last_path": run.last_path, "hashes": run.hashes})
+
+    def settle(before, run, after):
+        """Pages of a run between two others."""
+        others = [(x.last_path if x is before else x.first_path, x.hashes) for x in (before, after) if x.host == run.host]
+        known: dict = {}
+        for row in run.members if others else []:
+            near = (row["path"], tuple(row["sizes"]), row["marked"])
+            if near not in known:
+                known.clear()
+                known[near] = template_lines(row["path"], run.hashes, row["sizes"], row["marked"], others)
+            if known[near]:
+                done.append({"page_id": row["page_id"], "key": row["key"], "kind": "drop", "dropped": known[near]})
+
+    def leave_open(run):
+        done.extend({"kind": "open", "part": part, "run": run.number, **{k: row[k] for k in ("page_id", "key", "path", "sizes", "marked")}}
+                    for row in run.members)
+
+    before, now = None, None
     for batch in batches:
-        done = []
+        kind = batch.column("page_id").type
+        columns = {name: batch.column(name).to_pylist() for name in ("key", "host", "path", "hashes", "sizes", "marked")}
         for i in range(batch.num_rows):
-            row = {"page_id": batch.column("page_id").slice(i, 1), "url": batch.column("url")[i].as_py(),
-                   "host": batch.column("host")[i].as_py(), "path": batch.column("path")[i].as_py(),
-                   "loose": batch.column("loose")[i].as_py(), "marked": batch.column("marked")[i].as_py()}
-            if now is not None and (before is None or not now["marked"]):
-                done.append(draft(now, before, row, "first" if before is None else None))
-            before, now = now, row
+            row = {name: values[i] for name, values in columns.items()}
+            row["page_id"] = batch.column("page_id").slice(i, 1)
+            if now is None or row["host"] != now.host or row["hashes"] != now.hashes:
+                following = _Run(now.number + 1 if now else 0, row)
+                if before is not None:
+                    settle(before, now, following)
+                elif now is not None:
+                    leave_open(now)
+                if now is not None and now.number < 2:
+                    describe(now, False)
+                before, now = now, following
+                if before is not None:
+                    before.members = []
+            now.last_path = row["path"]
+            now.members.append({k: row[k] for k in ("page_id", "key", "path", "sizes", "marked")})
         if done:
-            yield _batch(done)
+            yield batch_of(done)
+            done.clear()
     if now is not None:
-        yield _batch([draft(now, before, None, "both" if before is None else "last")])
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    lines = pa.list_(pa.string())
-    kinds = {"url": pa.string(), "text": pa.string(), "host": pa.string(), "path": pa.string(), "loose": lines, "marked": pa.bool_(),
-             "part": pa.int32(), "edge": pa.string(), "near_path": pa.string(), "near": lines}
-    columns = {"page_id": pa.concat_arrays([r["page_id"] for r in rows])}
-    columns |= {name: pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()}
-    return pa.record_batch(columns)
-
-
-def _edge_text(path, loose, *others):
-    near = [(others[i], others[i + 1]) for i in range(0, len(others), 2) if others[i] is not None]
-    return own_text(loose, _nearest(path, *near))
+        leave_open(now)
+        if before is not None and before.number >= 2:
+            describe(before, False)
+        describe(now, True)
+        yield batch_of(done)
+
+
+def _beside(runs: list) -> list[tuple[int, int, int | None, int | None, int | None, int | None]]:
+    """(part, run, part and run before, part and run after): the nearest runs of another line-up on the host, across partitions.
+
+    `runs` are rows (part, run, last, host, line_up) of the first two and last two runs of each partition.
+    """
+    parts: dict[int, list] = {}
+    for row in sorted(runs, key=lambda r: (r["part"], r["run"])):
+        parts.setdefault(row["part"], []).append(row)
+    order = sorted(parts)
+
+    def walk(order, ends):
+        """The neighbour of the run at the near end of each partition, going away from `order`'s start."""
+        found, known = {}, None          # the run at the far end of the partition before, and its own neighbour
+        for part in order:
+            near, far = ends(parts[part])
+            here = None
+            if known is not None and known[0]["host"] == near["host"]:
+                here = known[0] if known[0]["line_up"] != near["line_up"] else known[1]
+            found[part, near["run"]] = here
+            if far is near:
+                known = (far, here)
+            else:
+                inside = parts[part][-2] if far is parts[part][-1] else parts[part][1]
+                inside = inside if inside["host"] == far["host"] else None
+                found[part, far["run"]] = inside
+                known = (far, inside)
+        return found
+
+    up = walk(order, lambda p: (p[0], p[-1]))
+    down = walk(order[::-1], lambda p: (p[-1], p[0]))
+    return [(*key, *((x["part"], x["run"]) if (x := up[key]) else (None, None)), *((x["part"], x["run"]) if (x := down[key]) else (None, None)))
+            for key in sorted(up)]
+
+
+def _open_lines(path, hashes, sizes, marked, up_path, up, down_path, down):
+    others = [(p, h) for p, h in ((up_path, up), (down_path, down)) if h is not None]
+    return template_lines(path, hashes, sizes, marked, others)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text): a row per row of `pages`."""
+    spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"),
-                        F.col(html).alias("html"))
-    order = ["host", "path", "page_id"]
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
+                        F.xxhash64(F.col(url), F.col(html)).alias("key"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    lines = rows.mapInArrow(_cut, _LINES.format(id=kind))
-    # A marked article is done; only the other lines of a page are shuffled, for its own text or its neighbours'.
-    marked = lines.where("marked").select("page_id", "url", "text")
-    ordered = lines.drop("text").repartitionByRange(*order).sortWithinPartitions(*order, "url")
+    # Hashes of lines travel, not the lines.
+    named = pages.select(F.col(page_id).alias("page_id"), F.xxhash64(F.col(url), F.col(html)).alias("key"), host.alias("host"),
+                         path.alias("path"), F.col(html).alias("html"))
+    line_ups = named.mapInArrow(_line_ups, f"page_id {kind}, key long, host string, path string, hashes array<long>, sizes array<int>, marked boolean")
+    order = ["host", "path", "page_id", "key"]
+    ordered = line_ups.repartitionByRange(*order).sortWithinPartitions(*order)
     drafts = save(ordered.mapInArrow(_stream, _DRAFT.format(id=kind)), "page-drafts")
-    result = ["page_id", "url", "text"]
-    inner = marked.unionByName(drafts.where(F.col("edge").isNull()).select(*result))
-    # Unmarked pages at the edge of a partition: the page on the other side of the edge joins the choice.
-    edges = drafts.where(F.col("edge").isNotNull())
-    parts = edges.select("part").distinct()
-    along = Window.orderBy("part")          # one small number per partition
-    parts = parts.select("part", F.lag("part").over(along).alias("up"), F.lead("part").over(along).alias("down"))
-    outside = ["part", "host", "path", "loose"]
-    above = edges.where(F.col("edge") != "first").select(*[F.col(c).alias(f"above_{c}") for c in outside])
-    below = edges.where(F.col("edge") != "last").select(*[F.col(c).alias(f"below_{c}") for c in outside])
-    open_rows = edges.where(~F.col("marked")).join(parts, "part")
-    open_rows = open_rows.join(above, (F.col("edge") != "last") & (F.col("above_part") == F.col("up")) & (F.col("above_host") == F.col("host")), "left")
-    open_rows = open_rows.join(below, (F.col("edge") != "first") & (F.col("below_part") == F.col("down")) & (F.col("below_host") == F.col("host")), "left")
-    first_near = F.col("edge") == "last"    # its inner neighbour comes before, the outer one after
-    def either(a, b):
-        return F.when(first_near, F.col(a)).otherwise(F.col(b))
-    text = F.udf(_edge_text, "string")("path", "loose", either("near_path", "above_path"), either("near", "above_loose"),
-                      F.when(F.col("edge") == "first", F.col("near_path")).otherwise(F.col("below_path")),
-                      F.when(F.col("edge") == "first", F.col("near")).otherwise(F.col("below_loose")))
-    outer = open_rows.select("page_id", "url", text.alias("text"))
-    return inner.unionByName(outer)
+    # Runs of pages at the ends of partitions: at most four small rows per partition tell which runs lie beside them.
+    runs = drafts.where("kind = 'run'").select("part", "run", "last", "host", "first_path", "last_path", "hashes")
+    ends = runs.select("part", "run", "last", F.xxhash64("host").alias("host"), F.xxhash64("hashes").alias("line_up")).collect()
+    beside = spark.createDataFrame(_beside(ends), "part int, run int, up_part int, up_run int, down_part int, down_run int")
+
+    def side(name, path):
+        return runs.select(F.col("part").alias(f"{name}_part"), F.col("run").alias(f"{name}_run"), F.col(path).alias(f"{name}_path"),
+                           F.col("hashes").alias(name))
+
+    placed = beside.join(runs.select("part", "run", "hashes"), ["part", "run"])
+    placed = placed.join(side("up", "last_path"), ["up_part", "up_run"], "left").join(side("down", "first_path"), ["down_part", "down_run"], "left")
+    placed = placed.select("part", "run", "hashes", "up_path", "up", "down_path", "down").where("up IS NOT NULL OR down IS NOT NULL")
+    found = F.udf(_open_lines, "array<int>")("path", "hashes", "sizes", "marked", "up_path", "up", "down_path", "down")
+    late = drafts.where("kind = 'open'").select("page_id", "key", "path", "sizes", "marked", "part", "run").join(placed, ["part", "run"])
+    late = late.select("page_id", "key", found.alias("dropped")).where(F.size("dropped") > 0)
+    dropped = drafts.where("kind = 'drop'").select("page_id", "key", "dropped").unionByName(late)
+    # Repeated rows have equal lines to drop.
+    dropped = save(dropped.dropDuplicates(["page_id", "key"]).select(F.col("page_id").alias("id"), F.col("key").alias("of"), "dropped"), "page-template")
+    texts = rows.select("page_id", "url", "key", "html").mapInArrow(_text_lines, f"page_id {kind}, url string, key long, lines array<string>")
+    joined = texts.join(dropped, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")), "left")
+    own = F.filter("lines", lambda x, i: ~F.array_contains("dropped", i))
+    return joined.select("page_id", "url", F.array_join(F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(own), " ").alias("text"))

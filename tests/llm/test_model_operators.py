@@ -170,6 +170,50 @@ def test_pages_without_marked_article(spark, partitions):
         assert got[page] == " ".join(re.findall("<p>(.*?)</p>", body))
 
 
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_pages_differ_from_the_nearest_other_line_up(spark, partitions):
+    """Template lines inside marked articles go, copies of whatever number are looked past, near copies are not emptied."""
+    rows, want = [], {}
+
+    def page(host, path, lines, own, marked):
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        want[len(rows)] = " ".join(own)
+        rows.append((len(rows), f"http://{host}/{path}", f"<article>{body}</article><p>outside</p>" if marked else body))
+    for marked in (True, False):
+        host = f"{marked}.org"
+        for i in range(8):
+            own = [prose(30, 100 * marked + i), prose(20, 300 + i)]
+            page(host, f"a/{i}", ["Share this page", own[0], "Subscribe now", own[1]], own, marked)
+        copied = [prose(40, 50 + marked), prose(30, 60)]
+        for i in range(30):      # copies, then one with another line at its end
+            page(host, f"b/{i:02d}", ["Share this page", *copied, "Subscribe now"], copied, marked)
+        page(host, "b/99", ["Share this page", *copied, "Subscribe now", "One line more"], ["Share this page", *copied, "Subscribe now", "One line more"], marked)
+    for i in range(12):
+        page("copies.org", f"{i}", ["All", "the same"], ["All", "the same"], True)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        frame = spark.createDataFrame(rows + rows[:20], "page_id long, url string, html string")
+        got = page_diff.main_text(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) + 20
+    for r in got:
+        assert r.text == want[r.page_id], r.page_id
+
+
+def test_runs_beside_each_other_across_partitions():
+    rows = [{"part": p, "run": r, "last": False, "host": h, "line_up": u} for p, r, h, u in
+            [(0, 0, 1, 7), (0, 1, 1, 8), (2, 0, 1, 8), (3, 0, 1, 8), (5, 0, 1, 8), (5, 1, 1, 9), (5, 6, 2, 8), (5, 7, 2, 9), (6, 0, 3, 9)]]
+    found = {x[:2]: (x[2:4], x[4:]) for x in page_diff._beside(rows)}
+    none = (None, None)
+    assert found[0, 0] == (none, (0, 1)) and found[0, 1] == ((0, 0), (5, 1))
+    assert found[2, 0] == found[3, 0] == found[5, 0] == ((0, 0), (5, 1))
+    assert found[5, 7] == ((5, 6), none) and found[6, 0] == (none, none)
+
+
 def test_common_lines_is_longest():
     rng = np.random.default_rng(1)
     for _ in range(60):
