@@ -8,9 +8,8 @@ the log10 probability of the whole text. Output is factored: first a class of wo
 of about equal frequency, then the word within its class. Biases start at the
 unigram logarithms, so training begins where the base model ends.
 
-Training averages parameters. In each round every task takes its own documents (a
-`1 / SAMPLE` share of the training documents by hash, another share each round, so the
-work follows the input), trains from the common parameters by backpropagation through
+Training averages parameters. The rounds share out all training documents by hash, so each
+of them gives its gradient once. In a round every task takes its own documents of that share, trains from the common parameters by backpropagation through
 `SPAN` steps with the state carried on, and returns one parameter vector; vectors are averaged
 in a tree of tasks and only the last few reach the driver.
 
@@ -47,8 +46,8 @@ LANES = 128               # texts side by side in training, fewer where a task h
 LEAST_STEPS = 16          # updates of a task with little text
 SCORE_LANES = 512
 SCORE_SPAN = 32
-SAMPLE = 30               # one in so many training documents per round
 ROUNDS = 3
+SAMPLE = ROUNDS           # one in so many training documents per round: the rounds share out all of them
 RATE = 0.02
 CLIP = 1.0
 FAN_IN = 32
@@ -178,7 +177,7 @@ def log_probabilities(shape: Shape, p: dict, states: np.ndarray, symbols: np.nda
 
 
 def _backward(shape: Shape, p: dict, h0, x, y, fresh):
-    """Loss, gradient and last state of one span; x, y, fresh are (steps, lanes)."""
+    """Loss, gradient and last state of one span; x, y, fresh are (steps, lanes). Targets below 0 are padding and count nothing."""
     steps, lanes = x.shape
     gates = p["embed"][x] @ p["wx"] + p["b"]
     h, states, kept, before = h0, np.empty((steps, lanes, HIDDEN), np.float32), [], []
@@ -189,13 +188,17 @@ def _backward(shape: Shape, p: dict, h0, x, y, fresh):
         kept.append(inside)
         states[t] = h
     flat, target = states.reshape(-1, HIDDEN), y.reshape(-1)
+    padded = bool((target < 0).any())
+    if padded:
+        real = np.flatnonzero(target >= 0)
+        flat, target = flat[real], target[real]
     vector = np.zeros(shape.size, np.float32)
     g = shape.views(vector)
-    n = len(target)
+    n = max(1, len(target))
     classes = shape.class_of[target]
     logp, probability = _softmax_loss(flat @ p["wc"] + p["bc"], classes)
     loss = -float(logp.sum())
-    probability[np.arange(n), classes] -= 1
+    probability[np.arange(len(target)), classes] -= 1
     probability /= n
     g["wc"][:] = flat.T @ probability
     g["bc"][:] = probability.sum(axis=0)
@@ -216,6 +219,10 @@ def _backward(shape: Shape, p: dict, h0, x, y, fresh):
         g["wo"][:, a:b] = own.T @ probability
         g["bo"][a:b] = probability.sum(axis=0)
         d_flat[mine] += probability @ p["wo"][:, a:b].T
+    if padded:
+        every = np.zeros((steps * lanes, HIDDEN), d_flat.dtype)
+        every[real] = d_flat
+        d_flat = every
     d_states = d_flat.reshape(steps, lanes, HIDDEN)
     d_gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
     carry = np.zeros((lanes, HIDDEN), np.float32)
@@ -247,8 +254,10 @@ def train(shape: Shape, vector: np.ndarray, texts: list[np.ndarray], rate: float
     fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
     x = np.concatenate([[shape.n - 1], y[:-1]])          # a text begins after an end
     lanes = max(1, min(LANES, len(y) // (SPAN * LEAST_STEPS)))
-    steps = len(y) // lanes
-    x, y, fresh = (a[:lanes * steps].reshape(lanes, steps).T for a in (x, y, fresh))
+    steps = -(-len(y) // lanes)
+    tokens, gap = len(y), lanes * steps - len(y)         # the last lane is padded, so every token gives a gradient
+    x, y, fresh = (np.concatenate([a, np.full(gap, fill, a.dtype)]).reshape(lanes, steps).T
+                   for a, fill in ((x, shape.n - 1), (y, -1), (fresh, False)))
     mean, square = np.zeros_like(vector), np.zeros_like(vector)
     h, loss, step = np.zeros((lanes, HIDDEN), np.float32), 0.0, 0
     for at in range(0, steps, SPAN):
@@ -261,7 +270,7 @@ def train(shape: Shape, vector: np.ndarray, texts: list[np.ndarray], rate: float
         mean += 0.1 * (gradient - mean)
         square += 0.01 * (gradient * gradient - square)
         vector -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6)
-    return vector, loss / max(1, lanes * steps)
+    return vector, loss / max(1, tokens)
 
 
 def score_texts(shape: Shape, vector: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:

@@ -252,6 +252,44 @@ def test_recurrent_gradient_and_normalisation():
         assert abs(total - 1) < 1e-4
 
 
+def test_recurrent_training_takes_every_token(spark, monkeypatch):
+    """Every training document gives its gradient once, to its last token, by the defaults."""
+    seen = []
+    inner = recurrent_lm._backward
+
+    def spy(shape, p, h0, x, y, fresh):
+        seen.extend(y[y >= 0].tolist())
+        return inner(shape, p, h0, x, y, fresh)
+    monkeypatch.setattr(recurrent_lm, "_backward", spy)
+    shape = recurrent_lm.Shape(np.arange(30, 0, -1) ** 2)
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, 29, n), 29) for n in rng.integers(0, 400, 40)]
+    assert sum(map(len, texts)) % (sum(map(len, texts)) // (recurrent_lm.SPAN * recurrent_lm.LEAST_STEPS))
+    recurrent_lm.train(shape, shape.start(), texts)
+    assert sorted(seen) == sorted(np.concatenate(texts).tolist())
+    monkeypatch.setattr(recurrent_lm, "_backward", inner)
+    words = [f"word{i}" for i in range(90)]
+    lexicon = recurrent_lm.Lexicon([w.encode() for w in words], [1] * 90, 90, 180, 91)
+    start = lexicon.shape.start()
+    frame = spark.createDataFrame([(w,) for w in words], "text string").coalesce(1)
+    end = lexicon.shape.views(recurrent_lm.fit(frame, lexicon))["embed"]
+    # A word's embedding moves if its document was read, but for the first update: the output weights start at zero.
+    moved = (end != lexicon.shape.views(start)["embed"]).any(axis=1)[:90]
+    assert moved.sum() >= 90 - recurrent_lm.SPAN // 2
+
+
+def test_recurrent_padding_adds_nothing():
+    shape = recurrent_lm.Shape(np.array([50, 20, 9, 5, 3, 2, 7, 4]))
+    vector = shape.start()
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 8, (5, 2)), rng.integers(0, 8, (5, 2))
+    fresh, h0 = np.zeros((5, 2), bool), np.zeros((2, recurrent_lm.HIDDEN), np.float32)
+    loss, gradient, _ = recurrent_lm._backward(shape, shape.views(vector), h0, x, y, fresh)
+    wide = [np.concatenate([a, np.full((5, 1), fill, a.dtype)], axis=1) for a, fill in ((x, 7), (y, -1), (fresh, False))]
+    more, padded, _ = recurrent_lm._backward(shape, shape.views(vector), np.zeros((3, recurrent_lm.HIDDEN), np.float32), *wide)
+    assert abs(loss - more) < 1e-4 and np.allclose(gradient, padded, atol=1e-6)
+
+
 def test_recurrent_scores_carry_the_state():
     """Lanes, windows and order change nothing: each text scored alone gives the same."""
     shape = recurrent_lm.Shape(np.arange(30, 0, -1) ** 2)
