@@ -3,14 +3,17 @@
 A gear hash shifts left by one and adds a table value per byte; of 16 bits, so that
 16 bytes back everything has left it: whether a chunk ends at a white space depends
 on the 16 bytes before it only. Insertions move boundaries nearby and nothing else. Chunks
-are whole words (about one boundary in `ONE_IN` word ends), with a forced cut where
-`MAX_CHUNK` bytes have none, so texts without white space have chunks too.
+are whole words (about one boundary in `ONE_IN` word ends). Where `SOLID` bytes have no white space
+(Chinese, Japanese, Thai, base64) a chunk can end before any character, again by the hash of the bytes
+before it. Where `MAX_CHUNK` bytes have no boundary (periodic text has few contexts), the bound on the hash is
+doubled until they have, for word ends first and then for characters; such looser cuts are `SPARSE` bytes apart at
+least, a distance that falls on the same place of every period. Only text without any candidate is cut by length.
 
 Chunks meet by a 64-bit digest (at 1e12 chunks one in 2e7 meets a stranger; a run needs
 several neighbours). The documents of a digest are reduced to the smallest and the
 largest id before the shuffle; chunks with a shared digest go back to their document,
 where neighbours form runs. A run of at least `MIN_WORDS`
-words is a repeated passage: the first document of its chunks keeps it, later ones
+words (of `WORD_CHARS` characters where a chunk has hardly any white space) is a repeated passage: the first document of its chunks keeps it, later ones
 can drop as much of it as is a passage in itself. Digests that many documents share are a skewed join side, which
 Spark cuts (it needs no rows of a digest together).
 
@@ -40,6 +43,11 @@ ONE_IN = 5                # word ends per boundary, on average
 MAX_CHUNK = 512           # bytes
 MIN_WORDS = 10            # of a run
 LONG_CHUNK = 4            # words of the longest chunk of a run: shorter ones are shared by chance
+SOLID = 64                # bytes without white space, after which a chunk can end before any character
+ONE_IN_CHARS = 16         # characters per boundary there, on average
+SPARSE = 128              # bytes between cuts by a looser bound
+LONG_WORD = 16            # characters per word: a chunk with more on average has hardly any white space
+WORD_CHARS = 4            # characters that count as a word there
 REACH = 16                # bytes the gear hash sees
 GEAR_SEED = 20
 CHARS_BITS = 10           # of a chunk's size: enough for MAX_CHUNK code points
@@ -66,6 +74,30 @@ def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
+def _looser(ends: np.ndarray, n: int, places: np.ndarray, hashes: np.ndarray, one_in: int, max_chunk: int) -> np.ndarray:
+    """`ends` and, in chunks over `max_chunk`, the `places` below the first doubled bound that cuts them, `SPARSE` bytes apart."""
+    bound = (1 << 16) // one_in
+    while bound < 1 << 16:
+        bound = min(2 * bound, 1 << 16)
+        starts = np.concatenate([[0], ends[:-1]])
+        wide = np.flatnonzero(ends - starts > max_chunk)
+        if not len(wide):
+            break
+        allowed = places[hashes[places - 1] < bound]
+        more = []
+        for chunk in wide:
+            at, stop = int(starts[chunk]), int(ends[chunk])
+            inner = allowed[np.searchsorted(allowed, at, "right"):np.searchsorted(allowed, stop)]
+            # The first one whatever it is: from there on the distance is counted in the text itself.
+            here = 0
+            while here < len(inner):
+                more.append(int(inner[here]))
+                here = int(np.searchsorted(inner, inner[here] + SPARSE))
+        if more:
+            ends = np.union1d(ends, more)
+    return ends
+
+
 def boundaries(data: np.ndarray, table: np.ndarray, one_in: int = ONE_IN, max_chunk: int = MAX_CHUNK) -> np.ndarray:
     """Ends of the chunks of a text, the last one included."""
     n = len(data)
@@ -74,12 +106,25 @@ def boundaries(data: np.ndarray, table: np.ndarray, one_in: int = ONE_IN, max_ch
     space = _SPACE[data]
     word_end = np.zeros(n, bool)
     word_end[:-1] = space[:-1] & ~space[1:]              # the last white space before a word
-    ends = np.flatnonzero(word_end)
-    ends = ends[gear_hashes(data, table)[ends] < np.uint16((1 << 16) // one_in)] + 1
-    ends = np.concatenate([ends, [n]])
+    hashes = gear_hashes(data, table)
+    words = np.flatnonzero(word_end)
+    ends = words[hashes[words] < np.uint16((1 << 16) // one_in)] + 1
+    gaps = np.flatnonzero(space)
+    edges = np.concatenate([[-1], gaps, [n]])
+    chars = None
+    if np.diff(edges).max() > SOLID or n > max_chunk and np.diff(ends, prepend=0, append=n).max() > max_chunk:
+        # Places before a character that does not follow white space.
+        chars = np.flatnonzero(((data[1:] & 0xC0) != 0x80) & ~space[:-1] & ~space[1:]) + 1
+        since = chars - 1 - edges[np.searchsorted(edges, chars) - 1]
+        solid = chars[(since >= SOLID) & (hashes[chars - 1] < (1 << 16) // ONE_IN_CHARS)]
+        ends = np.union1d(ends, solid)
+    ends = np.concatenate([ends, [n]]).astype(np.int64)
+    if np.diff(ends, prepend=0).max() > max_chunk:
+        ends = _looser(ends, n, words + 1, hashes, one_in, max_chunk)
+        ends = _looser(ends, n, chars, hashes, ONE_IN_CHARS, max_chunk)
     starts = np.concatenate([[0], ends[:-1]])
     pieces = -(-(ends - starts) // max_chunk)
-    if pieces.max() > 1:                                 # forced cuts, counted from the chunk's start
+    if pieces.max() > 1:                                 # no candidate at all (white space): cut by length
         first = np.repeat(np.cumsum(pieces) - pieces, pieces)
         step = np.arange(pieces.sum()) - first + 1
         ends = np.minimum(np.repeat(starts, pieces) + step * max_chunk, np.repeat(ends, pieces))
@@ -148,8 +193,12 @@ _SPANS = "array<struct<start:int,end:int,words:int,later:boolean>>"
 
 def _runs(least: pd.Series, found: pd.Series) -> pd.Series:
     """Runs of neighbouring shared chunks, long enough to be no chance, cut where `later` changes for long enough."""
+    def weight(part):
+        return part["words"] if part["chars"] <= LONG_WORD * part["words"] else max(part["words"], part["chars"] // WORD_CHARS)
+
     def enough(parts):
-        return sum(p["words"] for p in parts) >= min_words and max(p["words"] for p in parts) >= LONG_CHUNK
+        weights = [weight(p) for p in parts]
+        return sum(weights) >= min_words and max(weights) >= LONG_CHUNK
 
     def grouped(items, same):
         out = []

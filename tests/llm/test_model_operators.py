@@ -111,6 +111,30 @@ def test_substring_dedup(spark, messy, empty):
     assert chunk_dedup.repeated_passages(empty).count() == 0
 
 
+def test_substring_dedup_without_white_space_and_periodic(spark):
+    """Shared Chinese passages, long tokens and periodic text are found at any offset, whatever surrounds them."""
+    rng = np.random.default_rng(6)
+
+    def han(n):
+        return "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+
+    def token(n):
+        return "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    shared = [han(150), token(600), "buy now " * 200, "abc" * 700, "x" * 2500]
+    texts = [before + passage + after for passage in shared for before, after in
+             ((han(211), han(190)), (token(97) + " ", " " + prose(40, 31)), (prose(33, 32) + " ", ""))]
+    texts += [han(900), token(2000)]
+    got = {r.doc_id: r.spans for r in chunk_dedup.repeated_passages(table(spark, texts)).collect()}
+    for at, passage in enumerate(shared):
+        for doc in range(3 * at, 3 * at + 3):
+            text = texts[doc]
+            low = text.index(passage)
+            high = low + len(passage)
+            mine = [s for s in got.get(doc, []) if s.later == (doc > 3 * at)]
+            assert sum(max(0, min(s.end, high) - max(s.start, low)) for s in mine) > 0.5 * len(passage), (at, doc, got.get(doc))
+    assert 15 not in got and 16 not in got
+
+
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 PAGES = [
