@@ -18,6 +18,8 @@ from flowspark.llm.quality_rules import STOP_WORDS, quality_rules
 from flowspark.llm.recurrent_lm import score
 from flowspark.llm.registry import ORACLES, query
 from flowspark.llm.simhash import near_duplicates
+from flowspark.llm.spelling import spelling_variants
+from flowspark.llm.whitening import whiten
 
 _STOP_LIST = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
 
@@ -255,6 +257,17 @@ def op11_chat_formatting(spark, sf_dir):
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    found = whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
