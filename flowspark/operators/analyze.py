@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.exprs import col, finite_or_null
 from flowspark.operators.clean import ANOMALOUS, NORMAL, binarize_truth, pick_column
-from flowspark.operators.metrics import confusion_counts, curve_metrics, pr_points, roc_points, with_rates
+from flowspark.operators.metrics import confusion_counts, curve_of, pr_of, roc_of, score_steps, with_rates
 from flowspark.operators.ordered import exact_quantiles, lookup_join, number_rows, slice_number
 
 # Column candidates, best first.
@@ -194,7 +194,10 @@ def prepare_results(df: DataFrame, metadata: dict | None = None) -> tuple[DataFr
 
 
 def analyze_results(df: DataFrame, order: list[str], metadata: dict | None = None) -> dict[str, DataFrame]:
-    """Every table of the result report, lazily: totals, by_file, top, quantiles, histogram, drift, roc, pr, ..."""
+    """Every table of the result report: totals, by_file, top, quantiles, histogram, drift, roc, pr, ...
+
+    All are lazy but the counts per score behind the curves, which are stored if there is a truth column.
+    """
     metadata = metadata or {}
     rows, names = prepare_results(df, metadata)
     label = "__label" if names["label"] else None
@@ -226,9 +229,9 @@ def analyze_results(df: DataFrame, order: list[str], metadata: dict | None = Non
             threshold = exact_quantiles(rows, "__score", [cut]).first()["quantile"]
         hit = (F.col("__score") >= threshold) if names["descending"] else (F.col("__score") <= threshold)
         judged = rows.withColumn("__pred", hit.cast("int"))
-        out["roc"], out["pr"] = roc_points(judged, "__score", "__truth"), pr_points(judged, "__score", "__truth")
+        steps = score_steps(judged, "__score", "__truth")
+        out["roc"], out["pr"], out["curve"] = roc_of(steps), pr_of(steps), curve_of(steps)
         out["confusion"] = with_rates(confusion_counts(judged, "__truth", "__pred"))
-        out["curve"] = curve_metrics(judged, "__score", "__truth")
     return out
 
 

@@ -2,7 +2,8 @@
 
 Every metric works on counts per distinct score, never on sorted rows, and
 takes `by` columns, so that many files, variants or weight pairs are evaluated
-in one pass.
+in one pass. The counts are stored once (`step_table`); AUC, average precision, the cut at k,
+hits and threshold counts are read from them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 
 from flowspark.functions.exprs import clip
 from flowspark.operators.ordered import (
-    _attach_totals, descending, lookup_join, number_rows, previous_value, running_sums, slice_number)
+    SMALL_TABLE_ROWS, _attach_totals, descending, min_hot_rows, number_rows, previous_value, running_sums, slice_number)
+from flowspark.session import store
 
 GRID_STEPS = 1000     # fixed value: thresholds 0, 0.001, ..., 1
 
@@ -100,17 +102,32 @@ def first_usable_truth(df: DataFrame, pred: str = "prediction_status", candidate
 # ---------------------------------------------------------------------------
 # Curves
 # ---------------------------------------------------------------------------
-def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Per distinct score: pos, neg, and tp/fp when everything at or above it is called positive.
+def step_table(df: DataFrame, score: str, label: str, by: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Per group and distinct score: pos, neg and the sums in `more`, stored.
 
-    Rows without a score (null or NaN) are left out; `scored` gives them one.
+    Rows without a score (null or NaN) are left out; `scored` gives them one. The input is read
+    once; curves, ranking cuts, hits and threshold counts all follow from this table.
     """
-    by = list(by or [])
     value = F.col(score).cast("double")
-    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running_sums(counted, by, [F.col("score").desc()], -F.col("score"),
-                        {"tp": F.col("pos"), "fp": F.col("neg")})
+    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by, value.alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
+        *[c.alias(n) for n, c in (more or {}).items()])
+    return store(counted, "score-steps")
+
+
+def cumulated(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Steps with tp and fp when everything at or above the score is called positive."""
+    order, sums = [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
+    if steps.count() >= min_hot_rows(steps):       # from the files' footers
+        return running_sums(steps, by, order, -F.col("score"), sums)
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+
+
+def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Per distinct score: pos, neg, tp, fp."""
+    by = list(by or [])
+    return cumulated(step_table(df, score, label, by), by)
 
 
 def scored(score: Column) -> Column:
@@ -121,21 +138,42 @@ def scored(score: Column) -> Column:
 def curve_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """positives, negatives, roc_auc (ties count half) and average_precision; null if a class is missing."""
     by = list(by or [])
-    steps = score_steps(df, score, label, by)
-    p, n = F.sum("pos"), F.sum("neg")
+    return curve_of(score_steps(df, score, label, by), by)
+
+
+def curve_of(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """`curve_metrics` of `score_steps`."""
+    by = list(by or [])
+    return steps.groupBy(*by).agg(*_curve_sums()).select(*by, *_curve_columns())
+
+
+def curves_of(df: DataFrame, scores: dict[str, Column], label: str) -> DataFrame:
+    """`curve_metrics` of several scores in one pass over the input, a row per `name`."""
+    rows = df.select(F.col(label).alias("__y"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), c.cast("double").alias("__s")) for n, c in scores.items()])))
+    return curve_metrics(rows, "__s", "__y", ["name"])
+
+
+def _curve_sums() -> list[Column]:
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0)
     precision = F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0))
-    out = steps.groupBy(*by).agg(p.alias("positives"), n.alias("negatives"), area.alias("__a"), precision.alias("__p"))
+    return [F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), area.alias("__a"), precision.alias("__p")]
+
+
+def _curve_columns() -> list[Column]:
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
-    return out.select(
-        *by, "positives", "negatives",
-        F.when(both, F.col("__a") / (F.col("positives") * F.col("negatives").cast("double"))).alias("roc_auc"),
-        F.when(both, F.col("__p") / F.col("positives")).alias("average_precision"))
+    return [F.col("positives"), F.col("negatives"),
+            F.when(both, F.col("__a") / (F.col("positives") * F.col("negatives").cast("double"))).alias("roc_auc"),
+            F.when(both, F.col("__p") / F.col("positives")).alias("average_precision")]
 
 
 def roc_points(df: DataFrame, score: str, label: str, simplify: bool = True) -> DataFrame:
     """threshold, fpr, tpr from (inf, 0, 0) on; `simplify` leaves out points on a straight line."""
-    steps = score_steps(df, score, label)
+    return roc_of(score_steps(df, score, label), simplify)
+
+
+def roc_of(steps: DataFrame, simplify: bool = True) -> DataFrame:
+    """`roc_points` of `score_steps` without groups."""
     totals = steps.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"),
                        F.max("score").alias("__top"), F.min("score").alias("__low"))
     start = totals.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -152,7 +190,11 @@ def roc_points(df: DataFrame, score: str, label: str, simplify: bool = True) ->
 
 def pr_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, precision, recall per distinct score, and the end point (null, 1, 0)."""
-    steps = score_steps(df, score, label)
+    return pr_of(score_steps(df, score, label))
+
+
+def pr_of(steps: DataFrame) -> DataFrame:
+    """`pr_points` of `score_steps` without groups."""
     totals = steps.agg(F.sum("pos").alias("__P"))
     points = steps.crossJoin(F.broadcast(totals)).select(
         F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -161,57 +203,91 @@ def pr_points(df: DataFrame, score: str, label: str) -> DataFrame:
     return points.unionByName(end)
 
 
+def step_summary(steps: DataFrame, by: list[str], percent: float = 0.01, rounding: str = "floor",
+                 more: dict[str, Column] | None = None) -> DataFrame:
+    """Per group, stored: curve metrics, k = `percent` of the rows, and what the cut at k takes.
+
+    `__above` are the positives of all scores taken whole, `__cut` is the score that is taken in part: `__take` rows
+    of its `__tie_pos` and `__tie_neg`.
+    """
+    size = F.ceil if rounding == "ceil" else F.floor
+    run = cumulated(steps, by)
+    n = F.col("pos") + F.col("neg")
+    if steps.count() >= min_hot_rows(steps):
+        run = _attach_totals(run, steps.groupBy(*by).agg(F.sum(n).alias("__n")), by)
+    else:
+        run = run.withColumn("__n", F.sum(n).over(Window.partitionBy(*by)))
+    run = run.withColumn("k", F.greatest(F.lit(1), size(F.col("__n") * F.lit(percent))).cast("long"))
+    upto = F.col("tp") + F.col("fp")
+    before = upto - n
+    cut = F.struct(F.col("score").alias("score"), (F.col("k") - before).alias("take"), "pos", "neg")
+    out = run.groupBy(*by).agg(
+        *_curve_sums(), F.max("k").alias("k"), F.sum(F.when(upto <= F.col("k"), F.col("pos")).otherwise(0)).alias("__above"),
+        F.max(F.when((before < F.col("k")) & (upto > F.col("k")), cut)).alias("__at"), *[c.alias(m) for m, c in (more or {}).items()])
+    return store(out.select(
+        *by, *_curve_columns(), "k", "__above", F.col("__at.score").alias("__cut"), F.col("__at.take").alias("__take"),
+        F.col("__at.pos").alias("__tie_pos"), F.col("__at.neg").alias("__tie_neg"), *(more or {})), "step-summary")
+
+
+def with_hits(summary: DataFrame, df: DataFrame, score: str, label: str, order: list[str], slice_on: str | None,
+              ties: str, by: list[str], few_groups: bool) -> DataFrame:
+    """`step_summary` with hits and hit_rate.
+
+    Rows are looked at only where the score at the cut has both classes; these rows alone are put in order.
+    """
+    mixed = (F.col("__tie_pos") > 0) & (F.col("__tie_neg") > 0)
+    tied, groups = summary.where(mixed).agg(F.max(F.col("__tie_pos") + F.col("__tie_neg")), F.count(F.lit(1))).first()
+    partly = F.when(F.col("__tie_neg") == 0, F.col("__take")).otherwise(F.lit(0))
+    if tied is not None:
+        cut = summary.where(mixed).select(*by, "__cut", "__take")
+        kept = [c for c in dict.fromkeys(order + ([slice_on] if slice_on else [])) if c not in by]
+        rows = df.select(*by, F.col(score).cast("double").alias("__s"), F.col(label).alias("__y"), *[F.col(c) for c in kept])
+        if not by:
+            rows = rows.crossJoin(F.broadcast(cut))
+        elif few_groups or groups <= SMALL_TABLE_ROWS:
+            rows = rows.join(F.broadcast(cut), by)        # the cuts are two numbers a group
+        else:
+            rows = rows.join(cut, by)
+        rows = rows.where(F.col("__s") == F.col("__cut"))
+        ranking = [F.col(c).asc() if ties == "first" else F.col(c).desc() for c in order]
+        if tied >= min_hot_rows(df):
+            slicing = slice_number(rows, slice_on or order[0])
+            rows = number_rows(rows, by, ranking, slicing if ties == "first" else descending(slicing), "__no")
+        else:
+            rows = rows.withColumn("__no", F.row_number().over(Window.partitionBy(*by).orderBy(*ranking)))
+        taken = rows.where(F.col("__no") <= F.col("__take")).groupBy(*by).agg(F.sum("__y").alias("__taken"))
+        summary = summary.join(taken, by, "left") if by else summary.join(F.broadcast(taken), how="left")
+        partly = F.when(mixed, F.coalesce("__taken", F.lit(0))).otherwise(partly)
+    hits = (F.coalesce("__above", F.lit(0)) + F.coalesce(partly, F.lit(0))).cast("long")
+    return summary.withColumns({"hits": hits, "hit_rate": hits / F.col("k")})
+
+
 def top_hit_rate(df: DataFrame, score: str, label: str, order: list[str], slice_on: str | None = None, *,
                  percent: float = 0.01, rounding: str = "floor", ties: str = "first",
                  by: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """Share of positives among the top `percent` of rows by score: columns k, hits, hit_rate.
 
-    `ties` says which rows of the score at the cut are taken: "first" or "last"
-    in row order.  Only that one score's rows are ever put in order.
-    `few_groups` says that the groups are a fixed handful, so nothing needs counting.
+    `ties` says which rows of the score at the cut are taken: "first" or "last" in row order.
+    `few_groups` says that the groups are a fixed handful.
     """
     by = list(by or [])
-    size = F.ceil if rounding == "ceil" else F.floor
-    steps = score_steps(df, score, label, by).withColumn("upto", F.col("tp") + F.col("fp"))
-    totals = steps.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
-    totals = totals.withColumn("k", F.greatest(F.lit(1), size(F.col("n") * F.lit(percent))).cast("long"))
-    steps = _attach_totals(steps, totals, by)
-    above = steps.where(F.col("upto") <= F.col("k")).groupBy(*by).agg(F.sum("pos").alias("__above"))
-    at = F.col("upto") - F.col("pos") - F.col("neg")
-    cut = steps.where((at < F.col("k")) & (F.col("upto") > F.col("k"))).select(
-        *by, F.col("score").alias("__cut"), (F.col("k") - at).alias("__take"))
-    rows = df.select(*by, F.col(score).cast("double").alias("__s"), F.col(label).alias("__y"),
-                     *[F.col(c) for c in dict.fromkeys(order + ([slice_on] if slice_on else [])) if c not in by])
-    if not by:
-        rows = rows.crossJoin(F.broadcast(cut))
-    elif few_groups:
-        rows = rows.join(F.broadcast(cut), by, "left")
-    else:
-        rows = lookup_join(rows, cut, by, table_keys=df.select(*by).distinct())
-    rows = rows.where(F.col("__s") == F.col("__cut"))
-    direction = (lambda c: F.col(c).asc()) if ties == "first" else (lambda c: F.col(c).desc())
-    slicing = slice_number(rows, slice_on or order[0])
-    numbered = number_rows(rows, by, [direction(c) for c in order], slicing if ties == "first" else descending(slicing), "__no")
-    partly = numbered.where(F.col("__no") <= F.col("__take")).groupBy(*by).agg(F.sum("__y").alias("__partly"))
-    out = totals
-    for part in (above, partly):
-        out = out.join(part, by, "left") if by else out.join(F.broadcast(part), how="left")
-    hits = (F.coalesce("__above", F.lit(0)) + F.coalesce("__partly", F.lit(0))).cast("long")
-    return out.select(*by, "k", hits.alias("hits"), (hits / F.col("k")).alias("hit_rate"))
+    summary = step_summary(step_table(df, score, label, by), by, percent, rounding)
+    return with_hits(summary, df, score, label, order, slice_on, ties, by, few_groups).select(*by, "k", "hits", "hit_rate")
 
 
 # ---------------------------------------------------------------------------
 # Threshold search
 # ---------------------------------------------------------------------------
-def grid_counts(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Confusion counts for each of the 1001 grid thresholds (rows per group: 1001)."""
+def grid_counts(df: DataFrame, score: str, label: str | None, by: list[str] | None = None) -> DataFrame:
+    """Confusion counts for each of the 1001 grid thresholds (rows per group: 1001); without a label `df` is a step table."""
     by = list(by or [])
     step = 1.0 / GRID_STEPS
     s = F.col(score).cast("double")
     near = F.floor(s * GRID_STEPS)
     reached = (F.when((near + 1) * step <= s, near + 1).when(near * step > s, near - 1).otherwise(near))
     counted = df.groupBy(*by, F.least(F.lit(GRID_STEPS), reached).cast("int").alias("i")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        *([F.sum("pos").alias("pos"), F.sum("neg").alias("neg")] if label is None else
+          [F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")]))
     totals = counted.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     grid = totals.select(*by, "P", "N", F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS))).alias("i"))
     joined = grid.join(counted, by + ["i"], "left")
@@ -221,15 +297,17 @@ def grid_counts(df: DataFrame, score: str, label: str, by: list[str] | None = No
     return out.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")}).drop("P", "N")
 
 
-def best_f1_threshold(df: DataFrame, score: str, label: str, fpr_cap: float | None = None,
+def best_f1_threshold(df: DataFrame, score: str, label: str | None, fpr_cap: float | None = None,
                       by: list[str] | None = None) -> DataFrame:
     """Grid threshold with the highest F1 (the smallest one if tied), optionally with FPR <= cap.
 
     A group without an admissible threshold has no row.
     """
-    by = list(by or [])
-    grid = grid_counts(df, score, label, by).withColumns({
-        "f1": f1_from(F.col("tp"), F.col("fp"), F.col("fn")), "fpr": fpr_from(F.col("fp"), F.col("tn"))})
+    return _best_f1(grid_counts(df, score, label, by), fpr_cap, list(by or []))
+
+
+def _best_f1(grid: DataFrame, fpr_cap: float | None, by: list[str]) -> DataFrame:
+    grid = grid.withColumns({"f1": f1_from(F.col("tp"), F.col("fp"), F.col("fn")), "fpr": fpr_from(F.col("fp"), F.col("tn"))})
     if fpr_cap is not None:
         grid = grid.where(F.col("fpr") <= fpr_cap)
     best = grid.groupBy(*by).agg(F.max_by(F.struct("threshold", "f1", "fpr"), F.struct("f1", -F.col("i"))).alias("b"))
@@ -248,14 +326,25 @@ def variant_rows(df: DataFrame, label: str, variants: dict[str, tuple[Column, Co
     return df.select(F.col(label).cast("int").alias("__y"), *keep, F.inline(F.array(*parts)))
 
 
+_CELLS = {"__tn": (0, 0), "__fp": (0, 1), "__fn": (1, 0), "__tp": (1, 1)}       # truth, decision
+
+
+def _counted(cell: str) -> Column:
+    truth, decision = _CELLS[cell]
+    return F.count_if((F.col("__y") == truth) & (F.col("__pred") == decision))
+
+
+def variant_steps(rows: DataFrame) -> DataFrame:
+    """Step table of `variant_rows` output, with the confusion counts of the decisions at every score."""
+    return step_table(rows, "__score", "__y", ["variant"], {n: _counted(n) for n in _CELLS})
+
+
 def evaluate_variants(rows: DataFrame, order: list[str], slice_on: str | None = None, percent: float = 0.01) -> DataFrame:
     """F1, ROC AUC, FPR and top hit rate per variant of `variant_rows` output."""
-    rates = with_rates(confusion_counts(rows, "__y", "__pred", ["variant"])).select("variant", "f1", "fpr")
-    curve = curve_metrics(rows, "__score", "__y", ["variant"]).select("variant", "roc_auc")
-    top = top_hit_rate(rows, "__score", "__y", order, slice_on, percent=percent, rounding="ceil", ties="last",
-                       by=["variant"], few_groups=True)
-    return rates.join(curve, "variant").join(top.select("variant", "hit_rate"), "variant").select(
-        "variant", "f1", "roc_auc", "fpr", "hit_rate")
+    summary = step_summary(variant_steps(rows), ["variant"], percent, "ceil", {n: F.sum(n) for n in _CELLS})
+    out = with_hits(summary, rows, "__score", "__y", order, slice_on, "last", ["variant"], True)
+    tn, fp, fn, tp = (F.col(n) for n in _CELLS)
+    return out.select("variant", f1_from(tp, fp, fn).alias("f1"), "roc_auc", fpr_from(fp, tn).alias("fpr"), "hit_rate")
 
 
 def _system_scores() -> tuple[Column, Column, Column]:
@@ -280,44 +369,53 @@ def ablation_table(base: DataFrame, aggressive: DataFrame, label: str, order: li
     return evaluate_variants(rows, order, slice_on)
 
 
-def calibrated_thresholds(df: DataFrame, label: str, scores: dict[str, Column], fpr_cap: float) -> dict[tuple[str, str], float]:
-    """(score name, "best" | "capped") -> grid threshold; one pass over the data, a few rows to the driver."""
-    rows = df.select(F.col(label).alias("__y"), F.inline(F.array(*[
-        F.struct(F.lit(n).alias("name"), c.alias("__s")) for n, c in scores.items()])))
-    best = best_f1_threshold(rows, "__s", "__y", None, ["name"]).withColumn("kind", F.lit("best"))
-    capped = best_f1_threshold(rows, "__s", "__y", fpr_cap, ["name"]).withColumn("kind", F.lit("capped"))
-    return {(r["name"], r["kind"]): r["threshold"] for r in best.unionByName(capped).collect()}
+def calibrated_thresholds(steps: DataFrame, fpr_cap: float) -> dict[tuple[str, str], float]:
+    """(variant, "best" | "capped") -> grid threshold, from a step table; a few rows to the driver."""
+    grid = store(grid_counts(steps, "score", None, ["variant"]), "threshold-grid")
+    best = _best_f1(grid, None, ["variant"]).withColumn("kind", F.lit("best"))
+    capped = _best_f1(grid, fpr_cap, ["variant"]).withColumn("kind", F.lit("capped"))
+    return {(r["variant"], r["kind"]): r["threshold"] for r in best.unionByName(capped).collect()}
 
 
 def calibration_table(base: DataFrame, aggressive: DataFrame, label: str, order: list[str],
                       slice_on: str | None = None, fpr_cap: float = 0.2) -> DataFrame:
     """Fixed, best-F1 and FPR-bounded thresholds for the model and the fused score, and the system decisions.
 
-    A variant without an admissible threshold is left out.
+    A variant without an admissible threshold is left out. Variants of one score share its steps: a threshold only
+    changes which of them count as positive.
     """
     model, _, fused = _system_scores()
-    found = calibrated_thresholds(base, label, {"model": model, "fusion": fused}, fpr_cap)
-    used = {"model_fixed": 0.5, "model_best": found.get(("model", "best")), "model_capped": found.get(("model", "capped")),
-            "fusion_best": found.get(("fusion", "best")), "fusion_capped": found.get(("fusion", "capped"))}
-    variants = {n: (s, s >= t) for n, t in used.items() if t is not None
-                for s in [model if n.startswith("model") else fused]}
-    variants["fusion_system"] = (fused, F.col("fusion_decision"))
-    rows = variant_rows(base, label, variants, order, slice_on).unionByName(
+    rows = variant_rows(base, label, {"model": (model, model >= 0.5), "fusion": (fused, F.col("fusion_decision"))}, order, slice_on).unionByName(
         variant_rows(aggressive, label, {"fusion_aggressive": (fused, F.col("fusion_decision"))}, order, slice_on))
-    threshold = F.lit(None).cast("double")
-    for name, value in used.items():
-        threshold = F.when(F.col("variant") == name, F.lit(value)).otherwise(threshold)
-    return evaluate_variants(rows, order, slice_on).withColumn("threshold", threshold)
+    steps = variant_steps(rows)
+    found = calibrated_thresholds(steps, fpr_cap)
+    variants = {"model_fixed": ("model", 0.5), "fusion_system": ("fusion", None), "fusion_aggressive": ("fusion_aggressive", None)}
+    variants |= {f"{source}_{kind}": (source, t) for (source, kind), t in found.items() if source != "fusion_aggressive"}
+    parts = []
+    for name, (source, t) in variants.items():
+        cells = [F.col(n) for n in _CELLS] if t is None else [
+            F.when(high, F.col(c)).otherwise(0) for high, c in ((F.col("score") < t, "neg"), (F.col("score") >= t, "neg"),
+                                                                (F.col("score") < t, "pos"), (F.col("score") >= t, "pos"))]
+        mine = F.col("variant") == source
+        sums = [F.coalesce(F.sum(F.when(mine, c)), F.lit(0)).alias(n) for n, c in zip(_CELLS, cells, strict=True)]
+        parts.append(F.struct(F.lit(name).alias("name"), F.lit(source).alias("variant"), F.lit(t).cast("double").alias("threshold"), *sums))
+    decided = steps.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    summary = step_summary(steps, ["variant"], 0.01, "ceil")
+    ranked = with_hits(summary, rows, "__score", "__y", order, slice_on, "last", ["variant"], True)
+    tn, fp, fn, tp = (F.col(n) for n in _CELLS)
+    return decided.join(F.broadcast(ranked), "variant").select(       # a row per score
+        F.col("name").alias("variant"), f1_from(tp, fp, fn).alias("f1"), "roc_auc", fpr_from(fp, tn).alias("fpr"), "hit_rate", "threshold")
 
 
 def evaluate_by_file(df: DataFrame, file: str, score: str, label: str, order: list[str], slice_on: str | None = None) -> DataFrame:
     """Rows, positives, share, ROC AUC, average precision and top-1 % hit rate of every file; no score counts as 0."""
     df = df.withColumn(score, scored(F.col(score)))
-    base = df.groupBy(file).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"),
-                                F.avg(label).alias("share"))
-    curve = curve_metrics(df, score, label, [file]).select(file, "roc_auc", "average_precision")
-    top = top_hit_rate(df, score, label, order, slice_on, by=[file]).select(file, F.col("hit_rate").alias("top1_hit"), F.col("k").alias("top1_rows"))
-    return base.join(curve, file, "left").join(top, file, "left")
+    y = F.col(label)
+    steps = step_table(df, score, label, [file], {"rows": F.count(F.lit(1)), "labelled": F.count(y), "total": F.sum(y).cast("long")})
+    summary = step_summary(steps, [file], more={"rows": F.sum("rows"), "share": F.sum("total") / F.sum("labelled"), "total": F.sum("total")})
+    out = with_hits(summary, df, score, label, order, slice_on, "first", [file], False)
+    return out.select(file, "rows", F.col("total").alias("positives"), "share", "roc_auc", "average_precision",
+                      F.col("hit_rate").alias("top1_hit"), F.col("k").alias("top1_rows"))
 
 
 def weight_sweep(df: DataFrame, label: str, model: str, rules: str, weights: list[tuple[float, float]],

@@ -5,8 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,19 +14,26 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.exprs import col, number
 from flowspark.operators.analyze import QUANTILE_POINTS
-from flowspark.operators.clean import META_COLUMNS, infer_features, interpret_prediction, pick_column, ANOMALOUS, NORMAL
+from flowspark.operators.clean import (
+    ANOMALOUS, META_COLUMNS, NORMAL, add_alias_copies, infer_features, interpret_prediction, pick_column, with_coverage)
 from flowspark.operators.fusion import final_decision, fuse_votes
 from flowspark.operators.metrics import confusion_counts, curve_metrics, evaluate_variants, variant_rows, with_rates
 from flowspark.operators.ordered import exact_quantiles
 from flowspark.operators.rules import rule_settings, score_rules
 from flowspark.operators.sample import stratified_split
 from flowspark.schema import REGISTRY_SCHEMA
+from flowspark.session import store
 
 # Training defaults.
 MAX_ITER, LEARNING_RATE, TEST_SIZE, SEED = 300, 0.1, 0.2, 42
 MAX_MEMBERS = 10
 LABEL_MAP = {0: "BENIGN", 1: "MALICIOUS"}
 POSITIVE_WORDS = ["异常", "恶意", "malicious", "anomaly", "attack", "1", "-1"]
+LOW_COVERAGE = 0.2
+# Warnings of capture scoring.
+NO_SHARED_FEATURES = "模型特征与当前 PCAP 提取的特征没有重叠，预测结果不可信，请检查训练/提取特征是否一致。"
+FEW_SHARED_FEATURES = "模型特征仅有 %d 个与当前流量重叠（%.1f%%），预测可靠性较低。"
+FEW_FILLED_FEATURES = "特征覆盖率仅 %.1f%% ，输入列大多为补零。"
 # Metrics that may weigh a member, best first.
 WEIGHT_METRICS = {
     "auc": ["val_auc", "validation_auc", "train_auc", "train_auc_macro"],
@@ -65,12 +70,13 @@ def _assembler(n: int) -> VectorAssembler:
 
 def train_classifier(df: DataFrame, label: str, key: list[str], *, features: list[str] | None = None, estimator=None,
                      max_iter: int = MAX_ITER, step: float = LEARNING_RATE, max_depth: int = 5, seed: int = SEED,
-                     test_size: float = TEST_SIZE) -> dict:
+                     test_size: float = TEST_SIZE, label_map: dict[int, str] | None = None) -> dict:
     """Hold-out metrics from an exact stratified split, then a refit on all rows.
 
     Returns the fitted pipeline, its features, and the metrics, score quantiles
     and best threshold of the hold-out.  Any Spark ML estimator may replace the
-    boosted trees.  The input is read several times: pass a stored table.
+    boosted trees; `label_map` names the classes and so tells which one is positive.
+    The input is read several times: pass a stored table.
     """
     found = pick_column(df.columns, [label], "label")
     if found is None:
@@ -81,8 +87,10 @@ def train_classifier(df: DataFrame, label: str, key: list[str], *, features: lis
     learner = estimator or GBTClassifier(labelCol="y", maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed)
     pipeline = Pipeline(stages=[_assembler(len(features)), learner])
     fitted = pipeline.fit(marked.where(~F.col("is_test")))
-    scored = fitted.transform(marked.where("is_test")).select(
-        "y", F.col("prediction").cast("int").alias("p"), positive_score(F.col("probability"), 1).alias("s"))
+    positive = positive_index(_classes(fitted), label_map)
+    scored = store(fitted.transform(marked.where("is_test")).select(
+        (F.col("y") == positive).cast("int").alias("y"), (F.col("prediction") == positive).cast("int").alias("p"),
+        positive_score(F.col("probability"), positive).alias("s")), "holdout")
     rates = with_rates(confusion_counts(scored, "y", "p")).crossJoin(curve_metrics(scored, "s", "y")).first()
     quantiles = {r["prob"]: r["quantile"] for r in exact_quantiles(scored, "s", QUANTILE_POINTS).collect()}
     metrics = {k: rates[k] for k in ("accuracy", "precision", "recall", "f1", "roc_auc") if rates[k] is not None}
@@ -91,6 +99,10 @@ def train_classifier(df: DataFrame, label: str, key: list[str], *, features: lis
             "threshold": quantiles.get(0.95), "samples": int(rows.count()), "holdout": scored}
 
 
+def _classes(model: PipelineModel) -> list[int]:
+    return list(range(getattr(model.stages[-1], "numClasses", 2)))
+
+
 def training_fit_metrics(df: DataFrame, label: str, model: PipelineModel, features: list[str]) -> DataFrame:
     """F1 and AUC of a fitted model on the rows it was trained on."""
     scored = score_with(df, model, features, label=label)
@@ -98,7 +110,9 @@ def training_fit_metrics(df: DataFrame, label: str, model: PipelineModel, featur
         curve_metrics(scored, "s", "y").select(F.col("roc_auc").alias("auc")))
 
 
-def score_with(df: DataFrame, model: PipelineModel, features: list[str], label: str | None = None, index: int = 1) -> DataFrame:
+def score_with(df: DataFrame, model: PipelineModel, features: list[str], label: str | None = None,
+               label_map: dict[int, str] | None = None) -> DataFrame:
+    index = positive_index(_classes(model), label_map)
     out = model.transform(feature_frame(df, features, label))
     return out.select(*(["y"] if label else []), F.col("prediction").cast("int").alias("p"),
                       positive_score(F.col("probability"), index).alias("s"))
@@ -206,9 +220,8 @@ class Ensemble:
         for i, ((model, _), own) in enumerate(zip(self.members, self.member_features, strict=True)):
             name = f"__m{i}"
             inputs = {f"f{j}": F.col(f"__v.v{self.features.index(c)}") for j, c in enumerate(own)}
-            classes = list(range(getattr(model.stages[-1], "numClasses", 2)))
             data = model.transform(data.withColumns(inputs)).withColumn(
-                name, positive_score(F.col("probability"), positive_index(classes, self.label_map))).drop(
+                name, positive_score(F.col("probability"), positive_index(_classes(model), self.label_map))).drop(
                 *inputs, "features", "rawPrediction", "probability", "prediction")
             names.append(name)
         score = vote([(F.col(n), w) for n, (_, w) in zip(names, self.members)])
@@ -230,6 +243,29 @@ def predict_flows(df: DataFrame, ensemble: Ensemble, order: list[str], *, metada
     return final_decision(fuse_votes(ruled, settings), settings)
 
 
+def score_captures(flows: DataFrame, ensemble: Ensemble, file: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Model scores of extracted flows, and per capture how well the model's features are covered.
+
+    Features are looked for under their aliases; one that is missing counts as 0. The report has flows, shared_features,
+    coverage (share of the model's features that hold a number), missing_columns and warnings.
+    """
+    features = ensemble.features
+    completed = add_alias_copies(flows, features)
+    missing = [c for c in features if c not in completed.columns]
+    shared = len(features) - len(missing)
+    counted = with_coverage(completed, features).withColumns({c: F.lit(0.0) for c in missing})
+    scored = ensemble.score(counted).select(*[col(c) for c in flows.columns], "malicious_score", "available_features", "missing_features")
+    part = shared / max(1, len(features))
+    about_columns = (F.lit(NO_SHARED_FEATURES) if features and not shared else
+                     F.format_string(FEW_SHARED_FEATURES, F.lit(shared), F.lit(100.0 * part)) if part < LOW_COVERAGE else F.lit(None).cast("string"))
+    about_values = F.when(about_columns.isNull() & (F.col("coverage") < LOW_COVERAGE), F.format_string(FEW_FILLED_FEATURES, 100.0 * F.col("coverage")))
+    report = scored.groupBy(file).agg(
+        F.count(F.lit(1)).alias("flows"), F.avg(F.col("available_features") / F.lit(max(1, len(features)))).alias("coverage"))
+    return scored, report.select(
+        file, "flows", F.lit(shared).alias("shared_features"), "coverage", F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns"),
+        F.array_compact(F.array(about_columns, about_values)).alias("warnings"))
+
+
 def prediction_summary(predicted: DataFrame) -> DataFrame:
     bad = F.count_if(F.col("prediction_status") == 1)
     return predicted.agg(F.count(F.lit(1)).alias("rows"), bad.alias("anomaly_count")).withColumns({
@@ -296,52 +332,3 @@ def standardized(df: DataFrame, features: list[str], reference: DataFrame | None
     scaled = {c: (col(c).cast("double") - F.col(f"__m{i}")) / F.when(F.col(f"__s{i}") == 0, 1.0).otherwise(F.col(f"__s{i}"))
               for i, c in enumerate(features)}
     return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*[x for i in range(len(features)) for x in (f"__m{i}", f"__s{i}")])
-
-
-def nearest_neighbours(queries: DataFrame, train: DataFrame, vector: str, query_id: str, train_id: str, label: str, *,
-                       k: int = 15, block_rows: int = 4096, leave_self_out: bool = False) -> DataFrame:
-    """Exact k nearest training rows of every query: query_id, train_id, label, distance, rank.
-
-    Both sides are cut into blocks by row hash.  A pair of blocks is one task
-    that multiplies two small matrices and keeps k candidates per query, so
-    what leaves a task is k rows per query and training block, never a pair per
-    row; the candidates are then merged per query.
-    """
-    blocks = lambda d: max(1, -(-d.count() // block_rows))
-    nq, nt = blocks(queries), blocks(train)
-    q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"),
-                       F.pmod(F.xxhash64(query_id), F.lit(nq)).cast("int").alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("tb"))
-    t = train.select(F.col(train_id).alias("id"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y"),
-                     F.pmod(F.xxhash64(train_id, F.lit(1)), F.lit(nt)).cast("int").alias("tb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"),
-                              "y": pd.Series(dtype="float64"), "distance": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        a, b = np.array(left["v"].tolist(), dtype=float), np.array(right["v"].tolist(), dtype=float)
-        d = (a * a).sum(1)[:, None] - 2.0 * a @ b.T + (b * b).sum(1)[None, :]
-        if leave_self_out:
-            d[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        at = np.argpartition(d, take - 1, axis=1)[:, :take]
-        rows = np.repeat(np.arange(len(a)), take)
-        cols = at.ravel()
-        exact = ((a[rows] - b[cols]) ** 2).sum(1)
-        out = pd.DataFrame({"query": left["id"].to_numpy()[rows], "neighbour": right["id"].to_numpy()[cols],
-                            "y": right["y"].to_numpy()[cols], "distance": np.sqrt(exact)})
-        return out[np.isfinite(d[rows, cols])]
-
-    found = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(best, "query long, neighbour long, y double, distance double")
-    nearest = Window.partitionBy("query").orderBy("distance", "neighbour")      # k rows per training block
-    ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias(query_id), F.col("neighbour").alias(train_id if train_id != query_id else "neighbour_id"),
-                         F.col("y").alias("neighbour_label"), "distance", "rank")
-
-
-def knn_vote(neighbours: DataFrame, query_id: str) -> DataFrame:
-    """Score = mean label of the neighbours."""
-    return neighbours.groupBy(query_id).agg(F.avg("neighbour_label").alias("score"), F.count(F.lit(1)).alias("neighbours"))
-

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.session import store
+
 DEFAULT_MIN_ROWS = 1_000_000
 MAX_SLICES = 1 << 14      # per key; beyond 1.6e10 rows of one key slices grow, and spill
 SMALL_TABLE_ROWS = 100_000
@@ -282,19 +284,26 @@ def keyed_join(df: DataFrame, table: DataFrame, keys: list[str], hot: HotKeys |
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated quantiles: one row per group and probability.
+    """Linear-interpolated quantiles: one row per group and probability; null values are left out, NaN is the largest.
 
-    Values are counted first, so the ordered pass sees distinct values only and
-    no task holds all of them.  Columns: `by`, `prob`, `quantile`.
+    One aggregation counts the groups. A group below hotMinRows rows is counted by distinct value and summed up.
+    In a larger one the wanted ranks are closed in by counts alone, and after two or three rounds fewer than
+    hotMinRows rows or a single value are left for each. Columns: `by`, `prob`, `quantile`.
     """
     by = list(by or [])
-    counted = (
-        df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-        .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    )
-    steps = running_sums(counted, by, [F.col("__v").asc()], F.col("__v"), {"__upto": F.col("__n")})
-    totals = counted.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    steps = _attach_totals(steps, totals, by)
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    hot = hot_keys(rows, by)
+    if hot is None:
+        return _counted_quantiles(rows, by, probs)
+    large = _selected_quantiles(hot.rows(rows), by, probs, min_hot_rows(df))
+    return _counted_quantiles(hot.others(rows), by, probs).unionByName(large) if by else large
+
+
+def _counted_quantiles(rows: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    counted = rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*by)
+    steps = counted.withColumns({
+        "__upto": F.sum("__n").over(whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)), "__total": F.sum("__n").over(whole)})
     at = F.col("p") * (F.col("__total") - 1)
     points = steps.select(
         *by, "__v", "__n", "__upto", "__total",
@@ -314,6 +323,71 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     return ends.select(*by, "prob", (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias("quantile"))
 
 
+GRID, SKETCH_ACCURACY, GRID_MARGIN = 1000, 10_000, 2      # the sketch is off by a tenth of a grid step
+
+
+def _selected_quantiles(rows: DataFrame, by: list[str], probs: list[float], floor: int) -> DataFrame:
+    """Quantiles of large groups (so few that the state is broadcast: two rows per probability and `floor` rows).
+
+    The state of a wanted rank is an open range of values, the number of rows below it and inside. A round
+    picks two values a < b near the rank from a sketch and counts what lies below, at, between and above them, so the rank
+    falls on a, on b or into one of three smaller ranges, however far the sketch is off.
+    """
+    key = [*by, "p", "side"]
+    at = F.col("p") * (F.col("__total") - 1)
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side")) for p in probs for side in (0, 1)])).alias("w")
+    none = F.lit(None).cast("double")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")).select(*by, "__total", wanted).select(*by, "__total", "w.*")
+    state = store(sizes.select(
+        *key, "__total", F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at)).alias("__rank"), none.alias("__from"), none.alias("__to"),
+        F.lit(0).cast("long").alias("__below"), F.col("__total").alias("__inside"), none.alias("__value")), "quantile-state")
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        if not keys:
+            return left.crossJoin(F.broadcast(right))
+        return left.join(F.broadcast(_renamed(right, keys, "__q_")), _same_keys(left, keys, "__q_")).drop(*["__q_" + k for k in keys])
+
+    def inside(table: DataFrame) -> DataFrame:
+        v, low, high = F.col("__v"), F.col("__from"), F.col("__to")
+        return joined(rows, table, by).where((low.isNull() | (v > low)) & (high.isNull() | (v < high)))
+
+    wide = F.col("__value").isNull() & (F.col("__inside") > floor)
+    while not state.where(wide).isEmpty():
+        grid = F.percentile_approx("__v", [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY)
+        sketch = inside(state.where(wide)).groupBy(*key).agg(grid.alias("__grid"))
+        near = F.floor((F.col("__rank") - F.col("__below")) * GRID / F.col("__inside")).cast("int")
+        pivots = store(joined(state.where(wide), sketch, key).withColumns({
+            "__a": F.get("__grid", F.greatest(F.lit(0), near - GRID_MARGIN)),
+            "__b": F.get("__grid", F.least(F.lit(GRID), near + 1 + GRID_MARGIN))}).drop("__grid"), "quantile-pivots")
+        v, a, b = F.col("__v"), F.col("__a"), F.col("__b")
+        counts = inside(pivots).groupBy(*key).agg(
+            F.count_if(v < a).alias("c1"), F.count_if(v == a).alias("c2"), F.count_if((v > a) & (v < b)).alias("c3"),
+            F.count_if((v == b) & (v > a)).alias("c4"))
+        step = joined(pivots, counts, key)
+        rank = F.col("__rank") - F.col("__below")
+        upto = [F.lit(0), F.col("c1"), F.col("c1") + F.col("c2"), F.col("c1") + F.col("c2") + F.col("c3"), F.col("c1") + F.col("c2") + F.col("c3") + F.col("c4")]
+        place = sum(((rank >= u).cast("int") for u in upto[1:]), F.lit(0))        # 0 below a, 1 at a, 2 between, 3 at b, 4 above
+        step = step.withColumn("__place", place).select(
+            *key, "__total", "__rank",
+            F.when(F.col("__place") == 2, a).when(F.col("__place") == 4, b).otherwise(F.col("__from")).alias("__from"),
+            F.when(F.col("__place") == 0, a).when(F.col("__place") == 2, b).otherwise(F.col("__to")).alias("__to"),
+            (F.col("__below") + F.get(F.array(*upto), F.col("__place"))).alias("__below"),
+            F.get(F.array(F.col("c1"), F.lit(0), F.col("c3"), F.lit(0), F.col("__inside") - upto[4]), F.col("__place")).alias("__inside"),
+            F.when(F.col("__place") == 1, a).when(F.col("__place") == 3, b).alias("__value"))
+        state = store(state.where(~wide).unionByName(step), "quantile-state")
+    open_ = F.col("__value").isNull()
+    counted = inside(state.where(open_)).groupBy(*key, "__rank", "__below", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*key).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("__upto", F.sum("__n").over(along) + F.col("__below"))
+    last = counted.where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n"))).select(
+        *key, F.col("__v").alias("__value"))
+    part = sizes.select(*by, F.col("p").alias("prob"), (at - F.floor(at)).alias("__part")).distinct()
+    ends = state.where(~open_).select(*key, "__value").unionByName(last).groupBy(*by, F.col("p").alias("prob")).agg(
+        F.max(F.when(F.col("side") == 0, F.col("__value"))).alias("__low"), F.max(F.when(F.col("side") == 1, F.col("__value"))).alias("__high"))
+    return joined(ends, part, [*by, "prob"]).select(
+        *by, "prob", (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias("quantile"))
+
+
 def _attach_totals(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """Totals per group (one row each) onto rows: by broadcast if there are few groups, else by shuffle with hot groups apart."""
     if not by:

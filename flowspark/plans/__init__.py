@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["rule_queries", "flow_queries", "metric_queries", "analyze_queries", "clean_queries", "model_queries", "file_queries"]
+MODULES = ["rule_queries", "flow_queries", "metric_queries", "analyze_queries", "clean_queries", "model_queries", "file_queries", "store_queries",
+           "report_queries"]
 
 
 def load_queries():

@@ -165,18 +165,24 @@ def metrics_first_usable_label(spark, sf_dir):
 SELECT a.positives, a.negatives, round(a.roc_auc, 9) AS fine_auc, round(b.roc_auc, 9) AS tied_auc FROM a, b""")
 def roc_auc(spark, sf_dir):
     """ROC AUC of a fine score and of one with many ties."""
-    rows = results_from_lineitem(spark, sf_dir)
-    a = me.curve_metrics(rows, "fine_score", "label").select("positives", "negatives", F.round("roc_auc", 9).alias("fine_auc"))
-    return a.crossJoin(me.curve_metrics(rows, "malicious_score", "label").select(F.round("roc_auc", 9).alias("tied_auc")))
+    return _two_curves(spark, sf_dir).agg(
+        F.max("positives").alias("positives"), F.max("negatives").alias("negatives"), _of("fine", "roc_auc"), _of("tied", "roc_auc"))
+
+
+def _two_curves(spark, sf_dir):
+    return me.curves_of(results_from_lineitem(spark, sf_dir), {"fine": F.col("fine_score"), "tied": F.col("malicious_score")}, "label")
+
+
+def _of(name, metric):
+    short = {"roc_auc": "auc", "average_precision": "ap"}[metric]
+    return F.round(F.max(F.when(F.col("name") == name, F.col(metric))), 9).alias(f"{name}_{short}")
 
 
 @query("average_precision", W + ", a AS (" + auc_sql("results", "fine_score", "label") + "), b AS (" + auc_sql("results", "malicious_score", "label") + """)
 SELECT round(a.average_precision, 9) AS fine_ap, round(b.average_precision, 9) AS tied_ap FROM a, b""")
 def average_precision(spark, sf_dir):
     """Average precision, step-wise over distinct scores."""
-    rows = results_from_lineitem(spark, sf_dir)
-    a = me.curve_metrics(rows, "fine_score", "label").select(F.round("average_precision", 9).alias("fine_ap"))
-    return a.crossJoin(me.curve_metrics(rows, "malicious_score", "label").select(F.round("average_precision", 9).alias("tied_ap")))
+    return _two_curves(spark, sf_dir).agg(_of("fine", "average_precision"), _of("tied", "average_precision"))
 
 
 _GAPPED = """, gapped AS (SELECT label, CASE WHEN CAST(l_quantity AS INTEGER) % 10 = 0 THEN NULL WHEN CAST(l_quantity AS INTEGER) % 7 = 0 THEN 'nan'::DOUBLE ELSE fine_score END AS score FROM results),

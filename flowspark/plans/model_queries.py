@@ -6,8 +6,9 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from flowspark.operators import model as mo
+from flowspark.operators import neighbours as ne
 from flowspark.operators.metrics import confusion_counts, with_rates
-from flowspark.plans.adapters import RESULTS_SQL, flows_from_lineitem, results_from_lineitem
+from flowspark.plans.adapters import RESULTS_SQL, epoch_us, flows_from_lineitem, results_from_lineitem
 from flowspark.plans.registry import query, table
 
 W = "WITH " + RESULTS_SQL
@@ -87,8 +88,43 @@ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT q AS vec_id,
 def knn_vote(spark, sf_dir):
     """Mean label of the fifteen nearest other vectors."""
     rows = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") > 4).cast("int"))
-    near = mo.nearest_neighbours(rows, rows, "embedding", "vec_id", "vec_id", "y", k=15, leave_self_out=True)
-    return mo.knn_vote(near, "vec_id").withColumn("score", F.round("score", 9))
+    near = ne.nearest_neighbours(rows, rows, "embedding", "vec_id", "vec_id", "y", k=15, leave_self_out=True)
+    return ne.knn_vote(near, "vec_id").withColumn("score", F.round("score", 9))
+
+
+@query("knn_scaled", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM e GROUP BY i),
+v AS (SELECT vec_id, CAST(any_value(label) > 4 AS INTEGER) AS y, list((x - m) / s ORDER BY i) AS v FROM e JOIN st USING (i) GROUP BY vec_id),
+n AS (SELECT a.vec_id AS q, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) AS no FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT q AS vec_id, round(avg(y), 9) AS score, count(*) AS neighbours FROM n WHERE no <= 15 GROUP BY q""")
+def knn_scaled(spark, sf_dir):
+    """Mean label of the fifteen nearest other vectors, every dimension scaled first."""
+    rows = table(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(width)]
+    flat = rows.select("vec_id", (F.col("label") > 4).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    scaled = mo.standardized(flat, names).select("vec_id", "y", F.array(*names).alias("v"))
+    near = ne.nearest_neighbours(scaled, scaled, "v", "vec_id", "vec_id", "y", k=15, leave_self_out=True)
+    return ne.knn_vote(near, "vec_id").withColumn("score", F.round("score", 9))
+
+
+@query("knn_holdout", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, epoch_us(o_orderdate) / 86400000000.0::DOUBLE AS day, o_custkey::DOUBLE AS customer, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+st AS (SELECT avg(price) AS m1, stddev_pop(price) AS s1, avg(day) AS m2, stddev_pop(day) AS s2, avg(customer) AS m3, stddev_pop(customer) AS s3 FROM o WHERE id % 100 <> 0),
+v AS (SELECT id, y, [(price - m1) / s1, (day - m2) / s2, (customer - m3) / s3] AS v FROM o, st),
+n AS (SELECT q.id, q.y AS truth, t.y, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.v, t.v), 9), t.id) AS no FROM v q JOIN v t ON q.id % 100 = 0 AND t.id % 100 <> 0)
+SELECT id, truth, round(avg(y), 9) AS score, CAST(avg(y) > 0.5 AS INTEGER) AS prediction FROM n WHERE no <= 15 GROUP BY id, truth""")
+def knn_holdout(spark, sf_dir):
+    """k-NN as a classifier: hold-out rows against the training rows, scaled by the training rows."""
+    names = ["price", "day", "customer"]
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), (epoch_us(F.col("o_orderdate")) / 86_400_000_000.0).alias("day"),
+        F.col("o_custkey").cast("double").alias("customer"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    train, test = rows.where("id % 100 <> 0"), rows.where("id % 100 = 0")
+    scale = lambda d: mo.standardized(d, names, train).select("id", "y", F.array(*names).alias("v"))
+    test = scale(test)
+    score = ne.knn_vote(ne.nearest_neighbours(test, scale(train), "v", "id", "id", "y", k=15), "id")
+    return test.select("id", F.col("y").alias("truth")).join(score, "id").select(
+        "id", "truth", F.round("score", 9).alias("score"), (F.col("score") > 0.5).cast("int").alias("prediction"))
 
 
 @query("standardized_features", W + """, s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_extendedprice) AS m2, stddev_pop(l_extendedprice) AS s2 FROM results)

@@ -66,16 +66,35 @@ def list_files(spark: SparkSession, source: str, suffixes: tuple[str, ...], recu
     return spark.createDataFrame(sorted(found), LISTING_SCHEMA)
 
 
-def list_captures(spark: SparkSession, source: str) -> DataFrame:
-    return list_files(spark, source, CAPTURE_SUFFIXES)
+def list_captures(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """Captures of a directory, the one file, or those of an explicit list that exist, in its order (`place`)."""
+    if isinstance(source, str):
+        return list_files(spark, source, CAPTURE_SUFFIXES)
+    found = []
+    for place, path in enumerate(source):
+        try:
+            found += [(*r, place) for r in list_files(spark, path, ("",), False).collect()]      # one file
+        except FileNotFoundError:
+            continue
+    if not found:
+        raise FileNotFoundError("no pcap/pcapng file of the list exists")
+    return spark.createDataFrame(found, T.StructType([*LISTING_SCHEMA, T.StructField("place", T.LongType())]))
 
 
 def select_files(listing: DataFrame, mode: str = "all", start: int = 0, size: int = 1) -> DataFrame:
-    """One file ("file": number `start`, or the last one), `size` files from `start` on ("batch"), or all."""
-    if mode not in ("file", "batch"):
-        return listing.orderBy("path")
+    """One file ("file": number `start`, or the last one), `size` files from `start` on ("batch"), or all ("all", "auto").
+
+    Of an explicit list "file" takes the first one and every other mode all.
+    """
+    if mode not in ("file", "batch", "all", "auto"):
+        raise ValueError(f"unknown mode {mode!r}: file, batch, all or auto")
     if mode == "batch" and size <= 0:
         raise ValueError("size must be positive")
+    if "place" in listing.columns:
+        ordered = listing.orderBy("place")
+        return (ordered.limit(1) if mode == "file" else ordered).drop("place")
+    if mode in ("all", "auto"):
+        return listing.orderBy("path")
     order = F.col("path")
     first = max(0, start)
     if mode == "batch":

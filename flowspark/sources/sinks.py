@@ -12,10 +12,15 @@ from flowspark.functions.exprs import col
 from flowspark.operators.analyze import manifest
 from flowspark.operators.clean import align_schema, label_binary
 from flowspark.operators.flows import packet_statistics
-from flowspark.operators.ordered import lookup_join, number_rows
+from flowspark.operators.ordered import SMALL_TABLE_ROWS, lookup_join, number_rows
+from flowspark.operators.upsert import upsert
 from flowspark.schema import FLOW_COLUMNS, LABEL, LABEL_BINARY, STRING_COLUMNS
+from flowspark.session import store
 
 FLOWS_PER_RECORD = 1000
+ROWS_PER_FILE = 1_000_000
+PARTS_PER_BUCKET = 5000       # of 200 packets each
+MOST_WRITE_TASKS = 100_000
 
 
 def write_flow_csv(flows: DataFrame, path: str, label: Column | None = None, mode: str = "overwrite") -> None:
@@ -24,9 +29,26 @@ def write_flow_csv(flows: DataFrame, path: str, label: Column | None = None, mod
     out.select(*[col(c) for c in FLOW_COLUMNS]).write.mode(mode).option("header", True).csv(path)
 
 
-def write_flows_per_capture(flows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One directory per capture.  A large capture is spread over several files."""
-    flows.write.mode(mode).partitionBy("file").option("header", True).csv(path)
+def spread_by_size(df: DataFrame, file: str, rows_per_file: int, spread: list[str]) -> DataFrame:
+    """Rows dealt out so that a file per capture and task follows the capture's size.
+
+    Each capture gets one part per `rows_per_file` of its rows, by hash of the `spread` columns; a part is
+    whole in one task, small captures share tasks, and a large one is over many. The sizes come from one count.
+    """
+    sizes = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows")).select(
+        F.col(file).alias("__file"), F.ceil(F.col("__rows") / rows_per_file).cast("int").alias("__parts"))
+    sizes = store(sizes, "capture-sizes")
+    total = sizes.agg(F.sum("__parts")).first()[0] or 1
+    small = sizes.count() <= SMALL_TABLE_ROWS       # a name and a number per capture
+    joined = df.join(F.broadcast(sizes) if small else sizes, F.col(f"`{file}`").eqNullSafe(F.col("__file")))
+    part = F.pmod(F.xxhash64(*[col(c) for c in spread]), F.col("__parts"))
+    return joined.withColumn("__part", part).repartition(int(min(total, MOST_WRITE_TASKS)), F.col(f"`{file}`"), F.col("__part")).drop(
+        "__file", "__parts", "__part")
+
+
+def write_flows_per_capture(flows: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One directory per capture, with about a file per `rows_per_file` flows."""
+    spread_by_size(flows, "file", rows_per_file, ["Flow ID", "Timestamp"]).write.mode(mode).partitionBy("file").option("header", True).csv(path)
 
 
 def label_flows(flows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,9 +141,9 @@ def append_event(spark: SparkSession, path: str, event: str, data: dict | None =
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
-def append_annotations(rows: DataFrame, path: str) -> None:
-    """Annotations are only ever appended; the newest row of a key counts when read."""
-    rows.write.mode("append").parquet(path)
+def append_annotations(rows: DataFrame, path: str) -> str:
+    """Annotations as a batch of the log that `upsert.read_annotations` merges."""
+    return upsert(rows.sparkSession, path, rows)
 
 
 def write_predictions(predicted: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -129,6 +151,17 @@ def write_predictions(predicted: DataFrame, path: str, fmt: str = "parquet", mod
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
-def write_packet_chunks(chunked: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Packet table split by capture and part."""
-    chunked.write.mode(mode).partitionBy("file", "part").parquet(path)
+def write_packet_chunks(chunked: DataFrame, path: str, mode: str = "overwrite", parts_per_bucket: int = PARTS_PER_BUCKET) -> None:
+    """Packet table by capture and bucket of parts, in the order of the parts; `part` stays a column.
+
+    A directory holds `parts_per_bucket` parts, so their number follows the capture's size and not its number of parts.
+    """
+    rows = chunked.withColumn("bucket", F.floor(F.col("part") / parts_per_bucket).cast("int"))
+    order = [c for c in ("part", "packet_index") if c in rows.columns]
+    rows.repartition("file", "bucket").sortWithinPartitions("file", "bucket", *order).write.mode(mode).partitionBy("file", "bucket").parquet(path)
+
+
+def read_packet_part(spark: SparkSession, path: str, file: str, part: int, parts_per_bucket: int = PARTS_PER_BUCKET) -> DataFrame:
+    """The packets of one part; only its bucket is read."""
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("file") == file) & (F.col("bucket") == part // parts_per_bucket) & (F.col("part") == part)).drop("bucket")

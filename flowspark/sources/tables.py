@@ -21,7 +21,11 @@ CSV_ENCODINGS = ["utf-8", "utf-8-sig", "gb18030", "latin1"]
 FLOW_CSV_ENCODINGS = ["utf-8", "utf-8-sig", "cp1252", "latin-1"]
 JAVA_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "gb18030": "GB18030", "latin1": "ISO-8859-1",
                  "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
-PROBE_BYTES = 1 << 20
+ONE_BYTE = ["latin1", "latin-1", "cp1252"]      # characters are bytes
+MOST_BYTES = 4            # of a character
+PROBE_BYTES = 1 << 20     # the header lies within
+RANGE_BYTES = 16 << 20
+MOST_RANGE_TASKS = 10_000
 FIELD = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'       # a comma outside quotes
 PREFERRED_NAMES = ["vectorized", "feature", "train"]      # fixed values
 
@@ -33,62 +37,86 @@ def list_csv(spark: SparkSession, source: str | list[str], recursive: bool = Fal
     return reduce(DataFrame.unionByName, [list_files(spark, s, ("",), False) for s in source])
 
 
-def _fitting(f: _File, encodings: list[str]) -> tuple[str, str]:
-    """The first encoding that decodes all of the file, and the text of its first block."""
-    decoders = {name: codecs.getincrementaldecoder(name)() for name in encodings}
-    heads: dict[str, str] = {}
-    at = 0
-    while decoders:
-        block = f.read(at, PROBE_BYTES)
-        for name, decoder in list(decoders.items()):
-            try:
-                text = decoder.decode(block, len(block) < PROBE_BYTES)
-                heads.setdefault(name, text)
-            except UnicodeDecodeError:
-                del decoders[name]
-        at += len(block)
-        if len(block) < PROBE_BYTES:
-            break
-    if not decoders:
-        raise ValueError("no encoding fits")
-    name = next(iter(decoders))
-    return name, heads[name]
-
-
-def _probe(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Iterator[pd.DataFrame]:
-    """Encoding and header of every file; an encoding fits if it decodes the whole file, read block by block."""
+def _carried(data: bytes, size: int, start: int, encoding: str) -> int:
+    """Where decoding `data` from byte `start` stands behind the character that covers byte `size` - 1: bytes taken from the next range, -1 if it fails.
+
+    `data` is a range of `size` bytes and the few bytes behind it; a character belongs to the range it begins in.
+    """
+    if start >= size:
+        return start - size
+    decoder = codecs.getincrementaldecoder("utf-8" if encoding == "utf-8-sig" else encoding)()
+    try:
+        decoder.decode(data[start:size])
+        for taken in range(MOST_BYTES):
+            if not decoder.getstate()[0]:
+                return taken
+            if size + taken >= len(data):
+                return -1          # the file ends within a character
+            decoder.decode(data[size + taken:size + taken + 1])
+    except UnicodeDecodeError:
+        pass
+    return -1
+
+
+def _test_ranges(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Iterator[pd.DataFrame]:
+    """Per range and encoding: for each number of bytes that the range before may have taken, how many this one takes from the next."""
     for batch in batches:
         out = []
-        for path in batch["path"]:
+        for path, k, start, end in batch[["path", "k", "start", "stop"]].itertuples(index=False):
             try:
                 f = _File(path)
                 try:
-                    name, text = _fitting(f, encodings)
+                    data = f.read(start, end - start + MOST_BYTES - 1)
                 finally:
                     f.close()
-                line = text.lstrip("\ufeff").splitlines()[0] if text.strip() else ""
-                out.append((path, name, next(csv.reader([line]), []) if line else [], None))
+                for encoding in encodings:
+                    starts = range(MOST_BYTES) if start and encoding not in ONE_BYTE else range(1)
+                    head = None
+                    if not start:
+                        text = codecs.getincrementaldecoder("utf-8-sig" if encoding == "utf-8" else encoding)("ignore").decode(data[:PROBE_BYTES])
+                        line = text.splitlines()[0] if text.strip() else ""
+                        head = next(csv.reader([line]), []) if line else []
+                    out.append((path, k, encoding, [_carried(data, end - start, s, encoding) for s in starts], head, None))
             except Exception as e:
-                out.append((path, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=["path", "encoding", "header", "error"])
+                out.append((path, k, None, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(out, columns=["path", "k", "encoding", "takes", "header", "error"])
 
 
-def probe_csv(listing: DataFrame, encodings: list[str] | None = None) -> DataFrame:
-    """path, encoding, header, error: one row per file."""
+def probe_csv(listing: DataFrame, encodings: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, encoding, header, error: one row per file; the first encoding that decodes all of it counts.
+
+    Files are tested in byte ranges, in parallel. A range does not know where its first character begins, so
+    it reports for every possible place where it would leave the next range; the reports of a file are
+    then followed from its first byte to its last.
+    """
     names = encodings or CSV_ENCODINGS
-    return listing.select("path").mapInPandas(
-        lambda it: _probe(it, names), "path string, encoding string, header array<string>, error string")
+    ranges = listing.select("path", "length", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("length") / range_bytes) - 1))).alias("k")).select(
+        "path", "k", (F.col("k") * range_bytes).alias("start"), F.least("length", (F.col("k") + 1) * range_bytes).alias("stop"))
+    n = listing.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / range_bytes)))).first()[0] or 1
+    tested = ranges.repartition(int(min(n, MOST_RANGE_TASKS)), "path", "k").mapInPandas(
+        lambda it: _test_ranges(it, names), "path string, k long, encoding string, takes array<int>, header array<string>, error string")
+    step = F.struct("k", "takes")
+    files = tested.groupBy("path", "encoding").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.max("header").alias("header"), F.max("error").alias("error"))
+    ends = F.aggregate("steps", F.lit(0), lambda at, s: F.when(at < 0, at).otherwise(F.coalesce(F.get(s["takes"], at), F.lit(-1))))
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("encoding")), F.lit(0))
+    fits = F.when((ends == 0) & F.col("error").isNull(), F.struct(rank.alias("rank"), "encoding", "header"))
+    found = files.groupBy("path").agg(F.min(fits).alias("best"), F.max("error").alias("error"))
+    lost = F.coalesce("error", F.when(F.col("best").isNull(), F.lit("ValueError: no encoding fits")))
+    return found.select("path", F.when(lost.isNull(), F.col("best.encoding")).alias("encoding"),
+                        F.when(lost.isNull(), F.col("best.header")).alias("header"), lost.alias("error"))
 
 
 def read_csv_files(listing: DataFrame, *, columns: list[str] | None = None, encodings: list[str] | None = None,
-                   infer: bool = False, skip_unreadable: bool = False, file_column: str | None = None) -> DataFrame:
+                   infer: bool = False, skip_unreadable: bool = False, file_column: str | None = None,
+                   range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All files under the union of their columns; headers are trimmed, a repeated name gets `.1`.
 
     Files are grouped by encoding and header, and each group is one scan, so a
     projection reaches every scan.
     """
     spark = listing.sparkSession
-    groups = probe_csv(listing, encodings).groupBy("encoding", "header", "error").agg(F.collect_list("path").alias("paths")).collect()
+    groups = probe_csv(listing, encodings, range_bytes).groupBy("encoding", "header", "error").agg(F.collect_list("path").alias("paths")).collect()
     bad = [p for g in groups if g["error"] for p in g["paths"]]
     if bad and not skip_unreadable:
         raise ValueError(f"cannot read {bad[:3]}")
@@ -156,8 +184,7 @@ def repair_misaligned(spark: SparkSession, source: str | list[str]) -> DataFrame
     other than 86 columns, is an error.
     """
     paths = [source] if isinstance(source, str) else list(source)
-    listing = spark.createDataFrame([(p, 0, 0) for p in paths], "path string, length long, modified_ms long")
-    probes = probe_csv(listing, ["utf-8", "utf-8-sig"]).select("header", "error").distinct().collect()
+    probes = probe_csv(list_csv(spark, paths), ["utf-8", "utf-8-sig"]).select("header", "error").distinct().collect()
     for probe in probes:
         if probe["error"]:
             raise ValueError(probe["error"])
@@ -193,20 +220,24 @@ VECTORIZED_HEADERS = [
 ]
 
 
-def read_vectorized(spark: SparkSession, path: str) -> DataFrame:
-    """The 80 features, `label_text` and `row_at` (place in the file) of a vectorised data set.
+def read_vectorized(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The 80 features, `label_text` and the place (file, block, line) of a vectorised data set: one file, or several with one header.
 
     A row longer than the header whose last value is 0 or 1 takes that as its
     label; otherwise the Label column counts, blank meaning unlabelled.
     """
-    probe = probe_csv(spark.createDataFrame([(path, 0, 0)], "path string, length long, modified_ms long"), FLOW_CSV_ENCODINGS).first()
-    if probe["error"]:
-        raise ValueError(probe["error"])
-    header = [h.strip() for h in probe["header"]]
+    paths = [path] if isinstance(path, str) else list(path)
+    probes = probe_csv(list_csv(spark, paths), FLOW_CSV_ENCODINGS).select("header", "error").distinct().collect()
+    lost = [p["error"] for p in probes if p["error"]]
+    if lost:
+        raise ValueError(lost[0])
+    if len(probes) != 1:
+        raise ValueError("the files of a data set differ in their headers")
+    header = [h.strip() for h in probes[0]["header"]]
     if header not in VECTORIZED_HEADERS:
         raise ValueError("header does not match a vectorised data set")
     names = _unique(header)
-    rows = _lines(spark, path).where(F.trim("value") != "").select("__at", _fields(F.regexp_replace("value", "^\ufeff", "")).alias("f"))
+    rows = _lines(spark, paths).where(F.trim("value") != "").select("__at", _fields(F.regexp_replace("value", "^\ufeff", "")).alias("f"))
     rows = rows.where(F.transform("f", lambda x: F.trim(x)) != F.array(*[F.lit(h) for h in header]))
     last = F.trim(F.element_at("f", -1))
     given = F.trim(F.get(F.col("f"), F.lit(names.index(LABEL))))

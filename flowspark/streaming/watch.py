@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowspark.operators.analyze import totals
 from flowspark.operators.flows import assemble_flows, packet_statistics
 from flowspark.operators.fusion import final_decision, fuse_votes
+from flowspark.operators.model import score_captures
 from flowspark.operators.rules import CAPTURE_TRIGGER_CAP, rule_settings, score_rules
 from flowspark.sources.captures import decode_captures, packets_of
 
@@ -29,7 +30,7 @@ def detect_flows(flows: DataFrame, ensemble=None, profile: str = "baseline") ->
     Without a model the model score is 0 and rules decide through the trigger.
     """
     settings = rule_settings(profile, trigger_cap=CAPTURE_TRIGGER_CAP)
-    scored = ensemble.score(flows) if ensemble is not None else flows.withColumn("malicious_score", F.lit(0.0))
+    scored = score_captures(flows, ensemble)[0] if ensemble is not None else flows.withColumn("malicious_score", F.lit(0.0))
     scored = scored.withColumn("__at", F.unix_micros(F.to_timestamp("Timestamp")))
     ruled = score_rules(scored, settings, order=["__at", "Flow ID"], scope=["file"],
                         normalize_protocol=True, integral_ports=True)
@@ -51,6 +52,11 @@ def process_batch(listing: DataFrame, out: str, batch_id: int, ensemble=None, pr
     detected = spark.read.parquet(f"{out}/detected/batch={batch_id}")
     bad = detected.groupBy("file").agg(F.count(F.lit(1)).alias("flows"), F.sum("prediction_status").cast("long").alias("anomalies"))
     status = packet_statistics(decoded).join(bad, "file", "left").na.fill(0, ["flows", "anomalies"])
+    if ensemble is None:
+        status = status.withColumns({"coverage": F.lit(None).cast("double"), "warnings": F.array().cast("array<string>")})
+    else:
+        covered = score_captures(spark.read.parquet(flow_path), ensemble)[1].select("file", "coverage", "warnings")
+        status = status.join(covered, "file", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
     status.withColumn("finished_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
 
 
@@ -74,4 +80,5 @@ def run_totals(spark: SparkSession, out: str) -> DataFrame:
 def file_status(spark: SparkSession, out: str) -> DataFrame:
     """Latest status row per capture."""
     rows = spark.read.parquet(f"{out}/status")
-    return rows.groupBy("file").agg(F.max_by(F.struct("parsed_packets", "dropped_packets", "flows", "anomalies", "error"), "finished_at").alias("s")).select("file", "s.*")
+    return rows.groupBy("file").agg(F.max_by(F.struct(
+        "parsed_packets", "dropped_packets", "flows", "anomalies", "coverage", "warnings", "error"), "finished_at").alias("s")).select("file", "s.*")

@@ -127,13 +127,14 @@ def test_report_tables(spark):
 
 
 def test_annotations(spark, tmp_path):
+    from flowspark.operators.upsert import read_annotations
     from flowspark.sources.sinks import append_annotations
     flows = spark.createDataFrame([("f1", "10.0.0.1"), ("f2", " "), (None, None)], "flow_id string, src_ip string")
     store = str(tmp_path / "ann")
     append_annotations(ann.annotation_records(flows.where("flow_id = 'f1'"), 1.0), store)
     append_annotations(ann.annotation_records(flows.where("flow_id = 'f1'"), 0.0, "me", "later"), store)
     append_annotations(ann.annotation_records(flows.where("flow_id = 'f2'"), 1.0), store)
-    latest = ann.latest_annotations(spark.read.parquet(store))
+    latest = read_annotations(spark, store)
     got = {r.flow_id: r.manual_label for r in ann.apply_annotations(flows, latest).collect()}
     assert got == {"f1": 0.0, "f2": 1.0, None: None}
     s = ann.annotation_summary(latest).first()

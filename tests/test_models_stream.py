@@ -67,20 +67,6 @@ def test_members_reset_and_weights(spark):
     assert mo.positive_index([0, 1]) == 1 and mo.positive_index([0, 1, 2], {0: "x", 1: "y", 2: "Attack"}) == 2
 
 
-@pytest.mark.parametrize("block", [4096, 37])
-def test_neighbours_against_brute_force(spark, block):
-    rnd = np.random.default_rng(2)
-    v, y = rnd.normal(size=(120, 4)), rnd.integers(0, 2, 120)
-    df = spark.createDataFrame([(i, [float(z) for z in a], int(t)) for i, (a, t) in enumerate(zip(v, y))], "id long, v array<double>, y int")
-    got = {}
-    for r in mo.nearest_neighbours(df, df, "v", "id", "id", "y", k=5, block_rows=block, leave_self_out=True).collect():
-        got.setdefault(r.id, {})[r["rank"]] = r.neighbour_id
-    d = ((v[:, None] - v[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    for i in range(120):
-        assert [got[i][k] for k in range(1, 6)] == list(np.argsort(d[i])[:5])
-
-
 def test_plugins(spark):
     @register_feature("double_id")
     def double(df):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.operators import ordered
 from flowspark.operators.metrics import curve_metrics
 from flowspark.operators.ordered import (
     descending, exact_quantiles, hot_keys, lookup_join, number_rows, previous_value, running_sums, slice_number)
@@ -78,6 +79,25 @@ def test_exact_quantiles(spark, forced, request):
     assert grouped[(None, 0.5)] == pytest.approx(np.median([v for k, _, v in rows() if k is None]))
 
 
+@pytest.mark.parametrize("grid", [1000, 30])
+def test_selected_quantiles_with_ties_gaps_and_coarse_sketches(spark, force_hot, monkeypatch, grid):
+    monkeypatch.setattr(ordered, "GRID", grid)
+    dice = random.Random(3)
+    data = {"ties": [5.0] * 300 + [4.9], "spread": [dice.uniform(-1, 1) * 10.0 ** dice.randint(-200, 200) for _ in range(400)],
+            "few": [1.0, 2.0], "mixed": [float(dice.choice([1, 1, 1, 2, 3, 50])) for _ in range(300)], "nan": [1.0] * 80 + [float("nan")] * 40}
+    table = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("ties", None)], "k string, v double").repartition(6)
+    probs = [0.0, 0.25, 0.99]
+    got = {(r.k, r.prob): r.quantile for r in exact_quantiles(table, "v", probs, by=["k"]).collect()}
+    assert len(got) == len(data) * len(probs)
+    for k, values in data.items():
+        values = sorted(values, key=lambda v: (v != v, v))
+        for p in probs:
+            low, part = int(p * (len(values) - 1) // 1), p * (len(values) - 1) % 1
+            high = values[min(low + (part > 0), len(values) - 1)]
+            want = values[low] + (high - values[low]) * part
+            assert got[k, p] == pytest.approx(want, rel=1e-9, nan_ok=True), (k, p)
+
+
 @pytest.mark.parametrize("small", [100, 0])
 def test_lookup_join_paths(spark, force_hot, small):
     table = spark.createDataFrame([("a", 1), ("b", 2), ("k3", 3)], "k string, w int")
