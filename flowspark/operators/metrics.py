@@ -102,26 +102,35 @@ def first_usable_truth(df: DataFrame, pred: str = "prediction_status", candidate
 # ---------------------------------------------------------------------------
 # Curves
 # ---------------------------------------------------------------------------
+def _counted_steps(df: DataFrame, score: str, label: str, by: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    value = F.col(score).cast("double")
+    return df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by, value.alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
+        *[c.alias(n) for n, c in (more or {}).items()])
+
+
 def step_table(df: DataFrame, score: str, label: str, by: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     """Per group and distinct score: pos, neg and the sums in `more`, stored.
 
     Rows without a score (null or NaN) are left out; `scored` gives them one. The input is read
     once; curves, ranking cuts, hits and threshold counts all follow from this table.
     """
-    value = F.col(score).cast("double")
-    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*by, value.alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
-        *[c.alias(n) for n, c in (more or {}).items()])
-    return store(counted, "score-steps")
+    return store(_counted_steps(df, score, label, by, more), "score-steps")
+
+
+_RUNNING = {"tp": "pos", "fp": "neg"}
+
+
+def _running(steps: DataFrame, by: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumns({n: F.sum(c).over(upto) for n, c in _RUNNING.items()})
 
 
 def cumulated(steps: DataFrame, by: list[str]) -> DataFrame:
-    """Steps with tp and fp when everything at or above the score is called positive."""
-    order, sums = [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
-    if steps.count() >= min_hot_rows(steps):       # from the files' footers
-        return running_sums(steps, by, order, -F.col("score"), sums)
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    """Steps of a stored table with tp and fp when everything at or above the score is called positive."""
+    if steps.count() < min_hot_rows(steps):       # from the files' footers
+        return _running(steps, by)
+    return running_sums(steps, by, [F.col("score").desc()], -F.col("score"), {n: F.col(c) for n, c in _RUNNING.items()})
 
 
 def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -138,7 +147,10 @@ def scored(score: Column) -> Column:
 def curve_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """positives, negatives, roc_auc (ties count half) and average_precision; null if a class is missing."""
     by = list(by or [])
-    return curve_of(score_steps(df, score, label, by), by)
+    if df.count() >= min_hot_rows(df):
+        return curve_of(score_steps(df, score, label, by), by)
+    # No group is large, and the counts are read once: they need not be stored.
+    return curve_of(_running(_counted_steps(df, score, label, by), by), by)
 
 
 def curve_of(steps: DataFrame, by: list[str] | None = None) -> DataFrame:

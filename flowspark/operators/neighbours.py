@@ -10,6 +10,8 @@ are compared. The result is exact whatever the pivots; how much is left to compa
 
 A cell with more than CELL_ROWS rows is cut by hash of the row, and so are the queries of a cell
 that more than QUERY_ROWS of them visit: no task holds more than a piece of either.
+
+Where queries times rows are no more than SMALL_PAIRS, everything is one cell: an index would cost more than it saves.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.session import store
 
 MAX_PIVOTS = 2048
+SMALL_PAIRS = 1 << 22
 CELL_ROWS = 16_384
 QUERY_ROWS = 65_536
 CHUNK_ENTRIES = 1 << 22       # distances computed at a time
@@ -79,14 +82,24 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] - 2.0 * a @ b.T + (b * b).sum(1)[None, :]))
 
 
-def _points(frame: pd.DataFrame) -> np.ndarray:
-    return np.array(frame["v"].tolist(), dtype=float)
+def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column as a matrix."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = array.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(array), -1) if len(array) else np.empty((0, 0))
+
+
+def _lists(points: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(points) + 1, dtype=np.int32) * points.shape[1], pa.array(points.ravel()))
+
 
+def _numbers(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return table.column(table.schema.get_field_index(name)).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[name].to_numpy()
 
-def _chunks(frame: pd.DataFrame, columns: int) -> Iterator[pd.DataFrame]:
+
+def _chunks(rows: int, columns: int) -> Iterator[slice]:
     step = max(1, CHUNK_ENTRIES // max(1, columns))
-    for at in range(0, len(frame), step):
-        yield frame.iloc[at:at + step]
+    return (slice(at, min(rows, at + step)) for at in range(0, rows, step))
 
 
 def _pivots(train: DataFrame, size: int) -> np.ndarray:
@@ -98,31 +111,36 @@ def _pivots(train: DataFrame, size: int) -> np.ndarray:
 
 def _placed(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Training rows with their cell and the distance to its pivot."""
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in _chunks(frame, len(pivots)):
-                points = _points(part)
-                cell = _distances(points, pivots).argmin(1)
-                yield part.assign(cell=cell.astype(np.int32), r=np.sqrt(((points - pivots[cell]) ** 2).sum(1)))
-    return train.mapInPandas(place, "id long, y double, v array<double>, cell int, r double")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _points(batch.column(batch.schema.get_field_index("v")))
+            cells, r = np.empty(len(points), np.int32), np.empty(len(points))
+            for part in _chunks(len(points), len(pivots)):
+                cells[part] = _distances(points[part], pivots).argmin(1)
+                r[part] = np.sqrt(((points[part] - pivots[cells[part]]) ** 2).sum(1))
+            yield batch.append_column("cell", pa.array(cells)).append_column("r", pa.array(r))
+    return train.mapInArrow(place, "id long, y double, v array<double>, cell int, r double")
 
 
 def _visits(queries: DataFrame, cells: Cells, k: int, bounded: bool) -> DataFrame:
     """A row per query and cell it has to meet: in the first round its home cells, in the second all others within its bound."""
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in _chunks(frame, len(cells.pivots)):
-                distance = cells.distances(_points(part))
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, ids = _points(batch.column(batch.schema.get_field_index("v"))), _numbers(batch, "id")
+            for part in _chunks(len(points), 8 * len(cells.pivots)):
+                distance = cells.distances(points[part])
                 goes = home = cells.home(distance, k)
-                bound = np.full(len(part), np.inf)
+                bound = np.full(len(distance), np.inf)
                 if bounded:
-                    bound = part["bound"].to_numpy(dtype=float, na_value=np.inf)
+                    bound = _numbers(batch, "bound")[part].astype(float)
+                    bound = np.where(np.isnan(bound), np.inf, bound)
                     goes = cells.reachable(distance, bound) & ~home
                 at, cell = np.nonzero(goes)
                 if len(at):
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[at], "v": [part["v"].iloc[i] for i in at], "cell": cell.astype(np.int32),
-                                        "bound": bound[at], "d": distance[at, cell]})
-    return queries.mapInPandas(visit, "id long, v array<double>, cell int, bound double, d double")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[part][at]), _lists(points[part][at]), pa.array(cell.astype(np.int32)), pa.array(bound[at]),
+                         pa.array(distance[at, cell])], names=["id", "v", "cell", "bound", "d"])
+    return queries.mapInArrow(visit, "id long, v array<double>, cell int, bound double, d double")
 
 
 def _met(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, leave_self_out: bool) -> DataFrame:
@@ -136,47 +154,50 @@ def _met(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, leave_self_
     right = placed.withColumn("tp", own(t_parts, 2)).withColumn("qp", every(q_parts))
     slack = cells.slack
 
-    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or rows.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(
-                ("query", "neighbour", "y", "distance", "compared"), ("int64", "int64", "float64", "float64", "int64"), strict=True)})
-        rows = rows.sort_values(["r", "id"])
-        points, r, ids = _points(rows), rows["r"].to_numpy(), rows["id"].to_numpy()
+    names = ["query", "neighbour", "y", "distance", "compared"]
+
+    def rows_of(*columns) -> pa.Table:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return rows_of([], [], [], [], [])
+        points, r, ids, y = _points(rows["v"]), _numbers(rows, "r"), _numbers(rows, "id"), _numbers(rows, "y")
+        order = np.lexsort((ids, r))
+        points, r, ids, y = points[order], r[order], ids[order], y[order]
+        queries, all_bounds, all_d, all_ids = _points(asked["v"]), _numbers(asked, "bound"), _numbers(asked, "d"), _numbers(asked, "id")
         found, compared = [], 0
-        for part in _chunks(asked, len(rows)):
-            bound, d, own_id = part["bound"].to_numpy(), part["d"].to_numpy(), part["id"].to_numpy()
-            here = _points(part)
+        for part in _chunks(len(queries), len(points)):
+            here, bound, d, own_id = queries[part], all_bounds[part], all_d[part], all_ids[part]
             low, high = np.searchsorted(r, d - bound - slack), np.searchsorted(r, d + bound + slack, side="right")
             width = high - low
-            if width.sum() * 4 > len(part) * len(rows):      # most of the cell: one matrix product, then those near enough
-                compared += len(part) * len(rows)
+            if width.sum() * 4 > len(here) * len(points):      # most of the cell: one matrix product, then those near enough
+                compared += len(here) * len(points)
                 about = _distances(here, points)
                 if leave_self_out:
                     about[own_id[:, None] == ids[None, :]] = np.inf
-                take = min(k, len(rows))
+                take = min(k, len(points))
                 limit = np.minimum(np.partition(about, take - 1, axis=1)[:, take - 1], bound) + slack
                 at, of = np.nonzero(about <= limit[:, None])
                 near = np.isfinite(about[at, of])
                 at, of = at[near], of[near]
             else:
                 compared += int(width.sum())
-                at = np.repeat(np.arange(len(part)), width)
+                at = np.repeat(np.arange(len(here)), width)
                 of = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
                 if leave_self_out:
                     other = own_id[at] != ids[of]
                     at, of = at[other], of[other]
-            exact = np.concatenate([np.sqrt(((here[at[i:i + 65536]] - points[of[i:i + 65536]]) ** 2).sum(1)) for i in range(0, len(at), 65536)] or [[]])
+            exact = np.concatenate([np.sqrt(((here[at[i:i + 65536]] - points[of[i:i + 65536]]) ** 2).sum(1)) for i in range(0, len(at), 65536)] or [np.empty(0)])
             near = exact <= bound[at] + slack
             at, of, exact = at[near], of[near], exact[near]
             order = np.lexsort((ids[of], np.round(exact, DIGITS), at))
             at, of, exact = at[order], of[order], exact[order]
-            rank = np.arange(len(at)) - np.searchsorted(at, at)
-            keep = rank < k
-            found.append(pd.DataFrame({"query": own_id[at[keep]], "neighbour": ids[of[keep]], "y": rows["y"].to_numpy()[of[keep]],
-                                       "distance": exact[keep], "compared": 0}))
-        found.append(pd.DataFrame({"query": [pd.NA], "neighbour": [pd.NA], "y": [np.nan], "distance": [np.nan], "compared": [compared]}))
-        return pd.concat([f.astype({"query": "Int64", "neighbour": "Int64", "y": "float64"}) for f in found])
-    return left.groupBy("cell", "qp", "tp").cogroup(right.groupBy("cell", "qp", "tp")).applyInPandas(best, FOUND)
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append(rows_of(own_id[at[keep]], ids[of[keep]], y[of[keep]], exact[keep], np.zeros(int(keep.sum()), np.int64)))
+        return pa.concat_tables([*found, rows_of([None], [None], [None], [None], [compared])])
+    return left.groupBy("cell", "qp", "tp").cogroup(right.groupBy("cell", "qp", "tp")).applyInArrow(best, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -185,32 +206,33 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _candidates(queries: DataFrame, train: DataFrame, vector: str, query_id: str, train_id: str, label: str, k: int,
-                leave_self_out: bool) -> DataFrame:
+                leave_self_out: bool, small_pairs: int) -> DataFrame:
     """Rows of both rounds, and a row per task that says how many pairs it compared."""
     wide = lambda d, i, *more: d.where(F.col(vector).isNotNull()).select(
         F.col(i).cast("long").alias("id"), *more, F.col(vector).cast("array<double>").alias("v"))
     t, q = wide(train, train_id, F.col(label).cast("double").alias("y")), wide(queries, query_id)
-    size = t.count()
+    size, asking = t.count(), q.count()
+    one = np.ones(1, np.int64)
+    if size * asking <= small_pairs:
+        zero = F.lit(0.0)
+        everything = Cells(np.zeros((1, 1)), one * size, np.zeros(1), np.zeros(1), one)
+        visits = q.select("id", "v", F.lit(0).alias("cell"), F.lit(float("inf")).alias("bound"), zero.alias("d"))
+        return _met(visits, t.select("id", "y", "v", F.lit(0).alias("cell"), zero.alias("r")), everything, k, leave_self_out)
     pivots = _pivots(t, size)
-    if not len(pivots):
-        return queries.sparkSession.createDataFrame([], FOUND)
     placed = store(_placed(t, pivots), "knn-cells")
     rows, least, most = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     for cell, n, low, high in placed.groupBy("cell").agg(F.count(F.lit(1)), F.min("r"), F.max("r")).collect():     # a row per pivot
         rows[cell], least[cell], most[cell] = n, low, high
-    cells = Cells(pivots, rows, least, most, np.ones(len(pivots), np.int64))
     need = k + int(leave_self_out)
 
     def meet(asked: DataFrame, bounded: bool) -> DataFrame:
+        cells = Cells(pivots, rows, least, most, np.ones(len(pivots), np.int64))
         visits = _visits(asked, cells, need, bounded)
-        if many:
-            counts = np.zeros(len(pivots), np.int64)
+        if asking > QUERY_ROWS:
             for cell, n in visits.groupBy("cell").agg(F.count(F.lit(1))).collect():
-                counts[cell] = n
-            cells.query_parts = np.maximum(1, -(-counts // QUERY_ROWS))
-        return _met(visits, placed, Cells(pivots, rows, least, most, cells.query_parts.copy()), k, leave_self_out)
+                cells.query_parts[cell] = max(1, -(-n // QUERY_ROWS))
+        return _met(visits, placed, cells, k, leave_self_out)
 
-    many = q.limit(QUERY_ROWS + 1).count() > QUERY_ROWS
     first = store(meet(q, False), "knn-home")
     bounds = _ranked(first, k).groupBy("query").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
@@ -219,22 +241,22 @@ def _candidates(queries: DataFrame, train: DataFrame, vector: str, query_id: str
 
 
 def nearest_neighbours(queries: DataFrame, train: DataFrame, vector: str, query_id: str, train_id: str, label: str, *,
-                       k: int = 15, leave_self_out: bool = False) -> DataFrame:
+                       k: int = 15, leave_self_out: bool = False, small_pairs: int = SMALL_PAIRS) -> DataFrame:
     """Exact k nearest training rows of every query: query_id, train_id, neighbour_label, distance, rank.
 
     Ids are whole numbers that tell rows apart; rows without a vector are left out; all vectors have one length and
     finite entries. `leave_self_out` leaves out the training row with the query's id.
     """
-    found = _candidates(queries, train, vector, query_id, train_id, label, k, leave_self_out)
+    found = _candidates(queries, train, vector, query_id, train_id, label, k, leave_self_out, small_pairs)
     return _ranked(found, k).select(
         F.col("query").alias(query_id), F.col("neighbour").alias(train_id if train_id != query_id else "neighbour_id"),
         F.col("y").alias("neighbour_label"), "distance", "rank")
 
 
 def compared_pairs(queries: DataFrame, train: DataFrame, vector: str, query_id: str, train_id: str, label: str, *,
-                   k: int = 15, leave_self_out: bool = False) -> int:
+                   k: int = 15, leave_self_out: bool = False, small_pairs: int = SMALL_PAIRS) -> int:
     """How many distances the join computes in cells."""
-    found = _candidates(queries, train, vector, query_id, train_id, label, k, leave_self_out)
+    found = _candidates(queries, train, vector, query_id, train_id, label, k, leave_self_out, small_pairs)
     return found.agg(F.sum("compared")).first()[0] or 0
 
 

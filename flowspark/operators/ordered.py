@@ -20,6 +20,7 @@ them by `slice_number`.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -292,11 +293,30 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     """
     by = list(by or [])
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    if not by:
+        total = rows.count()
+        return _whole_quantiles(rows, probs, total) if total < min_hot_rows(df) else _selected_quantiles(rows, by, probs, min_hot_rows(df))
     hot = hot_keys(rows, by)
     if hot is None:
         return _counted_quantiles(rows, by, probs)
-    large = _selected_quantiles(hot.rows(rows), by, probs, min_hot_rows(df))
-    return _counted_quantiles(hot.others(rows), by, probs).unionByName(large) if by else large
+    return _counted_quantiles(hot.others(rows), by, probs).unionByName(_selected_quantiles(hot.rows(rows), by, probs, min_hot_rows(df)))
+
+
+def _whole_quantiles(rows: DataFrame, probs: list[float], total: int) -> DataFrame:
+    """Quantiles of `total` rows without groups: only the values at the wanted ranks leave the running count."""
+    ranks = {float(p): (math.floor(p * (total - 1)), math.ceil(p * (total - 1)), p * (total - 1) % 1) for p in probs if total}
+    wanted = sorted({r for low, high, _ in ranks.values() for r in (low, high)})
+    upto = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    steps = rows.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", upto)
+    here = reduce(lambda a, b: a | b, (F.col("__upto").between(r + 1, F.col("__n") + r) for r in wanted), F.lit(False))
+    at = lambda r: F.max(F.when(F.col("__upto").between(r + 1, F.col("__n") + r), F.col("__v")))
+    found = steps.where(here).agg(*[at(r).alias(f"r{r}") for r in wanted])
+    lines = [F.struct(F.lit(p).alias("prob"), (F.col(f"r{low}") + (F.col(f"r{high}") - F.col(f"r{low}")) * F.lit(part)).alias("quantile"))
+             for p, (low, high, part) in ranks.items()]
+    none = F.array().cast("array<struct<prob: double, quantile: double>>")
+    return found.select(F.inline(F.array(*lines) if lines else none))
+
+
 
 
 def _counted_quantiles(rows: DataFrame, by: list[str], probs: list[float]) -> DataFrame:

@@ -104,7 +104,7 @@ def knn_scaled(spark, sf_dir):
     names = [f"e{i}" for i in range(width)]
     flat = rows.select("vec_id", (F.col("label") > 4).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
     scaled = mo.standardized(flat, names).select("vec_id", "y", F.array(*names).alias("v"))
-    near = ne.nearest_neighbours(scaled, scaled, "v", "vec_id", "vec_id", "y", k=15, leave_self_out=True)
+    near = ne.nearest_neighbours(scaled, scaled, "v", "vec_id", "vec_id", "y", k=15, leave_self_out=True, small_pairs=0)
     return ne.knn_vote(near, "vec_id").withColumn("score", F.round("score", 9))
 
 
@@ -122,7 +122,7 @@ def knn_holdout(spark, sf_dir):
     train, test = rows.where("id % 100 <> 0"), rows.where("id % 100 = 0")
     scale = lambda d: mo.standardized(d, names, train).select("id", "y", F.array(*names).alias("v"))
     test = scale(test)
-    score = ne.knn_vote(ne.nearest_neighbours(test, scale(train), "v", "id", "id", "y", k=15), "id")
+    score = ne.knn_vote(ne.nearest_neighbours(test, scale(train), "v", "id", "id", "y", k=15, small_pairs=0), "id")
     return test.select("id", F.col("y").alias("truth")).join(score, "id").select(
         "id", "truth", F.round("score", 9).alias("score"), (F.col("score") > 0.5).cast("int").alias("prediction"))
 

@@ -25,8 +25,8 @@ def found(result, column):
     return {i: [ranks[n] for n in sorted(ranks)] for i, ranks in got.items()}
 
 
-@pytest.mark.parametrize("cell, queries", [(16_384, 65_536), (9, 7)])
-def test_neighbours_equal_all_pairs(spark, monkeypatch, cell, queries):
+@pytest.mark.parametrize("small, cell, queries", [(1 << 22, 16_384, 65_536), (0, 16_384, 65_536), (0, 9, 7)])
+def test_neighbours_equal_all_pairs(spark, monkeypatch, small, cell, queries):
     monkeypatch.setattr(ne, "CELL_ROWS", cell)
     monkeypatch.setattr(ne, "QUERY_ROWS", queries)
     monkeypatch.setattr(ne, "CHUNK_ENTRIES", 500)
@@ -36,10 +36,10 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, cell, queries):
     labels = dice.integers(0, 2, len(vectors))
     rows = frame(spark, vectors, labels)
     want = nearest(vectors, vectors, 5, True)
-    got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True), "neighbour_id")
+    got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True, small_pairs=small), "neighbour_id")
     assert got == dict(enumerate(want))
     asked = dice.normal(size=(30, 3)) * 3
-    got = found(ne.nearest_neighbours(frame(spark, asked, [0] * 30), rows.withColumnRenamed("id", "t"), "v", "id", "t", "y", k=7), "t")
+    got = found(ne.nearest_neighbours(frame(spark, asked, [0] * 30), rows.withColumnRenamed("id", "t"), "v", "id", "t", "y", k=7, small_pairs=small), "t")
     assert got == dict(enumerate(nearest(asked, vectors, 7, False)))
     votes = {r.id: (r.score, r.neighbours) for r in ne.knn_vote(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True), "id").collect()}
     assert votes == {i: (pytest.approx(np.mean(labels[near])), 5) for i, near in enumerate(want)}
@@ -47,10 +47,11 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, cell, queries):
 
 def test_few_rows_no_rows_and_null_vectors(spark):
     rows = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 0), (3, None, 1)], "id long, v array<double>, y int")
-    got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True), "neighbour_id")
+    got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True, small_pairs=0), "neighbour_id")
     assert got == {1: [2], 2: [1]}
-    assert ne.nearest_neighbours(rows, rows.limit(0), "v", "id", "id", "y").count() == 0
-    assert ne.nearest_neighbours(rows.limit(0), rows, "v", "id", "id", "y").count() == 0
+    small = 0
+    assert ne.nearest_neighbours(rows, rows.limit(0), "v", "id", "id", "y", small_pairs=small).count() == 0
+    assert ne.nearest_neighbours(rows.limit(0), rows, "v", "id", "id", "y", small_pairs=small).count() == 0
 
 
 def test_most_pairs_are_never_compared(spark):
