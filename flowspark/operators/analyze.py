@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def anomaly_files(top: DataFrame, file: str, limit: int = 10) -> DataFrame:
 def anomaly_samples(df: DataFrame, source: str, flag: Column, order: list[str], slice_on: str | None = None,
                     limit: int = 3) -> DataFrame:
     """The first `limit` flagged rows of every source."""
-    slicing = slice_number(df, slice_on or order[0])
+    slicing = partial(slice_number, df, slice_on or order[0])
     return number_rows(df.where(flag), [source], [F.col(c) for c in order], slicing, "sample", limit=limit)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,7 @@ def match_rows(selected: DataFrame, reference: DataFrame, selected_id: str, refe
     if not usable:
         raise ValueError("no common key columns")
     done = None
+    asked, known = selected.count(), reference.count()
     for keys in usable:
         complete = [col(c).isNotNull() for c in keys]
         left = selected.select(F.col(selected_id), *[c for c in keys])
@@ -72,8 +75,8 @@ def match_rows(selected: DataFrame, reference: DataFrame, selected_id: str, refe
         if done is not None:
             left = left.join(done.select(selected_id), selected_id, "left_anti")
             right = right.join(done.select(reference_id), reference_id, "left_anti")
-        left = number_rows(left, keys, [F.col(selected_id)], slice_number(left, selected_id), "__no")
-        right = number_rows(right, keys, [F.col(reference_id)], slice_number(right, reference_id), "__no")
+        left = number_rows(left, keys, [F.col(selected_id)], partial(slice_number, left, selected_id), "__no", most=asked)
+        right = number_rows(right, keys, [F.col(reference_id)], partial(slice_number, right, reference_id), "__no", most=known)
         found = left.join(right, keys + ["__no"]).select(selected_id, reference_id, F.lit("+".join(keys)).alias("matched_by"))
         done = found if done is None else done.unionByName(found)
     return done

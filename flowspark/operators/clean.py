@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from flowspark.functions.exprs import col, finite_or_null, lower_text, number
 from flowspark.operators.ordered import lookup_join, number_rows, slice_number
 from flowspark.schema import FLOW_COLUMNS, HEADER_ALIASES, LABEL, LABEL_BINARY, NUMERIC_FEATURES, STRING_COLUMNS
+from flowspark.session import store
 
 ANOMALOUS, NORMAL = "异常", "正常"     # fixed values
 
@@ -282,8 +283,8 @@ def label_index(df: DataFrame, label: str, order: list[str], out: str = "label_i
     rows = df.where(F.trim(F.coalesce(col(label).cast("string"), F.lit(""))) != "")
     firsts = rows.groupBy(F.trim(col(label).cast("string")).alias("__label")).agg(
         F.min(F.struct(*[col(c) for c in order])).alias("__first"))
-    firsts = firsts.withColumn("__lead", F.col(f"__first.`{order[0]}`"))
-    numbered = number_rows(firsts, [], [F.col("__first")], slice_number(firsts, "__lead"), "__no")
+    firsts = store(firsts.withColumn("__lead", F.col(f"__first.`{order[0]}`")), "labels")       # a row per label, read several times
+    numbered = number_rows(firsts, [], [F.col("__first")], partial(slice_number, firsts, "__lead"), "__no", most=firsts.count())
     all_int = firsts.agg(F.min(F.col("__label").rlike(r"^[+-]?\d+$")).alias("__ints"))
     mapping = numbered.crossJoin(F.broadcast(all_int)).select(
         "__label", F.when(F.col("__ints"), F.col("__label").try_cast("long")).otherwise(F.col("__no") - 1).alias(out))

@@ -118,7 +118,7 @@ def _ordinary_flows(rows: DataFrame, timeout_us: int) -> DataFrame:
 def _hot_flows(rows: DataFrame, hot: HotKeys, timeout_us: int) -> DataFrame:
     """The few flows too large for one task, in slices of the file order."""
     key = FLOW_KEY + ["__slice"]
-    sliced = hot.sliced(rows, F.col("packet_index"))
+    sliced = hot.sliced(rows)
     ts, lo = F.col("ts_us"), F.col("from_lo")
     tails = sliced.groupBy(*key).agg(
         F.max_by("ts_us", "packet_index").alias("t_any"),

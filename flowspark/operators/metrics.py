@@ -18,6 +18,7 @@ from flowspark.operators.ordered import (
     SMALL_TABLE_ROWS, _attach_totals, descending, min_hot_rows, number_rows, previous_value, running_sums, slice_number)
 from flowspark.session import store
 
+HANDFUL = 1000        # rows of a summary that the driver may hold
 GRID_STEPS = 1000     # fixed value: thresholds 0, 0.001, ..., 1
 
 # Truth labels by name.
@@ -146,8 +147,12 @@ def scored(score: Column) -> Column:
 
 def curve_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """positives, negatives, roc_auc (ties count half) and average_precision; null if a class is missing."""
-    by = list(by or [])
-    if df.count() >= min_hot_rows(df):
+    return _curves(df, score, label, list(by or []), df.count())
+
+
+def _curves(df: DataFrame, score: str, label: str, by: list[str], most: int) -> DataFrame:
+    """`curve_metrics` of groups of `most` rows at most."""
+    if most >= min_hot_rows(df):
         return curve_of(score_steps(df, score, label, by), by)
     # No group is large, and the counts are read once: they need not be stored.
     return curve_of(_running(_counted_steps(df, score, label, by), by), by)
@@ -163,7 +168,7 @@ def curves_of(df: DataFrame, scores: dict[str, Column], label: str) -> DataFrame
     """`curve_metrics` of several scores in one pass over the input, a row per `name`."""
     rows = df.select(F.col(label).alias("__y"), F.inline(F.array(*[
         F.struct(F.lit(n).alias("name"), c.cast("double").alias("__s")) for n, c in scores.items()])))
-    return curve_metrics(rows, "__s", "__y", ["name"])
+    return _curves(rows, "__s", "__y", ["name"], df.count())
 
 
 def _curve_sums() -> list[Column]:
@@ -223,12 +228,18 @@ def step_summary(steps: DataFrame, by: list[str], percent: float = 0.01, roundin
     of its `__tie_pos` and `__tie_neg`.
     """
     size = F.ceil if rounding == "ceil" else F.floor
-    run = cumulated(steps, by)
     n = F.col("pos") + F.col("neg")
-    if steps.count() >= min_hot_rows(steps):
-        run = _attach_totals(run, steps.groupBy(*by).agg(F.sum(n).alias("__n")), by)
+    totals = steps.groupBy(*by).agg(F.sum(n).alias("__n"), F.count(F.lit(1)).alias("__steps"))
+    groups, largest = totals.agg(F.count(F.lit(1)), F.coalesce(F.max("__steps"), F.lit(0))).first()
+    run = _running(steps, by) if largest < min_hot_rows(steps) else cumulated(steps, by)
+    totals = totals.drop("__steps")
+    few = groups <= SMALL_TABLE_ROWS      # a number a group
+    if not by:
+        run = run.crossJoin(F.broadcast(totals))
+    elif few:
+        run = run.join(F.broadcast(totals), by)
     else:
-        run = run.withColumn("__n", F.sum(n).over(Window.partitionBy(*by)))
+        run = _attach_totals(run, totals, by)
     run = run.withColumn("k", F.greatest(F.lit(1), size(F.col("__n") * F.lit(percent))).cast("long"))
     upto = F.col("tp") + F.col("fp")
     before = upto - n
@@ -236,9 +247,12 @@ def step_summary(steps: DataFrame, by: list[str], percent: float = 0.01, roundin
     out = run.groupBy(*by).agg(
         *_curve_sums(), F.max("k").alias("k"), F.sum(F.when(upto <= F.col("k"), F.col("pos")).otherwise(0)).alias("__above"),
         F.max(F.when((before < F.col("k")) & (upto > F.col("k")), cut)).alias("__at"), *[c.alias(m) for m, c in (more or {}).items()])
-    return store(out.select(
+    out = out.select(
         *by, *_curve_columns(), "k", "__above", F.col("__at.score").alias("__cut"), F.col("__at.take").alias("__take"),
-        F.col("__at.pos").alias("__tie_pos"), F.col("__at.neg").alias("__tie_neg"), *(more or {})), "step-summary")
+        F.col("__at.pos").alias("__tie_pos"), F.col("__at.neg").alias("__tie_neg"), *(more or {}))
+    if groups <= HANDFUL:
+        return steps.sparkSession.createDataFrame(out.collect(), out.schema)
+    return store(out, "step-summary")
 
 
 def with_hits(summary: DataFrame, df: DataFrame, score: str, label: str, order: list[str], slice_on: str | None,

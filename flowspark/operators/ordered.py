@@ -21,6 +21,7 @@ them by `slice_number`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -100,6 +101,7 @@ class HotKeys:
 
     keys: list[str]
     table: DataFrame
+    order: Column | None = None
 
     def _join(self, df: DataFrame, how: str, columns: list[str]) -> DataFrame:
         side = _renamed(self.table.select(*[F.col(f"`{k}`") for k in self.keys], *columns), self.keys, "__hot_")
@@ -120,10 +122,10 @@ class HotKeys:
         """Rows of hot keys with columns of the key table."""
         return self._join(df, "inner", columns)
 
-    def sliced(self, df: DataFrame, order: Column) -> DataFrame:
+    def sliced(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys with the number of their slice in `__slice`."""
         joined = self.with_columns(df, ["__bounds"])
-        return joined.withColumn("__slice", _slice_number(ascending(order), F.col("__bounds"))).drop("__bounds")
+        return joined.withColumn("__slice", _slice_number(ascending(self.order), F.col("__bounds"))).drop("__bounds")
 
 
 def _slice_number(value: Column, bounds: Column) -> Column:
@@ -136,7 +138,11 @@ def _slice_number(value: Column, bounds: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> HotKeys | None:
+#: A number that ascends with the order of the rows, or what finds it; that is asked only if there is a hot key.
+SliceOn = Column | Callable[[], Column]
+
+
+def hot_keys(df: DataFrame, keys: list[str], order: SliceOn | None = None) -> HotKeys | None:
     """The keys of `df` with at least hotMinRows rows, or None.
 
     Runs one aggregation (partial sums before the shuffle); a row per hot key comes
@@ -156,6 +162,7 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     if order is None:
         return HotKeys(keys, spark.createDataFrame([tuple(r)[:-1] for r in found], key_schema))
+    order = order if isinstance(order, Column) else order()
     # Bounds are quantiles of the ordering column; a smaller hot key takes every step-th of them.
     wanted = lambda size: max(2, -(-2 * size // floor))
     n = min(slice_count(df), wanted(max(r["__n"] for r in found)))
@@ -167,7 +174,7 @@ def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> Hot
     bounds = rows.groupBy(*cols, "__step").agg(cuts.alias("__all")).select(
         *cols, F.filter("__all", lambda x, i: i % F.col("__step") == F.col("__step") - 1).alias("__bounds")).collect()
     schema = T.StructType(list(key_schema) + [T.StructField("__bounds", T.ArrayType(T.DoubleType()))])
-    return HotKeys(keys, spark.createDataFrame([tuple(r) for r in bounds], schema))
+    return HotKeys(keys, spark.createDataFrame([tuple(r) for r in bounds], schema), order)
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,14 +184,15 @@ def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(side, _same_keys(rows, on, "__c_"), "left").drop(*["__c_" + k for k in on])
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[Column], slice_on: Column,
-                name: str = "row_number", limit: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], slice_on: SliceOn,
+                name: str = "row_number", limit: int | None = None, most: int | None = None) -> DataFrame:
     """row_number() per key; `slice_on` is numeric and ascends with `order`.
 
-    With `limit`, only rows numbered up to it are kept.
+    With `limit`, only rows numbered up to it are kept. `most` is what is known of the number of rows: below
+    hotMinRows no key needs looking for.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, slice_on)
+    hot = None if most is not None and most < min_hot_rows(df) else hot_keys(df, keys, slice_on)
 
     def plain(rows):
         return rows.withColumn(name, F.row_number().over(window).cast("long"))
@@ -194,7 +202,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], slice_on: C
 
     if hot is None:
         return capped(plain(df))
-    rows = hot.sliced(df, slice_on)
+    rows = hot.sliced(df)
     sizes = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select(*keys, "__slice", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
@@ -206,7 +214,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], slice_on: C
     return capped(plain(hot.others(df)).unionByName(rows) if keys else rows)
 
 
-def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on: Column,
+def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on: SliceOn,
                    value: Column, name: str, hot: HotKeys | None | str = "find") -> DataFrame:
     """lag(value) per key; `order` is a list of plain columns, ascending."""
     if hot == "find":
@@ -218,7 +226,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on
 
     if hot is None:
         return plain(df)
-    rows = hot.sliced(df, slice_on)
+    rows = hot.sliced(df)
     ends = rows.groupBy(*keys, "__slice").agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__end"))
     along = Window.partitionBy(*keys).orderBy("__slice")
     carry = ends.select(*keys, "__slice", F.lag("__end").over(along).alias("__carry"))
@@ -231,7 +239,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], slice_on
     return plain(hot.others(df)).unionByName(rows) if keys else rows
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[Column], slice_on: Column,
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], slice_on: SliceOn,
                  sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key, one new column per entry of `sums`."""
     hot = hot_keys(df, keys, slice_on)
@@ -242,7 +250,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], slice_on:
 
     if hot is None:
         return plain(df)
-    rows = hot.sliced(df, slice_on)
+    rows = hot.sliced(df)
     totals = rows.groupBy(*keys, "__slice").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.exprs import col, float_lit, number
 from flowspark.operators.ordered import (
-    _attach_totals, exact_quantiles, hot_keys, keyed_join, previous_value, slice_number)
+    SliceOn, _attach_totals, exact_quantiles, hot_keys, keyed_join, previous_value, slice_number)
 
 # ---------------------------------------------------------------------------
 # Thresholds.
@@ -337,7 +337,7 @@ def source_fanout(rows: DataFrame, keys: list[str], port: str | None, ip: str |
     return out
 
 
-def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[Column], slice_on: Column,
+def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[Column], slice_on: SliceOn,
                     http: Column) -> DataFrame:
     """Distinct targets, previous rate and HTTP group size of every row's source.
 
@@ -469,7 +469,7 @@ def score_rules(df: DataFrame, settings: RuleSettings | None = None, *, order: l
     limits = _dataset_thresholds(slim, settings.params, scope, one_rate)
 
     order_cols = [col(n) for n in order]
-    slicing = slice_number(df, slice_on or order[0])
+    slicing = partial(slice_number, df, slice_on or order[0])
     if found["src_ip"]:
         http = _port_text(found["dst_port"], integral_ports).isin(HTTP_PORTS)
         rows = _source_context(df, scope, found, order_cols, slicing, http)
