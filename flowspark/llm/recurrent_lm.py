@@ -13,6 +13,7 @@ of them gives its gradient once. In a round every task takes its own documents o
 `SPAN` steps with the state carried on, and returns one parameter vector; vectors are averaged
 in a tree of tasks and only the last few reach the driver.
 
+Every text is cut into words and looked up once; training and scoring read the stored symbols.
 Scoring passes every document once, in lanes of similar length. The state is
 carried from window to window, so a document of any length is scored whole. Counts
 of the `KNOWN` most frequent words travel with the task; rarer words are joined
@@ -42,7 +43,7 @@ KNOWN = 50_000            # words whose counts every task holds
 EMBED = 16
 HIDDEN = 16
 SPAN = 24                 # steps of truncated backpropagation
-LANES = 128               # texts side by side in training, fewer where a task has little
+LANES = 512               # texts side by side in training, fewer where a task has little
 LEAST_STEPS = 16          # updates of a task with little text
 SCORE_LANES = 512
 SCORE_SPAN = 32
@@ -51,6 +52,7 @@ SAMPLE = ROUNDS           # one in so many training documents per round: the rou
 RATE = 0.02
 CLIP = 1.0
 FAN_IN = 32
+HASH_SHARES = 1 << 20
 FLUSH = 400_000           # words a task counts before it passes them on
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -146,12 +148,22 @@ def _step(gates_x, h, wh):
 
 
 def _softmax_loss(logits, target):
-    """(log probability of the targets, probabilities)"""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
+    """(log probability of the targets, probabilities less 1 at the targets); the logits' place is reused."""
     rows = np.arange(len(target))
-    return logits[rows, target] - np.log(total[:, 0]), e / total
+    at = logits[rows, target]
+    np.exp(logits, out=logits)          # logits stay small: they start as logarithms of shares
+    total = logits.sum(axis=1, keepdims=True)
+    logits /= total
+    logits[rows, target] -= 1
+    return at - np.log(total[:, 0]), logits
+
+
+def _by_class(shape: "Shape", classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The order of symbols by class, and per class with members and a choice its part of the order and its columns."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
+    parts = [(cuts[c], cuts[c + 1], shape.starts[c], shape.starts[c + 1]) for c in range(shape.classes)]
+    return order, [x for x in parts if x[0] < x[1] and x[3] - x[2] > 1]
 
 
 def log_probabilities(shape: Shape, p: dict, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -162,24 +174,21 @@ def log_probabilities(shape: Shape, p: dict, states: np.ndarray, symbols: np.nda
     out = logits[rows, classes].copy()
     np.exp(logits, out=logits)
     out -= np.log(logits.sum(axis=1))
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    for c in range(shape.classes):
-        mine = order[cuts[c]:cuts[c + 1]]
-        a, b = shape.starts[c], shape.starts[c + 1]
-        if not len(mine) or b - a == 1:
-            continue
-        logits = states[mine] @ p["wo"][:, a:b] + p["bo"][a:b]
-        out[mine] += logits[np.arange(len(mine)), shape.column[symbols[mine]] - a]
+    order, parts = _by_class(shape, classes)
+    sorted_states, columns, gains = states[order], shape.column[symbols[order]], np.zeros(len(order), states.dtype)
+    for low, high, a, b in parts:
+        logits = sorted_states[low:high] @ p["wo"][:, a:b] + p["bo"][a:b]
+        gains[low:high] = logits[np.arange(high - low), columns[low:high] - a]
         np.exp(logits, out=logits)
-        out[mine] -= np.log(logits.sum(axis=1))
+        gains[low:high] -= np.log(logits.sum(axis=1))
+    out[order] += gains
     return out
 
 
 def _backward(shape: Shape, p: dict, h0, x, y, fresh):
     """Loss, gradient and last state of one span; x, y, fresh are (steps, lanes). Targets below 0 are padding and count nothing."""
     steps, lanes = x.shape
-    gates = p["embed"][x] @ p["wx"] + p["b"]
+    gates = (p["embed"] @ p["wx"] + p["b"])[x]
     h, states, kept, before = h0, np.empty((steps, lanes, HIDDEN), np.float32), [], []
     for t in range(steps):
         h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -196,35 +205,29 @@ def _backward(shape: Shape, p: dict, h0, x, y, fresh):
     g = shape.views(vector)
     n = max(1, len(target))
     classes = shape.class_of[target]
-    logp, probability = _softmax_loss(flat @ p["wc"] + p["bc"], classes)
+    logp, slope = _softmax_loss(flat @ p["wc"] + p["bc"], classes)
     loss = -float(logp.sum())
-    probability[np.arange(len(target)), classes] -= 1
-    probability /= n
-    g["wc"][:] = flat.T @ probability
-    g["bc"][:] = probability.sum(axis=0)
-    d_flat = probability @ p["wc"].T
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    for c in range(shape.classes):
-        mine = order[cuts[c]:cuts[c + 1]]
-        a, b = shape.starts[c], shape.starts[c + 1]
-        if not len(mine) or b - a == 1:
-            continue
-        own = flat[mine]
-        at = shape.column[target[mine]] - a
-        logp, probability = _softmax_loss(own @ p["wo"][:, a:b] + p["bo"][a:b], at)
+    slope /= n
+    g["wc"][:] = flat.T @ slope
+    g["bc"][:] = slope.sum(axis=0)
+    d_flat = slope @ p["wc"].T
+    order, parts = _by_class(shape, classes)
+    sorted_flat, columns, d_sorted = flat[order], shape.column[target[order]], np.zeros((len(order), HIDDEN), d_flat.dtype)
+    for low, high, a, b in parts:
+        own = sorted_flat[low:high]
+        logp, slope = _softmax_loss(own @ p["wo"][:, a:b] + p["bo"][a:b], columns[low:high] - a)
         loss -= float(logp.sum())
-        probability[np.arange(len(mine)), at] -= 1
-        probability /= n
-        g["wo"][:, a:b] = own.T @ probability
-        g["bo"][a:b] = probability.sum(axis=0)
-        d_flat[mine] += probability @ p["wo"][:, a:b].T
+        slope /= n
+        g["wo"][:, a:b] = own.T @ slope
+        g["bo"][a:b] = slope.sum(axis=0)
+        d_sorted[low:high] = slope @ p["wo"][:, a:b].T
+    d_flat[order] += d_sorted
     if padded:
         every = np.zeros((steps * lanes, HIDDEN), d_flat.dtype)
         every[real] = d_flat
         d_flat = every
     d_states = d_flat.reshape(steps, lanes, HIDDEN)
-    d_gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    d_gates, d_h_gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
     carry = np.zeros((lanes, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
         r, z, inner, new = kept[t]
@@ -233,15 +236,20 @@ def _backward(shape: Shape, p: dict, h0, x, y, fresh):
         d_z = dh * (before[t] - new) * z * (1 - z)
         d_r = d_new * inner * r * (1 - r)
         d_gates[t, :, :HIDDEN], d_gates[t, :, HIDDEN:2 * HIDDEN], d_gates[t, :, 2 * HIDDEN:] = d_r, d_z, d_new
-        d_h_gates = np.concatenate([d_r, d_z, d_new * r], axis=1)
-        g["wh"] += before[t].T @ d_h_gates
-        carry = dh * z + d_h_gates @ p["wh"].T
+        own = d_h_gates[t]
+        own[:, :2 * HIDDEN], own[:, 2 * HIDDEN:] = d_gates[t, :, :2 * HIDDEN], d_new * r
+        carry = dh * z + own @ p["wh"].T
         carry[fresh[t]] = 0
+    g["wh"][:] = np.concatenate(before).T @ d_h_gates.reshape(-1, 3 * HIDDEN)
     flat_gates = d_gates.reshape(-1, 3 * HIDDEN)
-    embedded = p["embed"][x.reshape(-1)]
-    g["wx"][:] = embedded.T @ flat_gates
     g["b"][:] = flat_gates.sum(axis=0)
-    np.add.at(g["embed"], x.reshape(-1), flat_gates @ p["wx"].T)
+    # Gradients of a symbol's gates are added up first, so both products run over symbols, not over tokens.
+    flat_x = x.reshape(-1)
+    order = np.argsort(flat_x.astype(np.int16) if shape.n < 1 << 15 else flat_x, kind="stable")
+    starts = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
+    seen, summed = flat_x[order][starts], np.add.reduceat(flat_gates[order], starts, axis=0)
+    g["wx"][:] = p["embed"][seen].T @ summed
+    g["embed"][seen] = summed @ p["wx"].T
     return loss, vector, h
 
 
@@ -340,15 +348,22 @@ def _ranks(words: list[bytes], get) -> np.ndarray:
     return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
 
+def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The texts of symbols of a batch."""
+    column = batch.column(batch.schema.get_field_index("symbols"))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
 def _trainer(lexicon: Lexicon, vector: np.ndarray):
     def run(batches):
-        get, total, mean = lexicon.ranks().get, 0, None
+        total, mean = 0, None
         for batch in batches:
-            texts = [lexicon.symbols_of(_ranks(words_of(t.as_py()), get)) for t in batch.column("text")]
+            texts = _texts(batch)
             if not texts:
                 continue
-            trained, _ = train(lexicon.shape, vector if mean is None else mean.astype(np.float32), texts)
-            mean = trained
+            mean, _ = train(lexicon.shape, vector if mean is None else mean.astype(np.float32), texts)
             total += sum(map(len, texts))
         if mean is not None:
             yield pa.record_batch({"n": pa.array([total], pa.int64()), "p": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
@@ -367,30 +382,34 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _most_frequent(counts: DataFrame, known: int) -> list[tuple[str, int]]:
-    """The most frequent words, `known` at most, down to a bound on the count that keeps all equal counts together.
+    """The most frequent words, about `known`.
 
-    The bound comes from a histogram of logarithms (about a thousand rows); a sort
+    The bound on the count comes from a histogram of logarithms (about a thousand rows); a sort
     with a limit would send `known` rows of every task to the driver.
     """
     bucket = F.floor(F.log2("n") * 16)
     sizes = sorted(((r["bucket"], r["count"]) for r in counts.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
-    total, bound = 0, None
+    total, bound, share, rest = 0, None, 0, None
     for at, n in sizes:
-        total += n
-        if total > known:
+        if total + n > known:
+            share, rest = int((known - total) / n * HASH_SHARES), at
             break
-        bound = at
-    if bound is None:
-        return []
-    found = counts.where(bucket >= bound).select("word", "n").collect()
+        total, bound = total + n, at
+    # Of the bucket that would be too much, a share by hash, so that some words are known however many are alike.
+    taken = F.lit(False) if bound is None else bucket >= bound
+    if rest is not None:
+        taken = taken | ((bucket == rest) & (F.pmod(F.xxhash64("word"), F.lit(HASH_SHARES)) < share))
+    found = counts.where(taken).select("word", "n").collect()
     return sorted(((r["word"], r["n"]) for r in found), key=lambda x: (-x[1], x[0].encode()))
 
 
 def fit(training: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, sample: int = SAMPLE) -> np.ndarray:
-    """Parameters after `rounds` of training on the tasks' own documents and averaging."""
+    """Parameters after `rounds` of training on the tasks' own documents (`symbols`, or `text` to be looked up) and averaging."""
+    if "symbols" not in training.columns:
+        training = encoded(training.select("text", text_key().alias("text_key")), lexicon)
     vector = lexicon.shape.start()
     for turn in range(rounds):
-        mine = training.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(sample)) == turn % sample).select("text")
+        mine = training.where(F.pmod(F.xxhash64("text_key", F.lit(11)), F.lit(sample)) == turn % sample).select("symbols")
         n = mine.rdd.getNumPartitions()
         found = mine.mapInArrow(_trainer(lexicon, vector), "n long, p binary")
         while n > FAN_IN:
@@ -403,8 +422,12 @@ def fit(training: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, sample: int
     return vector
 
 
-def _scorer(lexicon: Lexicon, vector: np.ndarray):
-    """Per row what its frequent words give, and its rarer words."""
+_ENCODED = (("symbols", T.ArrayType(T.ShortType())), ("n_tokens", "long"), ("n_known", "long"), ("base_log", "double"), ("rare_log", "double"),
+            ("rare_n", "long"), ("others", T.ArrayType(T.StringType())))
+
+
+def _encoder(lexicon: Lexicon):
+    """Per row its symbols, what its frequent words give, and its rarer words."""
     def run(batches):
         get = lexicon.ranks().get
         logs = np.log10(lexicon.counts + 1.0)
@@ -417,25 +440,43 @@ def _scorer(lexicon: Lexicon, vector: np.ndarray):
                 held = ranks[ranks >= 0]
                 gains = logs[held]
                 beyond = held >= lexicon.symbols
-                symbols.append(lexicon.symbols_of(ranks).astype(np.int32))
+                symbols.append(lexicon.symbols_of(ranks).astype(np.int16))
                 base.append(float(gains.sum()) + end)
                 rare_log.append(float(gains[beyond].sum()))
                 rare_n.append(int(beyond.sum()) + len(words) - len(held))
                 others.append([words[i] for i in np.flatnonzero(ranks < 0)])
                 tokens.append(len(words) + 1)
                 known.append(len(held) + (lexicon.ends > 0))
-            scores = score_texts(lexicon.shape, vector, symbols) / math.log(10)
             out = batch.drop_columns(["text"])
+            flat = np.concatenate([np.empty(0, np.int16), *symbols])
             columns = {
+                "symbols": pa.ListArray.from_arrays(np.cumsum([0, *map(len, symbols)]).astype(np.int32), pa.array(flat)),
                 "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                 "base_log": pa.array(base, pa.float64()), "rare_log": pa.array(rare_log, pa.float64()),
-                "rare_n": pa.array(rare_n, pa.int64()), "model_log": pa.array(scores, pa.float64()),
+                "rare_n": pa.array(rare_n, pa.int64()),
                 "others": pa.array(others, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
             }
             yield pa.RecordBatch.from_arrays([*out.columns, *columns.values()], names=[*out.schema.names, *columns])
     return run
 
 
+def encoded(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """`rows` with their text looked up: each text is cut into words once for training and scoring."""
+    schema = rows.drop("text").schema
+    for name, kind in _ENCODED:
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(_encoder(lexicon), schema)
+
+
+def _scorer(lexicon: Lexicon, vector: np.ndarray):
+    """Per row the model's log10 probability of its symbols."""
+    def run(batches):
+        for batch in batches:
+            scores = score_texts(lexicon.shape, vector, _texts(batch)) / math.log(10)
+            yield batch.drop_columns(["symbols"]).append_column("model_log", pa.array(scores, pa.float64()))
+    return run
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = KNOWN, rounds: int = ROUNDS,
           sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of `docs`."""
@@ -447,18 +488,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: in
                         F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("ends")).first()
     top = _most_frequent(counts.where("word != ''"), known)
     lexicon = Lexicon([w.encode() for w, _ in top], [n for _, n in top], totals["ends"], totals["n"], totals["v"])
-    vector = fit(training, lexicon, rounds, sample)
-
-    schema = rows.drop("text").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_log", "double"), ("rare_log", "double"), ("rare_n", "long"),
-                       ("model_log", "double"), ("others", T.ArrayType(T.StringType()))):
-        schema = schema.add(name, kind)
-    scored = rows.mapInArrow(_scorer(lexicon, vector), schema).withColumn("row", F.monotonically_increasing_id())
-    scored = save(scored, "scored")
-    words = scored.select("row", F.explode("others").alias("word"))
+    stored = save(encoded(rows, lexicon).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    vector = fit(stored.where(~F.col("held_out")), lexicon, rounds, sample)
+    bare = stored.drop("others")
+    scored = bare.mapInArrow(_scorer(lexicon, vector), bare.drop("symbols").schema.add("model_log", "double"))
+    words = stored.select("row", F.explode("others").alias("word"))
     met = words.join(counts, "word")
     rest = met.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_log"), F.count(F.lit(1)).alias("more_known"))
-    joined = scored.drop("others").join(rest, "row", "left")
+    joined = scored.join(rest, "row", "left")
     more, found = F.coalesce("more_log", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
     return joined.select(
         "doc_id", "text_key", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"),
