@@ -47,6 +47,17 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
+def boxed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, id, text, key): a document's whole row as one struct, so that no name of the caller's can meet one of an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"),
+                       F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("key"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **replaced: Column) -> list[Column]:
+    """The caller's columns out of `row`, some of them replaced."""
+    return [replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

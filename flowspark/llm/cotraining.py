@@ -7,12 +7,14 @@ the other view to learn from. Each view is then calibrated on labelled documents
 neither was trained on, and the calibrated log-odds, less the prior that both hold,
 are added up to the score. A view that knows nothing ends near the prior and moves nothing.
 
-Fitting takes a bounded sample: about `MAX_LABELLED` labelled documents and a pool of about
-`MAX_POOL`, both by hash of the id. Scoring is one pass over all documents in the JVM, without a shuffle.
+Fitting takes a bounded sample of about `MAX_LABELLED` labelled documents, half of it for either class, which weights put
+right again, and the share `POOL_SHARE` of all other documents as the pool, both by hash of the id. The models are fitted by
+tree aggregation over the stored features. Scoring is one pass over all documents in the JVM, without a shuffle.
 
 Defined cases: a null or empty text has no words, null metadata is a value of its own; a null id has
 no label; several labels of a document are averaged; without labelled documents, or
-with labels of one class only, every score is the smoothed share of good labels; repeated rows
+if they are of one class, every score is the smoothed share of good labels; the only labelled document of a class
+serves training and calibration; repeated rows
 are scored one by one; an empty table stays empty; only the named columns are read,
 and a missing metadata column counts as null.
 """
@@ -24,13 +26,13 @@ import math
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import SPACE_RUN, ascii_lower, save, split_words, whole
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
+POOL_SHARE = 0.25         # of the corpus
 ROUNDS = 2
 SURE = 0.97               # calibrated probability from which a view labels the pool
 WORD_SLOTS = 1 << 13
@@ -74,7 +76,7 @@ def _spot(column: str, seed: int) -> Column:
 
 
 def _fit(rows: DataFrame, features: str):
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=15, regParam=1e-3,
+    return LogisticRegression(featuresCol=features, labelCol="label", weightCol="weight", maxIter=15, regParam=1e-3,
                               rawPredictionCol="raw", probabilityCol="p", predictionCol="guess").fit(rows)
 
 
@@ -86,7 +88,7 @@ def _log_odds(rows: DataFrame, model, view: str) -> DataFrame:
 def _calibration(rows: DataFrame, view: str) -> tuple[float, float]:
     """(slope, intercept) that turn a margin into log-odds."""
     one = VectorAssembler(inputCols=[f"{view}_margin"], outputCol="margin").transform(rows)
-    model = LogisticRegression(featuresCol="margin", labelCol="label", maxIter=10, regParam=1e-4).fit(one)
+    model = LogisticRegression(featuresCol="margin", labelCol="label", weightCol="weight", maxIter=10, regParam=1e-4).fit(one)
     return float(model.coefficients[0]), float(model.intercept)
 
 
@@ -112,22 +114,28 @@ class CoTrained:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", text: str = "text",
-        max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> CoTrained:
+        max_labelled: int = MAX_LABELLED, pool_share: float = POOL_SHARE, rounds: int = ROUNDS) -> CoTrained:
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("label"))
     n, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     prior = (good + 1) / (n + 2)
     if n == 0 or good in (0, n):
         return CoTrained(prior)
-    known = known.where(_spot("__id", 1) < F.lit(max_labelled / n))       # about max_labelled rows at most
-    total = docs.count()
+    share = F.when(F.col("label") == 1, min(1.0, max_labelled / 2 / good)).otherwise(min(1.0, max_labelled / 2 / (n - good)))
+    known = known.withColumn("weight", 1 / share).where(_spot("__id", 1) < share)       # about max_labelled rows at most
     picked = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id"), "left").drop("__id").where(
-        F.col("label").isNotNull() | (_spot(doc_id, 2) < F.lit(max_pool / max(1, total))))
-    fold = F.when(F.col("label").isNull(), "pool").when(_spot(doc_id, 3) < 0.25, "calibrate").otherwise("train")
-    keep = ["__fold", "label"]
-    sample = save(with_views(picked.withColumn("__fold", fold), keep, text), "cotraining-sample")
-    train, checked, pool = (sample.where(F.col("__fold") == f) for f in ("train", "calibrate", "pool"))
-    if checked.select("label").distinct().count() < 2 or train.select("label").distinct().count() < 2:
+        F.col("label").isNotNull() | (_spot(doc_id, 2) < F.lit(pool_share)))
+    picked = picked.withColumns({"__spot": F.xxhash64(doc_id, F.lit(3)), "weight": F.coalesce("weight", F.lit(1.0))})
+    columns = ["label", "weight", *VIEWS]
+    sample = save(with_views(picked, ["__spot", "label", "weight"], text), "cotraining-sample")
+    # A quarter of each class calibrates, by rank within the bounded sample, so that no class can miss a fold.
+    of_class = Window.partitionBy("label")
+    ranked = sample.where(F.col("label").isNotNull()).withColumns({
+        "__rank": F.row_number().over(of_class.orderBy("__spot")), "__size": F.count(F.lit(1)).over(of_class)})
+    checked = ranked.where(F.col("__rank") % 4 == 1).select(*columns)
+    train = ranked.where((F.col("__rank") % 4 != 1) | (F.col("__size") == 1)).select(*columns)
+    pool = sample.where(F.col("label").isNull()).select(*columns)
+    if checked.select("label").distinct().count() < 2:      # the labelled documents at hand are of one class
         return CoTrained(prior)
 
     taught = {view: train for view in VIEWS}
@@ -142,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str =
         for view, other in (VIEWS, VIEWS[::-1]):
             odds = F.lit(lines[other][0]) * F.col(f"{other}_margin") + F.lit(lines[other][1])
             told = _log_odds(pool, models[other], other).withColumn("label", (odds > 0).cast("double")).where(F.abs(odds) > sure)
-            taught[view] = train.unionByName(told.select(*train.columns))
+            taught[view] = train.unionByName(told.select(*columns))
     return CoTrained(prior, models, lines)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import SPACES, ascii_lower, save, text_key, whole
+from flowspark.llm.common import SPACES, ascii_lower, boxed, save, split_words, text_key, unboxed, whole
 
 MIN_KEY_CHARS = 10
 SURE, OPEN, MARK = 0, 1, 2       # dropped; dropped if the run began earlier; end of a run
@@ -123,20 +123,28 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, doc_id: str =
         "doc_id", "text_key", F.pandas_udf(_bitmap, "binary")("gone").alias("keep"))
 
 
+def kept_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, id, kept, n_lines, n_dropped): every document with the text that is left of it."""
+    maps = keep_bitmaps(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), min_chars)
+    maps = maps.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "keep")
+    rows = boxed(docs, doc_id, text)
+    joined = rows.join(maps, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left")
+    # Only texts that lose lines travel to Python.
+    loses = F.col("keep").isNotNull()
+    cut = F.pandas_udf(_apply, "text string, n_dropped long")(F.when(loses, whole("text")), F.col("keep"))
+    return joined.withColumn("cut", cut).select(
+        "row", "id", F.when(loses, F.col("cut.text")).otherwise(F.col("text")).alias("kept"),
+        F.size(F.split(whole("text"), "\n")).cast("long").alias("n_lines"), F.col("cut.n_dropped").alias("n_dropped"))
+
+
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, doc_id: str = "doc_id",
-                        text: str = "text") -> DataFrame:
-    """`docs` without the lines that an earlier document has, and `__lines` (before) and `__dropped`.
+                        text: str = "text", least_words: int = 0) -> DataFrame:
+    """`docs` without the lines that an earlier document has.
 
-    A text that loses nothing comes back as it was, null included.
+    A text that loses nothing comes back as it was, null included; one that loses lines and has fewer than
+    `least_words` words left goes.
     """
-    maps = keep_bitmaps(docs, min_chars, doc_id, text).select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("keep").alias("__keep"))
-    joined = docs.withColumn("__own_key", text_key(text)).join(
-        maps, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left")
-    # Only texts that lose lines travel to Python.
-    cut = F.pandas_udf(_apply, "text string, n_dropped long")(F.when(F.col("__keep").isNotNull(), whole(text)), F.col("__keep"))
-    return joined.withColumn("__cut", cut).withColumns({
-        "__lines": F.size(F.split(whole(text), "\n")).cast("long"),
-        "__dropped": F.col("__cut.n_dropped"),
-    }).withColumn(text, F.when(F.col("__keep").isNotNull(), F.col("__cut.text")).otherwise(F.col(text))).drop(
-        "__id", "__key", "__keep", "__own_key", "__cut")
+    rows = kept_lines(docs, min_chars, doc_id, text)
+    if least_words:
+        rows = rows.where((F.col("n_dropped") == 0) | (F.size(split_words(whole("kept"))) >= least_words))
+    return rows.select(*unboxed(rows, docs.columns, **{text: F.col("kept")}))

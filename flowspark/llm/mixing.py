@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import SPACE_RUN, split_words, text_key, whole
+from flowspark.llm.common import SPACE_RUN, boxed, split_words, text_key, unboxed, whole
 
 WEIGHTS = (5, 2, 1)       # of the sources by code point, repeating
 SHARE = 1.5               # of all words
@@ -103,12 +103,13 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    taken = copies(docs, doc_id=doc_id, text=text, source=source, **settings).where("copies > 0")
+    rows = boxed(docs, doc_id, text)
+    narrow = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc_id"), (text, "text"), (source, "source"))])
+    taken = copies(narrow, **settings).where("copies > 0")
     # Rows that repeat id and text are told apart by number: their copies are shared out as a list.
-    taken = taken.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("__copies")).select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__copies")
-    keyed = docs.withColumn("__own_key", text_key(text))
-    first = keyed.dropDuplicates([doc_id, "__own_key"])
-    joined = first.join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.groupBy("doc_id", "text_key").agg(F.sum("copies").cast("int").alias("copies")).select(
+        F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "copies")
+    first = rows.dropDuplicates(["id", "key"])
+    joined = first.join(taken, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
+    joined = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return joined.select(*unboxed(joined, docs.columns))

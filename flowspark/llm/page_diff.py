@@ -61,7 +61,7 @@ _TOKEN = re.compile(
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?][^>]*>?", re.DOTALL | re.IGNORECASE)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"(?:^|(?<=[\s\"'/]))(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+")
 #: Parts of a class name that say where or how, not what: `ad-box` is an advert, `ad-free` and `no-sidebar` are none.
 PLACES = frozenset(
@@ -71,6 +71,7 @@ PLACES = frozenset(
 OWNERS = frozenset("post entry article blog user reader".split())
 #: Elements that hold the page, and are never chrome by name.
 FRAME = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD_PARTS = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset(
@@ -95,7 +96,7 @@ def _is_chrome(tag: str, rest: str, in_article: bool) -> bool:
         return False
     if tag in SILENT or tag in CHROME or (tag == "header" and not in_article):
         return True
-    if "=" not in rest:
+    if "=" not in rest or tag in INLINE or tag in HEADINGS:      # names are asked of containers only
         return False
     for found in _NAMES.finditer(rest):
         for name in (found[1] or found[2] or found[3] or "").lower().split():

@@ -7,8 +7,8 @@ single map-only pass: no shuffle, one scan of `text`.
 
 Defined cases: a null or empty text has no words, no lines with a word, and fails
 the base rule; a text of any length is judged whole (arrays of its own words
-only); equal rows get equal verdicts; an empty table stays empty; extra columns
-are not read.
+only); equal rows get equal verdicts; a null or unlisted language, or no such column, is exempt from the share of function
+words; an empty table stays empty; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-#: Frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
-    "the of and to in is that it for on was be with as this by are a "
-    "der die das und in den von zu mit ist auf ein eine für im dem "
-    "le la les de et des un une est en que du pour dans qui sur "
-    "el los las que y en un una por con para del se no su lo"
-).split()
+#: Frequent function words by language.
+STOP_WORDS = {
+    "en": "the of and to in is that it for on was be with as this by are a".split(),
+    "de": "der die das und in den von zu mit ist auf ein eine für im dem".split(),
+    "fr": "le la les de et des un une est en que du pour dans qui sur".split(),
+    "es": "el los las que y en un una por con para del se no su lo".split(),
+}
+STOP_TEXT_WORDS = 40      # shorter texts need no function words
+PUNCTUATION = ".,;:!?\"'()[]{}-"
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 1.5, 25.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.3),
     Rule("bangs_per_word", "n_bangs", "n_words", None, 0.3),
-    Rule("words_without_stop_word", "n_plain_words", "one", None, 40.0),
+    Rule("stop_words", "n_stop_or_exempt", "n_words", 0.02, None),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 
@@ -73,14 +75,23 @@ def _count_of(text: Column, kept: str) -> Column:
     return F.char_length(F.regexp_replace(text, kept, "")).cast("long")
 
 
+def stop_list(lang: Column) -> Column:
+    """The function words of a language, null if there is no list."""
+    lists = F.lit(None).cast("array<string>")
+    for name, words in STOP_WORDS.items():
+        lists = F.when(lang == name, F.array(*[F.lit(w) for w in words])).otherwise(lists)
+    return lists
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",),
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", lang: str = "lang") -> DataFrame:
     """Columns `keep`, the statistics, `base_failed`, `broken_rules` and `kept` of every row."""
     body = F.col("__text")
     words, grams, lines = F.col("__words"), F.col("__grams"), F.col("__lines")
     n = F.size(words)
-    rows = docs.select(*keep, whole(text).alias("__text"))
-    rows = rows.select(*keep, body, split_words(body, SPACE_RUN).alias("__words"),
+    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(*keep, whole(text).alias("__text"), stop_list(language).alias("__stop"))
+    rows = rows.select(*keep, body, "__stop", split_words(body, SPACE_RUN).alias("__words"),
                        F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("__lines"))
     rows = rows.withColumn("__grams", gram_hashes(words, WINDOW))
     # Windows that occur twice: neighbours in the order of their hashes. Only texts that have some are sorted.
@@ -102,13 +113,16 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         _count_of(body, r"[^!]+").alias("n_bangs"),
-        F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]))).cast("long").alias("n_stop_words"),
+        F.when(F.col("__stop").isNotNull(), F.size(F.filter(words, lambda w: F.array_contains(
+            F.col("__stop"), F.btrim(F.lower(w), F.lit(PUNCTUATION)))))).cast("long").alias("n_stop_words"),
     )
     # Unrolling one row changes nothing but that a filter on a statistic or the verdict stays above: pushed
     # below, it would nest the steps into each other and compute each of them anew for every word.
     rows = rows.select(*keep, F.explode_outer(F.array(stats)).alias("__stats")).select(*keep, "__stats.*")
+    # Short texts and languages without a list are exempt from the share of function words.
+    judged = F.col("n_stop_words").isNotNull() & (F.col("n_words") > STOP_TEXT_WORDS)
     stats = {c: F.col(c) for c in rows.columns} | {
-        "one": F.lit(1), "n_plain_words": F.when(F.col("n_stop_words") == 0, F.col("n_words")).otherwise(F.lit(0))}
+        "n_stop_or_exempt": F.when(judged, F.col("n_stop_words")).otherwise(F.greatest(F.col("n_words"), F.lit(1)))}
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "broken_rules": compile_rules(rules, stats),
@@ -116,8 +130,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that pass, with their own columns only."""
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    judged = quality_rules(docs.select(whole_row, F.col(text).alias("__body")), rules, keep=("__row",), text="__body")
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    judged = quality_rules(docs.select(whole_row, F.col(f"`{text}`").alias("__body"), language.alias("__lang")), rules,
+                           keep=("__row",), text="__body", lang="__lang")
     return judged.where("kept").select("__row.*")

@@ -11,7 +11,7 @@ from flowspark.llm.common import read_table, text_key
 from flowspark.llm.cotraining import quality_scores
 from flowspark.llm.decontaminate import contamination
 from flowspark.llm.host_reputation import judge
-from flowspark.llm.line_dedup import drop_repeated_lines
+from flowspark.llm.line_dedup import kept_lines
 from flowspark.llm.mixing import copies
 from flowspark.llm.page_diff import main_text
 from flowspark.llm.quality_rules import STOP_WORDS, quality_rules
@@ -21,14 +21,14 @@ from flowspark.llm.simhash import near_duplicates
 from flowspark.llm.spelling import spelling_variants
 from flowspark.llm.whitening import whiten
 
-_STOP_LIST = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + "]"
+_STOP_LIST = "CASE lang " + " ".join(f"WHEN '{n}' THEN [" + ", ".join(f"'{w}'" for w in ws) + "]" for n, ws in STOP_WORDS.items()) + " END"
 
 
 @query("op6_quality_rules", rf"""
 WITH rows AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 split AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  SELECT *, {_STOP_LIST} AS stop, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM rows),
 grams AS (SELECT rid, i, ws[i:i + 4] AS g FROM split, unnest(generate_series(1, len(ws) - 4)) AS s(i)),
@@ -39,13 +39,13 @@ stats AS (
     len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
     len(ls) AS n_lines, len(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs,
-    len(list_intersect(ws, {_STOP_LIST})) AS n_stop_words
+    CASE WHEN stop IS NOT NULL THEN len(list_filter(ws, lambda x: list_contains(stop, trim(lower(x), '.,;:!?"''()[]{{}}-')))) END AS n_stop_words
   FROM split LEFT JOIN covered c USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
     AND word_chars / greatest(n_words, 1) BETWEEN 1.5 AND 25 AND n_symbols / greatest(n_words, 1) <= 0.3
-    AND n_bangs / greatest(n_words, 1) <= 0.3 AND NOT (n_stop_words = 0 AND n_words > 40) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+    AND n_bangs / greatest(n_words, 1) <= 0.3 AND NOT coalesce(n_words > 40 AND n_stop_words / n_words < 0.02, false) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM stats
 """)
 def op6_quality_rules(spark, sf_dir):
@@ -102,9 +102,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """)
 def op2_line_dedup(spark, sf_dir):
-    kept = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
-                       F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+    kept = kept_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("kept"), F.lit("")), 256).alias("kept_sha256"))
 
 
 @query("op3_source_mix", r"""

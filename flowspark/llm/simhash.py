@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import save, text_key
+from flowspark.llm.common import boxed, save, text_key, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -253,8 +253,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of every component, with its own columns."""
-    chosen = near_duplicates(docs, doc_id, text).where("first").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__own_key", text_key(text))
-    kept = keyed.join(chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__own_key"]).drop("__own_key")
+    rows = boxed(docs, doc_id, text)
+    chosen = near_duplicates(rows.select("id", "text"), "id", "text").where("first").select(
+        F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).distinct()
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
+    kept = kept.dropDuplicates(["id", "key"])
+    return kept.select(*unboxed(kept, docs.columns))

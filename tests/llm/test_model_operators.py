@@ -10,6 +10,7 @@ from llm_tables import MESSY, MESSY_IDS, prose, table
 
 import corpus_pipeline
 from flowspark.llm import chunk_dedup, cotraining, page_diff, recurrent_lm, simhash
+from flowspark.llm.quality_rules import PUNCTUATION, STOP_WORDS
 
 ROWS = [*zip(MESSY_IDS, MESSY, strict=True), (6, MESSY[6])]
 
@@ -135,6 +136,26 @@ def test_substring_dedup_without_white_space_and_periodic(spark):
     assert 15 not in got and 16 not in got
 
 
+def test_periodic_text_of_any_period(spark):
+    """Passages that repeat a phrase of one to six words are found, whatever the phrase."""
+    rng = np.random.default_rng(12)
+    phrases = ["ha ", "no no yes "] + [" ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(1 + i % 6)) + " " for i in range(36)]
+    passages = [p * (-(-2000 // len(p))) for p in phrases]
+    texts = [prose(30, 2000 + 2 * i + k) + " . " + p + prose(25, 3000 + 2 * i + k) for i, p in enumerate(passages) for k in (0, 1)]
+    got = {r.doc_id: r.spans for r in chunk_dedup.repeated_passages(table(spark, texts)).collect()}
+    for i, p in enumerate(passages):
+        for doc in (2 * i, 2 * i + 1):
+            low = texts[doc].index(p)
+            mine = [s for s in got.get(doc, []) if s.later == bool(doc % 2)]
+            assert sum(max(0, min(s.end, low + len(p)) - max(s.start, low)) for s in mine) > 0.5 * len(p), (p[:40], got.get(doc))
+
+
+def test_clean_documents_have_no_passages(spark):
+    texts = [prose(200, 5000 + i) for i in range(200)]
+    found = chunk_dedup.repeated_passages(table(spark, texts)).count()
+    assert found <= 0.05 * len(texts)
+
+
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 PAGES = [
@@ -166,6 +187,9 @@ def test_pages_with_marked_article(spark):
     ("<main><section><div class=ad>gone<span class=share>gone</section><p>After</p></main>", "After"),
     ("<table><tr><td class=ad>gone<td>Cell<tr><td>Row</table><dl><dt class=promo>gone<dd>Term</dl>", "Cell Row Term"),
     ("<div class=nav><div>gone</div>gone</p></div><p>Rest</p>", "Rest"),
+    ("<article><div data-id=\"menu\" data-role='nav'><p>Kept</p></div><p aria-id=ad>too</p></article>", "Kept too"),
+    ("<article><h2 id=\"related\">Related work</h2><pre>x <span class=\"comment\"># note</span></pre><div id=related>gone</div></article>", "Related work x # note"),
+    ("<div title='x'class='menu'>gone</div><p>Left</p>", "Left"),
 ])
 def test_pages_lose_chrome_only(page, want):
     lines, inside, marked = page_diff.lines_of(page)
@@ -330,6 +354,15 @@ def test_recurrent_scores_carry_the_state():
         assert abs(value - want) < 1e-3 * max(1, len(text))
 
 
+def test_known_words_when_many_have_one_count(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1) for i in range(3000)] + [("often", 50), ("more", 40)], "word string, n long")
+    for known in (2, 5, 1000):
+        top = recurrent_lm._most_frequent(counts, known)
+        assert [w for w, _ in top[:2]] == ["often", "more"] and abs(len(top) - known) < 0.2 * known + 6
+    assert len(recurrent_lm._most_frequent(counts.where("n = 1"), 1000)) > 800
+    assert len(recurrent_lm._most_frequent(counts, 5000)) == 3002
+
+
 def test_lm_scoring(spark, messy, empty):
     texts = [" ".join(["alpha beta gamma delta"] * (5 + i % 7)) for i in range(200)] + [" ".join(["uno dos tres"] * (5 + i % 7)) for i in range(200)]
     docs = messy.unionByName(table(spark, texts, list(range(1000, 1400))))
@@ -372,6 +405,86 @@ def test_cotraining(spark, messy, empty):
 
 # ---- the pipeline --------------------------------------------------------------------------------------------------
 
+def slow_rules(rows):
+    kept = []
+    for doc, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        at = defaultdict(list)
+        for i in range(len(words) - 4):
+            at[tuple(words[i:i + 5])].append(i)
+        again = len({i + k for found in at.values() if len(found) > 1 for i in found for k in range(5)})
+        n = max(1, len(words))
+        good = (len(words) >= 10 and 100 * again <= 20 * len(words) and 1.5 <= sum(map(len, words)) / n <= 25
+                and len(re.findall(r"[#*$%&|<>]", text or "")) / n <= 0.3 and (text or "").count("!") / n <= 0.3
+                and (len(words) <= 40 or sum(w.lower().strip(PUNCTUATION) in STOP_WORDS["en"] for w in words) / n >= 0.02) and (len(lines) - len(set(lines))) / max(1, len(lines)) <= 0.5)
+        if good:
+            kept.append((doc, text))
+    return kept
+
+
+def slow_lines(rows):
+    def key(line):
+        k = re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+        return k if len(k) >= 10 else None
+    holders = defaultdict(set)
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(doc)
+    first = {k: min(d, key=lambda x: (x is None, x or 0)) for k, d in holders.items() if k and len(d) > 1}
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in first or first[key(x)] == doc]
+        if len(kept) == len(lines) or len("\n".join(kept).split()) >= 10:
+            out.append((doc, "\n".join(kept)))
+    return out
+
+
+def slow_copies(rows):
+    label = slow_components([slow_print(t) for _, t in rows])
+    ids = defaultdict(list)
+    for (doc, _), group in zip(rows, label, strict=True):
+        ids[group].append(doc)
+    return sorted((min((d for d in found if d is not None), default=None) for found in ids.values()), key=repr)
+
+
+def slow_clean(rows, items):
+    def words(text):
+        return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    windows = set()
+    for text in items:
+        w = words(text)
+        n = min(10, len(w))
+        windows |= {tuple(w[i:i + n]) for i in range(len(w) - n + 1 if n else 0)}
+    sizes = {len(x) for x in windows}
+    return [(d, t) for d, t in rows for w in [words(t)] if not any(tuple(w[i:i + n]) in windows for n in sizes for i in range(len(w) - n + 1))]
+
+
+def test_pipeline_stages_equal_plain_versions(spark, messy, tmp_path):
+    texts = [prose(300, 70), prose(300, 70) + " tail", prose(120, 71) + " " + prose(40, 72), "%%% ### " * 30, prose(90, 73), prose(90, 73),
+             prose(20, 74) + "\n" + prose(60, 75), prose(60, 75) + "\n" + prose(9, 76), prose(60, 75) + "\n" + prose(12, 77), prose(14, 78)]
+    docs = messy.unionByName(table(spark, texts, list(range(51, 61))))
+    items = [prose(40, 72), prose(12, 99)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [*ROWS, *zip(range(51, 61), texts, strict=True)]
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        given = [(r.doc_id, r.text) for r in now.collect()]
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
+        got = sorted(((r.doc_id, r.text or "") for r in now.collect()), key=repr)
+        kept[name] = [d for d, _ in got]
+        if name == "near_dedup":
+            assert sorted((d for d, _ in got), key=repr) == slow_copies(given)
+        elif name == "source_mix":
+            assert set(got) <= {(d, t or "") for d, t in given} and max(map(got.count, got)) <= 2
+        else:
+            slow = {"quality_rules": slow_rules, "line_dedup": slow_lines, "decontamination": lambda x: slow_clean(x, items)}[name]
+            assert got == sorted(((d, t or "") for d, t in slow(given)), key=repr), name
+    assert rows and 56 not in kept["line_dedup"] and 58 not in kept["line_dedup"] and {57, 59} <= set(kept["line_dedup"])
+    assert 53 not in kept["decontamination"]
+
+
 def test_pipeline_stages(spark, messy, empty, tmp_path):
     text = prose(300, 70)
     docs = messy.unionByName(table(spark, [text, text + " tail", prose(120, 71) + " " + prose(40, 72), "%%% ### " * 30, prose(90, 73)], [51, 52, 53, 54, 55]))

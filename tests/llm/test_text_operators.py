@@ -8,10 +8,10 @@ import pytest
 from llm_tables import MESSY, MESSY_IDS, prose, table
 from pyspark.sql import functions as F
 
-from flowspark.llm import mixing
+from flowspark.llm import chunk_dedup, mixing, simhash
 from flowspark.llm.decontaminate import contamination, drop_contaminated
 from flowspark.llm.host_reputation import judge
-from flowspark.llm.line_dedup import drop_repeated_lines
+from flowspark.llm.line_dedup import drop_repeated_lines, kept_lines
 from flowspark.llm.quality_rules import keep_good, quality_rules
 
 ROWS = [*zip(MESSY_IDS, MESSY, strict=True), (6, MESSY[6])]
@@ -52,6 +52,15 @@ def test_quality_rules(messy, empty):
     assert [r.kept for r in bad.collect()] == [False, False]
 
 
+def test_function_words_by_language(spark):
+    plain = " ".join(f"xq{i}z" for i in range(60))
+    english = " ".join(f"The xq{i}z," if i % 5 else f"xq{i}z of" for i in range(60))
+    rows = [(1, plain, "en"), (2, plain, "fi"), (3, plain, None), (4, english.upper(), "en"), (5, english, "de"), (6, plain + " the", "en"), (7, plain[:200], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality_rules(docs).where("kept").collect()} == {2, 3, 4, 7}
+    assert {r.doc_id for r in keep_good(docs.drop("lang")).collect()} == {1, 2, 3, 4, 5, 6, 7}
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_line_dedup(spark, messy, empty, partitions):
     shared = "a line that very many documents hold"
@@ -76,8 +85,11 @@ def test_line_dedup(spark, messy, empty, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = drop_repeated_lines(docs).withColumn("text", F.coalesce("text", F.lit("")))
-        assert rows_of(got, "doc_id", "__lines", "__dropped", "text") == sorted(want, key=repr)
+        got = kept_lines(docs).withColumn("kept", F.coalesce("kept", F.lit("")))
+        assert rows_of(got, "id", "n_lines", "n_dropped", "kept") == sorted(want, key=repr)
+        assert rows_of(drop_repeated_lines(docs).na.fill("", ["text"]), "doc_id", "text") == sorted(((x[0], x[3]) for x in want), key=repr)
+        left = [(x[0], x[3]) for x in want if not x[2] or len(x[3].split()) >= 10]
+        assert rows_of(drop_repeated_lines(docs, least_words=10).na.fill("", ["text"]), "doc_id", "text") == sorted(left, key=repr)
         assert drop_repeated_lines(empty).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -120,6 +132,47 @@ def test_decontamination(spark, messy, empty, limit):
     assert contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_large_benchmark_is_not_met_by_whole_texts(spark, messy):
+    bench = spark.createDataFrame([(1, prose(30, 50))], "item_id long, text string")
+    docs = messy.select("doc_id", "text")
+    for settings in ({"broadcast_rows": 0}, {}):
+        plan = contamination(docs, bench, **settings)._jdf.queryExecution().optimizedPlan().toString()
+        by_mark = [x for x in plan.split("\n") if "Join" in x and "mark#" in x]
+        assert by_mark and ("broadcast" in "".join(by_mark)) == (not settings)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = contamination(docs, bench, broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [x for x in text.split("\n") if "Exchange hashpartitioning(mark#" in x]
+    assert dealt
+    lines = text.split("\n")
+    for x in dealt:      # what lies below an exchange by mark gives out no array of words
+        below = lines[lines.index(x) + 1]
+        assert " w#" not in below.split("[", 1)[-1], below
+
+
+CLASHING = ("row id key of_id of_key kept keep cut copies copy taken n_lines n_dropped spans later print first component_id least at w mark known place spot cell "
+            "__own_key __id __key __keep __copies __copy __cut __spans __row __body __text __words text_key doc_key h1 h2 pos line gone kind").split()
+
+
+def test_stages_bear_any_column_name(spark):
+    texts = [prose(40, 1), prose(40, 1), prose(40, 2) + "\n" + prose(30, 3), prose(30, 3) + "\n" + prose(30, 4), prose(50, 5)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *[f"{c}-{i}" for c in CLASHING]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASHING])
+    bench = spark.createDataFrame([(1, prose(50, 5))], "item_id long, text string")
+    stages = {"rules": keep_good(docs), "lines": drop_repeated_lines(docs), "copies": simhash.keep_one_each(docs),
+              "clean": drop_contaminated(docs, bench), "mix": mixing.mix(docs), "passages": chunk_dedup.drop_repeats(docs)}
+    want = {"rules": {0, 1, 2, 3, 4}, "lines": {0, 1, 2, 3, 4}, "copies": {0, 2, 3, 4}, "clean": {0, 1, 2, 3}, "passages": {0, 1, 2, 3, 4}}
+    for name, df in stages.items():
+        mine = [c for c in docs.columns if name != "passages" or c != "__spans"]
+        assert df.columns[:len(mine)] == mine
+        got = df.collect()
+        assert {r.doc_id for r in got} == want.get(name, {r.doc_id for r in got}) and got, name
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in mine if c in CLASHING), name
+
+
 def test_mixing(spark, messy, empty):
     docs = messy.unionByName(table(spark, [prose(5 + i % 40, i) for i in range(600)], list(range(1000, 1600))))
     docs = docs.withColumn("source", F.when(F.col("doc_id") < 1300, F.lit("big")).when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.col("source")))
