@@ -12,7 +12,7 @@ from flowspark.llm.common import read_table, save
 from flowspark.llm.decontaminate import drop_contaminated
 from flowspark.llm.line_dedup import drop_repeated_lines
 from flowspark.llm.mixing import mix
-from flowspark.llm.quality_rules import keep_good
+from flowspark.llm.quality_rules import MIN_WORDS, keep_good
 from flowspark.llm.simhash import keep_one_each
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines an earlier one has."""
-    return drop_repeated_lines(docs).select(docs.columns)
+    """Documents without the lines an earlier one has; one that keeps too few words for the rules goes."""
+    return drop_repeated_lines(docs, least_words=MIN_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
