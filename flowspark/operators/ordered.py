@@ -312,7 +312,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
 
 def _whole_quantiles(rows: DataFrame, probs: list[float], total: int) -> DataFrame:
     """Quantiles of `total` rows without groups: only the values at the wanted ranks leave the running count."""
-    ranks = {float(p): (math.floor(p * (total - 1)), math.ceil(p * (total - 1)), p * (total - 1) % 1) for p in probs if total}
+    if not total or not probs:
+        return rows.select(F.lit(0.0).alias("prob"), F.col("__v").alias("quantile")).limit(0)
+    ranks = {float(p): (math.floor(p * (total - 1)), math.ceil(p * (total - 1)), p * (total - 1) % 1) for p in probs}
     wanted = sorted({r for low, high, _ in ranks.values() for r in (low, high)})
     upto = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     steps = rows.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", upto)
@@ -321,8 +323,7 @@ def _whole_quantiles(rows: DataFrame, probs: list[float], total: int) -> DataFra
     found = steps.where(here).agg(*[at(r).alias(f"r{r}") for r in wanted])
     lines = [F.struct(F.lit(p).alias("prob"), (F.col(f"r{low}") + (F.col(f"r{high}") - F.col(f"r{low}")) * F.lit(part)).alias("quantile"))
              for p, (low, high, part) in ranks.items()]
-    none = F.array().cast("array<struct<prob: double, quantile: double>>")
-    return found.select(F.inline(F.array(*lines) if lines else none))
+    return found.select(F.inline(F.array(*lines)))
 
 
 

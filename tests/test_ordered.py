@@ -74,6 +74,7 @@ def test_exact_quantiles(spark, forced, request):
     values = [v for _, _, v in rows()]
     for p in probs:
         assert got[p] == pytest.approx(np.percentile(values, p * 100))
+    assert exact_quantiles(frame(spark).where("v > 1000"), "v", probs).count() == 0
     grouped = {(r.k, r.prob): r.quantile for r in exact_quantiles(frame(spark), "v", probs, by=["k"]).collect()}
     assert grouped[("a", 0.5)] == pytest.approx(np.median([v for k, _, v in rows() if k == "a"]))
     assert grouped[(None, 0.5)] == pytest.approx(np.median([v for k, _, v in rows() if k is None]))
