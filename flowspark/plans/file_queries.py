@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import ipaddress
 import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,52 +24,101 @@ from flowspark.sources import captures as cap
 from flowspark.sources import sinks, tables
 from flowspark.streaming.watch import file_status, watch_captures
 
+LEAST_CAPTURES, PACKETS_PER_CAPTURE = 4, 1_000_000
+
 
 def _local(path: str) -> str:
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
-def _frame(p) -> bytes:
-    """One Ethernet frame with the packet's addresses, ports, flags and payload size."""
-    src, dst = ipaddress.ip_address(p.src_ip).packed, ipaddress.ip_address(p.dst_ip).packed
-    if p.protocol == 6:
-        l4 = struct.pack(">HHIIBBHHH", p.src_port, p.dst_port, 0, 0, 0x50, p.tcp_flags, p.tcp_window, 0, 0)
-    else:
-        l4 = struct.pack(">HHHH", p.src_port, p.dst_port, 8 + p.payload_length, 0)
-    size = 20 + len(l4) + p.payload_length
-    head = struct.pack(">BBHHHBBH4s4s", 0x45, 0, size, 0, 0, 64, p.protocol, 0, src, dst)
-    return bytes(12) + b"\x08\x00" + head + l4 + bytes(p.payload_length)
+def _address_bytes(text: pd.Series) -> np.ndarray:
+    """The four bytes of addresses; an octet over 255 is carried into the one before it."""
+    values = np.array([int(x) for x in ".".join(text).split(".")], dtype=np.int64).reshape(-1, 4) @ (256 ** np.arange(3, -1, -1, dtype=np.int64))
+    return (values[:, None] >> np.array([24, 16, 8, 0])) & 255
+
+
+def _records(p: pd.DataFrame) -> bytes:
+    """Capture records of Ethernet frames with the packets' addresses, ports (modulo 65536), flags and payload sizes."""
+    tcp = p["protocol"].to_numpy() == 6
+    payload = p["payload_length"].to_numpy().astype(np.int64)
+    size = np.where(tcp, 40, 28) + payload                     # of the IP packet
+    at = np.cumsum(size + 30) - (size + 30)
+    out = np.zeros(int((size + 30).sum()), dtype=np.uint8)
+
+    def put(place, value, width: int, where=slice(None), little: bool = False) -> None:
+        for i in range(width):
+            out[(at + place + i)[where]] = ((value >> (8 * (i if little else width - 1 - i))) & 255)[where]
+
+    whole = lambda c: p[c].to_numpy().astype(np.int64)
+    full = lambda v: np.full(len(p), v, dtype=np.int64)
+    put(0, whole("ts_us") // 1_000_000, 4, little=True)
+    put(4, whole("ts_us") % 1_000_000, 4, little=True)
+    put(8, size + 14, 4, little=True)
+    put(12, size + 14, 4, little=True)
+    put(28, full(0x0800), 2)
+    put(30, full(0x45), 1)
+    put(32, size, 2)
+    put(38, full(64), 1)
+    put(39, whole("protocol"), 1)
+    for place, side in ((42, "src_ip"), (46, "dst_ip")):
+        octets = _address_bytes(p[side])
+        for i in range(4):
+            put(place + i, octets[:, i], 1)
+    put(50, whole("src_port"), 2)
+    put(52, whole("dst_port"), 2)
+    put(62, full(0x50), 1, tcp)
+    put(63, whole("tcp_flags"), 1, tcp)
+    put(64, whole("tcp_window"), 2, tcp)
+    put(54, 8 + payload, 2, ~tcp)
+    return out.tobytes()
 
 
 def _write_part(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    """One capture per task, in time order of its batches."""
-    body = [struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+    """One capture per task, in time order of its batches, written batch by batch."""
     count = 0
-    for batch in batches:
-        for p in batch.itertuples(index=False):
-            data = _frame(p)
-            body.append(struct.pack("<IIII", p.ts_us // 1_000_000, p.ts_us % 1_000_000, len(data), len(data)) + data)
-            count += 1
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/part-{TaskContext.get().partitionId():05d}.pcap"
     with open(path, "wb") as f:
-        f.write(b"".join(body))
+        f.write(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+        for batch in batches:
+            if len(batch):
+                f.write(_records(batch))
+                count += len(batch)
     yield pd.DataFrame({"path": [path], "packets": [count]})
 
 
 def _captures_from_events(spark, sf_dir) -> str:
-    """Capture files in a shared folder, one per partition of the packets."""
+    """Capture files in a shared folder, one per range of the packets; their number follows that of the packets."""
     folder = _local(scratch_dir(spark, "captures"))
-    packets = packets_from_events(spark, sf_dir).repartitionByRange(4, "packet_index").sortWithinPartitions("packet_index")
+    packets = packets_from_events(spark, sf_dir)
+    parts = max(LEAST_CAPTURES, -(-packets.count() // PACKETS_PER_CAPTURE))       # from the files' footers
+    packets = packets.repartitionByRange(parts, "packet_index").sortWithinPartitions("packet_index")
     packets.mapInPandas(lambda it: _write_part(it, folder), "path string, packets long").agg(F.sum("packets")).collect()
     return folder
 
 
+def _as_numbered(packets: DataFrame) -> DataFrame:
+    """Decoded packets in the events' notation, 10.0.(user div 256).(user mod 256) and port 40000 + user.
+
+    A capture has 8 bits an octet and 16 a port. `_records` carries what an octet cannot hold into the second one,
+    which is 0 in the notation, and keeps the port's low bits: the address read back says what a field had to leave out.
+    """
+    octet = lambda side, i: F.split_part(F.col(f"{side}_ip"), F.lit("."), F.lit(i)).cast("int")
+    out = {}
+    for side in ("src", "dst"):
+        client = F.col(f"{side}_ip").startswith("10.")
+        upper = octet(side, 2) * 256 + octet(side, 3)
+        out[f"{side}_ip"] = F.when(client, F.concat(F.lit("10.0."), upper.cast("string"), F.lit("."), octet(side, 4).cast("string"))).otherwise(F.col(f"{side}_ip"))
+        lost = F.floor((40000 + upper * 256 + octet(side, 4)) / 65536).cast("int") * 65536
+        out[f"{side}_port"] = F.col(f"{side}_port") + F.when(client, lost).otherwise(0)
+    return packets.withColumns(out)
+
+
 @query("pcap_decode", "WITH " + PACKETS_SQL + """ SELECT ts_us, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port, protocol,
   CASE WHEN tcp_flags IS NULL THEN 0 ELSE tcp_flags END AS tcp_flags, tcp_window, payload_length, CASE WHEN protocol = 6 THEN 40 ELSE 28 END + payload_length AS total_length, has_payload FROM packets""")
 def pcap_decode(spark, sf_dir):
     """Packets written to capture files and decoded again."""
-    packets = cap.read_packets(spark, _captures_from_events(spark, sf_dir), split_bytes=200_000)
+    packets = _as_numbered(cap.read_packets(spark, _captures_from_events(spark, sf_dir), split_bytes=200_000))
     return packets.select("ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "tcp_window",
                           "payload_length", "total_length", "has_payload")
 
