@@ -146,7 +146,8 @@ def extraction_files(spark, sf_dir):
     rows = results_from_lineitem(spark, sf_dir).where("pcap_file IS NOT NULL")
     flows = rows.select(F.col("pcap_file").alias("file"), F.col("row_id").alias("Flow ID"), F.col("ts_us").cast("string").alias("Timestamp"), "fine_score")
     sinks.write_flows_per_capture(flows, path, rows_per_file=per_file)
-    back = spark.read.option("header", True).csv(path).withColumn("__from", F.col("_metadata.file_path"))
+    # With a schema Spark need not list every file once more to look for a header.
+    back = spark.read.schema("`Flow ID` string, Timestamp string, fine_score string, file string").option("header", True).csv(path).withColumn("__from", F.col("_metadata.file_path"))
     counted = back.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("__from").alias("files"))
     return counted.select("file", "rows", F.col("files").between(F.lit(1), F.ceil(F.col("rows") / per_file)).alias("fits"))
 

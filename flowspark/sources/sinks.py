@@ -21,6 +21,7 @@ FLOWS_PER_RECORD = 1000
 ROWS_PER_FILE = 1_000_000
 PARTS_PER_BUCKET = 5000       # of 200 packets each
 MOST_WRITE_TASKS = 100_000
+ROWS_PER_WRITE_TASK = 250_000      # where files are smaller, a task writes several
 
 
 def write_flow_csv(flows: DataFrame, path: str, label: Column | None = None, mode: str = "overwrite") -> None:
@@ -29,26 +30,32 @@ def write_flow_csv(flows: DataFrame, path: str, label: Column | None = None, mod
     out.select(*[col(c) for c in FLOW_COLUMNS]).write.mode(mode).option("header", True).csv(path)
 
 
-def spread_by_size(df: DataFrame, file: str, rows_per_file: int, spread: list[str]) -> DataFrame:
-    """Rows dealt out so that a file per capture and task follows the capture's size.
+def spread_by_size(df: DataFrame, file: str, rows_per_file: int, spread: list[str]) -> tuple[DataFrame, int]:
+    """Rows dealt out so that the files of a capture follow its size, and the most rows a file may hold (0: any).
 
-    Each capture gets one part per `rows_per_file` of its rows, by hash of the `spread` columns; a part is
-    whole in one task, small captures share tasks, and a large one is over many. The sizes come from one count.
+    A capture gets one share per `rows_per_file` of its rows, by hash of the `spread` columns; a share is whole in one task
+    and makes one file. Where files are small, a share has the rows of `files` files instead, a task per file would cost more than
+    its rows: the task begins a new file after 1.25 times `rows_per_file` rows. With five files a share or more that leaves room for the
+    file each share leaves unfilled, so that there are never more than one per `rows_per_file` rows begun. The sizes come from one count.
     """
+    files = ROWS_PER_WRITE_TASK // rows_per_file
+    files = files if files >= 5 else 1
+    parts = F.ceil(F.col("__rows") / rows_per_file)
     sizes = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows")).select(
-        F.col(file).alias("__file"), F.ceil(F.col("__rows") / rows_per_file).cast("int").alias("__parts"))
+        F.col(file).alias("__file"), F.greatest(F.lit(1), F.floor(F.col("__rows") / (rows_per_file * files)) if files > 1 else parts).cast("int").alias("__parts"))
     sizes = store(sizes, "capture-sizes")
     total = sizes.agg(F.sum("__parts")).first()[0] or 1
     small = sizes.count() <= SMALL_TABLE_ROWS       # a name and a number per capture
     joined = df.join(F.broadcast(sizes) if small else sizes, F.col(f"`{file}`").eqNullSafe(F.col("__file")))
     part = F.pmod(F.xxhash64(*[col(c) for c in spread]), F.col("__parts"))
-    return joined.withColumn("__part", part).repartition(int(min(total, MOST_WRITE_TASKS)), F.col(f"`{file}`"), F.col("__part")).drop(
-        "__file", "__parts", "__part")
+    dealt = joined.withColumn("__part", part).repartition(int(min(total, MOST_WRITE_TASKS)), F.col(f"`{file}`"), F.col("__part"))
+    return dealt.drop("__file", "__parts", "__part"), -(-5 * rows_per_file // 4) if files > 1 else 0
 
 
 def write_flows_per_capture(flows: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
     """One directory per capture, with about a file per `rows_per_file` flows."""
-    spread_by_size(flows, "file", rows_per_file, ["Flow ID", "Timestamp"]).write.mode(mode).partitionBy("file").option("header", True).csv(path)
+    dealt, most = spread_by_size(flows, "file", rows_per_file, ["Flow ID", "Timestamp"])
+    dealt.write.mode(mode).option("maxRecordsPerFile", most).partitionBy("file").option("header", True).csv(path)
 
 
 def label_flows(flows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -148,3 +148,18 @@ def test_capture_scores_and_warnings(spark):
     _, report = mo.score_captures(flows, Half(["dur", *[f"n{i}" for i in range(9)]]))
     assert {w for r in report.collect() for w in r.warnings} == {"模型特征仅有 1 个与当前流量重叠（10.0%），预测可靠性较低。"}
     assert mo.positive_index([0, 1], {0: "attack", 1: "benign"}) == 0
+
+
+def test_small_files_of_a_large_capture_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_WRITE_TASK", 1000)
+    rows = spark.range(20_000).select(F.when(F.col("id") < 18_000, "large").when(F.col("id") < 19_990, "middle").otherwise("small").alias("file"),
+                                      F.col("id").cast("string").alias("Flow ID"), F.lit("t").alias("Timestamp"))
+    dealt, most = sinks.spread_by_size(rows, "file", 100, ["Flow ID"])
+    assert most == 125 and dealt.rdd.getNumPartitions() == 20        # 18 + 1 + 1 shares, not a task per file (201)
+    sinks.write_flows_per_capture(rows, str(tmp_path / "c"), rows_per_file=100)
+    back = spark.read.option("header", True).csv(str(tmp_path / "c")).groupBy("file", F.col("_metadata.file_path")).count()
+    found = {r.file: (r.rows, r.files, r.most) for r in back.groupBy("file").agg(
+        F.sum("count").alias("rows"), F.count("*").alias("files"), F.max("count").alias("most")).collect()}
+    assert [found[f][0] for f in ("large", "middle", "small")] == [18_000, 1990, 10]
+    for n, files, largest in found.values():
+        assert n / 125 <= files <= -(-n // 100) and largest <= 125
