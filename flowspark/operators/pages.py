@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACE = ["__part", "__row"]
+ROWS_PER_TASK = 250_000       # sorted and written by one task
 
 
 def store_pages(df: DataFrame, path: str, order: list[str], page_rows: int = 100) -> None:
     """Sorted rows under `path`/rows and the index under `path`/index; `page_rows` is the finest unit that is read."""
     spark = df.sparkSession
     number = F.monotonically_increasing_id()
-    rows = df.orderBy(*[F.col(c) for c in order]).select(
+    # The number of sorted ranges follows the input, so what a task sorts and buffers does not.
+    tasks = max(1, -(-df.count() // ROWS_PER_TASK))
+    place = [F.col(c) for c in order]
+    rows = df.repartitionByRange(tasks, *place).sortWithinPartitions(*place).select(
         "*", F.spark_partition_id().alias("__part"), number.bitwiseAND((1 << 33) - 1).alias("__row"))
     rows.write.option("parquet.page.row.count.limit", str(page_rows)).option("parquet.page.size.row.check.min", str(page_rows)).parquet(f"{path}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/rows")
     files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)      # a row per file
-    files.select("file", "first.*", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")).write.parquet(f"{path}/index")
+        *[F.min(c).alias(c) for c in PLACE], F.count(F.lit(1)).alias("rows"))         # a file has one part; plain numbers need no sort
+    before = Window.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)      # a row per file
+    files.select("file", *PLACE, "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")).write.parquet(f"{path}/index")
 
 
 def page_total(spark: SparkSession, path: str, size: int) -> DataFrame:
