@@ -27,3 +27,15 @@ def test_a_fit_gets_partitions_by_its_cached_bytes(spark, monkeypatch):
     seen.clear()
     out = mo.baseline_models(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), ["a"], "label", ["id"], trees=3).collect()
     assert seen == [13, 13] and all(r.roc_auc == 1.0 for r in out)
+
+
+def test_both_fits_read_even_partitions_whatever_the_files(spark, monkeypatch):
+    rows = spark.range(9000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    rows = rows.repartition(8, F.when(F.col("id") < 8000, 0).otherwise(F.col("id"))).cache()      # nearly all in one partition
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, d, *a: (seen.append(d.rdd.glom().map(len).collect()), fit(self, d, *a))[1])
+    monkeypatch.setattr(mo, "EVEN_FIT_ROWS", 1000, raising=False)
+    got = mo.train_classifier(rows, "label", ["id"], features=["a"], max_iter=3, max_depth=2)
+    cores = spark.sparkContext.defaultParallelism
+    assert sorted(map(sum, seen)) == [7200, 9000] and got["samples"] == 9000 and got["metrics"]["roc_auc"] == 1.0
+    assert all(max(sizes) < 2 * sum(sizes) / cores for sizes in seen)
