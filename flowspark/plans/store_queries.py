@@ -21,7 +21,7 @@ from flowspark.plans.adapters import FLOWS_SQL, LI_SQL, PACKETS_SQL, RESULTS_SQL
 from flowspark.plans.analyze_queries import _ANN_SQL, _annotations
 from flowspark.plans.registry import query, table
 from flowspark.schema import LABEL, NUMERIC_FEATURES
-from flowspark.session import scratch_dir
+from flowspark.session import scratch_dir, store
 from flowspark.sources import captures as cap
 from flowspark.sources import sinks, tables
 
@@ -78,9 +78,9 @@ def csv_encodings(spark, sf_dir):
     for rest, charset in ((0, "GB18030"), (1, "ISO-8859-1"), (2, "UTF-8")):
         rows.where(F.col("id") % 3 == rest).write.option("header", True).option("encoding", charset).csv(f"{path}/{rest}")
     listing = tables.list_csv(spark, path, recursive=True)
-    probed = tables.probe_csv(listing, range_bytes=2048).select(F.col("path").alias("file"), "encoding")
-    read = tables.read_csv_files(listing, file_column="file", range_bytes=2048)
-    return read.join(F.broadcast(probed), "file").select(F.col("id").cast("long").alias("id"), "name", "encoding")      # a row per file
+    probed = store(tables.probe_csv(listing, range_bytes=2048), "probed")
+    read = tables.read_csv_files(listing, file_column="file", probed=probed)
+    return read.join(F.broadcast(probed.select(F.col("path").alias("file"), "encoding")), "file").select(F.col("id").cast("long").alias("id"), "name", "encoding")      # a row per file
 
 
 @query("csv_tree", "SELECT l_linenumber, count(*) AS rows, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY l_linenumber")

@@ -21,11 +21,13 @@ CSV_ENCODINGS = ["utf-8", "utf-8-sig", "gb18030", "latin1"]
 FLOW_CSV_ENCODINGS = ["utf-8", "utf-8-sig", "cp1252", "latin-1"]
 JAVA_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "gb18030": "GB18030", "latin1": "ISO-8859-1",
                  "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+ALIKE = {"utf-8-sig": "utf-8", "latin-1": "latin1"}       # one test for both
 ONE_BYTE = ["latin1", "latin-1", "cp1252"]      # characters are bytes
 MOST_BYTES = 4            # of a character
 PROBE_BYTES = 1 << 20     # the header lies within
 RANGE_BYTES = 16 << 20
 MOST_RANGE_TASKS = 10_000
+RANGE_TASKS_A_CORE = 4
 FIELD = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'       # a comma outside quotes
 PREFERRED_NAMES = ["vectorized", "feature", "train"]      # fixed values
 
@@ -44,6 +46,8 @@ def _carried(data: bytes, size: int, start: int, encoding: str) -> int:
     """
     if start >= size:
         return start - size
+    if data.isascii() and encoding in CSV_ENCODINGS + FLOW_CSV_ENCODINGS:
+        return 0                   # a character a byte in all of them
     decoder = codecs.getincrementaldecoder("utf-8" if encoding == "utf-8-sig" else encoding)()
     try:
         decoder.decode(data[start:size])
@@ -58,6 +62,16 @@ def _carried(data: bytes, size: int, start: int, encoding: str) -> int:
     return -1
 
 
+def _all_carried(data: bytes, size: int, starts: range, encoding: str) -> list[int]:
+    """`_carried` for every start; one that lies between two characters of an earlier start's text ends as that one does."""
+    takes: list[int] = []
+    whole = lambda part: _carried(part, len(part), 0, encoding) == 0
+    for start in starts:
+        same = next((s for s in starts[:len(takes)] if whole(data[s:start])), None) if start < size else None
+        takes.append(_carried(data, size, start, encoding) if same is None else takes[same])
+    return takes
+
+
 def _test_ranges(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Iterator[pd.DataFrame]:
     """Per range and encoding: for each number of bytes that the range before may have taken, how many this one takes from the next."""
     for batch in batches:
@@ -69,6 +83,7 @@ def _test_ranges(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Itera
                     data = f.read(start, end - start + MOST_BYTES - 1)
                 finally:
                     f.close()
+                known: dict[str, list[int]] = {}
                 for encoding in encodings:
                     starts = range(MOST_BYTES) if start and encoding not in ONE_BYTE else range(1)
                     head = None
@@ -76,7 +91,10 @@ def _test_ranges(batches: Iterator[pd.DataFrame], encodings: list[str]) -> Itera
                         text = codecs.getincrementaldecoder("utf-8-sig" if encoding == "utf-8" else encoding)("ignore").decode(data[:PROBE_BYTES])
                         line = text.splitlines()[0] if text.strip() else ""
                         head = next(csv.reader([line]), []) if line else []
-                    out.append((path, k, encoding, [_carried(data, end - start, s, encoding) for s in starts], head, None))
+                    decoder = ALIKE.get(encoding, encoding)
+                    if decoder not in known:
+                        known[decoder] = _all_carried(data, end - start, starts, encoding)
+                    out.append((path, k, encoding, known[decoder], head, None))
             except Exception as e:
                 out.append((path, k, None, None, None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(out, columns=["path", "k", "encoding", "takes", "header", "error"])
@@ -93,7 +111,9 @@ def probe_csv(listing: DataFrame, encodings: list[str] | None = None, range_byte
     ranges = listing.select("path", "length", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("length") / range_bytes) - 1))).alias("k")).select(
         "path", "k", (F.col("k") * range_bytes).alias("start"), F.least("length", (F.col("k") + 1) * range_bytes).alias("stop"))
-    n = listing.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / range_bytes)))).first()[0] or 1
+    size = listing.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / range_bytes))), F.sum("length")).first()
+    # Small ranges and small files share tasks: a task by RANGE_BYTES of input, and some for each core.
+    n = min(size[0] or 1, max(-(-(size[1] or 0) // RANGE_BYTES), RANGE_TASKS_A_CORE * listing.sparkSession.sparkContext.defaultParallelism))
     tested = ranges.repartition(int(min(n, MOST_RANGE_TASKS)), "path", "k").mapInPandas(
         lambda it: _test_ranges(it, names), "path string, k long, encoding string, takes array<int>, header array<string>, error string")
     step = F.struct("k", "takes")
@@ -109,14 +129,15 @@ def probe_csv(listing: DataFrame, encodings: list[str] | None = None, range_byte
 
 def read_csv_files(listing: DataFrame, *, columns: list[str] | None = None, encodings: list[str] | None = None,
                    infer: bool = False, skip_unreadable: bool = False, file_column: str | None = None,
-                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+                   range_bytes: int = RANGE_BYTES, probed: DataFrame | None = None) -> DataFrame:
     """All files under the union of their columns; headers are trimmed, a repeated name gets `.1`.
 
-    Files are grouped by encoding and header, and each group is one scan, so a
+    `probed` is the stored result of `probe_csv` where there is one already. Files are grouped by encoding and header, and each group is one scan, so a
     projection reaches every scan.
     """
     spark = listing.sparkSession
-    groups = probe_csv(listing, encodings, range_bytes).groupBy("encoding", "header", "error").agg(F.collect_list("path").alias("paths")).collect()
+    found = probe_csv(listing, encodings, range_bytes) if probed is None else probed
+    groups = found.groupBy("encoding", "header", "error").agg(F.collect_list("path").alias("paths")).collect()
     bad = [p for g in groups if g["error"] for p in g["paths"]]
     if bad and not skip_unreadable:
         raise ValueError(f"cannot read {bad[:3]}")

@@ -1,7 +1,9 @@
 """Stored pages, the annotation log, files by size, encodings by range."""
 
+import codecs
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,36 @@ def test_encodings_by_ranges_equal_the_whole_file(spark, tmp_path, size):
     assert {n for n, e in lost.items() if e} == {"gb.csv", "west.csv", "cut.csv"}
 
 
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_bytes(("name,value\n" + "异常,é\n" * 4000).encode())
+    frame = type(spark.range(0))
+    seen, deal = [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *a: (seen.append(n), deal(self, n, *a))[1])
+    assert [r.encoding for r in tables.probe_csv(tables.list_csv(spark, str(tmp_path)), range_bytes=16).collect()] == ["utf-8"]
+    assert max(seen) <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_a_range_is_decoded_once_where_starts_and_encodings_agree(tmp_path, monkeypatch):
+    path = tmp_path / "a.csv"
+    batch = lambda: iter([pd.DataFrame({"path": [str(path)], "k": [1], "start": [16], "stop": [path.stat().st_size]})])
+    decoded, make = [], codecs.getincrementaldecoder
+
+    def counting(name):
+        class Counting(make(name)):
+            def decode(self, data, final=False):
+                decoded.append(len(data))
+                return super().decode(data, final)
+        return Counting
+
+    monkeypatch.setattr(tables.codecs, "getincrementaldecoder", counting)
+    for text, times in (("1,2,three\n" * 5000, 0), ("1,2,three\n" * 5000 + "é\n", 1)):
+        path.write_bytes(text.encode())
+        decoded.clear()
+        out = next(tables._test_ranges(batch(), ["utf-8", "utf-8-sig"]))
+        assert out["takes"].tolist() == [[0, 0, 0, 0]] * 2 and out["error"].isna().all()
+        assert sum(n > 100 for n in decoded) == times
+
+
 def test_explicit_capture_lists_and_modes(spark, tmp_path):
     for name in "cab":
         (tmp_path / f"{name}.pcap").write_bytes(b"x")
