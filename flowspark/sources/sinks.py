@@ -20,6 +20,7 @@ from flowspark.session import store
 FLOWS_PER_RECORD = 1000
 ROWS_PER_FILE = 1_000_000
 PARTS_PER_BUCKET = 5000       # of 200 packets each
+LEAST_PARTS_PER_DIRECTORY = 1000
 MOST_WRITE_TASKS = 100_000
 ROWS_PER_WRITE_TASK = 250_000      # where files are smaller, a task writes several
 
@@ -158,17 +159,27 @@ def write_predictions(predicted: DataFrame, path: str, fmt: str = "parquet", mod
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def _parts_per_directory(parts_per_bucket: int) -> int:
+    """Whole buckets, LEAST_PARTS_PER_DIRECTORY parts or more."""
+    return parts_per_bucket * -(-LEAST_PARTS_PER_DIRECTORY // parts_per_bucket)
+
+
 def write_packet_chunks(chunked: DataFrame, path: str, mode: str = "overwrite", parts_per_bucket: int = PARTS_PER_BUCKET) -> None:
-    """Packet table by capture and bucket of parts, in the order of the parts; `part` stays a column.
+    """Packet table by capture and bucket of parts, in the order of the parts; `part` and `bucket` stay columns.
 
-    A directory holds `parts_per_bucket` parts, so their number follows the capture's size and not its number of parts.
+    A bucket holds `parts_per_bucket` parts, so their number follows the capture's size and not its number of parts. Small buckets
+    share a directory: a file for a few hundred packets costs more to write and to list than its rows. The rows of a directory
+    are in order, so a reader finds a bucket by the statistics of the file's pages.
     """
-    rows = chunked.withColumn("bucket", F.floor(F.col("part") / parts_per_bucket).cast("int"))
+    rows = chunked.withColumns({
+        "bucket": F.floor(F.col("part") / parts_per_bucket).cast("long"),
+        "directory": F.floor(F.col("part") / _parts_per_directory(parts_per_bucket)).cast("int")})
     order = [c for c in ("part", "packet_index") if c in rows.columns]
-    rows.repartition("file", "bucket").sortWithinPartitions("file", "bucket", *order).write.mode(mode).partitionBy("file", "bucket").parquet(path)
+    rows.repartition("file", "directory").sortWithinPartitions("file", "directory", *order).write.mode(mode).partitionBy("file", "directory").parquet(path)
 
 
 def read_packet_part(spark: SparkSession, path: str, file: str, part: int, parts_per_bucket: int = PARTS_PER_BUCKET) -> DataFrame:
-    """The packets of one part; only its bucket is read."""
+    """The packets of one part; only its directory is read, and of that the pages with its bucket."""
     rows = spark.read.parquet(path)
-    return rows.where((F.col("file") == file) & (F.col("bucket") == part // parts_per_bucket) & (F.col("part") == part)).drop("bucket")
+    return rows.where((F.col("file") == file) & (F.col("directory") == part // _parts_per_directory(parts_per_bucket))
+                      & (F.col("bucket") == part // parts_per_bucket) & (F.col("part") == part)).drop("bucket", "directory")

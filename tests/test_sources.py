@@ -212,6 +212,16 @@ def test_dataset_manifest_events_and_chunks(spark, tmp_path):
     assert {r.part for r in spark.read.parquet(str(tmp_path / "parts")).select("part").collect()} == {1, 2, 3}
 
 
+def test_small_buckets_of_parts_share_a_directory(spark, tmp_path):
+    packets = spark.range(6100).select(F.lit("a").alias("file"), F.col("id").alias("packet_index"))
+    path = str(tmp_path / "parts")
+    sinks.write_packet_chunks(packet_chunks(packets, 3), path, parts_per_bucket=7)
+    assert len(list((tmp_path / "parts").glob("file=a/*"))) == 3
+    for part in (1, 7, 1000, 1001, 1002, 2034):
+        got = sorted(r.packet_index for r in sinks.read_packet_part(spark, path, "a", part, parts_per_bucket=7).collect())
+        assert got == [i for i in range(3 * part - 3, 3 * part) if i < 6100]
+
+
 def test_reader_state_beyond_the_first_block(tmp_path):
     """Interface blocks of more than 64 KiB: every interface's clock is known before the first packet."""
     from flowspark.sources.captures import _File, _reader_state
