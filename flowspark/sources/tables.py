@@ -198,6 +198,16 @@ def _fields(value: Column) -> Column:
     return F.when(value.contains('"'), unquoted).otherwise(F.split(value, ",", -1))
 
 
+def _without_bom(value: Column) -> Column:
+    return F.when(value.startswith("\ufeff"), F.substring(value, F.lit(2), F.length(value) - 1)).otherwise(value)
+
+
+def _is_header(value: Column, header: list[str]) -> Column:
+    """Whether the fields of a line are the header's; only a line with quotes has to be split for that."""
+    plain = F.lit(False) if any("," in h for h in header) else value == F.lit(",".join(header))
+    return F.when(value.contains('"'), _fields(value) == F.array(*[F.lit(h) for h in header])).otherwise(plain)
+
+
 def repair_misaligned(spark: SparkSession, source: str | list[str]) -> DataFrame:
     """Rows of 88 values under 86 headers, with the two surplus values (77th and 78th) removed.
 
@@ -212,13 +222,13 @@ def repair_misaligned(spark: SparkSession, source: str | list[str]) -> DataFrame
         if len(probe["header"]) != 86:
             raise ValueError(f"expected 86 header columns, found {len(probe['header'])}")
     header = probes[0]["header"]
-    rows = spark.read.text(paths).where((F.trim("value") != ""))
-    values = rows.select(_fields(F.regexp_replace("value", "^\ufeff", "")).alias("f")).where(
-        F.col("f") != F.array(*[F.lit(h) for h in header]))
-    checked = F.when(F.size("f") == 88, F.concat(F.slice("f", 1, 76), F.slice("f", 79, 10))).otherwise(
+    rows = spark.read.text(paths).where((F.trim("value") != "")).select(_without_bom(F.col("value")).alias("value"))
+    # Asked of the text: a filter on the fields would be pushed below them and split every line twice.
+    values = rows.where(~_is_header(F.col("value"), header)).select(_fields(F.col("value")).alias("f"))
+    checked = F.when(F.size("f") == 88, F.col("f")).otherwise(
         F.raise_error(F.concat(F.lit("expected 88 values, found "), F.size("f").cast("string"))).cast("array<string>"))
     fixed = values.select(checked.alias("f"))
-    return fixed.select(*[F.col("f")[i].alias(n) for i, n in enumerate(_unique(header))])
+    return fixed.select(*[F.col("f")[i if i < 76 else i + 2].alias(n) for i, n in enumerate(_unique(header))])
 
 
 def read_extractions(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -222,6 +222,21 @@ def test_small_buckets_of_parts_share_a_directory(spark, tmp_path):
         assert got == [i for i in range(3 * part - 3, 3 * part) if i < 6100]
 
 
+def test_repair_splits_a_line_once_and_knows_repeated_headers(spark, tmp_path):
+    from flowspark.schema import FLOW_FILE_HEADER
+    names = FLOW_FILE_HEADER + ["LabelBinary"]
+    row = [str(i) for i in range(88)]
+    (tmp_path / "a.csv").write_text("\n".join(["\ufeff" + ",".join(names), ",".join(row), ",".join(f'"{n}"' for n in names), ",".join(names), "",
+                                               ",".join(['"0,5"', *row[1:]])]) + "\n", encoding="utf-8")
+    fixed = tables.repair_misaligned(spark, str(tmp_path / "a.csv"))
+    kept = row[:76] + row[78:]
+    assert sorted(map(list, fixed.collect())) == sorted([kept, ["0,5", *kept[1:]]])
+    plan = fixed.select(*fixed.columns[:3])._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all("size(" not in line and "regexp_replace" not in line for line in filters)
+    assert sum(line.count("split(value") for line in filters) <= 1       # of lines with quotes
+
+
 def test_reader_state_beyond_the_first_block(tmp_path):
     """Interface blocks of more than 64 KiB: every interface's clock is known before the first packet."""
     from flowspark.sources.captures import _File, _reader_state
