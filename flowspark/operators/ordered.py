@@ -295,15 +295,17 @@ def keyed_join(df: DataFrame, table: DataFrame, keys: list[str], hot: HotKeys |
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and probability; null values are left out, NaN is the largest.
 
-    One aggregation counts the groups. A group below hotMinRows rows is counted by distinct value and summed up.
-    In a larger one the wanted ranks are closed in by counts alone, and after two or three rounds fewer than
+    One aggregation counts the groups. A group below hotMinRows rows is counted by distinct value and summed up, and so is an input
+    without groups that has so few distinct values, however many rows. In a larger one the wanted ranks are closed in by counts alone, and after two or three rounds fewer than
     hotMinRows rows or a single value are left for each. Columns: `by`, `prob`, `quantile`.
     """
     by = list(by or [])
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     if not by:
-        total = rows.count()
-        return _whole_quantiles(rows, probs, total) if total < min_hot_rows(df) else _selected_quantiles(rows, by, probs, min_hot_rows(df))
+        most = min_hot_rows(df)
+        total, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("__v")).first()
+        few = total < most or distinct < most // 2        # the estimate only chooses between two exact ways
+        return _whole_quantiles(rows, probs, total) if few else _selected_quantiles(rows, by, probs, most)
     hot = hot_keys(rows, by)
     if hot is None:
         return _counted_quantiles(rows, by, probs)

@@ -141,3 +141,17 @@ def test_annotations(spark, tmp_path):
     assert (s.total, s.anomalies, s.normals) == (2, 1, 1)
     import hashlib
     assert {r.flow_key for r in ann.with_flow_key(flows).where("flow_id = 'f2'").collect()} == {hashlib.sha1(b"f2").hexdigest()}
+
+
+def test_many_rows_of_few_scores_are_counted_not_sketched(spark, monkeypatch):
+    import numpy as np
+
+    from flowspark.operators import ordered
+    monkeypatch.setattr(ordered, "_selected_quantiles", lambda *a: pytest.fail("sketched"))
+    spark.conf.set("spark.flowspark.hotMinRows", "100")
+    try:
+        values = [(i * i % 11) / 10 for i in range(3000)]
+        got = {r["prob"]: r["quantile"] for r in ordered.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.05, 0.5, 0.95]).collect()}
+    finally:
+        spark.conf.unset("spark.flowspark.hotMinRows")
+    assert got == {p: pytest.approx(float(np.quantile(values, p))) for p in (0.05, 0.5, 0.95)}
