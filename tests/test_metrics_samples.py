@@ -155,3 +155,14 @@ def test_many_rows_of_few_scores_are_counted_not_sketched(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.flowspark.hotMinRows")
     assert got == {p: pytest.approx(float(np.quantile(values, p))) for p in (0.05, 0.5, 0.95)}
+
+
+def test_a_report_asks_once_whether_a_label_holds_numbers(spark):
+    from flowspark.operators.analyze import analyze_results
+    rows = [(i, float(i % 10) / 10, "1" if i % 10 > 6 else "0", "attack" if i % 10 > 4 else "benign") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, malicious_score double, prediction_status string, label string")
+    tables = analyze_results(df, ["id"], {"threshold": 0.65})
+    got = tables["confusion"].first()
+    assert (got.tn, got.fp, got.fn, got.tp) == (50, 0, 20, 30) and tables["totals"].first().malicious_total == 30
+    for name in ("confusion", "totals", "histogram"):
+        assert tables[name]._jdf.queryExecution().optimizedPlan().toString().count("__numeric") == 0
