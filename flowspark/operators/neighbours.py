@@ -11,6 +11,9 @@ are compared. The result is exact whatever the pivots; how much is left to compa
 A cell with more than CELL_ROWS rows is cut by hash of the row, and so are the queries of a cell
 that more than QUERY_ROWS of them visit: no task holds more than a piece of either.
 
+Where the cells rule out less than half of the pairs, a query would be sent to most cells, whose number grows with the root of
+the rows. All pairs are then compared in blocks of CELL_ROWS rows and a piece of the queries; the bounds found at home still hold.
+
 Where queries times rows are no more than SMALL_PAIRS, everything is one cell: an index would cost more than it saves.
 """
 
@@ -31,6 +34,7 @@ MAX_PIVOTS = 2048
 SMALL_PAIRS = 1 << 22
 CELL_ROWS = 16_384
 QUERY_ROWS = 65_536
+LEAST_BLOCK = 1024            # queries of a block
 CHUNK_ENTRIES = 1 << 22       # distances computed at a time
 DIGITS = 9                    # distances that agree so far are ties, which the smaller id wins
 FOUND = "query long, neighbour long, y double, distance double, compared long"
@@ -166,6 +170,8 @@ def _met(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, leave_self_
         points, r, ids, y = _points(rows["v"]), _numbers(rows, "r"), _numbers(rows, "id"), _numbers(rows, "y")
         order = np.lexsort((ids, r))
         points, r, ids, y = points[order], r[order], ids[order], y[order]
+        by_id = np.argsort(ids, kind="stable")
+        sorted_ids = ids[by_id]
         queries, all_bounds, all_d, all_ids = _points(asked["v"]), _numbers(asked, "bound"), _numbers(asked, "d"), _numbers(asked, "id")
         found, compared = [], 0
         for part in _chunks(len(queries), len(points)):
@@ -176,7 +182,9 @@ def _met(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, leave_self_
                 compared += len(here) * len(points)
                 about = _distances(here, points)
                 if leave_self_out:
-                    about[own_id[:, None] == ids[None, :]] = np.inf
+                    own = np.searchsorted(sorted_ids, own_id)
+                    mine = np.nonzero(sorted_ids[np.minimum(own, len(ids) - 1)] == own_id)[0]
+                    about[mine, by_id[own[mine]]] = np.inf
                 take = min(k, len(points))
                 limit = np.minimum(np.partition(about, take - 1, axis=1)[:, take - 1], bound) + slack
                 at, of = np.nonzero(about <= limit[:, None])
@@ -225,19 +233,35 @@ def _candidates(queries: DataFrame, train: DataFrame, vector: str, query_id: str
         rows[cell], least[cell], most[cell] = n, low, high
     need = k + int(leave_self_out)
 
-    def meet(asked: DataFrame, bounded: bool) -> DataFrame:
+    def in_blocks(asked: DataFrame) -> DataFrame:
+        """All pairs in blocks: a query travels once per CELL_ROWS rows and not once per cell."""
+        piece = min(QUERY_ROWS, max(LEAST_BLOCK, -(-asking // (4 * q.sparkSession.sparkContext.defaultParallelism))))
+        zero = F.lit(0.0)
+        everything = Cells(pivots, one * size, least, most, one * -(-asking // piece))      # the pivots for their slack
+        unbounded = F.coalesce("bound", F.lit(float("inf"))).alias("bound")
+        return _met(asked.select("id", "v", F.lit(0).alias("cell"), unbounded, zero.alias("d")),
+                    placed.select("id", "y", "v", F.lit(0).alias("cell"), zero.alias("r")), everything, k, leave_self_out)
+
+    def meet(asked: DataFrame, bounded: bool) -> DataFrame | None:
+        """None if the cells rule out less than half of the pairs."""
         cells = Cells(pivots, rows, least, most, np.ones(len(pivots), np.int64))
         visits = _visits(asked, cells, need, bounded)
-        if asking > QUERY_ROWS:
-            for cell, n in visits.groupBy("cell").agg(F.count(F.lit(1))).collect():
+        if bounded or asking > QUERY_ROWS:
+            pairs = 0
+            for cell, n in visits.groupBy("cell").agg(F.count(F.lit(1))).collect():     # a row per pivot
                 cells.query_parts[cell] = max(1, -(-n // QUERY_ROWS))
+                pairs += n * int(rows[cell])
+            if bounded and 2 * pairs > size * asking:
+                return None
         return _met(visits, placed, cells, k, leave_self_out)
 
     first = store(meet(q, False), "knn-home")
     bounds = _ranked(first, k).groupBy("query").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-    asked = q.join(bounds, q["id"] == bounds["query"], "left").select("id", "v", "bound")
-    return first.unionByName(meet(asked, True))
+    asked = store(q.join(bounds, q["id"] == bounds["query"], "left").select("id", "v", "bound"), "knn-bounds")
+    second = meet(asked, True)
+    # Blocks meet the home cells again, so their answer is the whole one.
+    return in_blocks(asked) if second is None else first.unionByName(second)
 
 
 def nearest_neighbours(queries: DataFrame, train: DataFrame, vector: str, query_id: str, train_id: str, label: str, *,

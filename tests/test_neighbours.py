@@ -61,3 +61,21 @@ def test_most_pairs_are_never_compared(spark):
     rows = frame(spark, vectors, np.zeros(3000))
     compared = ne.compared_pairs(rows, rows, "v", "id", "id", "y", k=10, leave_self_out=True)
     assert 3000 * 10 < compared < 3000 * 3000 / 10
+
+
+def test_rows_that_no_cell_rules_out_meet_in_blocks(spark, monkeypatch):
+    """A query of random rows in many dimensions travels to a few blocks, not to every cell."""
+    monkeypatch.setattr(ne, "CELL_ROWS", 200)
+    monkeypatch.setattr(ne, "LEAST_BLOCK", 50, raising=False)
+    vectors = np.random.default_rng(3).normal(size=(600, 40))
+    rows = frame(spark, vectors, np.zeros(600))
+    met, sent = ne._met, []
+
+    def watched(visits, *args):
+        sent.append(visits.count())
+        return met(visits, *args)
+
+    monkeypatch.setattr(ne, "_met", watched)
+    got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True, small_pairs=0), "neighbour_id")
+    assert got == dict(enumerate(nearest(vectors, vectors, 5, True)))
+    assert sent[-1] == 600
