@@ -21,6 +21,7 @@ them by `slice_number`.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -355,23 +356,45 @@ def _counted_quantiles(rows: DataFrame, by: list[str], probs: list[float]) -> Da
 
 
 GRID, SKETCH_ACCURACY, GRID_MARGIN = 1000, 10_000, 2      # the sketch is off by a tenth of a grid step
+OCTAVE_CELLS = 64
+
+
+def _cell(value: Column) -> Column:
+    """A whole number that never falls as `value` rises, NaN last: 64 cells between a number and its double, either sign."""
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(sys.float_info.max))) * OCTAVE_CELLS) + 1100 * OCTAVE_CELLS
+    return F.when(F.isnan(value), 1 << 20).when(value > 0, size).when(value < 0, -size).otherwise(0).cast("int")
+
+
+def _cell_state(rows: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Where every wanted rank (`side` 0 and 1 of a probability) lies, from one count by cell: an open range or, in a cell of one value, that value."""
+    cells = rows.groupBy(*by, _cell(F.col("__v")).alias("__cell")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    whole = Window.partitionBy(*by)                           # some thousand rows a group at most
+    along = whole.orderBy("__cell")
+    cells = cells.withColumns({
+        "__upto": F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "__total": F.sum("__n").over(whole),
+        "__from": F.lag("__most").over(along), "__to": F.lead("__least").over(along)})
+    at = F.col("p") * (F.col("__total") - 1)
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side")) for p in probs for side in (0, 1)])).alias("w")
+    cells = cells.select("*", wanted).select("*", "w.*").withColumn("__rank", F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at)))
+    below = F.col("__upto") - F.col("__n")
+    return cells.where((F.col("__rank") >= below) & (F.col("__rank") < F.col("__upto"))).select(
+        *by, "p", "side", "__total", "__rank", "__from", "__to", below.alias("__below"), F.col("__n").alias("__inside"),
+        F.when(F.col("__least") == F.col("__most"), F.col("__least")).alias("__value"))
 
 
 def _selected_quantiles(rows: DataFrame, by: list[str], probs: list[float], floor: int) -> DataFrame:
     """Quantiles of large groups (so few that the state is broadcast: two rows per probability and `floor` rows).
 
-    The state of a wanted rank is an open range of values, the number of rows below it and inside. A round
+    The state of a wanted rank is an open range of values, the number of rows below it and inside. It begins as the
+    cell of a logarithmic scale that holds the rank, as cells are cheap to count; a sketch has to look at fewer rows then. A round
     picks two values a < b near the rank from a sketch and counts what lies below, at, between and above them, so the rank
     falls on a, on b or into one of three smaller ranges, however far the sketch is off.
     """
     key = [*by, "p", "side"]
     at = F.col("p") * (F.col("__total") - 1)
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side")) for p in probs for side in (0, 1)])).alias("w")
-    none = F.lit(None).cast("double")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")).select(*by, "__total", wanted).select(*by, "__total", "w.*")
-    state = store(sizes.select(
-        *key, "__total", F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at)).alias("__rank"), none.alias("__from"), none.alias("__to"),
-        F.lit(0).cast("long").alias("__below"), F.col("__total").alias("__inside"), none.alias("__value")), "quantile-state")
+    state = store(_cell_state(rows, by, probs), "quantile-state")
+    sizes = state.select(*by, "p", "__total").distinct()
 
     def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         if not keys:

@@ -255,6 +255,7 @@ IDENTITY = {
     "dst_ip": ["dst_ip", " Destination IP", "Destination IP"],
 }
 P = "__rule_"
+SOURCELESS_PARTS = 1 << 14      # rows without a source are dealt by HTTP group; it only says how finely
 
 
 def _total(df: DataFrame, names: list[str]) -> Column:
@@ -329,10 +330,10 @@ def _dataset_thresholds(rows: DataFrame, params: dict, scope: list[str], one_rat
     )
 
 
-def source_fanout(rows: DataFrame, keys: list[str], port: str | None, ip: str | None) -> DataFrame:
-    """Distinct targets per source (the last key); nulls do not count as targets."""
+def source_fanout(rows: DataFrame, keys: list[str], port: str | None, ip: str | None, along: list[str] | None = None) -> DataFrame:
+    """Distinct targets per source (the last key); nulls do not count as targets. `along` are columns that a source has one value of."""
     count = lambda name: F.countDistinct(col(name)) if name else F.lit(None).cast("long")
-    out = rows.where(col(keys[-1]).isNotNull()).groupBy(*[col(k) for k in keys]).agg(
+    out = rows.where(col(keys[-1]).isNotNull()).groupBy(*[col(k) for k in [*keys, *(along or [])]]).agg(
         count(port).alias(P + "n_ports"), count(ip).alias(P + "n_ips"))
     return out
 
@@ -343,13 +344,18 @@ def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[
 
     Sources of ordinary size share one shuffle on (scope, source): the window,
     the join with the per-source counts and the HTTP group count all use it.
+    Rows without a source have neither a previous row nor targets, so only their
+    HTTP groups stay together (`__rule_part`).
     Rows of a hot source go through slices and broadcast joins instead.
     """
     source = found["src_ip"]
-    keys = scope + [source]
     rate = _rate(rows)
-    fanout = source_fanout(rows, keys, found["dst_port"], found["dst_ip"])
-    group = keys + [found["dst_ip"], found["dst_port"]] if found["dst_ip"] and found["dst_port"] else None
+    target = [found["dst_ip"], found["dst_port"]] if found["dst_ip"] and found["dst_port"] else []
+    apart = [col(n) for n in target] or order
+    rows = rows.withColumn(P + "part", F.when(col(source).isNull(), F.pmod(F.xxhash64(*apart), F.lit(SOURCELESS_PARTS))).otherwise(-1))
+    keys = scope + [source, P + "part"]
+    fanout = source_fanout(rows, scope + [source], found["dst_port"], found["dst_ip"], [P + "part"])
+    group = keys + target if target else None
     hot = hot_keys(rows, keys, slice_on)
 
     def ordinary(part):
@@ -374,7 +380,7 @@ def _source_context(rows: DataFrame, scope: list[str], found: dict, order: list[
             large = large.withColumn(P + "http_group", F.lit(None).cast("long"))
         out = out.unionByName(large)
     # A row without a source has no previous row.
-    return out.withColumn(P + "prev_rate", F.when(col(source).isNotNull(), F.col(P + "prev_rate")))
+    return out.withColumn(P + "prev_rate", F.when(col(source).isNotNull(), F.col(P + "prev_rate"))).drop(P + "part")
 
 
 def rule_masks(cols: set[str], settings: RuleSettings) -> dict[str, Column]:

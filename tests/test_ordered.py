@@ -99,6 +99,24 @@ def test_selected_quantiles_with_ties_gaps_and_coarse_sketches(spark, force_hot,
             assert got[k, p] == pytest.approx(want, rel=1e-9, nan_ok=True), (k, p)
 
 
+def test_cells_spare_large_groups_the_sketch(spark, monkeypatch):
+    spark.conf.set("spark.flowspark.hotMinRows", "100")
+    try:
+        def refused(*_):
+            raise AssertionError("a sketch over all rows")
+        monkeypatch.setattr(ordered.F, "percentile_approx", refused)
+        dice = random.Random(5)
+        spread = [dice.choice([-1, 1]) * 10.0 ** dice.uniform(-3, 3) for _ in range(2000)] + [0.0] * 500 + [-0.0] + [float("inf"), 5e-324, -1.7e308]
+        table = spark.createDataFrame([(k, v) for k in (None, "a") for v in spread], "k string, v double").repartition(6)
+        probs = [0.0, 0.3, 0.5, 0.9, 1.0]
+        got = {(r.k, r.prob): r.quantile for r in exact_quantiles(table, "v", probs, by=["k"]).collect()}
+        assert len(got) == 10
+        for (_, p), value in got.items():
+            assert value == pytest.approx(np.quantile(sorted(spread), p), rel=1e-12, nan_ok=True), p
+    finally:
+        spark.conf.unset("spark.flowspark.hotMinRows")
+
+
 @pytest.mark.parametrize("small", [100, 0])
 def test_lookup_join_paths(spark, force_hot, small):
     table = spark.createDataFrame([("a", 1), ("b", 2), ("k3", 3)], "k string, w int")

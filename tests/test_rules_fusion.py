@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.operators import rules
 from flowspark.operators.fusion import final_decision, fuse_votes, fused_score, model_confidence
 from flowspark.operators.rules import DEFAULTS, RULES, rule_settings, score_rules
 from flowspark.plans.adapters import flows_from_lineitem
@@ -21,6 +22,27 @@ def test_hot_sources_score_like_ordinary_ones(spark, request):
     assert scored(spark, scope=["dst_port"]) == by_port
 
 
+def test_rows_without_a_source_stay_apart(spark, monkeypatch):
+    """Many rows without a source are no hot key: nothing but their HTTP groups has to stay together."""
+    rows = [(None, f"10.0.0.{i % 40}", 80, float(i), 0.1, 10.0) for i in range(1200)]
+    rows += [("1.1.1.1", "10.0.0.1", 80, float(i), 0.1, 10.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, at double, flow_duration double, flow_byts_per_s double")
+    found, look = [], rules.hot_keys
+
+    def noted(*args):
+        found.append(look(*args))
+        return found[-1]
+    monkeypatch.setattr(rules, "hot_keys", noted)
+    spark.conf.set("spark.flowspark.hotMinRows", "500")
+    try:
+        got = score_rules(df, order=["at"], keep_masks=True).groupBy("src_ip").agg(
+            F.count_if("R17").alias("brute"), F.count_if("R22").alias("spikes"), F.count_if("R10").alias("scans")).collect()
+    finally:
+        spark.conf.unset("spark.flowspark.hotMinRows")
+    assert found == [None]
+    assert {r.src_ip: tuple(r)[1:] for r in got} == {None: (1200, 0, 0), "1.1.1.1": (40, 0, 0)}
+
+
 def test_every_rule_marks_some_rows_and_spares_others(spark):
     flows = flows_from_lineitem(spark, "/root/testdata/sf0.01")
     r = score_rules(flows, order=ORDER, keep_masks=True).agg(
