@@ -153,6 +153,21 @@ def test_a_large_benchmark_is_not_met_by_whole_texts(spark, messy):
         assert " w#" not in below.split("[", 1)[-1], below
 
 
+def test_documents_carry_no_lists_of_items(spark, messy):
+    """A passage of many items costs a document a number; fingerprints are sent out where whole windows are too many."""
+    bench = spark.createDataFrame([(i, prose(30, 50)) for i in range(60)] + [(100, prose(30, 50) + " " + prose(9, 51))], "item_id long, text string")
+    docs = messy.select("doc_id", "text").unionByName(table(spark, [prose(20, 60) + " " + prose(30, 50)], [300]).select("doc_id", "text"))
+    for limit in (200_000, 5, 0):
+        got = contamination(docs, bench, broadcast_rows=limit)
+        hit = got.where("n_hit > 0").collect()
+        assert [(r.doc_id, r.n_hit, sorted(r["items"])) for r in hit] == [(300, 30, [*range(60), 100])]
+        plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        met = [x for x in plan if "Aggregate [doc_id#" in x and "collect_set(" in x][-1]      # the lowest one
+        assert "items#" not in met, met
+        by_mark = "".join(x for x in plan if "Join" in x and "mark#" in x)
+        assert ("broadcast" in by_mark) == (limit > 0)
+
+
 CLASHING = ("row id key of_id of_key kept keep cut copies copy taken n_lines n_dropped spans later print first component_id least at w mark known place spot cell "
             "__own_key __id __key __keep __copies __copy __cut __spans __row __body __text __words text_key doc_key h1 h2 pos line gone kind").split()
 
