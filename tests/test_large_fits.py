@@ -27,6 +27,9 @@ def test_a_large_forest_is_grown_in_parts(spark, rows, monkeypatch):
     assert got["model"].stages[-1].getNumTrees == len(got["model"].stages[-1].trees) == 23
     assert len({t.toDebugString.split("\n", 1)[1] for t in got["model"].stages[-1].trees}) > 15      # parts differ
     assert got["metrics"]["roc_auc"] > 0.95 and not any("Exchange" in plan for plan in seen)
+    out = {r.variant: r for r in mo.baseline_models(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), ["a", "b"], "label", ["id"], trees=23).collect()}
+    assert out["random_forest"].roc_auc > 0.95 and out["logistic_regression"].roc_auc > 0.95
+    assert grown[6:] == [(n, grown[6][1]) for n in (10, 10, 3)]
 
 
 @pytest.mark.parametrize("key", [["id"], ["k"], ["same"], ["k", "id"]])
