@@ -12,7 +12,8 @@ A cell with more than CELL_ROWS rows is cut by hash of the row, and so are the q
 that more than QUERY_ROWS of them visit: no task holds more than a piece of either.
 
 Where the cells rule out less than half of the pairs, a query would be sent to most cells, whose number grows with the root of
-the rows. All pairs are then compared in blocks of CELL_ROWS rows and a piece of the queries; the bounds found at home still hold.
+the rows. All pairs are then compared in blocks of rows and of queries; the bounds found at home still hold, so a product in single
+precision leaves the few rows whose distance is taken exactly.
 
 Where queries times rows are no more than SMALL_PAIRS, everything is one cell: an index would cost more than it saves.
 """
@@ -36,6 +37,7 @@ CELL_ROWS = 16_384
 QUERY_ROWS = 65_536
 LEAST_BLOCK = 1024            # queries of a block
 CHUNK_ENTRIES = 1 << 22       # distances computed at a time
+BLOCK_ROWS = 65_536           # rows of a block at most
 DIGITS = 9                    # distances that agree so far are ties, which the smaller id wins
 FOUND = "query long, neighbour long, y double, distance double, compared long"
 
@@ -49,10 +51,11 @@ class Cells:
     least: np.ndarray
     most: np.ndarray
     query_parts: np.ndarray
+    piece: int = 0               # rows of a piece of a cell, CELL_ROWS by default
 
     @property
     def row_parts(self) -> np.ndarray:
-        return np.maximum(1, -(-self.rows // CELL_ROWS))
+        return np.maximum(1, -(-self.rows // (self.piece or CELL_ROWS)))
 
     @property
     def slack(self) -> float:
@@ -86,6 +89,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] - 2.0 * a @ b.T + (b * b).sum(1)[None, :]))
 
 
+class Shortlist:
+    """Rows that can be within a bound of a query, by one product of half the precision; its error is allowed for."""
+
+    def __init__(self, points: np.ndarray):
+        self.centre = points.mean(0)
+        rows = points - self.centre
+        square = (rows * rows).sum(1)
+        self.reach = float(np.sqrt(square.max(initial=0.0)))
+        self.usable = self.reach < 1e15
+        if self.usable:
+            self.rows = np.ascontiguousarray(np.hstack([-2.0 * rows, square[:, None]]).astype(np.float32).T)
+
+    def within(self, queries: np.ndarray, bound: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows within the bounds that can be among the nearest `take`, and some more."""
+        here = queries - self.centre
+        square = (here * here).sum(1)
+        about = np.hstack([here, np.ones((len(here), 1))]).astype(np.float32) @ self.rows      # distance squared less the query's own square
+        error = 5e-7 * (queries.shape[1] + 8) * (np.sqrt(square) + self.reach) ** 2
+        limit = bound ** 2 - square + error
+        near = about <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None]
+        take = min(take, about.shape[1])
+        if np.count_nonzero(near) > 64 * take * len(here):
+            limit = np.minimum(limit, np.partition(about, take - 1, axis=1)[:, take - 1] + 2.0 * error)
+            near = about <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None]
+        return np.divmod(np.flatnonzero(near), about.shape[1])
+
+
 def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column as a matrix."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -173,23 +203,28 @@ def _met(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, leave_self_
         by_id = np.argsort(ids, kind="stable")
         sorted_ids = ids[by_id]
         queries, all_bounds, all_d, all_ids = _points(asked["v"]), _numbers(asked, "bound"), _numbers(asked, "d"), _numbers(asked, "id")
-        found, compared = [], 0
+        found, compared, shortlist = [], 0, None
         for part in _chunks(len(queries), len(points)):
             here, bound, d, own_id = queries[part], all_bounds[part], all_d[part], all_ids[part]
             low, high = np.searchsorted(r, d - bound - slack), np.searchsorted(r, d + bound + slack, side="right")
             width = high - low
             if width.sum() * 4 > len(here) * len(points):      # most of the cell: one matrix product, then those near enough
                 compared += len(here) * len(points)
-                about = _distances(here, points)
-                if leave_self_out:
-                    own = np.searchsorted(sorted_ids, own_id)
-                    mine = np.nonzero(sorted_ids[np.minimum(own, len(ids) - 1)] == own_id)[0]
-                    about[mine, by_id[own[mine]]] = np.inf
-                take = min(k, len(points))
-                limit = np.minimum(np.partition(about, take - 1, axis=1)[:, take - 1], bound) + slack
-                at, of = np.nonzero(about <= limit[:, None])
-                near = np.isfinite(about[at, of])
-                at, of = at[near], of[near]
+                own = np.searchsorted(sorted_ids, own_id)
+                mine = sorted_ids[np.minimum(own, len(ids) - 1)] == own_id if leave_self_out else np.zeros(len(own), bool)
+                itself = np.where(mine, by_id[np.minimum(own, len(ids) - 1)], -1)      # the row that is the query
+                if np.isfinite(bound).all() and (shortlist := shortlist or Shortlist(points)).usable and np.isfinite(here).all() and np.abs(here).max(initial=0.0) < 1e15:
+                    at, of = shortlist.within(here, bound + slack, k + int(leave_self_out))
+                else:
+                    about = _distances(here, points)
+                    about[np.flatnonzero(mine), itself[mine]] = np.inf
+                    take = min(k, len(points))
+                    limit = np.minimum(np.partition(about, take - 1, axis=1)[:, take - 1], bound) + slack
+                    at, of = np.nonzero(about <= limit[:, None])
+                    near = np.isfinite(about[at, of])
+                    at, of = at[near], of[near]
+                other = of != itself[at]
+                at, of = at[other], of[other]
             else:
                 compared += int(width.sum())
                 at = np.repeat(np.arange(len(here)), width)
@@ -234,10 +269,12 @@ def _candidates(queries: DataFrame, train: DataFrame, vector: str, query_id: str
     need = k + int(leave_self_out)
 
     def in_blocks(asked: DataFrame) -> DataFrame:
-        """All pairs in blocks: a query travels once per CELL_ROWS rows and not once per cell."""
-        piece = min(QUERY_ROWS, max(LEAST_BLOCK, -(-asking // (4 * q.sparkSession.sparkContext.defaultParallelism))))
+        """All pairs in blocks: a query travels once per block of rows and not once per cell, a row once per block of queries."""
+        wanted = 4 * q.sparkSession.sparkContext.defaultParallelism
+        block = min(BLOCK_ROWS, max(CELL_ROWS, -(-size // (math.isqrt(wanted - 1) + 1))))
+        piece = min(QUERY_ROWS, max(LEAST_BLOCK, -(-asking // -(-wanted // -(-size // block)))))
         zero = F.lit(0.0)
-        everything = Cells(pivots, one * size, least, most, one * -(-asking // piece))      # the pivots for their slack
+        everything = Cells(pivots, one * size, least, most, one * -(-asking // piece), block)      # the pivots for their slack
         unbounded = F.coalesce("bound", F.lit(float("inf"))).alias("bound")
         return _met(asked.select("id", "v", F.lit(0).alias("cell"), unbounded, zero.alias("d")),
                     placed.select("id", "y", "v", F.lit(0).alias("cell"), zero.alias("r")), everything, k, leave_self_out)

@@ -79,3 +79,16 @@ def test_rows_that_no_cell_rules_out_meet_in_blocks(spark, monkeypatch):
     got = found(ne.nearest_neighbours(rows, rows, "v", "id", "id", "y", k=5, leave_self_out=True, small_pairs=0), "neighbour_id")
     assert got == dict(enumerate(nearest(vectors, vectors, 5, True)))
     assert sent[-1] == 600
+
+
+@pytest.mark.parametrize("shift, spread", [(0.0, 1.0), (1e6, 1e-3), (-3e4, 50.0)])
+def test_the_shortlist_leaves_out_no_neighbour(shift, spread):
+    """Also far from the origin, where single precision tells nothing apart."""
+    g = np.random.default_rng(3)
+    rows, asked = g.normal(shift, spread, (3000, 16)), g.normal(shift, spread, (200, 16))
+    exact = np.sqrt(((asked[:, None] - rows[None]) ** 2).sum(2))
+    bound = np.sort(exact, axis=1)[:, 39]
+    at, of = ne.Shortlist(rows).within(asked, bound, 15)
+    found = set(zip(at.tolist(), of.tolist(), strict=True))
+    assert all((i, j) in found for i in range(200) for j in np.argsort(exact[i])[:15].tolist())
+    assert len(found) < 200 * 3000 / 10
